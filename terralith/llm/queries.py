@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _HOME = {
+    "op7_packing": "packing",
     "op8_pii": "pii",
     "op9_secret_scan": "secrets",
     "op6_simhash_near_dedup": "simhash",
