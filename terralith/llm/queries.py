@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _HOME = {
+    "op3_embedding_near_dedup": "embeddings",
     "op2_bpe": "bpe",
     "op7_packing": "packing",
     "op8_pii": "pii",
