@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _HOME = {
+    "op10_language_id": "language",
     "op5_html_extraction": "html",
     "op4_document_fingerprints": "sketches",
     "op3_embedding_near_dedup": "embeddings",
