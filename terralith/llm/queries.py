@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _HOME = {
+    "op1_license_scan": "licenses",
     "op10_language_id": "language",
     "op5_html_extraction": "html",
     "op4_document_fingerprints": "sketches",
