@@ -183,10 +183,14 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], from_html: bo
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is found, all columns kept (rows with a null id go)."""
+    """The rows of ``docs`` whose language is found, all columns kept.
+
+    An id goes if every row that carries it is rejected. Rejected ids are the small side, so
+    whole texts are shuffled only if there are very many of them. Rows without an id stay.
+    """
     found = identify(document_rows(docs), train(docs))
-    kept = found.filter("accepted").select(F.col("key").alias("__accepted")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__accepted"), "left_semi")
+    gone = found.groupBy(F.col("key").alias("__rejected")).agg(F.bool_or("accepted").alias("__any")).filter("not __any").select("__rejected")
+    return docs.join(gone, F.col("doc_id") == F.col("__rejected"), "left_anti")
 
 
 def op10_language_id(spark, sf_dir):

@@ -124,11 +124,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, once each, all columns kept."""
-    groups = simhash_groups(docs, id_col, text_col)
-    kept = groups.filter("id = component_id").select(F.col("id").alias("__kept_id")).distinct()
-    single = docs.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi")
-    return single.dropDuplicates([id_col])
+    """The rows of ``docs`` whose id is the smallest of its group, once each, all columns kept.
+
+    Rows that carry one id several times shrink to one of them; rows without an id stay.
+    """
+    from terralith.llm.common import materialise
+
+    groups = materialise(simhash_groups(docs, id_col, text_col).filter("id is not null"))
+    gone = groups.filter("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    again = groups.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("__again"))
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col])
+    return kept.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(single)
 
 
 def op6_simhash_near_dedup(spark, sf_dir):
