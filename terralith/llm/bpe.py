@@ -1,17 +1,18 @@
-"""Byte-level BPE by Spark's higher-order functions, one fold per distinct word.
-
-Three narrow steps in one stage, without a shuffle: an Arrow map splits texts into words and
-sends each word that its task has not met before, with the words of every document as numbers;
-a projection folds the ranked merges over those words' byte arrays against a literal rank map;
-a second Arrow map puts the documents' ids together. Decoding concatenates the byte pieces of
-the ids, for distinct words in the projection and for documents in the second map. A task keeps
-at most ``Dictionary.LIMIT`` words, then starts anew, so memory is bounded and no vocabulary of
-the corpus travels anywhere.
-
-Spark's own map lookup scans its keys, so the rank map of 50,000 pieces is two literal arrays: a
-displaced hash table from XXH64 to rank, and the pieces by rank to confirm a hit. Bytes are
-characters U+0000 to U+00FF inside the fold, because Spark splits and compares strings faster
-than binaries.
+"""Byte-level BPE: ranked merges folded over the byte arrays of distinct words, and decoding.
+
+One narrow pass: a task splits its texts into words, folds the ranked merges over each word it
+has not met before (all new words of a batch at once, against the rank table of token pairs),
+and puts the documents' ids together from the words'. Decoding concatenates the byte pieces of
+the ids. A task keeps at most ``Dictionary.LIMIT`` words, then starts anew, so memory is bounded,
+nothing is shuffled and no vocabulary of the corpus travels anywhere.
+
+``RankMap`` holds the same fold as Spark higher-order functions over a literal rank map
+(``fold_words``), for tables of distinct words; it costs some hundred microseconds a word, too
+much for the distinct words of every partition of a corpus (figures in the README), so the
+corpus path folds in arrays. Spark's own map lookup scans its keys, so the literal rank map is
+two arrays: a displaced hash table from XXH64 to rank, and the pieces by rank to confirm a hit.
+Bytes are characters U+0000 to U+00FF inside that fold, because Spark splits and compares
+strings faster than binaries.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralith.llm.common import table
+from terralith.llm.merges import MergeTable
 from terralith.llm.words import Batch, Dictionary, chunks
 
-#: Bytes of a word from which it is folded with a heap in the second map (the fold is quadratic).
-LONG_WORD = 64
+#: Bytes of a word from which it is folded with a heap (the fold over arrays is quadratic).
+LONG_WORD = 256
 _MISS = 1 << 30
 _BUCKET_BITS, _SLOT_BITS = 14, 17
 
@@ -159,71 +161,75 @@ class RankMap:
         return F.array_join(F.transform(ids, lambda i: F.element_at(self.pieces, i + 1)), "")
 
 
-_WORDS = "ids array<long>, bounds binary, codes binary, fresh boolean, words array<string>"
-
-
-def _number(batches):
-    """Texts to blocks: document ids, word numbers, and the words that are new to this task."""
-    words = Dictionary()
-    for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        at = 0
-        for part in chunks(texts):
-            fresh = words.full()
-            if fresh:
-                words = Dictionary()
-            block = Batch(part)
-            numbers, new = words.number(block)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([keys[at : at + len(part)]], pa.list_(pa.int64())),
-                    pa.array([block.bounds.astype("<i8").tobytes()]),
-                    pa.array([numbers.astype("<i4").tobytes()]),
-                    pa.array([fresh]),
-                    pa.array([[w.encode().decode("latin-1") for w in new]], pa.list_(pa.string())),
-                ],
-                ["ids", "bounds", "codes", "fresh", "words"],
-            )
-            at += len(part)
-
-
-def _blocks(docs: DataFrame, ranks_path: str, id_col: str, text_col: str) -> DataFrame:
+def fold_words(words: DataFrame, ranks_path: str, word_col: str = "word") -> DataFrame:
+    """(word, ids) of the distinct words of a table, by the fold in the plan; null words go."""
     rank_map = RankMap(_ranks(ranks_path))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = src.mapInArrow(_number, _WORDS)
-    folded = F.transform("words", lambda w: F.when(F.length(w) <= LONG_WORD, rank_map.fold(w)))
-    # the second projection is kept apart, so that the fold is not evaluated again for decoding
-    blocks = blocks.select("ids", "bounds", "codes", "fresh", "words", folded.alias("folded"))
-    return blocks.select("ids", "bounds", "codes", "fresh", "words", F.transform("folded", lambda x: F.struct(x.alias("ids"), rank_map.decode(x).alias("back"))).alias("folded"))
+    distinct = words.select(F.col(word_col).cast("string").alias("word")).filter("word is not null").distinct()
+    as_bytes = F.decode(F.encode("word", "UTF-8"), "ISO-8859-1")
+    ids = F.transform(F.array(as_bytes), lambda w: F.when(F.length(w) > 0, rank_map.fold(w)).otherwise(F.array().cast("array<int>")))
+    return distinct.select("word", F.element_at(ids, 1).alias("ids"))
+
+
+@cache
+def _merge_table(path: str) -> MergeTable:
+    return MergeTable.from_ranks(_ranks(path))
+
+
+@cache
+def _pieces(path: str) -> list[bytes]:
+    ranks = _ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        out[rank] = piece
+    return out
+
+
+class _Folded:
+    """Distinct words of a task: their ids as text, their bytes decoded from the ids, counts."""
+
+    def __init__(self, path: str):
+        self.words, self.id_text, self.raw, self.count = Dictionary(), [], [], []
+        self._ranks, self._merges, self._pieces = _ranks(path), _merge_table(path), _pieces(path)
+
+    def add(self, fresh: list[str]) -> None:
+        raw = [w.encode() for w in fresh]
+        known = [self._ranks.get(w) for w in raw]
+        folded = [w if r is None and len(w) <= LONG_WORD else b"" for w, r in zip(raw, known, strict=True)]
+        flat, sizes = self._merges.encode(folded)
+        listed, at = flat.tolist(), 0
+        piece = self._pieces.__getitem__
+        for word, rank, size in zip(raw, known, sizes.tolist(), strict=True):
+            ids = [rank] if rank is not None else listed[at : at + size] if size else heap_encode(word, self._ranks)
+            at += size
+            self.id_text.append(",".join(map(str, ids)).encode())
+            self.raw.append(b"".join(map(piece, ids)))
+            self.count.append(len(ids))
 
 
 def _assemble(ranks_path: str, make):
-    """Map over blocks that hands ``make`` the documents' words: texts of ids, bytes, counts."""
+    """Map over (id, text) batches that hands ``make`` the documents' words: ids, bytes, counts."""
 
     def run(batches):
-        ranks, id_text, raw, count = _ranks(ranks_path), [], [], []
-        pieces = {}
+        held = _Folded(ranks_path)
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["fresh"]:
-                    id_text, raw, count = [], [], []
-                for word, folded in zip(row["words"], row["folded"], strict=True):
-                    ids, back = folded["ids"], folded["back"]
-                    if ids is None:
-                        ids = heap_encode(word.encode("latin-1"), ranks)
-                        pieces = pieces or {r: p for p, r in ranks.items()}
-                        data = b"".join(pieces[i] for i in ids)
-                    else:
-                        data = back.encode("latin-1")
-                    id_text.append(",".join(map(str, ids)).encode())
-                    raw.append(data)
-                    count.append(len(ids))
-                bounds, codes = np.frombuffer(row["bounds"], "<i8"), np.frombuffer(row["codes"], "<i4")
-                yield make(row["ids"], bounds, codes, id_text, raw, count)
+            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            at = 0
+            for part in chunks(texts):
+                if held.words.full():
+                    held = _Folded(ranks_path)
+                block = Batch(part)
+                codes, fresh = held.words.number(block)
+                held.add(fresh)
+                yield make(keys[at : at + len(part)], block.bounds, codes, held.id_text, held.raw, held.count)
+                at += len(part)
 
     return run
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def _digests(keys, bounds, codes, id_text, raw, count):
     sizes = np.array(count or [0])[codes] if len(codes) else np.zeros(0, int)
     total = np.concatenate([[0], np.cumsum(sizes)])[bounds]
@@ -248,7 +254,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     Null and empty texts have no tokens; repeated rows give equal rows; other columns are not
     read; an empty table gives an empty result. Marks of special tokens are ordinary text.
     """
-    return _blocks(docs, ranks_path, id_col, text_col).mapInArrow(_assemble(ranks_path, _id_lists), "id long, tokens array<int>")
+    return _source(docs, id_col, text_col).mapInArrow(_assemble(ranks_path, _id_lists), "id long, tokens array<int>")
 
 
 def decode(tokens: DataFrame, ranks_path: str, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
@@ -262,7 +268,7 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "id", tokens_col: s
 
 def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: number of tokens, digest of the ids and digest of the decoded bytes."""
-    return _blocks(docs, ranks_path, id_col, text_col).mapInArrow(
+    return _source(docs, id_col, text_col).mapInArrow(
         _assemble(ranks_path, _digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 

@@ -12,8 +12,8 @@ _NONE = np.int64(1) << np.int64(30)
 class MergeTable:
     """Ranked merges of pairs of token ids, in two open hash tables without probing."""
 
-    def __init__(self, pairs: np.ndarray, merged: np.ndarray, byte_ids: np.ndarray):
-        """``pairs``: (rank order) rows (left id, right id); ``merged``: id of each merge."""
+    def __init__(self, pairs: np.ndarray, ranks: np.ndarray, merged: np.ndarray, byte_ids: np.ndarray):
+        """``pairs``: rows (left id, right id); ``ranks``: theirs; ``merged``: new id by rank."""
         self.byte_ids = byte_ids
         keys = (pairs[:, 0].astype(np.uint64) << np.uint64(32)) | pairs[:, 1].astype(np.uint64)
         self._merged = merged.astype(np.int64)
@@ -25,7 +25,7 @@ class MergeTable:
             slot = (keys[left] * multiplier) >> np.uint64(64 - bits)
             _, firsts = np.unique(slot, return_index=True)
             table, rank = np.full(1 << bits, np.uint64(2**64 - 1)), np.zeros(1 << bits, np.int64)
-            table[slot[firsts]], rank[slot[firsts]] = keys[left[firsts]], left[firsts]
+            table[slot[firsts]], rank[slot[firsts]] = keys[left[firsts]], ranks[left[firsts]]
             self._levels.append((multiplier, np.uint64(64 - bits), table, rank))
             left = np.delete(left, firsts)
             bits = 16
@@ -41,7 +41,14 @@ class MergeTable:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         pairs = np.array([(vocab[a], vocab[b]) for a, b in merges], np.int64)
         merged = np.array([vocab[a + b] for a, b in merges], np.int64)
-        return cls(pairs, merged, np.array([vocab[c] for c in byte_alphabet()], np.int64))
+        return cls(pairs, np.arange(len(pairs)), merged, np.array([vocab[c] for c in byte_alphabet()], np.int64))
+
+    @classmethod
+    def from_ranks(cls, ranks: dict[bytes, int]) -> MergeTable:
+        """From ranks of pieces: two tokens merge with the rank of the piece they spell."""
+        pairs = [(ranks[p[:i]], ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
+        table = np.array(pairs, np.int64).reshape(-1, 3)
+        return cls(table[:, :2], table[:, 2], np.arange(max(ranks.values()) + 1), np.array([ranks[bytes([b])] for b in range(256)], np.int64))
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or a huge value."""

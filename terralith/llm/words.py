@@ -177,7 +177,7 @@ class Ragged:
 class Dictionary:
     """Numbers for the distinct words that one task has met, up to a bound on its memory."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __init__(self):
         self.numbers: dict[int, int] = {}

@@ -41,15 +41,21 @@ def test_encode_and_decode(spark, enc):
     assert bpe.encode(df.filter("doc_id < 0"), PATH).count() == 0
 
 
-def test_small_dictionary(spark, enc, monkeypatch):
+def test_small_dictionary(enc, monkeypatch):
+    import pyarrow as pa
+
     ts = texts()
     monkeypatch.setattr(bpe.Dictionary, "LIMIT", 50)
-    import pyarrow as pa
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.string())], ["a", "b"]) for i, t in enumerate(ts)]
+    got = [b.column(1).to_pylist()[0] for b in bpe._assemble(PATH, bpe._id_lists)(batches)]
+    assert got == [enc.encode_ordinary(t or "") for t in ts]
+
 
-    blocks = [b for t in ts for b in bpe._number([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t], pa.string())], ["a", "b"])])]
-    assert len(blocks) == len(ts)
-    seen = bpe.Dictionary()
-    assert not seen.full()
+def test_fold_in_the_plan(spark, enc):
+    words = sorted({w for t in texts() for w in enc._pat_str and __import__("regex").findall(public_tokenizers.PATTERN, t or "") if len(w) < 30})
+    df = spark.createDataFrame([(w,) for w in [*words, None, "", words[0]]], "word string")
+    got = {r.word: r.ids for r in bpe.fold_words(df, PATH).collect()}
+    assert got == {w: enc.encode_ordinary(w) for w in [*words, ""]}
 
 
 def test_query_against_library(spark, enc):
