@@ -84,7 +84,7 @@ triangles AS (SELECT 2 * v AS t_id, v AS v0, v + 1 AS v1, v + 41 AS v2 FROM cell
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of holes: depth runs on by quantity, property is the discount."""
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
     to = F.sum("l_quantity").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return read(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("hole_id"), (to - F.col("l_quantity")).alias("from_m"), to.alias("to_m"), F.col("l_returnflag").alias("grp"),
@@ -92,7 +92,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-INTERVALS_SQL = """laid AS (SELECT *, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS to_m FROM lineitem),
+INTERVALS_SQL = """laid AS (SELECT *, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate ROWS UNBOUNDED PRECEDING) AS to_m FROM lineitem),
 intervals AS (SELECT l_suppkey AS hole_id, to_m - l_quantity AS from_m, to_m, l_returnflag AS grp, l_discount * 10 + 2.0::DOUBLE AS density, l_tax AS susceptibility FROM laid)"""
 
 
