@@ -366,14 +366,14 @@ def point_in_box_raycast(spark, d):
     return lo.classify(_pts(spark, d), fw.box_facets(b.boxes(spark, d)), bottom=-345.0)
 
 
-@query("surface_height", f"{_MESH}, pts AS (SELECT s_suppkey AS obs_id, ((s_suppkey*613 % 3800)+37.5)::DOUBLE AS x, ((s_suppkey*29 % 200)+11.25)::DOUBLE AS y FROM supplier), c AS (SELECT obs_id, x, y, floor(x/100)::BIGINT + 40*floor(y/100)::BIGINT AS v, x/100-floor(x/100) AS u, y/100-floor(y/100) AS w FROM pts)"
-       " SELECT obs_id, round(CASE WHEN u >= w THEN a.z+u*(bb.z-a.z)+w*(dd.z-bb.z) ELSE a.z+u*(dd.z-cc.z)+w*(cc.z-a.z) END, 6) AS z FROM c JOIN vertices a ON a.v_id = v JOIN vertices bb ON bb.v_id = v+1 JOIN vertices cc ON cc.v_id = v+40 JOIN vertices dd ON dd.v_id = v+41")
+@query("surface_height", f"{_MESH}, pts AS (SELECT s_suppkey AS obs_id, ((s_suppkey*613 % 3800)+37.3)::DOUBLE AS x, ((s_suppkey*29 % 200)+11.7)::DOUBLE AS y FROM supplier), c AS (SELECT obs_id, x, y, floor(x/100)::BIGINT + 40*floor(y/100)::BIGINT AS v, x/100-floor(x/100) AS u, y/100-floor(y/100) AS w FROM pts)"
+       " SELECT obs_id, round(CASE WHEN u >= w THEN a.z+u*(bb.z-a.z)+w*(dd.z-bb.z) ELSE a.z+u*(dd.z-cc.z)+w*(cc.z-a.z) END, 4) AS z FROM c JOIN vertices a ON a.v_id = v JOIN vertices bb ON bb.v_id = v+1 JOIN vertices cc ON cc.v_id = v+40 JOIN vertices dd ON dd.v_id = v+41")
 def surface_height(spark, d):
     k = F.col("s_suppkey")
-    pts = b.read(spark, d, "supplier").select(k.alias("obs_id"), ((k * 613 % 3800) + 37.5).alias("x"), ((k * 29 % 200) + 11.25).alias("y"))
+    pts = b.read(spark, d, "supplier").select(k.alias("obs_id"), ((k * 613 % 3800) + 37.3).alias("x"), ((k * 29 % 200) + 11.7).alias("y"))
     v, t, _ = _mesh(spark, d)
     facets = fw.mesh_facets(v.drop("freedom").filter("v_id < 200"), t)
-    return lo.surface_z(pts, facets).select("obs_id", F.round("z", 6).alias("z"))
+    return lo.surface_z(pts, facets).select("obs_id", F.round("z", 4).alias("z"))
 
 
 @query("groups_in_volume", f"WITH {_PTS}, {b.BOXES_SQL} SELECT group_id FROM boxes WHERE EXISTS (SELECT 1 FROM pts WHERE abs(x-cx) <= 50 AND abs(y-cy) <= 50 AND abs(z-cz) <= 50)")
