@@ -261,3 +261,31 @@ def label_grid(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"ix": i % nx, "iy": i // nx % ny, "iz": i // (nx * ny), "label": values}).astype("int32")
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "ix int, iy int, iz int, label int")
+
+
+def active_cells(lines: DataFrame) -> DataFrame:
+    """Cells of an active-cell mesh: dims, origin (z of the top), sizes, count, then ix iy iz from 1.
+
+    (cell from 1, ix, iy, iz, x, y, z of the centre; z falls with iz).
+    """
+    parts = F.transform(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != ""), number)
+    rows = lines.filter(F.trim("line") != "").select("path", "line_no", parts.alias("f"))
+    head = rows.filter("line_no <= 4").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "f"))).alias("h"))
+    cells = rows.filter("line_no > 4").join(F.broadcast(head), "path")
+    at = lambda i, j: F.col("h")[i]["f"][j]
+    index = [F.col("f")[j].cast("int").alias(n) for j, n in enumerate(("ix", "iy", "iz"))]
+    centre = [(at(1, j) + (F.col("f")[j] - 0.5) * at(2, j) * (-1 if c == "z" else 1)).alias(c) for j, c in enumerate("xyz")]
+    return cells.select("path", (F.col("line_no") - 4).cast("int").alias("cell"), *index, *centre)
+
+
+def strict_model(texts: DataFrame) -> DataFrame:
+    """(place, value) of model text: three integers, then as many numbers as their product.
+
+    Numbers may stand any number to a line; another count is an error.
+    """
+    tokens = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    rows = texts.select(tokens.alias("k"))
+    want = F.col("k")[0].cast("int") * F.col("k")[1].cast("int") * F.col("k")[2].cast("int")
+    fits = F.size("k") - 3 == want
+    checked = rows.select(F.when(fits, F.slice("k", F.lit(4), F.greatest(want, F.lit(1)))).otherwise(F.raise_error(F.lit("model text: values and dimensions differ"))).alias("v"))
+    return checked.select(F.posexplode("v").alias("place", "v")).select("place", number(F.col("v")).alias("value"))

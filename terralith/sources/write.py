@@ -81,3 +81,19 @@ def label_bytes(cells: DataFrame) -> bytes:
     block = np.full(shape[::-1], -1, "<i4")
     block[pdf["iz"], pdf["iy"], pdf["ix"]] = pdf["label"]
     return " ".join(map(str, shape)).encode() + b"\n" + block.tobytes()
+
+
+def mesh_text(shape: tuple[int, int, int], origin: tuple[float, float, float], size: tuple[float, float, float]) -> list[str]:
+    """Lines of a UBC mesh with equal cells."""
+    head = [" ".join(map(str, shape)), " ".join(f"{x:.3f}" for x in origin)]
+    return head + [f"{n}*{s:.3f}" for n, s in zip(shape, size, strict=True)]
+
+
+def ini_text(options: dict[str, dict[str, object]]) -> list[str]:
+    """Lines of an INI configuration."""
+    return [line for section, keys in options.items() for line in [f"[{section}]", *[f"{k} = {v}" for k, v in keys.items()]]]
+
+
+def observed_lines(obs: DataFrame) -> DataFrame:
+    """(ord, line): x,y,z,value,std of observations."""
+    return obs.select(F.col("obs_id").alias("ord"), F.format_string("%.3f,%.3f,%.3f,%.6f,%.6f", "x", "y", "z", "value", "std").alias("line"))
