@@ -149,3 +149,24 @@ def op1_license_scan(spark, sf_dir):
         "doc_id", F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_licenses"),
         F.coalesce(F.array_join("names", ","), F.lit("")).alias("licenses"), F.coalesce("best", F.lit(0.0)).alias("best"),
     )
+
+
+def _oracle() -> str:
+    """Exact search of every window, without bands or anchors, as DuckDB SQL."""
+    rows = []
+    for name, text in sorted(TEMPLATES.items()):
+        grams = ", ".join(f"'{g}'" for g in shingles_of(words_of(text)))
+        rows.append(f"('{name}', {size_class(len(words_of(text)))}, [{grams}])")
+    return f"""
+WITH t(template, cls, grams) AS (VALUES {", ".join(rows)}),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS words FROM documents),
+n AS (SELECT doc_id, cls, words, unnest(range(0, greatest(1, ceil(len(words) / cls))::BIGINT)) AS i FROM w, (SELECT DISTINCT cls FROM t)),
+x AS (SELECT doc_id, cls, words[i * cls + 1 : i * cls + 2 * cls] AS ws FROM n),
+g AS (SELECT doc_id, cls, list_distinct(list_transform(range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1), lambda k: array_to_string(ws[k : k + {SHINGLE - 1}], ' '))) AS grams FROM x),
+m AS (SELECT doc_id, template, max(len(list_intersect(t.grams, g.grams)) / len(t.grams)) AS c FROM g JOIN t USING (cls) GROUP BY 1, 2),
+f AS (SELECT doc_id, count(*) AS n, string_agg(template, ',' ORDER BY template) AS names, max(c) AS best FROM m WHERE c >= {CONTAINMENT} GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses, coalesce(best, 0.0)::DOUBLE AS best FROM documents LEFT JOIN f USING (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle()
