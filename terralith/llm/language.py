@@ -1,8 +1,8 @@
 """Language ID by Bayesian fusion of text, declared language, address suffix and host priors.
 
 Text: a multinomial model over hashed byte trigrams, fitted to a bounded sample of labelled rows
-(``SAMPLE`` rows in expectation, drawn by a hash of the id). Its likelihood is tempered, because
-trigrams overlap. Evidence beside the text comes from counts over all rows, in which each row
+(``SAMPLE`` rows in expectation, drawn by a hash of id and text). Its likelihood is tempered,
+because trigrams overlap. Evidence beside the text comes from counts over all rows, in which each row
 counts by its text posterior: how often a declared language, or the last label of an address,
 goes with each language, and priors of hosts. A host's prior is smoothed towards its domain's
 and that towards the corpus's, each as ``SMOOTH`` rows. The tables of declared values, suffixes
@@ -46,27 +46,49 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def fit(texts: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities by language and trigram) of labelled texts."""
-    from collections import Counter
-
-    common = [c for c, _ in Counter(lang for lang, _ in texts).most_common(MAX_LANGUAGES)]
-    languages = sorted(common)
-    counts = np.full((max(1, len(languages)), 1 << BITS), 0.05)
+    """(languages, log-probabilities by language and trigram) of labelled texts in memory."""
+    counts: dict[str, np.ndarray] = {}
     for lang, text in texts:
-        if lang in languages:
-            counts[languages.index(lang)] += np.bincount(trigrams(text), minlength=1 << BITS)
-    return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+        counts[lang] = counts.get(lang, 0) + np.bincount(trigrams(text), minlength=1 << BITS)
+    return _model(counts)
+
+
+def _model(counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    languages = sorted(counts)
+    table_ = np.array([counts[c] for c in languages] or [np.zeros(1 << BITS)]) + 0.05
+    return languages, np.log(table_ / table_.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Fit on labelled rows: about ``sample`` of them, at most twice as many."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = labelled.count()
+    """Fit on about ``sample`` labelled rows, drawn by a hash of id and text.
+
+    The ``MAX_LANGUAGES`` most frequent labels are modelled. Texts stay with the executors: the
+    driver gets one count for each language and trigram bucket.
+    """
+    labelled = docs.select(declared_code(F.col(lang_col)).alias("l"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.lit("language sample"), F.col(id_col), F.col(text_col)).alias("h"))
+    labelled = labelled.filter("l is not null and t is not null")
+    per = labelled.groupBy("l").agg(F.count("*").alias("n"))
+    common = per.orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
+    names, rows = [r["l"] for r in common], sum(r["n"] for r in common)
     share = 1.0 if rows <= sample else sample / rows
-    edge = min(2**63 - 1, int((2 * share - 1) * 2**63))
-    drawn = labelled.filter(F.xxhash64(F.lit("language sample"), F.col(id_col)) <= edge)
-    picked = drawn.select(declared_code(F.col(lang_col)).alias("l"), F.col(text_col).alias("t")).limit(2 * sample).collect()
-    return fit([(r["l"], r["t"]) for r in picked])
+    drawn = labelled.filter(F.col("l").isin(names) & (F.col("h") <= min(2**63 - 1, int((2 * share - 1) * 2**63))))
+
+    def count(batches):
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[lang] = held.get(lang, 0) + np.bincount(trigrams(text), minlength=1 << BITS)
+        for lang, found in held.items():
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], ["l", "g", "n"])
+
+    summed = drawn.select("l", "t").mapInArrow(count, "l string, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
+    counts = {lang: np.zeros(1 << BITS) for lang in names}
+    labels, at, n = summed["l"].to_pylist(), summed["g"].to_numpy(), summed["n"].to_numpy()
+    for lang in names:
+        mine = np.array([x == lang for x in labels], bool)
+        counts[lang][at[mine]] = n[mine]
+    return _model(counts)
 
 
 def declared_code(column):
