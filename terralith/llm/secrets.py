@@ -14,13 +14,11 @@ grouped count whatever the size of the corpus.
 
 from __future__ import annotations
 
-from math import log2
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralith.llm.common import materialise, table, text_or_empty
-from terralith.llm.spans import SPAN, count_kind, find, normal_tail, no_spans, ordered, overlaps
+from terralith.llm.spans import count_kind, find, normal_tail, ordered, overlaps
 
 # Fixed values of the base kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""

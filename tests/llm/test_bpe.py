@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from terralith.llm import bpe
@@ -52,7 +53,7 @@ def test_small_dictionary(enc, monkeypatch):
 
 
 def test_fold_in_the_plan(spark, enc):
-    words = sorted({w for t in texts() for w in enc._pat_str and __import__("regex").findall(public_tokenizers.PATTERN, t or "") if len(w) < 30})
+    words = sorted({w for t in texts() for w in regex.findall(public_tokenizers.PATTERN, t or "") if len(w) < 30})
     df = spark.createDataFrame([(w,) for w in [*words, None, "", words[0]]], "word string")
     got = {r.word: r.ids for r in bpe.fold_words(df, PATH).collect()}
     assert got == {w: enc.encode_ordinary(w) for w in [*words, ""]}
