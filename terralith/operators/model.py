@@ -165,20 +165,20 @@ def layer_stack(contacts: DataFrame, top: float, bottom: float) -> DataFrame:
     return rows.unionByName(last)
 
 
-def pad_edges(nodes: DataFrame, n: int, ring: int = 1) -> DataFrame:
-    """A padded n x n grid (ix, iy from 0, z): padding continues the two rows next to it linearly.
+def pad_edges(nodes: DataFrame, nx: int, ny: int, ring: int = 1) -> DataFrame:
+    """A padded nx x ny grid (ix, iy from 0, z): padding continues the two rows next to it linearly.
 
     Corners take the mean of both directions. z of the padding ring is replaced.
     """
-    lo, hi = ring, n - 1 - ring
-    clamp = lambda c: F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(c)))
-    inner = lambda c: F.when(F.col(c) < lo, lo + 1).when(F.col(c) > hi, hi - 1)
-    steps = lambda c: F.when(F.col(c) < lo, lo - F.col(c)).when(F.col(c) > hi, F.col(c) - hi).otherwise(0)
-    pad = nodes.filter((F.col("ix") < lo) | (F.col("ix") > hi) | (F.col("iy") < lo) | (F.col("iy") > hi)).select("ix", "iy", clamp("ix").alias("cx"), clamp("iy").alias("cy"), inner("ix").alias("mx"), inner("iy").alias("my"), steps("ix").alias("sx"), steps("iy").alias("sy"))
+    low, high = ring, {"ix": nx - 1 - ring, "iy": ny - 1 - ring}
+    clamp = lambda c: F.greatest(F.lit(low), F.least(F.lit(high[c]), F.col(c)))
+    inner = lambda c: F.when(F.col(c) < low, low + 1).when(F.col(c) > high[c], high[c] - 1)
+    steps = lambda c: F.when(F.col(c) < low, low - F.col(c)).when(F.col(c) > high[c], F.col(c) - high[c]).otherwise(0)
+    inside = F.col("ix").between(low, high["ix"]) & F.col("iy").between(low, high["iy"])
+    pad = nodes.filter(~inside).select("ix", "iy", clamp("ix").alias("cx"), clamp("iy").alias("cy"), inner("ix").alias("mx"), inner("iy").alias("my"), steps("ix").alias("sx"), steps("iy").alias("sy"))
     at = lambda name, x, y: nodes.select(F.col("ix").alias(x), F.col("iy").alias(y), F.col("z").alias(name))
     out = pad.join(at("z0", "cx", "cy"), ["cx", "cy"]).join(at("zx", "mx", "cy"), ["mx", "cy"], "left").join(at("zy", "cx", "my"), ["cx", "my"], "left")
     along_x = F.col("z0") + F.col("sx") * (F.col("z0") - F.col("zx"))
     along_y = F.col("z0") + F.col("sy") * (F.col("z0") - F.col("zy"))
     z = F.when(F.col("sx") == 0, along_y).when(F.col("sy") == 0, along_x).otherwise((along_x + along_y) / 2)
-    inside = nodes.filter(F.col("ix").between(lo, hi) & F.col("iy").between(lo, hi)).select("ix", "iy", "z")
-    return inside.unionByName(out.select("ix", "iy", z.alias("z")))
+    return nodes.filter(inside).select("ix", "iy", "z").unionByName(out.select("ix", "iy", z.alias("z")))

@@ -164,9 +164,9 @@ def obj_mesh(spark, d):
     return t.obj(_ring(spark))[1].drop("path")
 
 
-@query("tsurf_round_trip", f"WITH {b.VERTICES_SQL},\n{b.TRIANGLES_SQL}, v AS (SELECT v_id, row_number() OVER (ORDER BY v_id)-1 AS n FROM vertices WHERE v_id < 120) SELECT p.n AS v0, q.n AS v1, r.n AS v2 FROM triangles JOIN v p ON p.v_id = v0 JOIN v q ON q.v_id = v1 JOIN v r ON r.v_id = v2")
+@query("tsurf_round_trip", f"WITH {b.VERTICES_SQL},\n{b.TRIANGLES_SQL}, v AS (SELECT v_id, row_number() OVER (ORDER BY v_id)-1 AS n FROM vertices) SELECT p.n AS v0, q.n AS v1, r.n AS v2 FROM triangles JOIN v p ON p.v_id = v0 JOIN v q ON q.v_id = v1 JOIN v r ON r.v_id = v2")
 def tsurf_round_trip(spark, d):
-    v, tri = b.vertices(spark, d).filter("v_id < 120"), b.triangles(spark, d).filter("v2 < 120 and v1 < 120")
+    v, tri = b.vertices(spark, d), b.triangles(spark, d)
     lines = w.tsurf_lines(v, tri, "patch")
     order = Window.partitionBy("path").orderBy("part", "ord")
     numbered = lines.withColumn("path", F.lit("x.ts")).withColumn("line_no", F.row_number().over(order)).select("path", "line_no", "line")
@@ -204,10 +204,10 @@ def natural_sort(spark, d):
     return b.read(spark, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(trailing.desc(), "s_suppkey")).alias("place"))
 
 
-@query("positional_join", "WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS i FROM supplier), c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer WHERE c_custkey < 100) SELECT s_suppkey, c_custkey FROM a JOIN c USING (i)")
+@query("positional_join", "WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS i FROM supplier), c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer) SELECT s_suppkey, c_custkey FROM a JOIN c USING (i)")
 def positional_join(spark, d):
     one = m.dense_number(b.read(spark, d, "supplier").select("s_acctbal", "s_suppkey"), ["s_acctbal", "s_suppkey"], "i")
-    two = m.dense_number(b.read(spark, d, "customer").filter("c_custkey < 100").select("c_acctbal", "c_custkey"), ["c_acctbal", "c_custkey"], "i")
+    two = m.dense_number(b.read(spark, d, "customer").select("c_acctbal", "c_custkey"), ["c_acctbal", "c_custkey"], "i")
     return one.join(two, "i").select("s_suppkey", "c_custkey")
 
 
@@ -224,9 +224,9 @@ def predicted_table(spark, d):
     return w.predicted(pts, p).select("obs_id", "observed", F.round("predicted", 6).alias("predicted"), F.round("residual", 6).alias("residual"))
 
 
-@query("cell_table", f"WITH {b.VOXELS_SQL}, g AS (SELECT r_regionkey AS label, r_name AS name, 2.5+r_regionkey AS gd FROM region WHERE r_regionkey <> 3) SELECT cell_id, label, coalesce(name, '') AS name, coalesce(gd, 0) AS group_density FROM voxels LEFT JOIN g USING (label)")
+@query("cell_table", f"WITH {b.VOXELS_SQL}, g AS (SELECT r_regionkey + 1 AS label, r_name AS name, 2.5+r_regionkey AS gd FROM region) SELECT cell_id, label, coalesce(name, '') AS name, coalesce(gd, 0) AS group_density FROM voxels LEFT JOIN g USING (label)")
 def cell_table(spark, d):
-    groups = b.read(spark, d, "region").filter("r_regionkey <> 3").select(F.col("r_regionkey").alias("group_id"), F.col("r_name").alias("name"), (F.col("r_regionkey") + 2.5).alias("density"))
+    groups = b.read(spark, d, "region").select((F.col("r_regionkey") + 1).alias("group_id"), F.col("r_name").alias("name"), (F.col("r_regionkey") + 2.5).alias("density"))
     return w.cell_table(b.voxels(spark, d), groups).select("cell_id", "label", "name", "group_density")
 
 
@@ -256,8 +256,8 @@ def classified_grid(spark, d):
     return classify(grid, box_facets(b.boxes(spark, d))).groupBy(F.col("group_id").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("merged_meshes", f"WITH {b.VERTICES_SQL}, m AS (SELECT k.m, v_id, row_number() OVER (PARTITION BY k.m ORDER BY v_id)-1 AS i FROM vertices, (VALUES (0),(1),(2)) k(m) WHERE v_id % (k.m+2) = 0), n AS (SELECT m, count(*) AS n FROM m GROUP BY m), o AS (SELECT m, coalesce(sum(n) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM n) SELECT m AS mesh_id, v_id, (i+off)::BIGINT AS merged_id FROM m JOIN o USING (m)")
+@query("merged_meshes", f"WITH {b.VERTICES_SQL}, m AS (SELECT k.m, v_id, row_number() OVER (PARTITION BY k.m ORDER BY v_id)-1 AS i FROM vertices, (VALUES (0),(1),(2)) k(m)), n AS (SELECT m, count(*) AS n FROM m GROUP BY m), o AS (SELECT m, coalesce(sum(n) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM n) SELECT m AS mesh_id, v_id, (i+off)::BIGINT AS merged_id FROM m JOIN o USING (m)")
 def merged_meshes(spark, d):
     three = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    rows = b.vertices(spark, d).select("v_id", three.alias("mesh_id")).filter(F.col("v_id") % (F.col("mesh_id") + 2) == 0)
+    rows = b.vertices(spark, d).select("v_id", three.alias("mesh_id"))
     return m.dense_number(rows, ["mesh_id", "v_id"], "merged_id").select("mesh_id", "v_id", "merged_id")

@@ -11,6 +11,7 @@ from terralith.operators import mesh as m
 from terralith.operators import model as md
 from terralith.plans import bindings as b
 from terralith.plans.registry import query
+from terralith.plans.shapes import strips
 
 
 @query("reference_penalty", f"WITH {b.OBS_SQL} SELECT round(sum(0.5*0.3*pow(value-2.0, 2)), 6) AS penalty, round(sqrt(sum(pow(0.3*(value-2.0), 2))), 6) AS gradient_norm FROM obs")
@@ -46,28 +47,28 @@ def remanence_setup(spark, d):
     return md.remanence(rows).select("cluster_id", "mode", F.round("magnitude", 6).alias("magnitude"), "inclination", "declination")
 
 
-@query("layer_stack", f"WITH {b.VERTICES_SQL}, c AS (SELECT v_id AS node, k.o AS ord, -100.0*(k.o+1)+z/100 AS z FROM vertices, (VALUES (0),(1),(2)) k(o) WHERE v_id < 400), f AS (SELECT node, ord, z FROM c UNION ALL SELECT DISTINCT node, 3, -1000.0 FROM c) SELECT node, ord AS layer, round(coalesce(lag(z) OVER (PARTITION BY node ORDER BY ord), 50.0), 6) AS z_top, round(z, 6) AS z_bottom FROM f")
+@query("layer_stack", f"WITH {b.VERTICES_SQL}, c AS (SELECT v_id AS node, k.o AS ord, -100.0*(k.o+1)+z/100 AS z FROM vertices, (VALUES (0),(1),(2)) k(o)), f AS (SELECT node, ord, z FROM c UNION ALL SELECT DISTINCT node, 3, -1000.0 FROM c) SELECT node, ord AS layer, round(coalesce(lag(z) OVER (PARTITION BY node ORDER BY ord), 50.0), 6) AS z_top, round(z, 6) AS z_bottom FROM f")
 def layer_stack(spark, d):
     three = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    c = b.vertices(spark, d).filter("v_id < 400").select(F.col("v_id").alias("node"), three.alias("ord"), "z").withColumn("z", -100.0 * (F.col("ord") + 1) + F.col("z") / 100)
+    c = b.vertices(spark, d).select(F.col("v_id").alias("node"), three.alias("ord"), "z").withColumn("z", -100.0 * (F.col("ord") + 1) + F.col("z") / 100)
     out = md.layer_stack(c, 50.0, -1000.0)
     return out.select("node", "layer", F.round("z_top", 6).alias("z_top"), F.round("z_bottom", 6).alias("z_bottom"))
 
 
-@query("split_mesh", f"WITH {b.TRIANGLES_SQL}, k AS (SELECT t_id, (v0 % 40) // 3 AS strip FROM triangles WHERE v0 % 40 % 3 < 2), r AS (SELECT min(t_id) AS root, count(*) AS n FROM k GROUP BY strip), {b.CLUSTERS_SQL} SELECT 99 + row_number() OVER (ORDER BY n DESC, root) AS cluster_id, n AS n_faces, c.working_name, round(c.density, 6) AS density FROM r, clusters c WHERE c.cluster_id = 3")
+@query("split_mesh", f"WITH {b.TRIANGLES_SQL}, k AS (SELECT t_id, (v0 % 40) // 3 AS strip FROM triangles), r AS (SELECT min(t_id) AS root, count(*) AS n FROM k GROUP BY strip), {b.CLUSTERS_SQL} SELECT 99 + row_number() OVER (ORDER BY n DESC, root) AS cluster_id, n AS n_faces, c.working_name, round(c.density, 6) AS density FROM r, clusters c WHERE c.cluster_id = 3")
 def split_mesh(spark, d):
-    tri = b.triangles(spark, d).filter("v0 % 40 % 3 < 2")
-    rows = md.split_mesh(tri, b.clusters(spark, d), 3, 100)[1]
+    rows = md.split_mesh(strips(b.triangles(spark, d)), b.clusters(spark, d), 3, 100)[1]
     return rows.select("cluster_id", "n_faces", "working_name", F.round("density", 6).alias("density"))
 
 
 @query("padding_extrapolation")
 def padding_extrapolation(spark, d):
+    """The height field's full rows with their outer ring continued from the inside."""
     k = F.col("v_id")
-    nodes = b.vertices(spark, d).filter("v_id % 40 < 3 and v_id < 120").select((k % 40).cast("int").alias("ix"), F.floor(k / 40).cast("int").alias("iy"), "z")
-    wide = nodes.select((F.col("ix") + 1).alias("ix"), (F.col("iy") + 1).alias("iy"), "z")
-    ring = spark.range(0, 25).select((F.col("id") % 5).cast("int").alias("ix"), F.floor(F.col("id") / 5).cast("int").alias("iy"), F.lit(0.0).alias("z"))
-    return md.pad_edges(wide.unionByName(ring.join(wide, ["ix", "iy"], "left_anti")), 5)
+    v = b.vertices(spark, d)
+    rows = v.count() // 40
+    nodes = v.filter(k < rows * 40).select((k % 40).cast("int").alias("ix"), F.floor(k / 40).cast("int").alias("iy"), "z")
+    return md.pad_edges(nodes, 40, rows)
 
 
 @query("boundary_loops")
@@ -86,12 +87,12 @@ def stitched_wall(spark, d):
 @query("ordered_surfaces")
 def ordered_surfaces(spark, d):
     two = F.explode(F.array(F.lit(0), F.lit(1)))
-    rows = b.vertices(spark, d).filter("v_id < 200").select(two.alias("surface_id"), "v_id", "x", "y", "z")
+    rows = b.vertices(spark, d).select(two.alias("surface_id"), "v_id", "x", "y", "z")
     return md.enforce_order(rows.withColumn("z", F.col("z") - F.when(F.col("surface_id") == 1, F.col("v_id") % 7).otherwise(3)), [0, 1], 5.0)
 
 
 def _unit(spark, d):
-    stations = b.obs(spark, d).filter("x % 400 = 0")
+    stations = b.obs(spark, d)
     unit = fw.gravity(stations, fw.box_facets(b.boxes(spark, d)), ["group_id"], density=None).withColumnRenamed("response", "u")
     return unit.cache(), b.boxes(spark, d).select("group_id", "density")
 
@@ -130,8 +131,8 @@ def bounded_descent(spark, d):
 @query("depth_inversion")
 def depth_inversion(spark, d):
     """One shared depth shift recovered by bounded descent; every evaluation is a Spark forward model."""
-    stations = b.obs(spark, d).filter("x % 1000 = 0").select("obs_id", "x", "y", "z").cache()
-    boxes = b.boxes(spark, d).filter("group_id < 5")
+    stations = b.obs(spark, d).select("obs_id", "x", "y", "z").cache()
+    boxes = b.boxes(spark, d)
     observed = fw.gravity(stations, fw.box_facets(boxes)).withColumnRenamed("response", "value").cache()
     top = float(observed.agg(F.max(F.abs("value"))).first()[0])
 
@@ -142,6 +143,6 @@ def depth_inversion(spark, d):
     def gradient(p):
         return np.array([(value(p + 1e-4) - value(p - 1e-4)) / 2e-4])
 
-    opt = inv.Bounded(value, gradient, np.array([-1.0]), np.array([1.0]), rounds=6)
+    opt = inv.Bounded(value, gradient, np.array([-1.0]), np.array([1.0]), rounds=4)
     found = opt.minimise(np.array([0.3]))
     return spark.createDataFrame([(h["iteration"], h["objective"], float(found[0])) for h in opt.history], "iteration int, objective double, shift double")

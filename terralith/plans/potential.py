@@ -39,13 +39,13 @@ def gravity_by_body(spark, d):
 
 @query(
     "unit_response_matrix",
-    f"{_PAIR}, u AS (SELECT obs_id, group_id, round(sum({s.gravity_term()} * {_G}), 6) AS r FROM k4 WHERE group_id < 3 GROUP BY obs_id, group_id)"
-    " SELECT obs_id, max(CASE WHEN group_id = 0 THEN r END) AS u0, max(CASE WHEN group_id = 1 THEN r END) AS u1, max(CASE WHEN group_id = 2 THEN r END) AS u2 FROM u GROUP BY obs_id",
+    f"{_PAIR}, u AS (SELECT obs_id, group_id, round(sum({s.gravity_term()} * {_G}), 6) AS r FROM k4 GROUP BY obs_id, group_id)"
+    " SELECT obs_id, " + ", ".join(f"max(CASE WHEN group_id = {i} THEN r END) AS u{i}" for i in range(25)) + " FROM u GROUP BY obs_id",
 )
 def unit_response_matrix(spark, d):
-    unit = fw.gravity(b.obs(spark, d), _facets(spark, d).filter("group_id < 3"), ["group_id"], density=None)
-    wide = unit.groupBy("obs_id").pivot("group_id", [0, 1, 2]).agg(F.round(F.first("response"), 6))
-    return wide.toDF("obs_id", "u0", "u1", "u2")
+    unit = fw.gravity(b.obs(spark, d), _facets(spark, d), ["group_id"], density=None)
+    wide = unit.groupBy("obs_id").pivot("group_id", list(range(25))).agg(F.round(F.first("response"), 6))
+    return wide.toDF("obs_id", *[f"u{i}" for i in range(25)])
 
 
 @query("tmi_boxes", f"{_PAIR} SELECT obs_id, round(sum({s.tmi_term(_F, _F)} * {_T}), 6) AS response FROM k4 GROUP BY obs_id")
@@ -188,13 +188,13 @@ def mt_impedance(spark, d):
 @query(
     "prism_forward",
     f"WITH obs AS (SELECT s_suppkey AS obs_id, (s_suppkey % 10)*100.0 AS x, (s_suppkey // 10)*100.0 AS y, 50.0::DOUBLE AS z FROM supplier), {b.VOXELS_SQL},"
-    " cubes AS (SELECT 0 AS group_id, ix*100.0+50 AS cx, iy*100.0+50 AS cy, -iz*100.0-50 AS cz, 50.0::DOUBLE AS half, density-2.67 AS density, susceptibility FROM voxels WHERE label = 1 AND iz < 2 AND ix < 5),\n"
+    " cubes AS (SELECT 0 AS group_id, ix*100.0+50 AS cx, iy*100.0+50 AS cy, -iz*100.0-50 AS cz, 50.0::DOUBLE AS half, density-2.67 AS density, susceptibility FROM voxels),\n"
     f"{s.box_facets('cubes')},\npair AS (SELECT * FROM obs, facets),\n{s.pair_ctes()} SELECT obs_id, round(sum({s.gravity_term()} * {_G} * density), 6) AS response FROM k4 GROUP BY obs_id",
 )
 def prism_forward(spark, d):
     k = F.col("s_suppkey")
     stations = b.read(spark, d, "supplier").select(k.alias("obs_id"), ((k % 10) * 100.0).alias("x"), (F.floor(k / 10) * 100.0).alias("y"), F.lit(50.0).alias("z"))
-    cubes = b.voxels(spark, d).filter("label = 1 and iz < 2 and ix < 5").select(
+    cubes = b.voxels(spark, d).select(
         F.lit(0).alias("group_id"), (F.col("ix") * 100.0 + 50).alias("cx"), (F.col("iy") * 100.0 + 50).alias("cy"), (-F.col("iz") * 100.0 - 50).alias("cz"), F.lit(50.0).alias("half"), (F.col("density") - 2.67).alias("density")
     )
     return _out(fw.gravity(stations, fw.box_facets(cubes)), "obs_id")
@@ -226,5 +226,4 @@ def cross_gradient_weight(spark, d):
 
 @query("gravity_facet_gradient")
 def gravity_facet_gradient(spark, d):
-    stations = b.obs(spark, d).filter("x = 0")
-    return fw.facet_gradient(stations, _facets(spark, d))
+    return fw.facet_gradient(b.obs(spark, d), _facets(spark, d))

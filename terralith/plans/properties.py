@@ -152,10 +152,10 @@ def merge_intervals_in_order(spark, d):
     return dr.merge_intervals(b.intervals(spark, d), gap=None)
 
 
-@query("strat_order", f"WITH {b.INTERVALS_SQL}, e AS (SELECT unnest(['A','N','R','X']) AS grp), f AS (SELECT grp, min(from_m) AS s FROM intervals WHERE from_m > 100 GROUP BY 1), k AS (SELECT e.grp, coalesce(s, 1e18) AS shallowest FROM e LEFT JOIN f USING (grp)) SELECT grp, shallowest, row_number() OVER (ORDER BY shallowest, grp) AS ordinal FROM k")
+@query("strat_order", f"WITH {b.INTERVALS_SQL}, e AS (SELECT unnest(['A','N','R','X']) AS grp), f AS (SELECT grp, min(from_m) AS s FROM intervals GROUP BY 1), k AS (SELECT e.grp, coalesce(s, 1e18) AS shallowest FROM e LEFT JOIN f USING (grp)) SELECT grp, shallowest, row_number() OVER (ORDER BY shallowest, grp) AS ordinal FROM k")
 def strat_order(spark, d):
     expected = spark.createDataFrame([("A",), ("N",), ("R",), ("X",)], "grp string")
-    return dr.stratigraphic_order(b.intervals(spark, d).filter("from_m > 100"), expected)
+    return dr.stratigraphic_order(b.intervals(spark, d), expected)
 
 
 @query("first_depths", f"WITH {b.INTERVALS_SQL}, f AS (SELECT hole_id, grp, min(from_m) AS depth FROM intervals GROUP BY 1, 2) SELECT s.s_suppkey AS hole_id, e.grp, coalesce(depth, 9999.0) AS depth FROM supplier s CROSS JOIN (SELECT unnest(['A','N','R','X']) AS grp) e LEFT JOIN f ON f.hole_id = s.s_suppkey AND f.grp = e.grp")
@@ -196,9 +196,9 @@ def true_vs_recovered(spark, d):
     return joined.select("group_id", F.round("density", 6).alias("true_density"), F.round("found", 6).alias("recovered_density"), F.round(F.col("found") - F.col("density"), 6).alias("difference"))
 
 
-@query("label_remap", f"WITH {b.VOXELS_SQL} SELECT cell_id, dense_rank() OVER (ORDER BY label) AS new_label FROM voxels WHERE label <> 2")
+@query("label_remap", f"WITH {b.VOXELS_SQL} SELECT cell_id, dense_rank() OVER (ORDER BY label*3) AS new_label FROM voxels")
 def label_remap(spark, d):
-    cells = b.voxels(spark, d).filter("label <> 2")
+    cells = b.voxels(spark, d).withColumn("label", F.col("label") * 3)
     names = cells.select("label").distinct().withColumn("new_label", F.dense_rank().over(Window.orderBy("label")))
     return cells.join(F.broadcast(names), "label").select("cell_id", "new_label")
 

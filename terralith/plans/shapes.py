@@ -167,7 +167,7 @@ def interior_submesh(spark, d):
 
 
 _EXT = (
-    "stack AS (SELECT n_nationkey AS group_id, 0.0::DOUBLE AS cx, 0.0::DOUBLE AS cy, -100.0*n_nationkey AS cz, 50.0::DOUBLE AS half FROM nation WHERE n_nationkey < 6),\n"
+    "stack AS (SELECT n_nationkey AS group_id, 0.0::DOUBLE AS cx, 0.0::DOUBLE AS cy, -100.0*n_nationkey AS cz, 50.0::DOUBLE AS half FROM nation),\n"
     + s.box_facets("stack", "group_id")
     + """, crn AS (SELECT *, list_sort([struct_pack(z := round(pz*1e6)::BIGINT, y := round(py*1e6)::BIGINT, x := round(px*1e6)::BIGINT), struct_pack(z := round(qz*1e6)::BIGINT, y := round(qy*1e6)::BIGINT, x := round(qx*1e6)::BIGINT), struct_pack(z := round(rz*1e6)::BIGINT, y := round(ry*1e6)::BIGINT, x := round(rx*1e6)::BIGINT)]) AS face FROM facets),
  use AS (SELECT *, count(*) OVER (PARTITION BY face) AS uses FROM crn)"""
@@ -176,7 +176,7 @@ _EXT = (
 
 def _stack(spark, d):
     n = F.col("n_nationkey")
-    boxes = b.read(spark, d, "nation").filter(n < 6).select(n.alias("group_id"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), (-100.0 * n).alias("cz"), F.lit(50.0).alias("half"))
+    boxes = b.read(spark, d, "nation").select(n.alias("group_id"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), (-100.0 * n).alias("cz"), F.lit(50.0).alias("half"))
     return fw.box_facets(boxes)
 
 
@@ -206,28 +206,37 @@ def exterior_freedom(spark, d):
     return m.exterior_freedom(exterior_face_votes(spark, d))
 
 
-@query("face_components_by_edge", f"{_MESH}, left_part AS (SELECT * FROM triangles WHERE v0 % 40 % 3 < 2), lim AS (SELECT t_id, v0 // 40 AS row FROM left_part), k AS (SELECT t_id, (v0 % 40) // 3 AS strip FROM left_part) SELECT t_id, min(t_id) OVER (PARTITION BY strip) AS root FROM k")
+def strips(triangles):
+    """Strips three cells wide, each with vertices of its own, so that they are separate bodies."""
+    strip = F.floor((F.col("v0") % 40) / 3).alias("s")
+    own = triangles.select("t_id", strip, "v0", "v1", "v2")
+    return own.select("t_id", *[(F.col(f"v{i}") * 100 + F.col("s")).alias(f"v{i}") for i in range(3)])
+
+
+@query("face_components_by_edge", f"{_MESH}, k AS (SELECT t_id, (v0 % 40) // 3 AS strip FROM triangles) SELECT t_id, min(t_id) OVER (PARTITION BY strip) AS root FROM k")
 def face_components_by_edge(spark, d):
-    return gr.face_components(b.triangles(spark, d).filter("v0 % 40 % 3 < 2"))
+    return gr.face_components(strips(b.triangles(spark, d)))
 
 
-@query("face_components_by_vertex", f"{_MESH}, part AS (SELECT * FROM triangles WHERE (v0 % 40 + v0 // 40) % 2 = 0) SELECT t_id, (SELECT min(t_id) FROM part) AS root FROM part")
+@query("face_components_by_vertex", f"{_MESH} SELECT t_id, min(t_id) OVER (PARTITION BY (v0 % 40 + v0 // 40) % 2) AS root FROM triangles")
 def face_components_by_vertex(spark, d):
-    # cells of one colour of a chessboard: joined by corners only, apart by edges
-    return gr.face_components(b.triangles(spark, d).filter("(v0 % 40 + floor(v0 / 40)) % 2 = 0"), by_edge=False)
+    # two colours of a chessboard with vertices of their own: cells of one colour meet in corners only
+    colour = ((F.col("v0") % 40 + F.floor(F.col("v0") / 40)) % 2).alias("c")
+    two = b.triangles(spark, d).select("t_id", colour, "v0", "v1", "v2")
+    return gr.face_components(two.select("t_id", *[(F.col(f"v{i}") * 2 + F.col("c")).alias(f"v{i}") for i in range(3)]), by_edge=False)
 
 
-@query("component_ranks", f"{_MESH}, k AS (SELECT t_id, (v0 % 40) // 3 AS strip FROM triangles WHERE v0 % 40 % 3 < 2), r AS (SELECT min(t_id) AS root, count(*) AS n FROM k GROUP BY strip) SELECT root, n, row_number() OVER (ORDER BY n DESC, root) AS rank FROM r WHERE n >= 3")
+@query("component_ranks", f"{_MESH}, k AS (SELECT t_id, (v0 % 40) // 3 AS strip FROM triangles), r AS (SELECT min(t_id) AS root, count(*) AS n FROM k GROUP BY strip) SELECT root, n, row_number() OVER (ORDER BY n DESC, root) AS rank FROM r WHERE n >= 3")
 def component_ranks(spark, d):
     return gr.component_sizes(face_components_by_edge(spark, d), 3)
 
 
-_COMP = f"{_VOX}, {_NBR}, reach AS (SELECT cell_id, cell_id AS root FROM voxels WHERE label = 1 UNION SELECT n.other, r.root FROM reach r JOIN nbr n ON n.cell_id = r.cell_id WHERE n.label = 1 AND n.other_label = 1), comp AS (SELECT cell_id, min(root) AS root FROM reach GROUP BY cell_id)"
+_COMP = f"{_VOX}, {_NBR}, reach AS (SELECT cell_id, cell_id AS root FROM voxels UNION SELECT n.other, r.root FROM reach r JOIN nbr n ON n.cell_id = r.cell_id WHERE n.label = n.other_label), comp AS (SELECT cell_id, min(root) AS root FROM reach GROUP BY cell_id)"
 
 
 @query("voxel_components", f"{_COMP} SELECT cell_id, root FROM comp")
 def voxel_components(spark, d):
-    return vx.cell_components(b.voxels(spark, d).filter("label = 1"))
+    return vx.cell_components(b.voxels(spark, d))
 
 
 @query("voxel_cleanup")
@@ -340,8 +349,8 @@ def idw_grid(spark, d):
 
 
 _BIL = """pts AS (SELECT s_suppkey AS obs_id, s_suppkey*137.5 % 4200 - 100 AS x, s_suppkey*53.25 % 400 - 50 AS y FROM supplier),
- nodes AS (SELECT (v_id % 40)::INT AS ix, (v_id // 40)::INT AS iy, z FROM vertices WHERE v_id < 120),
- c AS (SELECT obs_id, greatest(0, least(38, floor(x/100))) AS cx, greatest(0, least(1, floor(y/100))) AS cy, x, y FROM pts),
+ nodes AS (SELECT (v_id % 40)::INT AS ix, (v_id // 40)::INT AS iy, z FROM vertices),
+ c AS (SELECT obs_id, greatest(0, least(38, floor(x/100))) AS cx, greatest(0, least((SELECT count(*)//40 FROM vertices)-2, floor(y/100))) AS cy, x, y FROM pts),
  t AS (SELECT obs_id, cx, cy, x/100-cx AS tx, y/100-cy AS ty FROM c)"""
 
 
@@ -349,16 +358,16 @@ _BIL = """pts AS (SELECT s_suppkey AS obs_id, s_suppkey*137.5 % 4200 - 100 AS x,
 def bilinear_dem(spark, d):
     k = F.col("s_suppkey")
     pts = b.read(spark, d, "supplier").select(k.alias("obs_id"), (k * 137.5 % 4200 - 100).alias("x"), (k * 53.25 % 400 - 50).alias("y"))
-    nodes = b.vertices(spark, d).filter("v_id < 120").select((F.col("v_id") % 40).alias("ix"), F.floor(F.col("v_id") / 40).alias("iy"), "z")
-    return lo.bilinear(pts, nodes, 100.0, 40, 3).select("obs_id", F.round("z", 6).alias("z"))
+    nodes = b.vertices(spark, d).select((F.col("v_id") % 40).alias("ix"), F.floor(F.col("v_id") / 40).alias("iy"), "z")
+    return lo.bilinear(pts, nodes, 100.0, 40, nodes.count() // 40).select("obs_id", F.round("z", 6).alias("z"))
 
 
-_PTS = "pts AS (SELECT o_orderkey AS obs_id, (o_orderkey*13 % 5000)::DOUBLE AS x, (o_orderkey*7 % 1400)::DOUBLE AS y, -(o_orderkey*3 % 600)::DOUBLE AS z FROM orders WHERE o_orderkey % 3 = 0)"
+_PTS = "pts AS (SELECT o_orderkey AS obs_id, (o_orderkey*13 % 5000)::DOUBLE AS x, (o_orderkey*7 % 1400)::DOUBLE AS y, -(o_orderkey*3 % 600)::DOUBLE AS z FROM orders)"
 
 
 def _pts(spark, d):
     k = F.col("o_orderkey")
-    return b.read(spark, d, "orders").filter(k % 3 == 0).select(k.alias("obs_id"), (k * 13 % 5000).cast("double").alias("x"), (k * 7 % 1400).cast("double").alias("y"), (-(k * 3 % 600)).cast("double").alias("z"))
+    return b.read(spark, d, "orders").select(k.alias("obs_id"), (k * 13 % 5000).cast("double").alias("x"), (k * 7 % 1400).cast("double").alias("y"), (-(k * 3 % 600)).cast("double").alias("z"))
 
 
 @query("point_in_box_raycast", f"WITH {_PTS}, {b.BOXES_SQL} SELECT obs_id, CASE WHEN z < -345 THEN -1 ELSE coalesce(min(group_id), -1) END AS group_id FROM pts LEFT JOIN boxes ON abs(x-0.0-cx) <= 50 AND x < cx+50 AND x >= cx-50 AND y+1.234567e-6 BETWEEN cy-50 AND cy+50 AND z+2.345678e-6 BETWEEN cz-50 AND cz+50 GROUP BY obs_id, z")
@@ -372,7 +381,7 @@ def surface_height(spark, d):
     k = F.col("s_suppkey")
     pts = b.read(spark, d, "supplier").select(k.alias("obs_id"), ((k * 613 % 3800) + 37.3).alias("x"), ((k * 29 % 200) + 11.7).alias("y"))
     v, t, _ = _mesh(spark, d)
-    facets = fw.mesh_facets(v.drop("freedom").filter("v_id < 200"), t)
+    facets = fw.mesh_facets(v.drop("freedom"), t)
     return lo.surface_z(pts, facets).select("obs_id", F.round("z", 4).alias("z"))
 
 
