@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,21 +62,78 @@ def pairs(obs: DataFrame, facets: DataFrame, block: int = BROADCAST_FACETS) -> D
     return obs.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "__block").drop("__block")
 
 
-def forward(obs: DataFrame, facets: DataFrame, kernel: Callable[..., Column], weight: Column, by: list[str] | None = None) -> DataFrame:
-    """Sum of ``kernel(p, q, r, o) * weight`` by observation (and ``by``) as ``response``.
+def facet_parts(both: DataFrame) -> DataFrame:
+    """Pairs with the parts of the facet kernels as columns.
 
-    One aggregation: weights are folded into the facet terms instead of a second grouping.
-    Degenerate facets add nothing.
+    la, lb, lc (distances of the corners), area2, om (solid angle), n* (unit normal), h (height
+    of the plane) and, for the edges 1 to 3, l (log term) and t* (in-plane normal). Each step is
+    a projection of its own, so shared parts are computed once and the generated methods stay
+    small enough to be compiled.
     """
-    p, q, r = corners()
     o = g.vec("x", "y", "z")
-    terms = pairs(obs, facets).select("obs_id", *(by or []), (kernel(p, q, r, o) * weight).alias("__t"))
+    rel = {f"r{c}{a}": v for c, corner in zip("abc", corners(), strict=True) for a, v in zip("xyz", g.sub(corner, o), strict=True)}
+    out = both.withColumns(rel)
+    ra, rb, rc = (g.vec(*[f"r{c}{a}" for a in "xyz"]) for c in "abc")
+    ends = ((ra, rb), (rb, rc), (rc, ra))
+    edge = {f"e{i}{a}": v for i, (p, q) in enumerate(ends, 1) for a, v in zip("xyz", g.sub(q, p), strict=True)}
+    out = out.withColumns({**edge, "la": g.norm(ra), "lb": g.norm(rb), "lc": g.norm(rc)})
+    e = [g.vec(*[f"e{i}{a}" for a in "xyz"]) for i in (1, 2, 3)]
+    out = out.withColumns({f"u{a}": v for a, v in zip("xyz", g.cross(e[0], g.scale(e[2], -1.0)), strict=True)})
+    out = out.withColumns({"area2": g.norm(g.vec("ux", "uy", "uz")), **{f"le{i}": g.norm(e[i - 1]) for i in (1, 2, 3)}})
+    below = F.col("la") * F.col("lb") * F.col("lc") + g.dot(ra, rb) * F.col("lc") + g.dot(ra, rc) * F.col("lb") + g.dot(rb, rc) * F.col("la")
+    om = F.when(F.least("la", "lb", "lc") < g.EPS, 0.0).otherwise(2.0 * F.atan2(g.triple(ra, rb, rc), below))
+    out = out.withColumns({"om": om, **{f"n{a}": F.when(F.col("area2") < g.EPS, 0.0).otherwise(F.col(f"u{a}") / F.col("area2")) for a in "xyz"}})
+    far = {1: ("la", "lb"), 2: ("lb", "lc"), 3: ("lc", "la")}
+    sums = {}
+    for i, (p, q) in enumerate(ends, 1):
+        k, d = F.when(F.col(f"le{i}") >= g.EPS, 1.0 / F.col(f"le{i}")), e[i - 1]
+        sums[f"lo{i}"] = g.dot(p, d) * k + F.col(far[i][0])
+        sums[f"up{i}"] = g.dot(q, d) * k + F.col(far[i][1])
+    out = out.withColumns(sums)
+    n = g.vec("nx", "ny", "nz")
+    last = {"h": g.dot(ra, n)}
+    for i in (1, 2, 3):
+        lo, up = F.col(f"lo{i}"), F.col(f"up{i}")
+        last[f"l{i}"] = F.when((F.abs(lo) >= g.EPS) & (up > 0) & (lo > 0), F.ln(up / lo)).otherwise(0.0)
+        k = F.when(F.col(f"le{i}") >= g.EPS, 1.0 / F.col(f"le{i}")).otherwise(0.0)
+        last |= {f"t{i}{a}": v * k for a, v in zip("xyz", g.cross(n, e[i - 1]), strict=True)}
+    return out.withColumns(last)
+
+
+def _rim(i: int) -> g.Vec:
+    return g.vec(*[f"t{i}{a}" for a in "xyz"])
+
+
+def gravity_kernel() -> Column:
+    """n_z (sum of edge terms - h times solid angle) over the columns of ``facet_parts``."""
+    starts = {i: g.vec(*[f"r{c}{a}" for a in "xyz"]) for i, c in zip((1, 2, 3), "abc", strict=True)}
+    rim = sum((-g.dot(starts[i], _rim(i)) * F.col(f"l{i}") for i in (1, 2, 3)), F.lit(0.0))
+    return F.col("nz") * (rim - F.col("h") * F.col("om"))
+
+
+def tmi_kernel(m: g.Vec, f: g.Vec, ascoded: bool = False) -> Column:
+    """(m.n)((f.n) Omega + sum (f.t) Lambda), or the variant with (m.t)(f.t) Lambda."""
+    n = g.vec("nx", "ny", "nz")
+    if ascoded:
+        return g.dot(m, n) * g.dot(f, n) * F.col("om") + sum((g.dot(m, _rim(i)) * g.dot(f, _rim(i)) * F.col(f"l{i}") for i in (1, 2, 3)), F.lit(0.0))
+    return g.dot(m, n) * (g.dot(f, n) * F.col("om") + sum((g.dot(f, _rim(i)) * F.col(f"l{i}") for i in (1, 2, 3)), F.lit(0.0)))
+
+
+def forward(obs: DataFrame, facets: DataFrame, kernel: Column, weight: Column, by: list[str] | None = None) -> DataFrame:
+    """Sum of ``kernel * weight`` (over ``facet_parts``) by observation (and ``by``) as ``response``.
+
+    One aggregation: weights are folded into the facet terms instead of a second grouping.
+    Degenerate facets add nothing. Observations are dealt out before they meet the facets.
+    """
+    dealt = obs.repartition(obs.sparkSession.sparkContext.defaultParallelism)
+    parts = facet_parts(pairs(dealt, facets))
+    terms = parts.select("obs_id", *(by or []), (kernel * weight).alias("__t"))
     return terms.groupBy("obs_id", *(by or [])).agg(F.sum("__t").alias("response"))
 
 
 def gravity(obs: DataFrame, facets: DataFrame, by: list[str] | None = None, density: str | None = "density") -> DataFrame:
     """mGal by observation; ``density=None`` is the response to 1 g/cc."""
-    return forward(obs, facets, g.gravity_facet, g.G_MGAL * (F.col(density) if density else F.lit(1.0)), by)
+    return forward(obs, facets, gravity_kernel(), g.G_MGAL * (F.col(density) if density else F.lit(1.0)), by)
 
 
 def total_field(obs: DataFrame, facets: DataFrame, inclination: float, declination: float, field_nt: float, by: list[str] | None = None,
@@ -87,13 +142,14 @@ def total_field(obs: DataFrame, facets: DataFrame, inclination: float, declinati
     field = g.field_unit(F.lit(inclination), F.lit(declination))
     remanence = g.vec("mx", "my", "mz") if mode == "vector" else None
     size, direction = g.magnetisation(F.col("susceptibility") if susceptibility is None else susceptibility, field_nt, field, mode, remanence)
-    kernel = g.tmi_facet_ascoded if ascoded else g.tmi_facet
-    return forward(obs, facets, lambda a, b, c, o: kernel(a, b, c, o, direction, field), g.tmi_scale(size), by)
+    ready = facets.withColumns({"m_size": size, **{f"m_{a}": v for a, v in zip("xyz", direction, strict=True)}})
+    kernel = tmi_kernel(g.vec("m_x", "m_y", "m_z"), field, ascoded)
+    return forward(obs, ready, kernel, g.tmi_scale(F.col("m_size")), by)
 
 
 def solid_angles(obs: DataFrame, facets: DataFrame) -> DataFrame:
     """Sum of solid angles by observation: 0 outside closed bodies, 4 pi inside (in size)."""
-    return forward(obs, facets, g.solid_angle, F.lit(1.0))
+    return forward(obs, facets, F.col("om"), F.lit(1.0))
 
 
 def mesh_volume(facets: DataFrame, by: list[str]) -> DataFrame:
@@ -104,13 +160,9 @@ def mesh_volume(facets: DataFrame, by: list[str]) -> DataFrame:
 
 def facet_gradient(obs: DataFrame, facets: DataFrame, step: float = 1e-4) -> DataFrame:
     """Forward-difference derivatives of the gravity factor by each of the nine coordinates."""
-    both = pairs(obs, facets)
-    p, q, r = corners()
-    o = g.vec("x", "y", "z")
-    base = g.gravity_facet(p, q, r, o)
-    moved = []
-    for i, name in enumerate(CORNERS):
-        cols = [F.col(c) + (step if j == i else 0.0) for j, c in enumerate(CORNERS)]
-        value = g.gravity_facet(tuple(cols[:3]), tuple(cols[3:6]), tuple(cols[6:]), o)
-        moved.append(((value - F.col("__base")) / step).alias(f"d_{name}"))
-    return both.withColumn("__base", base).select("obs_id", "group_id", "t_id", *moved)
+    moves = F.explode(F.array(*[F.lit(i) for i in range(-1, 9)]))
+    moved = pairs(obs, facets).withColumn("__move", moves)
+    moved = moved.withColumns({c: F.col(c) + F.when(F.col("__move") == j, step).otherwise(0.0) for j, c in enumerate(CORNERS)})
+    terms = facet_parts(moved).select("obs_id", "group_id", "t_id", "__move", gravity_kernel().alias("v"))
+    of = lambda j: F.max(F.when(F.col("__move") == j, F.col("v")))
+    return terms.groupBy("obs_id", "group_id", "t_id").agg(*[((of(j) - of(-1)) / step).alias(f"d_{c}") for j, c in enumerate(CORNERS)])
