@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,21 +121,99 @@ def tmi_kernel(m: g.Vec, f: g.Vec, ascoded: bool = False) -> Column:
     return g.dot(m, n) * (g.dot(f, n) * F.col("om") + sum((g.dot(f, _rim(i)) * F.col(f"l{i}") for i in (1, 2, 3)), F.lit(0.0)))
 
 
-def forward(obs: DataFrame, facets: DataFrame, kernel: Column, weight: Column, by: list[str] | None = None) -> DataFrame:
-    """Sum of ``kernel * weight`` (over ``facet_parts``) by observation (and ``by``) as ``response``.
-
-    One aggregation: weights are folded into the facet terms instead of a second grouping.
-    Degenerate facets add nothing. Observations are dealt out before they meet the facets.
+def array_parts(o: np.ndarray, corner: np.ndarray) -> dict[str, np.ndarray]:
+    """The parts of ``facet_parts`` for observations (n, 3) and facets (m, 3, 3), as arrays."""
+    r = corner[None] - o[:, None, None, :]
+    size = np.sqrt((r * r).sum(-1))
+    e = np.roll(corner, -1, axis=1) - corner
+    u = np.cross(e[:, 0], -e[:, 2])
+    area2 = np.sqrt((u * u).sum(-1))
+    n = np.where(area2[:, None] < g.EPS, 0.0, u / np.maximum(area2, g.EPS)[:, None])
+    ra, rb, rc = r[:, :, 0], r[:, :, 1], r[:, :, 2]
+    la, lb, lc = size[:, :, 0], size[:, :, 1], size[:, :, 2]
+    dot = lambda x, y: (x * y).sum(-1)
+    below = la * lb * lc + dot(ra, rb) * lc + dot(ra, rc) * lb + dot(rb, rc) * la
+    om = np.where(size.min(-1) < g.EPS, 0.0, 2.0 * np.arctan2(dot(ra, np.cross(rb, rc)), below))
+    le = np.sqrt((e * e).sum(-1))
+    k = np.where(le >= g.EPS, 1.0 / np.maximum(le, g.EPS), 0.0)
+    lo = (r * e[None]).sum(-1) * k + size
+    up = (np.roll(r, -1, axis=2) * e[None]).sum(-1) * k + np.roll(size, -1, axis=2)
+    fine = (np.abs(lo) >= g.EPS) & (up > 0) & (lo > 0) & (le >= g.EPS)
+    logs = np.where(fine, np.log(np.where(fine, up / np.where(fine, lo, 1.0), 1.0)), 0.0)
+    return {"om": om, "n": n, "h": dot(ra, n[None]), "logs": logs, "t": np.cross(n[:, None], e) * k[..., None], "r": r}
+
+
+def _array_kernel(kind: str, p: dict[str, np.ndarray], m: np.ndarray | None, f: np.ndarray | None) -> np.ndarray:
+    if kind == "gravity":
+        return p["n"][:, 2] * (-((p["r"] * p["t"][None]).sum(-1) * p["logs"]).sum(-1) - p["h"] * p["om"])
+    if kind in ("tmi", "tmi_ascoded"):
+        mn, fn = (m * p["n"]).sum(-1), p["n"] @ f
+        ft = p["t"] @ f
+        if kind == "tmi":
+            return mn * (fn * p["om"] + (ft[None] * p["logs"]).sum(-1))
+        mt = (p["t"] * m[:, None]).sum(-1)
+        return mn * fn * p["om"] + ((mt * ft)[None] * p["logs"]).sum(-1)
+    return p["om"] * (p["h"] if kind == "surface" else 1.0)
+
+
+def _column_kernel(kind: str, field: g.Vec | None) -> Column:
+    if kind == "gravity":
+        return gravity_kernel()
+    if kind in ("tmi", "tmi_ascoded"):
+        return tmi_kernel(g.vec("m_x", "m_y", "m_z"), field, kind == "tmi_ascoded")
+    return F.col("om") * (F.col("h") if kind == "surface" else F.lit(1.0))
+
+
+def forward(obs: DataFrame, facets: DataFrame, kind: str, weight: Column, by: list[str] | None = None, field: tuple[float, float, float] | None = None) -> DataFrame:
+    """Sum of a facet kernel times ``weight`` by observation (and ``by``) as ``response``.
+
+    ``kind``: gravity, tmi, tmi_ascoded (both with facet columns m_x, m_y, m_z and the field's
+    direction), angle or surface. Up to ``BROADCAST_FACETS`` facets go to every executor as
+    arrays and observations stream past them, so nothing is shuffled; more facets meet the
+    observations in blocks and are summed by one aggregation. One row per observation row (and
+    group); obs_id should be unique. Degenerate facets add nothing.
     """
-    dealt = obs.repartition(obs.sparkSession.sparkContext.defaultParallelism)
-    parts = facet_parts(pairs(dealt, facets))
-    terms = parts.select("obs_id", *(by or []), (kernel * weight).alias("__t"))
-    return terms.groupBy("obs_id", *(by or [])).agg(F.sum("__t").alias("response"))
+    by = by or []
+    extra = ["m_x", "m_y", "m_z"] if kind.startswith("tmi") else []
+    ready = facets.select(*CORNERS, *extra, *by, weight.cast("double").alias("__w"))
+    if ready.count() > BROADCAST_FACETS:
+        dealt = facets.withColumn("__w", weight)
+        unit = tuple(F.lit(float(x)) for x in field) if field else None
+        terms = facet_parts(pairs(obs, dealt)).select("obs_id", *by, (_column_kernel(kind, unit) * F.col("__w")).alias("__t"))
+        return terms.groupBy("obs_id", *by).agg(F.sum("__t").alias("response"))
+    spark = obs.sparkSession
+    rows = ready.toPandas()
+    corner = rows[CORNERS].to_numpy(float).reshape(-1, 3, 3)
+    m = rows[extra].to_numpy(float) if extra else None
+    w = rows["__w"].to_numpy(float)
+    groups = rows[by].drop_duplicates().reset_index(drop=True) if by else None
+    number = rows[by].merge(groups.reset_index(), on=by, how="left")["index"].to_numpy() if by else np.zeros(len(rows), int)
+    onto = np.zeros((len(rows), len(groups) if by else 1))
+    onto[np.arange(len(rows)), number] = w
+    held = spark.sparkContext.broadcast((corner, m, onto, groups, np.array(field) if field else None))
+
+    def run(batches):
+        corner, m, onto, groups, f = held.value
+        step = max(1, 200_000 // max(1, len(corner)))
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
+                o = part[["x", "y", "z"]].to_numpy(float)
+                sums = _array_kernel(kind, array_parts(o, corner), m, f) @ onto
+                out = pd.DataFrame({"obs_id": np.repeat(part["obs_id"].to_numpy(), onto.shape[1])})
+                for c in by:
+                    out[c] = np.tile(groups[c].to_numpy(), len(part))
+                yield out.assign(response=sums.reshape(-1))
+
+    kinds = dict(facets.dtypes)
+    schema = ", ".join([f"obs_id {dict(obs.dtypes)['obs_id']}", *[f"`{c}` {kinds[c]}" for c in by], "response double"])
+    dealt = obs.select("obs_id", "x", "y", "z").repartition(spark.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(run, schema)
 
 
 def gravity(obs: DataFrame, facets: DataFrame, by: list[str] | None = None, density: str | None = "density") -> DataFrame:
     """mGal by observation; ``density=None`` is the response to 1 g/cc."""
-    return forward(obs, facets, gravity_kernel(), g.G_MGAL * (F.col(density) if density else F.lit(1.0)), by)
+    return forward(obs, facets, "gravity", g.G_MGAL * (F.col(density) if density else F.lit(1.0)), by)
 
 
 def total_field(obs: DataFrame, facets: DataFrame, inclination: float, declination: float, field_nt: float, by: list[str] | None = None,
@@ -143,13 +223,14 @@ def total_field(obs: DataFrame, facets: DataFrame, inclination: float, declinati
     remanence = g.vec("mx", "my", "mz") if mode == "vector" else None
     size, direction = g.magnetisation(F.col("susceptibility") if susceptibility is None else susceptibility, field_nt, field, mode, remanence)
     ready = facets.withColumns({"m_size": size, **{f"m_{a}": v for a, v in zip("xyz", direction, strict=True)}})
-    kernel = tmi_kernel(g.vec("m_x", "m_y", "m_z"), field, ascoded)
-    return forward(obs, ready, kernel, g.tmi_scale(F.col("m_size")), by)
+    i, d = np.radians(inclination), np.radians(declination)
+    unit = (np.cos(i) * np.cos(d), np.cos(i) * np.sin(d), -np.sin(i))
+    return forward(obs, ready, "tmi_ascoded" if ascoded else "tmi", g.tmi_scale(F.col("m_size")), by, unit)
 
 
 def solid_angles(obs: DataFrame, facets: DataFrame) -> DataFrame:
     """Sum of solid angles by observation: 0 outside closed bodies, 4 pi inside (in size)."""
-    return forward(obs, facets, F.col("om"), F.lit(1.0))
+    return forward(obs, facets, "angle", F.lit(1.0))
 
 
 def mesh_volume(facets: DataFrame, by: list[str]) -> DataFrame:

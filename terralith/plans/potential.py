@@ -80,7 +80,7 @@ def solid_angle_sum(spark, d):
 
 @query("surface_term_sum", f"{_PAIR} SELECT obs_id, round(sum(om * h), 4) AS response FROM k4 GROUP BY obs_id")
 def surface_term_sum(spark, d):
-    return _out(fw.forward(b.obs(spark, d), _facets(spark, d), F.col("om") * F.col("h"), F.lit(1.0)), "obs_id", places=4)
+    return _out(fw.forward(b.obs(spark, d), _facets(spark, d), "surface", F.lit(1.0)), "obs_id", places=4)
 
 
 @query("gravity_two_level", f"{_PAIR}, per AS (SELECT obs_id, group_id, any_value(density) AS rho, sum({s.gravity_term()}) AS f FROM k4 GROUP BY obs_id, group_id) SELECT obs_id, round(sum(f * {_G} * rho), 6) AS predicted, count(*) AS n_bodies FROM per GROUP BY obs_id")
