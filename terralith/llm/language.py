@@ -7,7 +7,8 @@ counts by its text posterior: how often a declared language, or the last label o
 goes with each language, and priors of hosts. A host's prior is smoothed towards its domain's
 and that towards the corpus's, each as ``SMOOTH`` rows. The tables of declared values, suffixes
 and hosts stay DataFrames, however many there are; Spark broadcasts them only where they are
-small. A row is accepted if it has letters and one language's posterior reaches ``ACCEPT``.
+small. A row is accepted if it has a letter and one language's posterior reaches ``ACCEPT``; a
+text too short for a trigram rests on the other evidence.
 """
 
 from __future__ import annotations
@@ -98,12 +99,13 @@ def declared_code(column):
 
 
 def posterior(languages: list[str], model: np.ndarray, text: str) -> tuple[list[float], int]:
-    """(tempered log-likelihoods, 0 for the best and at least -CAP; number of trigrams)."""
+    """(tempered log-likelihoods, 0 for the best and at least -CAP; number of letter bytes)."""
     t = trigrams(text)
+    n = int(np.count_nonzero(_LETTER[_LOWER[np.frombuffer(text.encode(), np.uint8)]]))
     if not len(t) or not languages:
-        return [0.0] * max(1, len(languages)), len(t)
+        return [0.0] * max(1, len(languages)), n
     score = model[:, t].sum(axis=1, dtype=np.float64) * TEMPER
-    return np.maximum(score - score.max(), -CAP).tolist(), len(t)
+    return np.maximum(score - score.max(), -CAP).tolist(), n
 
 
 def _scored(rows: DataFrame, languages: list[str], model: np.ndarray, from_html: bool) -> DataFrame:

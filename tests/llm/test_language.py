@@ -77,3 +77,10 @@ def test_empty_tables(spark, model):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, extra int")
     assert lg.identify(lg.document_rows(none), model).count() == 0
     assert lg.accepted_documents(none).columns == none.columns and lg.accepted_documents(none).count() == 0
+
+
+def test_short_text_rests_on_other_evidence():
+    """One letter gives no trigram but counts as a letter; digits and signs do not."""
+    languages, model = lg.fit([("en", "the thing of the"), ("fr", "le la les des")])
+    assert lg.posterior(languages, model, "A.") == ([0.0, 0.0], 1)
+    assert lg.posterior(languages, model, "12. !")[1] == 0 and lg.posterior(languages, model, "")[1] == 0
