@@ -94,14 +94,18 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = 1, dims: str = "xyz"
     packed = packed.groupBy("__b").agg(F.collect_list("t").alias("ts"))
     src = points.select("obs_id", *[F.col(a).alias(f"__{a}") for a in dims])
     if n <= BROADCAST_POINTS:
-        both = src.crossJoin(F.broadcast(packed.select("ts")))
+        # spread by point first: the ranking below finds its partitioning already there
+        parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        both = src.repartition(parts, "obs_id").crossJoin(F.broadcast(packed.select("ts")))
     else:
         numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
         both = src.withColumn("__b", numbers).join(packed, "__b")
     def far(t):
         return F.struct(sum((F.pow(t[a] - F.col(f"__{a}"), 2) for a in dims), F.lit(0.0)).alias("d2"), t["target_id"].alias("target_id"))
 
-    best = both.select("obs_id", F.explode(F.slice(F.array_sort(F.transform("ts", far)), 1, k)).alias("c"))
+    reach = F.transform("ts", far)
+    closest = F.array(F.array_min(reach)) if k == 1 else F.slice(F.sort_array(reach), 1, k)
+    best = both.select("obs_id", F.explode(closest).alias("c"))
     ranked = best.select("obs_id", "c.target_id", "c.d2")
     w = Window.partitionBy("obs_id").orderBy("d2", "target_id")
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
