@@ -10,24 +10,36 @@ template with probability 1 - (1 - 0.16)**BANDS. What meets is verified by exact
 
 Windows that cannot match are not hashed: from every template, words are chosen such that the
 shingles without any of them fall short of ``CONTAINMENT``; a window without one of these anchor
-words cannot reach it. This drops no match.
+words cannot reach it. Long templates get so many anchors that their windows need several: one
+occurrence lies in ``SHINGLE`` shingles at most, so ``least_anchors`` occurrences are needed for
+what the shingles without an anchor leave to ``CONTAINMENT``. This drops no match.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralith.llm.common import table, text_or_empty
+from terralith.llm.license_library import notices, texts
 
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 64
 #: Templates are broadcast with their bands; the scan refuses more than this many.
 MAX_TEMPLATES = 2000
-#: Well-known notices (fixed values). Callers with a larger library pass their own.
+#: Templates of this many words or more take anchors until FREE of their shingles are without one.
+LONG = 128
+FREE = 0.3
+#: Words too common in plain English to be good anchors; long templates never take them.
+COMMON = frozenset(
+    "a about all also an and any are as at be been but by can do each for from had has have he her his i if in into is it its may more most must no not of on one only or other"
+    " our out over shall she should so some such than that the their them then there these they this those to under up us was we were what when where which who will with would you your".split()
+)
+#: Well-known notices (fixed values); the library adds further notices and full texts.
 TEMPLATES = {
     "Apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
@@ -43,6 +55,8 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    **notices(),
+    **texts(),
 }
 _WORD = r"[\p{L}\p{N}]+"
 
@@ -73,12 +87,55 @@ def anchors(templates: dict[str, str]) -> set[str]:
         free = [g for g in grams if not g & chosen]
         while len(free) >= CONTAINMENT * len(grams):
             gain = {w: sum(w in g for g in free) for w in set().union(*free)}
-            best = max(gain, key=lambda w: (len(w) > 3, gain[w], spread[w], w))
+            best = max(gain, key=lambda w: (w not in COMMON, len(w) > 3, gain[w], spread[w], w))
             chosen.add(best)
             free = [g for g in free if best not in g]
     return chosen
 
 
+def class_anchors(library: dict[str, str]) -> dict[int, tuple[set[str], int]]:
+    """By length class: its anchor words, and how many of them a matching window holds."""
+    classes: dict[int, dict[str, str]] = {}
+    for name, t in library.items():
+        classes.setdefault(size_class(len(words_of(t))), {})[name] = t
+    found = {}
+    for size, members in sorted(classes.items()):
+        chosen = _long_anchors(members) if size >= LONG else set()
+        needs = [least_anchors(t, chosen) for t in members.values()]
+        if min(needs) < 1:
+            chosen = anchors(members)
+            needs = [least_anchors(t, chosen) for t in members.values()]
+        found[size] = (chosen, min(needs))
+    return found
+
+
+def _long_anchors(members: dict[str, str]) -> set[str]:
+    chosen: set[str] = set()
+    for _, t in sorted(members.items()):
+        grams = [set(g.split(" ")) for g in shingles_of(words_of(t))]
+        free = [g for g in grams if not g & chosen]
+        while len(free) > FREE * len(grams):
+            gain: dict[str, int] = {}
+            for g in free:
+                for w in g - COMMON:
+                    gain[w] = gain.get(w, 0) + (len(w) > 3)
+            if not any(gain.values()):
+                break
+            chosen.add(max(gain, key=lambda w: (gain[w], w)))
+            free = [g for g in free if not g & chosen]
+    return chosen
+
+
+def least_anchors(text: str, chosen: set[str]) -> int:
+    """Occurrences of anchors without which no window reaches ``CONTAINMENT`` of ``text``."""
+    grams = shingles_of(words_of(text))
+    free = sum(not set(g.split(" ")) & chosen for g in grams)
+    if free >= CONTAINMENT * len(grams):
+        return 0
+    lacking = math.ceil(CONTAINMENT * len(grams) - 1e-9) - free
+    return max(1, math.ceil(lacking / SHINGLE))
+
+
 def _shingles(words: Column, k: int = SHINGLE) -> Column:
     count = F.greatest(F.size(words) - k + 1, F.lit(1))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " ")))
@@ -105,35 +162,45 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     if len(library) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates are broadcast")
     known = spark.createDataFrame([(k, size_class(len(words_of(v))), shingles_of(words_of(v))) for k, v in sorted(library.items())], "template string, cls int, grams array<string>")
-    marks = sorted(anchors(library))
+    by_class = class_anchors(library)
+    marks = sorted(set().union(*[m for m, _ in by_class.values()]))
     guard = "(?<![\\p{L}\\p{N}])(?:" + "|".join(map(re.escape, marks)) + ")(?![\\p{L}\\p{N}])"
-    classes = sorted({size_class(len(words_of(v))) for v in library.values()})
 
     src = docs.select(F.col(id_col).alias("id"), F.lower(text_or_empty(text_col)).alias("text")).filter(F.col("text").rlike(guard))
     worded = src.select("id", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words"))
-    listed = F.array(*[F.lit(w) for w in marks])
-    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(listed, w), i)), lambda i: i.isNotNull())
-    found = worded.select("id", "words", at.alias("at"))
+    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(marks), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull())
+    found = worded.select("id", "words", hits.alias("hits"))
     spans = []
-    for size in classes:
-        spans.append(F.transform(_window_starts(size), _window(size)))
+    for size, (chosen, need) in by_class.items():
+        at = F.transform(F.filter("hits", _one_of(sorted(chosen))), lambda h: h["i"])
+        spans.append(F.transform(_window_starts(at, size, need), _window(size)))
     windows = found.select("id", F.explode(F.concat(*spans)).alias("w")).select("id", "w.cls", _shingles(F.col("w.words")).alias("grams"))
-    windows = windows.select("id", "cls", "grams", F.xxhash64("grams").alias("same")).dropDuplicates(["id", "cls", "same"]).drop("same")
-    banded = _bands(windows, "grams", bands).select("id", "cls", "grams", F.col("__m").alias("mins"))
+    windows = windows.select("id", "cls", "grams", F.xxhash64("grams").alias("same")).dropDuplicates(["id", "cls", "same"])
+    banded = _bands(windows, "grams", bands).select("id", "cls", "same", "grams", F.col("__m").alias("mins"))
     targets = _bands(known, "grams", bands).select("template", F.col("cls").alias("c2"), F.posexplode("__m").alias("band", "value"))
     targets = targets.groupBy("c2", "band", "value").agg(F.collect_set("template").alias("templates"))
-    probes = banded.select("id", "cls", "grams", F.posexplode("mins").alias("band", "value"))
+    probes = banded.select("id", "cls", "same", "grams", F.posexplode("mins").alias("band", "value"))
     met = probes.join(F.broadcast(targets), (F.col("cls") == F.col("c2")) & (probes["band"] == targets["band"]) & (probes["value"] == targets["value"]))
-    pairs = met.select("id", "grams", F.explode("templates").alias("template"))
+    pairs = met.select("id", "cls", "same", "grams", F.explode("templates").alias("template")).dropDuplicates(["id", "cls", "same", "template"])
     checked = pairs.join(F.broadcast(known.select(F.col("template").alias("t2"), F.col("grams").alias("tg"))), F.col("template") == F.col("t2"))
     score = F.size(F.array_intersect("tg", "grams")) / F.size("tg")
     return checked.select("id", "template", score.alias("c")).filter(F.col("c") >= CONTAINMENT).groupBy("id", "template").agg(F.max("c").alias("containment"))
 
 
-def _window_starts(size: int) -> Column:
-    """Numbers of the windows of ``2 * size`` words, one every ``size``, that hold an anchor."""
-    place = lambda i: F.floor(i / size).cast("int")
-    return F.array_distinct(F.flatten(F.transform("at", lambda i: F.array(F.greatest(place(i) - 1, F.lit(0)), place(i)))))
+def _one_of(chosen: list[str]):
+    return lambda h: h["w"].isin(chosen)
+
+
+def _window_starts(at: Column, size: int, need: int) -> Column:
+    """Numbers of the windows of ``2 * size`` words, one every ``size``, that hold ``need`` anchors."""
+    block = F.transform(at, lambda i: F.floor(i / size).cast("int"))
+    if need == 1:
+        return F.array_distinct(F.flatten(F.transform(block, lambda n: F.array(F.greatest(n - 1, F.lit(0)), n))))
+    # the numbers rise, so a window holds `need` anchors if some anchor and the one need - 1 further lie in its two blocks
+    ends = F.zip_with(block, F.slice(block, F.lit(need), F.greatest(F.size(block) - need + 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    near = F.filter(ends, lambda x: x["b"] - x["a"] <= 1)
+    starts = F.transform(near, lambda x: F.when(x["a"] == x["b"], F.array(F.greatest(x["a"] - 1, F.lit(0)), x["a"])).otherwise(F.array(x["a"])))
+    return F.array_distinct(F.flatten(starts))
 
 
 def _window(size: int):

@@ -64,3 +64,51 @@ def test_query_against_exact_search(spark):
         want = slow(docs[r.doc_id])
         assert (r.n_licenses, r.licenses, r.best) == (len(want), ",".join(sorted(want)), max(want.values(), default=0.0))
     assert sum(r.n_licenses for r in rows) > 0
+
+
+#: As found in projects, not copied from the library.
+FOREIGN = {
+    "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0-short"},
+    "Text and pictures: licensed under CC-BY-NC-SA 3.0, see the site": {"CC-BY-NC-SA-3.0-short"},
+    "<p>This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.</p>": {"CC-BY-NC-ND-4.0"},
+    "-- This library is free software; you can redistribute it under the terms of the\n-- GNU Lesser General Public License as published by the Free Software\n"
+    "-- Foundation; either version 2.1 of the License": {"LGPL-header", "LGPL-2.1-header"},
+    "# This is free and unencumbered software released into the public domain.": {"Unlicense-short"},
+    "All accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this": {"EPL-1.0-header"},
+    "// you can use it under the terms of the GNU Affero General Public License\n// as published by the FSF": {"AGPL-header"},
+    "# Released under the GNU General Public License, version 2 (see COPYING)": {"GPL-2.0-short"},
+    "This work is licensed under the GNU General Public License, version 3.": {"GPL-3.0-short"},
+}
+
+
+def test_notices_from_elsewhere(spark):
+    cases = list(FOREIGN.items())
+    got = {i: set() for i in range(len(cases))}
+    for r in lc.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect():
+        got[r.id].add(r.template)
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_full_texts_are_found_in_files(spark):
+    with open("/usr/share/common-licenses/GPL-2", encoding="utf-8") as f:
+        gpl = f.read()
+    other = "the and that this thing with from some prose " * 900
+    rows = [(1, "int main;\n" + gpl.replace("\n", "\n * ") + other), (2, other), (3, gpl[: len(gpl) // 2] + other)]
+    found = lc.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id for r in found if r.template == "GPL-2.0-text"} == {1} and all(r.id != 2 for r in found)
+
+
+def test_windows_need_their_anchors():
+    for size, (marks, need) in lc.class_anchors(lc.TEMPLATES).items():
+        for t in lc.TEMPLATES.values():
+            words = lc.words_of(t)
+            if lc.size_class(len(words)) != size:
+                continue
+            free = sum(not set(g.split()) & marks for g in lc.shingles_of(words))
+            assert need >= 1 and free + (need - 1) * lc.SHINGLE < lc.CONTAINMENT * len(lc.shingles_of(words))
+
+
+def test_lines_of_the_table_have_a_name(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text like '%Licensed under CC BY-NC 4.0.%'")
+    found = {r.id for r in lc.scan(docs).filter("template = 'CC-BY-NC-4.0-short'").collect()}
+    assert found == {r.doc_id for r in docs.collect()} and found
