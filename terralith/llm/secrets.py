@@ -1,14 +1,18 @@
 """Secret scans with Spark expressions only: base patterns and a randomness test battery.
 
 Base spans (assign, access, hex) follow fixed patterns. The battery looks at other runs of
-token characters: the narrowest encoding that fits is inferred (hex, base32, base36 or base64;
-a run without a digit, or without a letter, has none), and three tests ask whether the run
-could be uniform random symbols of it: chi-squared over the alphabet, the number of runs above
-and below the alphabet's middle, and the lag-one serial correlation. Their p-values combine by
-Bonferroni; Benjamini-Hochberg, run within classes of encoding and length over all runs of the
-corpus, decides which runs are structured (words, paths, counters). A run is reported
-(kind ``random``) if it is not rejected, carries at least ``MIN_BITS`` bits and overlaps no base
-span. The p-values are counted in bins of 1/2048 per class, so the control needs one small
+token characters. Known prefixes (``sk_live_``, ``ghp_`` and the like) are left out of the tests. Every run has an
+encoding, the narrowest that fits: decimal, hex, base32, base36 in lower or upper case, letters
+of one case, or base64; in runs of one case, ``- _ + /`` are separators and not symbols. Three
+tests ask whether the run could be uniform random symbols of it: chi-squared over the alphabet,
+the number of runs above and below the alphabet's middle, and the lag-one serial correlation.
+Runs with separators, unless these cut equal groups or a UUID, also take the chi-squared test
+with the separator as a symbol; letters of one case take a test of the share of vowels. Letters
+of fewer than ``ALPHA`` characters are tested over 36 symbols: over 26, so short a word looks
+like a random run. The p-values combine by Bonferroni; Benjamini-Hochberg, run within classes of
+encoding and length over all runs of the corpus, decides which runs are structured (words,
+paths, counters). A run is reported (kind ``random``) if it is not rejected, carries at least
+``MIN_BITS`` bits and overlaps no base span. The p-values are counted in bins of 1/2048 per class, so the control needs one small
 grouped count whatever the size of the corpus.
 """
 
@@ -26,12 +30,19 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # leftmost runs of [0-9a-f]+ that have 16 or more characters
 KINDS = ["assign", "access", "hex", "random"]
 ALPHABETS = {
+    "dec": "0123456789",
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "letters": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "alpha": "abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+PREFIX = r"^(?:[spr]k_(?:live|test)_|sk-(?:proj-|ant-)?|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|npm_|pypi-|hf_|whsec_|dop_v1_|shp(?:at|ca|pa|ss)_)"
+#: Separators that cut equal groups of letters and digits, or a UUID.
+GROUPS = "|".join([rf"^[0-9A-Za-z]{{{n}}}(?:[-_][0-9A-Za-z]{{{n}}})+$" for n in range(2, 9)] + [r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"])
+ALPHA = 40
 MIN_BITS = 96.0
 FDR = 0.05
 BINS = 2048
@@ -46,32 +57,54 @@ def base_spans(text: Column) -> Column:
 
 
 def _encoding(m: Column) -> Column:
-    """Name of the narrowest encoding a run fits, null if it has no digit or no letter."""
-    mixed = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+    """Name of the narrowest encoding that fits a run without its prefix."""
+    plain = F.translate(m, "-_+/", "")
     return (
-        F.when(~mixed, F.lit(None).cast("string"))
-        .when(m.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(m.rlike("^[A-Z2-7]+$"), "base32")
-        .when(m.rlike("^[a-z0-9]+$"), "base36")
-        .when(m.rlike("[a-z]") & m.rlike("[A-Z]") & ~m.rlike("[_-][_-]"), "base64")
+        F.when(m.rlike("[a-z]") & m.rlike("[A-Z]") | (plain == ""), "base64")
+        .when(plain.rlike("^[0-9]+$"), "dec")
+        .when(~plain.rlike("[0-9]"), F.when(F.length(plain) < ALPHA, "letters").otherwise("alpha"))
+        .when(plain.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(plain.rlike("^[A-Z2-7]+$"), "base32")
+        .otherwise("base36")
     )
 
 
-def _symbols(m: Column, enc: Column) -> Column:
+def _plain(m: Column, enc: Column) -> Column:
+    """The run's symbols as written in the alphabet of its encoding."""
+    bare = F.translate(m, "-_+/", "")
+    return F.when(enc == "base64", F.translate(m, "-_", "+/")).when(enc == "base32", bare).otherwise(F.lower(bare))
+
+
+def _symbols(plain: Column, enc: Column) -> Column:
     """0-based places of the run's characters in the alphabet of its encoding."""
-    plain = F.when(enc == "hex", F.lower(m)).when(enc == "base64", F.translate(m, "-_", "+/")).otherwise(m)
     alphabet = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), enc)
     return F.transform(F.split(plain, ""), lambda c: F.call_function("instr", alphabet, c) - 1)
 
 
-def _tests(x: Column, k: Column) -> Column:
-    """Combined p-value of the battery for the symbol array ``x`` over ``k`` symbols."""
-    n = F.size(x).cast("double")
-    squares = F.aggregate(F.transform(F.array_distinct(x), lambda v: F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0))), F.lit(0.0), lambda a, v: a + v)
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _chi_squared(squares: Column, n: Column, k: Column) -> Column:
+    """Normal score of chi-squared from the sum of squared counts (Wilson and Hilferty)."""
     df = k - 1.0
     chi = squares * k / n - n
     c = F.lit(2.0) / (F.lit(9.0) * df)
-    z1 = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1.0 / 3.0)) - (F.lit(1.0) - c)) / F.sqrt(c)
+    return (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1.0 / 3.0)) - (F.lit(1.0) - c)) / F.sqrt(c)
+
+
+def _tests(x: Column, k: Column, cuts: Column, vowels: Column) -> Column:
+    """Combined p-value of the battery for the symbol array ``x`` over ``k`` symbols.
+
+    ``cuts``: number of separators, null where they are no matter of chance; ``vowels``: number
+    of vowels, null where they are not counted.
+    """
+    n = F.size(x).cast("double")
+    squares = F.aggregate(F.transform(F.array_distinct(x), lambda v: F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0))), F.lit(0.0), lambda a, v: a + v)
+    z1 = _chi_squared(squares, n, k)
+    z4 = F.when(cuts > 0, _chi_squared(squares + cuts * cuts, n + cuts, k + 1.0))
+    z5 = (vowels - n * (5 / 26)) / F.sqrt(n * (5 / 26) * (21 / 26))
 
     high = F.transform(x, lambda v: (v.cast("double") * 2 >= k).cast("int"))
     n1 = F.aggregate(high, F.lit(0), lambda a, v: a + v).cast("double")
@@ -87,29 +120,34 @@ def _tests(x: Column, k: Column) -> Column:
     var = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
     lag = F.aggregate(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, v: a + v)
     z3 = F.when(var > 0, F.abs(lag / var + 1.0 / n) * F.sqrt(n)).otherwise(F.lit(8.0))
-    p = F.least(normal_tail(z1), normal_tail(z2) * 2, normal_tail(z3) * 2) * 3
+    tests = F.lit(3.0) + F.when(cuts > 0, 1.0).otherwise(0.0) + F.when(vowels.isNotNull(), 1.0).otherwise(0.0)
+    p = F.least(normal_tail(z1), normal_tail(z2) * 2, normal_tail(z3) * 2, normal_tail(z4), normal_tail(z5)) * tests
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
 
 
 def _candidates(text: Column) -> Column:
-    """Runs with an inferred encoding: kind holds the encoding."""
+    """Runs: kind holds the encoding, m lacks the prefix."""
     runs = find(text, "random", RUN, text.rlike(RUN))
-    named = F.transform(runs, lambda r: F.struct(_encoding(r["m"]).alias("kind"), r["s"].alias("s"), r["e"].alias("e"), r["m"].alias("m")))
-    return F.filter(named, lambda r: r["kind"].isNotNull())
+    bare = F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), F.regexp_replace(r["m"], PREFIX, "").alias("m")))
+    return F.transform(bare, lambda r: F.struct(_encoding(r["m"]).alias("kind"), r["s"].alias("s"), r["e"].alias("e"), r["m"].alias("m")))
 
 
 def _scored(runs: Column) -> Column:
     size = F.create_map(*[x for name, a in ALPHABETS.items() for x in (F.lit(name), F.lit(float(len(a))))])
 
     def one(r):
-        length = (r["e"] - r["s"]).cast("double")
+        plain = _plain(r["m"], r["kind"])
+        length = F.length(plain).cast("double")
         k = F.element_at(size, r["kind"])
+        cuts = F.when((r["kind"] != "base64") & ~r["m"].rlike(GROUPS), (F.length(r["m"]) - F.length(plain)).cast("double"))
+        vowels = F.when(r["kind"].isin("letters", "alpha"), F.length(F.regexp_replace(plain, "[^aeiou]", "")).cast("double"))
+        p = _let(_symbols(plain, r["kind"]), lambda x: _tests(x, k, cuts, vowels))
         return F.struct(
             r["s"].alias("s"),
             r["e"].alias("e"),
             F.concat(r["kind"], F.lit("/"), F.floor(F.log2(length)).cast("string")).alias("cls"),
             (length * F.log2(k)).alias("bits"),
-            _tests(_symbols(r["m"], r["kind"]), k).alias("p"),
+            p.alias("p"),
         )
 
     return F.transform(runs, one)
@@ -118,7 +156,7 @@ def _scored(runs: Column) -> Column:
 def thresholds(runs: DataFrame, fdr: float = FDR) -> dict[str, float]:
     """Benjamini-Hochberg cut-off of p per class; ``runs`` has columns cls and p.
 
-    The counts that reach the driver are bounded: four encodings, one class for each power of
+    The counts that reach the driver are bounded: seven encodings, one class for each power of
     two of a length, ``BINS`` bins. A class in which nothing is rejected has the cut-off -1.
     """
     binned = runs.groupBy("cls", F.ceil(F.col("p") * BINS).cast("int").alias("bin")).count().collect()
