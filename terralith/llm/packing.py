@@ -33,10 +33,10 @@ from terralith.llm.words import Batch, Dictionary, Ragged, chunks
 WINDOW = 2048
 QUANTUM = 256
 END_ID = 1
-MAX_QUEUES = 256
 LONG_WORD = 256
 #: Rows of (partition, queue) offsets up to which they are broadcast (24 bytes each).
 BROADCAST_ROWS = 200_000
+#: Weights are whole numbers that sum to this; more than 256 queues take a finer scale.
 _WEIGHT_SCALE = 1 << 20
 
 
@@ -89,11 +89,8 @@ class Encoder:
                 yield flat[a:b]
 
 
-def tokenise(docs: DataFrame, path: str, queues: int | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, queue, part, start, n, ids): ids with the end id, start within (part, queue).
-
-    ``queues``: None, or the number of hashed queues to which the sources go.
-    """
+def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, queue, part, start, n, ids): ids with the end id, start within (part, queue)."""
 
     def run(batches):
         part, at, encoder = TaskContext.get().partitionId(), {}, Encoder(path)
@@ -116,8 +113,7 @@ def tokenise(docs: DataFrame, path: str, queues: int | None, id_col: str, text_c
                 )
 
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    queue = source if queues is None else F.pmod(F.xxhash64(source), F.lit(queues)).cast("string")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), queue.alias("queue"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("queue"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, queue string, part int, start long, n long, ids binary")
 
 
@@ -130,7 +126,8 @@ class Schedule:
         sizes = np.array([totals[q] for q in self.names], np.int64)
         self.quanta = sizes // quantum
         given = np.array([float(mixture.get(q, 0.0)) if mixture else float(totals[q]) for q in self.names])
-        self.weights = np.maximum(1, np.round(given / max(given.sum(), 1e-300) * _WEIGHT_SCALE)).astype(np.int64)
+        scale = _WEIGHT_SCALE << min(12, max(0, (len(self.names) - 1).bit_length() - 8))
+        self.weights = np.maximum(1, np.round(given / max(given.sum(), 1e-300) * scale)).astype(np.int64)
         tails = sizes - self.quanta * quantum
         self.tail_start = int(self.quanta.sum()) * quantum + np.cumsum(tails) - tails
 
@@ -141,10 +138,10 @@ class Schedule:
         queue comes first by name.
         """
         out = np.zeros(len(k), np.int64)
-        for other in range(len(self.names)):
+        w = self.weights[queue]
+        for other in np.flatnonzero(self.quanta).tolist():
             due = (k + 1) * self.weights[other]
-            w = self.weights[queue]
-            before = np.where(other < queue, due // w, (due - 1) // w)
+            before = np.where(other < queue, due, due - 1) // w
             out += np.where(other == queue, k, np.minimum(before, self.quanta[other]))
         return out
 
@@ -190,15 +187,12 @@ def pack(docs: DataFrame, tokenizer_path: str, mixture: dict[str, float] | None
     ``mixture``: target share of each source (its share of all tokens where not given); a
     queue that runs dry leaves its share to the others. Null text is an empty document (the
     end id alone), null source is the source ''. Rows with equal ids are packed one by one.
-    Beyond ``MAX_QUEUES`` sources, queues are hashes of sources (a mixture needs fewer). An
-    empty table gives no rows. ``with_ids`` adds the piece's ids (binary, unsigned 32-bit).
+    Every source is a queue, whatever their number; the time of a piece grows with the number
+    of sources that have a quantum or more. An empty table gives no rows. ``with_ids`` adds the piece's ids (binary, unsigned 32-bit).
     """
     if window % quantum:
         raise ValueError("a window must hold a whole number of quanta")
-    kinds = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).distinct().count()
-    if mixture and kinds > MAX_QUEUES:
-        raise ValueError(f"a mixture serves at most {MAX_QUEUES} sources")
-    held = materialise(tokenise(docs, tokenizer_path, None if kinds <= MAX_QUEUES else MAX_QUEUES, id_col, text_col, source_col))
+    held = materialise(tokenise(docs, tokenizer_path, id_col, text_col, source_col))
     sums = held.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     schedule = Schedule(totals, mixture, quantum)

@@ -100,3 +100,29 @@ def test_schedule_is_a_permutation():
     s = packing.Schedule({"a": 5000, "b": 300, "c": 20000, "d": 10}, {"a": 0.5, "b": 0.2, "c": 0.2, "d": 0.1})
     seen = [int(s.rank(np.array([q]), np.array([k]))[0]) for q in range(4) for k in range(s.quanta[q])]
     assert sorted(seen) == list(range(len(seen)))
+
+
+def test_many_sources_stay_queues(spark, tk):
+    random.seed(9)
+    size = {f"host{i:03d}": random.randint(2000, 6000) for i in range(400)}
+    # sources lie together, in one partition each
+    rows = [(i, "word " * (n - 2), s) for i, (s, n) in enumerate(sorted(size.items()))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    given = {s: 2.0 if int(s[4:]) % 2 else 1.0 for s in size}
+    for mixture in (None, given):
+        want, by_seq = check(packing.pack(df, PATH, mixture=mixture).collect(), df.collect(), tk)
+        total = {rows[d][2]: len(ids) for d, ids in want.items()}
+        share = total if mixture is None else mixture
+        everything, served = sum(share.values()), Counter()
+        dry = min(total[s] * everything / share[s] for s in total)  # tokens until the first queue runs dry
+        for i, seq in enumerate(sorted(by_seq)):
+            for p in by_seq[seq]:
+                served[rows[p.doc_id][2]] += p.length
+            if (i + 1) * 2048 > dry - 400 * packing.QUANTUM:
+                break
+            for s in total:
+                assert abs(served[s] - share[s] / everything * (i + 1) * 2048) < 2.5 * packing.QUANTUM
+        assert i > 100
+    schedule = packing.Schedule(size, given)
+    seen = np.concatenate([schedule.rank(np.full(n, q), np.arange(n)) for q, n in enumerate(schedule.quanta)])
+    assert sorted(seen.tolist()) == list(range(len(seen)))
