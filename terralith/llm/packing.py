@@ -49,17 +49,27 @@ def _merge_table(path: str) -> MergeTable:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _added(path: str) -> list[str]:
+    """Contents of the file's added tokens, which the library finds in texts before it splits them."""
+    return [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
 
 
 class Encoder:
-    """Token ids of texts, each distinct word encoded once per task."""
+    """Token ids of texts, each distinct word encoded once per task.
+
+    A text that quotes one of the file's added tokens is encoded by the library alone.
+    """
 
     def __init__(self, path: str):
         self._merges, self._path = _merge_table(path), path
-        self._words, self._ids = Dictionary(), Ragged(np.int64)
+        self._words, self._ids, self._marks = Dictionary(), Ragged(np.int64), _added(path)
+
+    def _by_library(self, text: str) -> np.ndarray:
+        return np.array(_tokenizer(self._path).encode(text, add_special_tokens=False).ids, np.int64)
 
     def _add(self, fresh: list[str]) -> None:
         raw = [w.encode() for w in fresh]
@@ -71,7 +81,7 @@ class Encoder:
         flat, sizes = self._merges.encode(raw)
         parts = np.split(flat, np.cumsum(sizes)[:-1])
         for i in long:
-            parts[i] = np.array(_tokenizer(self._path).encode(fresh[i], add_special_tokens=False).ids, np.int64)
+            parts[i] = self._by_library(fresh[i])
         self._ids.extend(np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts)))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -79,14 +89,15 @@ class Encoder:
         for part in chunks(texts):
             if self._words.full():
                 self._words, self._ids = Dictionary(), Ragged(np.int64)
-            batch = Batch(part)
+            quoting = {i for i, t in enumerate(part) if any(m in t for m in self._marks)}
+            batch = Batch(["" if i in quoting else t for i, t in enumerate(part)] if quoting else part)
             numbers, fresh = self._words.number(batch)
             if fresh:
                 self._add(fresh)
             flat, sizes = self._ids.gather(numbers)
             ends = np.concatenate([[0], np.cumsum(sizes)])[batch.bounds]
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                yield flat[a:b]
+            for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                yield self._by_library(part[i]) if i in quoting else flat[a:b]
 
 
 def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: str) -> DataFrame:

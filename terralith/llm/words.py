@@ -48,13 +48,45 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def slice_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of slices of ``points``, equal for equal slices wherever they lie."""
+    """64-bit hashes of slices of ``points``, equal for equal slices wherever they lie.
+
+    Some unequal slices of 1024 and more points have equal hashes for any base, because the
+    modulus is a power of two: the caller must compare the slices themselves.
+    """
     up, down = _powers(1 << max(4, int(len(points)).bit_length()))
     prefix = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=prefix[1:])
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+@cache
+def _prime_powers(p: int, base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` modulo the prime ``p`` and of its inverse, 2**bits of each."""
+    found = []
+    for b in (base, pow(base, -1, p)):
+        powers = np.ones(1, np.uint64)
+        for i in range(bits):
+            powers = np.concatenate([powers, powers * np.uint64(pow(b, 1 << i, p)) % np.uint64(p)])
+        found.append(powers)
+    return found[0], found[1]
+
+
+def word_digests(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of slices from polynomials modulo two primes of 31 bits.
+
+    Two unequal slices of n points share both polynomials for n * n of the about 2**62 pairs of
+    bases at most, whatever their pattern.
+    """
+    bits = max(4, int(len(points)).bit_length())
+    out = (ends - starts).astype(np.uint64)
+    for p, base in ((2147483647, 1103515245), (2147483629, 1664525117)):
+        up, down = _prime_powers(p, base, bits)
+        prefix = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)] % np.uint64(p), out=prefix[1:])
+        out = mix(out + (prefix[ends] - prefix[starts]) % np.uint64(p) * down[starts] % np.uint64(p))
+    return out
+
+
 def split(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     """Starts of all words in the concatenated texts; every code point is in one word.
 
@@ -115,21 +147,38 @@ class Batch:
         self.hashes = slice_hashes(points, self.starts, self.ends)
         #: word places: text i has the words bounds[i] to bounds[i + 1]
         self.bounds = np.searchsorted(self.starts, offsets)
-        self._flat = flat
+        self._flat, self._points = flat, points
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """(code of each word, place of the first word with each code)."""
+        """(code of each word, place of the first word with each code); words are compared whole."""
         import pandas as pd
 
         codes, uniques = pd.factorize(self.hashes)
-        place = np.empty(len(uniques), np.int64)
-        place[codes[::-1]] = np.arange(len(codes))[::-1]
-        return codes, place
+        if not self._same(codes, _firsts(codes, len(uniques))):
+            codes, uniques = pd.factorize(np.array([self.word(i) for i in range(len(codes))], object))
+        return codes, _firsts(codes, len(uniques))
+
+    def _same(self, codes: np.ndarray, place: np.ndarray) -> bool:
+        """Whether every word equals the first word with its code, code point by code point."""
+        if not len(codes):
+            return True
+        sizes = self.ends - self.starts
+        first = place[codes]
+        if not np.array_equal(sizes, sizes[first]):
+            return False
+        other = np.arange(len(self._points)) + np.repeat(self.starts[first] - self.starts, sizes)
+        return np.array_equal(self._points, self._points[other])
 
     def word(self, i: int) -> str:
         return self._flat[self.starts[i] : self.ends[i]]
 
 
+def _firsts(codes: np.ndarray, n: int) -> np.ndarray:
+    place = np.empty(n, np.int64)
+    place[codes[::-1]] = np.arange(len(codes))[::-1]
+    return place
+
+
 def chunks(texts: list[str], limit: int = 1 << 21):
     """Consecutive slices of ``texts`` of about ``limit`` characters (one text at least)."""
     at, size = 0, 0
@@ -178,22 +227,26 @@ class Dictionary:
     """Numbers for the distinct words that one task has met, up to a bound on its memory."""
 
     LIMIT = 1 << 18
+    CHARS = 1 << 23
 
     def __init__(self):
-        self.numbers: dict[int, int] = {}
+        self.numbers: dict[str, int] = {}
+        self.chars = 0
 
     def full(self) -> bool:
-        return len(self.numbers) >= self.LIMIT
+        return len(self.numbers) >= self.LIMIT or self.chars >= self.CHARS
 
     def number(self, batch: Batch) -> tuple[np.ndarray, list[str]]:
         """(number of each word of the batch, the words that are new, in order of number)."""
         codes, place = batch.distinct()
         known, fresh = self.numbers, []
         found = np.empty(len(place), np.int64)
-        for i, (h, p) in enumerate(zip(batch.hashes[place].tolist(), place.tolist(), strict=True)):
-            at = known.get(h)
+        for i, p in enumerate(place.tolist()):
+            word = batch.word(p)
+            at = known.get(word)
             if at is None:
-                at = known[h] = len(known)
-                fresh.append(batch.word(p))
+                at = known[word] = len(known)
+                fresh.append(word)
+                self.chars += len(word)
             found[i] = at
         return found[codes], fresh

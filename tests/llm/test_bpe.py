@@ -68,3 +68,20 @@ def test_query_against_library(spark, enc):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def thue_morse(n):
+    """Two words of n letters with equal polynomial hashes modulo 2**64 for every odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_words_with_equal_hashes(enc, apart):
+    import pyarrow as pa
+
+    ts = [*thue_morse(2048), *thue_morse(1024), "ab " + thue_morse(2048)[1]]
+    groups = [[t] for t in ts] if apart else [ts]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(g))), pa.array(g, pa.string())], ["a", "b"]) for g in groups]
+    got = [x for b in bpe._assemble(PATH, bpe._id_lists)(batches) for x in b.column(1).to_pylist()]
+    assert got == [enc.encode_ordinary(t) for t in ts]

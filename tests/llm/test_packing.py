@@ -10,15 +10,14 @@ from tokenizers import Tokenizer
 
 from terralith.llm import packing
 from terralith.llm.words import Batch
+from tests.llm.test_bpe import thue_morse
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
 def tk():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(rows, docs, tk, window=2048):
@@ -65,7 +64,7 @@ def test_encoder_matches_tokenizers(tk):
     random.seed(2)
     alphabet = [*"abcdefghij 's\n éß😀1.", "the ", " ing", "<|endoftext|>"]
     texts = ["".join(random.choices(alphabet, k=random.randint(0, 200))) for _ in range(300)]
-    texts += ["", "x" * 3000, "=" * 700 + "é" * 400, " \n" * 500]
+    texts += ["", "x" * 3000, "=" * 700 + "é" * 400, " \n" * 500, "a <|endoftext|> b", "<|endoftext|>", *thue_morse(2048), *thue_morse(1024)]
     got = [x.tolist() for x in packing.Encoder(PATH).encode(texts)]
     assert got == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -126,3 +125,28 @@ def test_many_sources_stay_queues(spark, tk):
     schedule = packing.Schedule(size, given)
     seen = np.concatenate([schedule.rank(np.full(n, q), np.arange(n)) for q, n in enumerate(schedule.quanta)])
     assert sorted(seen.tolist()) == list(range(len(seen)))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_places_match_a_served_round_robin(seed):
+    """Deficit round-robin served quantum by quantum, credits in exact fractions."""
+    from fractions import Fraction
+
+    rng = random.Random(seed)
+    totals = {f"q{i}": rng.randint(0, 9000) for i in range(rng.randint(1, 7))}
+    mixture = {q: rng.choice([1.0, 2.0, 5.0]) for q in totals} if seed % 2 else None
+    s = packing.Schedule(totals, mixture)
+    credit = {i: Fraction(0) for i, n in enumerate(s.quanta) if n}
+    left, served = {i: int(s.quanta[i]) for i in credit}, []
+    while any(left.values()):
+        # time until the first queue that still has quanta can pay for one; all earn alike
+        wait = min((1 - credit[i]) / int(s.weights[i]) for i in credit if left[i])
+        for i in credit:
+            credit[i] += wait * int(s.weights[i])
+        for i in sorted(credit):
+            if left[i] and credit[i] >= 1:
+                credit[i] -= 1
+                left[i] -= 1
+                served.append((i, int(s.quanta[i]) - left[i] - 1))
+    queue, k = np.array([q for q, _ in served], np.int64), np.array([x for _, x in served], np.int64)
+    assert s.rank(queue, k).tolist() == list(range(len(served)))
