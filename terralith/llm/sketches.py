@@ -1,14 +1,15 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so sketches of
-documents of any size compare and merge: the union of two sketches is the sketch of the union,
-and the share of one sketch found in another estimates containment however unequal the two are.
-Words are runs without white space, A-Z in lower case; shingles have five words (a shorter text
-is one shingle). The smallest hash of a text is kept as well, so that no text with a word has an
-empty sketch; comparing treats it as one more hash of the sample.
-
-Hashing works on the bytes of many texts at once: a word's hash is a polynomial over its bytes,
-taken from one running sum, and a shingle's hash mixes its words' hashes.
+documents of any size compare and merge, and the share of one sketch found in another estimates
+containment however unequal the two are. Words are runs without white space, A-Z in lower case;
+shingles have five words (a shorter text is one shingle). The smallest hash of a text is kept as
+well, so that no text with a word has an empty sketch. ``merge`` keeps, of the hashes at or above
+the threshold, the smallest only and that only if it is the smallest of all: the result is
+exactly the sketch of the union of the two texts' shingles.
+
+Hashing works on the bytes of many texts at once: a word's hash comes from polynomials over its
+bytes modulo two primes, and a shingle's hash mixes its words' hashes.
 """
 
 from __future__ import annotations
@@ -23,14 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralith.llm.common import table, text_or_empty
-from terralith.llm.words import mix, slice_hashes
+from terralith.llm.words import mix, word_digests
 
 SHINGLE = 5
 FRACTION = 1 / 8
-#: Most ranges of ids; beyond it ranges grow (they are sorted and read as streams, not held).
-MAX_RANGES = 20_000
+#: Bytes of text of a range (a range is sorted with spills and read as a stream, not held).
+RANGE_BYTES = 16 << 20
+#: Keys looked at for each range when the cuts are placed.
+_KEYS_PER_RANGE = 40
 #: A fingerprint stores the top 48 bits of each kept hash, big-endian, ascending, in base64.
 _BYTES = 6
+_SHIFT = np.uint64(64 - 8 * _BYTES)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -43,7 +47,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
     if not len(b):
         return np.zeros(0, np.uint64)
     edges = np.flatnonzero(np.diff(_SPACE[b].astype(np.int8), prepend=1, append=1))
-    return slice_hashes(_LOWER[b], edges[::2], edges[1::2])
+    return word_digests(_LOWER[b], edges[::2], edges[1::2])
 
 
 def sketch(words: np.ndarray, k: int = SHINGLE, fraction: float = FRACTION) -> np.ndarray:
@@ -56,8 +60,13 @@ def sketch(words: np.ndarray, k: int = SHINGLE, fraction: float = FRACTION) -> n
     for i in range(size):
         shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + words[i : n - size + 1 + i]
     hashes = mix(shingles + np.uint64(size))
-    kept = hashes[hashes < np.uint64(int(fraction * 2**64))]
-    return np.unique(np.append(kept, hashes.min()) >> np.uint64(64 - 8 * _BYTES))
+    return np.unique(_kept(hashes >> _SHIFT, fraction))
+
+
+def _kept(hashes: np.ndarray, fraction: float) -> np.ndarray:
+    """The hashes (top 48 bits) below the threshold, and the smallest one."""
+    below = hashes < np.uint64(int(fraction * 2.0 ** (8 * _BYTES)))
+    return hashes[below] if below.any() else hashes.min(keepdims=True)
 
 
 def to_text(found: np.ndarray) -> str:
@@ -82,9 +91,10 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sketch of the union of two texts' shingles."""
-    return np.union1d(a, b)
+def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """Sketch of the union of two texts' shingles, from their sketches alone."""
+    both = np.union1d(a, b)
+    return _kept(both, fraction) if len(both) else both
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
@@ -130,45 +140,83 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _OUT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
-def with_next(docs: DataFrame, rows_per_range: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and the next one's.
 
-    Documents are ordered by id (null first), then by text; the last one is followed by the
-    first. The order is cut into ranges of ids at quantiles, one task sorts a range, and the
-    first document of each range also goes, marked, to the end of the range before: whole
-    texts are shuffled once and nothing but ids and range names reaches the driver. Null text
-    is empty. A single document follows itself; an empty table gives no rows.
+    Documents are ordered by id (null first), then by a hash of the text and the text; the last
+    one is followed by the first. The order is cut into ranges of about ``range_bytes`` of text,
+    one task sorts a range, and the first document of each range also goes, marked, to the end
+    of the range before: whole texts are shuffled once, and only keys that place the cuts, some
+    ``_KEYS_PER_RANGE`` a range, reach the driver. Documents with one id, or none, are spread by
+    their text; only repeated rows stay together. Null text is empty. A single document follows
+    itself; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = src.count()
-    ranges = min(MAX_RANGES, max(1, -(-rows // rows_per_range)))
-    cuts = []
-    if ranges > 1:
-        steps = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(src.agg(F.percentile_approx("doc_id", steps, 100 * ranges)).first()[0] or []))
-    number = F.lit(0)
-    if cuts:
-        listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
-        number = _place(F.col("doc_id"), listed, len(cuts))
+    text = text_or_empty(text_col)
+    key = F.struct(F.col("doc_id").isNotNull().cast("long").alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.xxhash64("text").alias("c"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", key.alias("key"))
+    cuts = _cuts(src, range_bytes)
+    listed = [F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast("array<bigint>") for i in range(3)]
+    number = _place(F.col("key"), listed, len(cuts)) if cuts else F.lit(0)
     ranged = src.withColumn("range", number.cast("int"))
-    firsts = ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id"), F.col("text"))).alias("d")).select("range", "d.doc_id", "d.text")
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("key", "doc_id", "text")).alias("d")).select("range", "d.key", "d.doc_id", "d.text")
     present = sorted(r["range"] for r in ranged.select("range").distinct().collect())
     if not present:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        return spark.createDataFrame([], _SCHEMA)
     before = {r: present[i - 1] for i, r in enumerate(present)}
     moved = F.split(F.lit(",".join(str(before.get(r, -1)) for r in range(present[-1] + 1))), ",").cast("array<int>")
-    marks = firsts.select(F.element_at(moved, F.col("range") + 1).alias("range"), "doc_id", "text", F.lit(True).alias("mark"))
-    together = ranged.select("range", "doc_id", "text", F.lit(False).alias("mark")).unionByName(marks)
-    placed = together.repartition(len(present), "range").sortWithinPartitions("range", "mark", F.col("doc_id").asc_nulls_first(), "text")
-    return placed.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def _place(value, cuts, n: int):
-    """Number of cut points below ``value`` (null: 0), by a bisection unrolled into the plan."""
+    marks = firsts.select(F.element_at(moved, F.col("range") + 1).alias("range"), "key", "doc_id", "text", F.lit(True).alias("mark"))
+    together = ranged.select("range", "key", "doc_id", "text", F.lit(False).alias("mark")).unionByName(marks)
+    # a key of each partition's own, so that no two ranges meet in one
+    homes = _homes(spark, len(present))
+    at = {r: homes[i] for i, r in enumerate(present)}
+    home = F.element_at(F.split(F.lit(",".join(str(at.get(r, 0)) for r in range(present[-1] + 1))), ",").cast("array<int>"), F.col("range") + 1)
+    placed = together.withColumn("home", home).repartition(len(present), "home").sortWithinPartitions("range", "mark", "key", "text")
+    return placed.select("range", "doc_id", "text", "mark").mapInArrow(_compare, _SCHEMA)
+
+
+def _cuts(src: DataFrame, range_bytes: int) -> list[tuple[int, int, int]]:
+    """Keys that cut the order into ranges of about equal bytes, from keys drawn by their bytes."""
+    size = F.octet_length("text").cast("double") + 64
+    total = src.agg(F.sum(size)).first()[0] or 0.0
+    ranges = int(total // range_bytes) + 1
+    if ranges < 2:
+        return []
+    step = total / (ranges * _KEYS_PER_RANGE)
+    chance = F.pmod(F.xxhash64("key"), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    drawn = src.filter(chance * step < size).select("key.a", "key.b", "key.c", F.greatest(size, F.lit(step)).alias("w")).toArrow()
+    keys = sorted(zip(*[drawn.column(i).to_pylist() for i in range(4)], strict=True))
+    share, seen, cuts = sum(k[3] for k in keys) / ranges, 0.0, []
+    for k in keys:
+        if seen + k[3] / 2 >= share * (len(cuts) + 1) and (not cuts or cuts[-1] < k[:3]):
+            cuts.append(k[:3])
+        seen += k[3]
+    return cuts
+
+
+def _homes(spark, n: int) -> list[int]:
+    """For each of ``n`` partitions a number that Spark's hash partitioning sends there."""
+    found: dict[int, int] = {}
+    size = 4 * n
+    while len(found) < n:
+        size *= 4
+        rows = spark.range(size).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k"))
+        found = {r["p"]: r["k"] for r in rows.collect()}
+    return [found[p] for p in range(n)]
+
+
+def _place(key, cuts, n: int):
+    """Number of cuts below ``key``, by a bisection unrolled into the plan."""
+
+    def below(i):
+        a, b, c = [F.element_at(x, i) for x in cuts]
+        return (a < key["a"]) | ((a == key["a"]) & ((b < key["b"]) | ((b == key["b"]) & (c < key["c"]))))
 
     def advance(step):
-        return lambda x: x + F.when((x + step <= n) & (F.element_at(cuts, F.least(x + step, F.lit(n))) < value), step).otherwise(0)
+        return lambda x: x + F.when((x + step <= n) & below(F.least(x + step, F.lit(n))), step).otherwise(0)
 
     low, step = F.lit(0), 1 << n.bit_length()
     while step := step // 2:
