@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,15 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made and set.
+    Where the session names none, a temporary folder is made in local mode (tests), where driver
+    and executors are one process; elsewhere that is an error.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if where is None and current is None:
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if where is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="terralith-")
-    if current is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return where or current
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
+    return where
 
 
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -33,10 +37,29 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
     Cuts the lineage with files that survive the loss of any executor.
     """
+    return stored(df, codec)[0]
+
+
+def stored(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """``materialise`` with the path of the table, for ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def text_or_empty(column: str = "text"):

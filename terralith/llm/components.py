@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.llm.common import materialise
+from terralith.llm.common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,17 +32,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the smallest node reachable.
 
     Nodes without an edge are not listed (their root is themselves). Self-loops, repeated and
-    null ends are ignored. Each round writes its edges to the shared folder; the loop ends
+    null ends are ignored. Each round writes its edges to the shared folder and removes those before; the loop ends
     when two rounds give the same edges, compared by count and an order-free checksum.
     """
-    now = materialise(
+    spark = edges.sparkSession
+    now, path = stored(
         edges.filter("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
     before = None
     for _ in range(max_rounds):
-        now = materialise(_star(_star(now, large=True), large=False))
+        old = path
+        now, path = stored(_star(_star(now, large=True), large=False))
+        discard(spark, old)
         seen = now.agg(
             F.count("*").alias("n"),
             F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s"),

@@ -4,23 +4,24 @@ Fingerprints within ``DISTANCE`` = 2 bits agree on at least two of four 16-bit b
 tables keyed by two blocks each find every close pair. Equal fingerprints are one node from the
 start, which takes groups of exact copies out of every join. A block bucket is compared pair by
 pair only up to ``BUCKET`` members; a larger one is resolved exactly and in linear time: each
-member visits the fingerprints one bit away from it inside the bucket's free bits, two members
-within two bits meet at one of those, and a meeting point has at most 33 members, because
-fingerprints are distinct.
+member visits the fingerprints one bit away from it inside the free bits of its large buckets,
+two members within two bits meet at one of those, and a meeting point has at most 65 members,
+because fingerprints are distinct.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralith.llm.common import materialise, table
+from terralith.llm.common import free_name, materialise, table
 from terralith.llm.components import connected_components
 
 DISTANCE = 2
@@ -28,31 +29,52 @@ SHINGLE = 3
 BUCKET = 48
 _BLOCKS = 4
 _WIDTH = 64 // _BLOCKS
+#: Bytes of a text that are split into words at once.
+PIECE = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def fingerprint_bytes(text: bytes, k: int = SHINGLE) -> int:
-    """The fingerprint of one UTF-8 text as an unsigned 64-bit number (0 if it has no word)."""
-    words = text.lower().split()
+def fingerprint_bytes(text: bytes, k: int = SHINGLE, piece: int = PIECE) -> int:
+    """The fingerprint of one UTF-8 text as an unsigned 64-bit number (0 if it has no word).
+
+    Long texts are read in pieces of about ``piece`` bytes cut at white space, so that a text's
+    words are never all held at once.
+    """
+    ones, m, last = np.zeros(64, np.int64), 0, []
+    at, size = 0, len(text)
+    while at < size:
+        gap = _GAP.search(text, at + piece) if at + piece < size else None
+        end = gap.end() if gap else size
+        words = last + text[at:end].lower().split()
+        at = end
+        if len(words) >= k:
+            hashes = _shingle_hashes(words, k)
+            ones += _bit_sums(hashes)
+            m += len(hashes)
+            last = words[len(words) - k + 1 :]
+        else:
+            last = words
+    if not m and last:
+        ones, m = _bit_sums(np.array([xxhash.xxh64_intdigest(b" ".join(last), 42)], np.uint64)), 1
+    return int.from_bytes(np.packbits(2 * ones > m).tobytes(), "big")
+
+
+def _shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     n = len(words)
-    if not n:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if n <= k:
-        return digest(b" ".join(words), 42)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     flat = b" ".join(words)
     starts = [0, *(ends[: n - k] + 1).tolist()]
-    hashes = np.fromiter([digest(flat[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64, n - k + 1)
-    return _majority(hashes)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter([digest(flat[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64, n - k + 1)
 
 
-def _majority(hashes: np.ndarray) -> int:
-    m = len(hashes)
+def _bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, highest bit first."""
     total = np.zeros(64, np.int64)
-    for at in range(0, m, 65536):
-        part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(hashes), 16384):
+        part = hashes[at : at + 16384].astype(">u8").view(np.uint8).reshape(-1, 8)
         total += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > m).tobytes(), "big")
+    return total
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,8 +82,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 fps = [fingerprint_bytes((t or "").encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
                 signed = np.array(fps, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed)], ["id", "fp"])
@@ -95,11 +117,15 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BU
     small = members.filter(F.col("n") <= bucket).groupBy("t", "key").agg(F.array_sort(F.collect_list("fp")).alias("m"))
     pairs = small.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
 
-    free = [[i for i in range(64) if (i // _WIDTH) not in c] for c in tables]
-    flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in f]) for f in free])
-    points = members.filter(F.col("n") > bucket).select("fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
-    meet = points.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point")).groupBy("point").agg(F.array_sort(F.collect_set("fp")).alias("m"))
-    stars = meet.filter(F.size("m") > 1).select(F.element_at("m", 1).alias("a"), F.explode(F.slice("m", 2, 65)).alias("b"))
+    # blocks (as bits) that are free in some large bucket of the fingerprint
+    free = F.array(*[F.lit(sum(1 << x for x in range(_BLOCKS) if x not in c)) for c in tables])
+    large = members.filter(F.col("n") > bucket).groupBy("fp").agg(F.bit_or(F.element_at(free, F.col("t") + 1)).alias("free"))
+    flips = F.array(F.struct(F.lit((1 << _BLOCKS) - 1).alias("of"), F.lit(0).cast("long").alias("bit")),
+                    *[F.struct(F.lit(1 << i // _WIDTH).alias("of"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long").alias("bit")) for i in range(64)])
+    points = large.select("fp", "free", F.explode(flips).alias("x")).filter(F.col("free").bitwiseAND(F.col("x.of")) != 0)
+    # sorted rows instead of arrays: the smallest fingerprint of a point is the centre of its star
+    meet = points.select(F.col("fp").alias("b"), F.col("fp").bitwiseXOR(F.col("x.bit")).alias("point"))
+    stars = meet.select(F.min("b").over(Window.partitionBy("point")).alias("a"), "b").filter("a <> b")
 
     found = pairs.unionByName(stars)
     return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).distinct()
@@ -128,13 +154,14 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows that carry one id several times shrink to one of them; rows without an id stay.
     """
     groups = materialise(simhash_groups(docs, id_col, text_col).filter("id is not null"))
-    gone = groups.filter("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    again = groups.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("__again"))
+    key = free_name(docs, "key")
+    gone = groups.filter("id <> component_id").select(F.col("id").alias(key)).distinct()
+    kept = docs.join(gone, docs[id_col] == gone[key], "left_anti")
+    again = groups.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias(key))
     if again.isEmpty():
         return kept
-    single = kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(single)
+    single = kept.join(again, kept[id_col] == again[key], "left_semi").dropDuplicates([id_col])
+    return kept.join(again, kept[id_col] == again[key], "left_anti").unionByName(single)
 
 
 def op6_simhash_near_dedup(spark, sf_dir):

@@ -101,3 +101,18 @@ def test_query_against_brute_force(spark):
     fps = {d.doc_id: slow_fp(d.text) for d in docs}
     assert {r.doc_id: int(r.fingerprint, 16) for r in rows} == fps
     assert {r.doc_id: r.component_id for r in rows} == roots(list(fps.items()))
+
+
+def test_long_texts_are_read_in_pieces():
+    rng = np.random.default_rng(3)
+    text = " ".join(rng.choice(["Alpha", "b", "grün", "delta\t", "\n e", "x" * 70], 3000)).encode()
+    want = simhash.fingerprint_bytes(text)
+    assert all(simhash.fingerprint_bytes(text, piece=p) == want for p in (1, 7, 500, 20000))
+    assert simhash.fingerprint_bytes(b"a b", piece=1) == simhash.fingerprint_bytes(b"a b") == simhash.fingerprint_bytes(b" A  b ", piece=1)
+
+
+def test_columns_with_helper_names(spark):
+    names = "doc_id long, text string, key long, _key string, id long, fp long, n long, component_id long"
+    df = spark.createDataFrame([(1, "a b c d", 1, "u", 5, 6, 7, 8), (2, "a b c d", 2, "v", 5, 6, 7, 8), (3, "q r s t", 3, None, 5, 6, 7, 8), (3, "q r s t", 3, None, 5, 6, 7, 8)], names)
+    kept = simhash.keep_one_per_group(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
