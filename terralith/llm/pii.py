@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralith.llm.common import materialise, table, text_or_empty
-from terralith.llm.spans import count_kind, find, ordered, overlaps
+from terralith.llm.spans import apart, count_kind, cut, find, let, ordered, pieces_of
 
 # Fixed values of the base kinds. The look-behinds and possessive quantifiers only keep a
 # failing search from restarting inside a run; they match exactly what the plain forms match:
@@ -103,10 +103,18 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _labelled(text: Column, x: Column) -> Column:
-    """The span with its five votes (1 for, -1 against, 0 abstains) and its length class."""
+def _labelled(text: Column, spans: Column) -> Column:
+    """The spans with their five votes (1 for, -1 against, 0 abstains) and their length class."""
+    before = lambda pieces, x: F.lower(F.array_join(cut(pieces, F.greatest(x["s"] - WINDOW, F.lit(0)), x["s"]), ""))
+    voted = let(pieces_of(text), lambda pieces: F.transform(spans, lambda x: let(before(pieces, x), lambda b: _votes(x, b))))
+    return F.when(F.size(spans) > 0, voted).otherwise(F.array().cast(_VOTED))
+
+
+_VOTED = "array<struct<kind:string,s:int,e:int,votes:array<int>,len:int>>"
+
+
+def _votes(x: Column, before: Column) -> Column:
     kind, m = x["kind"], x["m"]
-    before = F.lower(F.substring(text, F.greatest(x["s"] - WINDOW, F.lit(0)) + 1, F.least(x["s"], F.lit(WINDOW))))
     n = F.length(_digits(m))
     never = F.lit(False)
     shape = F.when(kind == "email", _vote(m.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}$"), ~m.rlike(r"\.[A-Za-z]{2,}$")))
@@ -197,12 +205,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of ``docs``: (id, base, extra), arrays of spans (kind, s, e).
 
     Null text is empty and has no span; repeated rows give equal rows; other columns, whatever
-    their names, are not read; an empty table gives an empty result.
+    their names, are not read; an empty table gives an empty result. Time grows with the length
+    of a text and the number of its spans.
     """
     src = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     found = src.select("id", "text", base_spans(F.col("text")).alias("base"), weak_spans(F.col("text")).alias("weak"))
-    found = found.select("id", "text", "base", F.filter("weak", lambda x: ~overlaps(x, F.col("base"))).alias("weak"))
-    held = materialise(found.select("id", F.transform("base", lambda x: _labelled(F.col("text"), x)).alias("base"), F.transform("weak", lambda x: _labelled(F.col("text"), x)).alias("weak")))
+    found = found.select("id", "text", "base", apart(F.col("weak"), F.col("base")).alias("weak"))
+    held = materialise(found.select("id", _labelled(F.col("text"), F.col("base")).alias("base"), _labelled(F.col("text"), F.col("weak")).alias("weak")))
     counted = held.select(F.explode(F.concat("base", "weak")).alias("x")).groupBy("x.kind", "x.votes", "x.len").count().collect()
     groups = [(r["kind"], tuple(r["votes"]), r["len"], r["count"]) for r in counted]
     weights = fit(sorted(groups))

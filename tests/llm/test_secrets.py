@@ -89,3 +89,112 @@ def test_bare_keys_of_every_form(spark):
     assert share.pop("structured") <= 0.12 and min(share.values()) >= 0.85, share
     redacted = secrets.redact(df).filter("text like '%<secret>%'").count()
     assert redacted == sum(map(sum, found.values()))
+
+
+def battery(x, k, cuts=None, vowels=None):
+    """The battery's p-value by the textbook sums."""
+    import numpy as np
+
+    tail = lambda z: 1 / (1 + np.exp(1.5976 * z + 0.07056 * z**3))
+
+    def chi(counts, n, k):
+        got = sum((c - n / k) ** 2 / (n / k) for c in counts)
+        c = 2 / (9 * (k - 1))
+        return (np.cbrt(got / (k - 1)) - (1 - c)) / np.sqrt(c)
+
+    n = len(x)
+    counts = np.bincount(x, minlength=k)
+    ps = [tail(chi(counts, n, k))]
+    high = [2 * v >= k for v in x]
+    n1 = sum(high)
+    mean = 2 * n1 * (n - n1) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    ps.append(2 * tail(abs(runs - mean) / np.sqrt(var) if var > 0 else 8.0))
+    d = np.array(x) - np.mean(x)
+    ps.append(2 * tail(abs((d[1:] * d[:-1]).sum() / (d**2).sum() + 1 / n) * np.sqrt(n) if (d**2).sum() > 1e-9 else 8.0))
+    if cuts:
+        ps.append(tail(chi([*counts, cuts], n + cuts, k + 1)))
+    if vowels is not None:
+        ps.append(tail((vowels - n * 5 / 26) / np.sqrt(n * (5 / 26) * (21 / 26))))
+    return min(1.0, max(0.0, min(ps) * len(ps)))
+
+
+def test_battery_against_the_textbook(spark):
+    rng = random.Random(2)
+    rows = []
+    for enc, alphabet in secrets.ALPHABETS.items():
+        for n in (20, 33, 90):
+            plain = "".join(rng.choices(alphabet, k=n))
+            rows.append((enc, plain, rng.choice([None, 0.0, 3.0]), float(sum(c in "aeiou" for c in plain)) if enc == "alpha" else None))
+    df = spark.createDataFrame(rows, "enc string, plain string, cuts double, vowels double")
+    F = secrets.F
+    alphabets = F.create_map(*[F.lit(x) for kv in secrets.ALPHABETS.items() for x in kv])
+    tested = df.select("*", secrets._tests(secrets._symbols(F.col("plain"), F.col("enc")), F.col("plain"), F.element_at(alphabets, F.col("enc")), F.col("cuts"), F.col("vowels")).alias("p"))
+    for r in tested.collect():
+        alphabet = secrets.ALPHABETS[r.enc]
+        assert abs(r.p - battery([alphabet.index(c) for c in r.plain], len(alphabet), r.cuts, r.vowels)) < 1e-6, r
+
+
+def test_chain_is_a_distribution():
+    table = secrets.chain({("^", "t"): 50, ("t", "h"): 40, ("h", "e"): 30, ("^", "a"): 5})
+    for i in range(67):
+        assert abs(sum(2**x for x in table[66 * i : 66 * i + 66]) - 1) < 1e-9
+    th, hq = table[66 * 19 + 7], table[66 * 7 + 16]
+    assert th > hq + 3
+
+
+def test_cut_offs_against_the_definition():
+    rng = random.Random(8)
+    for _ in range(300):
+        counts = {b: rng.choice([0, 1, 7, 300]) for b in rng.sample(range(81), 6)}
+        p = sorted(2.0**-b for b, n in counts.items() for _ in range(n))
+        last = max((i + 1 for i, x in enumerate(p) if x < 1 and x <= secrets.FDR * (i + 1) / len(p)), default=0)
+        got = secrets.least_bits(counts)
+        assert sum(n for b, n in counts.items() if got is not None and b >= got) == last
+
+
+def prose(rng, n):
+    """Words of an invented language."""
+    onsets, vowels, ends = "b d f g k l m n p r s t st br th".split(), "a e i o ou".split(), ["", "n", "r", "s", "t"]
+    return ["".join(rng.choice(onsets) + rng.choice(vowels) for _ in range(rng.randint(1, 3))) + rng.choice(ends) for _ in range(n)]
+
+
+def test_share_of_false_reports_is_bounded(spark):
+    """Planted keys among identifiers, paths and constants of the corpus's words."""
+    rng = random.Random(4)
+    words = prose(rng, 3000)
+    rows = [("prose", " ".join(rng.choices(words, k=40))) for _ in range(300)]
+    for _ in range(400):
+        w = rng.choices(words, k=rng.randint(4, 7))
+        rows += [("structured", "".join(x.title() for x in w)), ("structured", "-".join(w) + f"-{rng.randint(0, 99)}"), ("structured", "_".join(w).upper()),
+                 ("structured", w[0] + "".join(x.title() for x in w[1:]) + str(rng.randint(1, 9))), ("structured", "/".join(w) + "/2023/index")]
+    rows += [("key", "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(24, 60)))) for _ in range(60)]
+    rows += [("key", "".join(rng.choices(string.ascii_uppercase + string.digits, k=32))) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r.id for r in secrets.scan(df).filter("size(extra) > 0").collect()}
+    false = sum(rows[i][0] != "key" for i in found)
+    assert false <= 0.1 * len(found), [rows[i] for i in found if rows[i][0] != "key"]
+    assert sum(rows[i][0] == "key" for i in found) >= 95
+
+
+def test_long_runs_and_many_spans(spark):
+    import time
+
+    rng = random.Random(6)
+    blob = "".join(rng.choices(string.ascii_letters + string.digits, k=1_000_000))
+    many = " ".join(f"token={i:012d}x" for i in range(50_000))
+    df = spark.createDataFrame([(1, f"a {blob} b"), (2, many), (3, "no secret")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert got[1] == "a <secret> b" and got[3] == "no secret"
+    assert got[2] == " ".join(["token=<secret>"] * 50_000)
+    assert time.time() - began < 90
+
+
+def test_columns_with_helper_names(spark):
+    names = "doc_id long, text string, base_spans string, run_spans int, __base_spans long, id long"
+    df = spark.createDataFrame([(1, "password = 'abcDEF123456789'", "x", 2, 3, 4), (None, None, None, None, None, None)], names)
+    got = secrets.redact(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "password = '<secret>'", "x", 2, 3, 4), (None, None, None, None, None, None)]
