@@ -1,19 +1,22 @@
 """Main text of web pages by their line-block distribution.
 
-Markup is stripped to lines, one per block element. Every line weighs its text length, nothing
-if it is navigation, advert, form, comment and the like or mostly links. Sums over sliding
-windows of ``WINDOW`` lines rise steeply where the article begins (surge) and fall to nothing
-where it ends (dive); the text between the two is kept, without the weightless lines in between.
-Where the page marks its article, lines of the largest article alone have weight and any text
-there counts as a surge; otherwise the rise must reach ``SURGE`` characters, and runs between a
-surge and a dive are kept that hold at least a fifth of the text of the longest one.
+Markup is stripped to lines, one per block element, and every line gets a weight: its text
+length, more in paragraphs and headings, nothing if it is mostly links, a short legal or cookie
+line, or stands in navigation, an advert, form, comments and the like. Where the page marks an
+article, lines inside it weigh ``INSIDE`` more and lines outside a tenth of what exceeds
+``OUTSIDE`` characters, if that reaches ``SURGE``. Sums over sliding windows of ``WINDOW`` lines, forwards and backwards,
+give the surge (the first line with weight whose window reaches the threshold) and the dive (the
+last one whose window, looking back, does); the lines with weight between the two are kept. The
+threshold is ``SURGE``, or half of the largest window sum on pages with less text.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,13 @@ from terralith.llm.common import table
 
 WINDOW = 3
 SURGE = 80
+INSIDE = 200
+OUTSIDE = 200
+#: What a line weighs more by its element.
+BONUS = {**dict.fromkeys("h1 h2 h3 h4 h5 h6 p blockquote pre".split(), 80), **dict.fromkeys("li dd dt td th figcaption".split(), 40)}
+#: Lines outside an article of up to ``LEGAL_CHARS`` characters that say this weigh nothing.
+LEGAL = re.compile(r"\u00a9|\bcopyright\b|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|\bnewsletter\b", re.I)
+LEGAL_CHARS = 160
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'<>]++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select".split())
@@ -41,15 +51,21 @@ NAMES = frozenset(
     " login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related reply share sharing"
     " sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that stand beside one of ``NAMES`` in the names of boxes, as in ``comment-list``.
+BOXES = frozenset(
+    "area bar block bottom box button buttons card container content entry first footer form group header icon icons inner items last left link links list main"
+    " outer page panel post posts right section site slot stories text title top unit wrap wrapper".split()
+)
+#: Elements of running text, which only a whole name of ``NAMES`` marks.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption span em strong b i".split())
 _CLOSES_P = BLOCK - {"option", "optgroup", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _SELF_CLOSE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
 @dataclass
 class _Line:
-    article: int
-    dropped: bool
-    marked: int
+    inside: bool
+    element: str
     parts: list = field(default_factory=list)
     linked: int = 0
 
@@ -57,28 +73,32 @@ class _Line:
 @dataclass
 class _Open:
     name: str
-    article: int
+    inside: bool
     dropped: bool
-    marks: tuple
     link: bool
+    element: str
 
 
-def _marked(attrs: str) -> bool:
+def _marked(name: str, attrs: str) -> bool:
+    """Whether an element's role, class or id says that it is no part of an article."""
     for m in _ATTR.finditer(attrs):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value in ROLES:
                 return True
-        elif any(part in NAMES for part in re.split(r"[^a-z0-9]+", value)):
-            return True
+            continue
+        for token in value.split():
+            parts = [x for x in re.split(r"[^a-z0-9]+", token) if x]
+            if token in NAMES or name not in TEXT and any(x in NAMES for x in parts) and all(x in NAMES or x in BOXES or x.isdigit() for x in parts):
+                return True
     return False
 
 
 def _lines(page: str) -> list[_Line]:
-    """Lines of a page with their place: article number (-1 outside), dropped, marked depth."""
-    stack = [_Open("", -1, False, (), False)]
-    lines = [_Line(-1, False, 0)]
-    articles = 0
+    """Lines of a page: whether they are in its article, their element, and the text of each."""
+    stack = [_Open("", False, False, False, "")]
+    count: Counter = Counter()
+    lines = [_Line(False, "")]
     at = 0
     breaks = True
 
@@ -86,14 +106,16 @@ def _lines(page: str) -> list[_Line]:
         nonlocal breaks
         top = stack[-1]
         if breaks:
-            lines.append(_Line(top.article, top.dropped, top.marks))
+            lines.append(_Line(top.inside, top.element))
             breaks = False
-        line = lines[-1]
-        line.parts.append((raw, top.dropped, top.marks))
-        if top.link:
-            line.linked += len(raw.strip())
+        if not top.dropped:
+            line = lines[-1]
+            line.parts.append(raw)
+            if top.link:
+                line.linked += len(raw.strip())
 
     def pop_to(index: int):
+        count.subtract(x.name for x in stack[index:])
         del stack[index:]
 
     size = len(page)
@@ -113,7 +135,7 @@ def _lines(page: str) -> list[_Line]:
         elif name == "br":
             text(" ")
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if count[name] else ():
                 if stack[i].name == name:
                     pop_to(i)
                     break
@@ -122,19 +144,20 @@ def _lines(page: str) -> list[_Line]:
             continue
         if name in RAW:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                end = _raw_end(name).search(page, at)
                 at = end.end() if end else size
             continue
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCK:
             continue
-        if name in _CLOSES_P:
+        if name in _CLOSES_P and count["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
                     pop_to(i)
                     break
                 if stack[i].name in BLOCK:
                     break
-        for stop in (_SELF_CLOSE.get(name),) if name in _SELF_CLOSE else ():
+        if name in _SELF_CLOSE:
+            stop = _SELF_CLOSE[name]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name or {stack[i].name, name} == {"dt", "dd"} or {stack[i].name, name} == {"td", "th"}:
                     pop_to(i)
@@ -142,73 +165,55 @@ def _lines(page: str) -> list[_Line]:
                 if stack[i].name in stop:
                     break
         top = stack[-1]
-        article, marks = top.article, top.marks
-        if name in ("article", "main") and article < 0 and not top.dropped:
-            article, articles = articles, articles + 1
-            marks = ()
-        elif name == "article" and article >= 0 and stack_main(stack, article):
-            article, articles = articles, articles + 1
-            marks = ()
-        dropped = top.dropped or name in DROP or (name == "header" and article < 0)
-        if _marked(m[3]) and name not in ("html", "body", "article", "main"):
-            marks = (*marks, name)
-        elif name == "article" and _marked(m[3]):
-            marks = (*marks, name)
-        stack.append(_Open(name, article, dropped, marks, top.link or name == "a"))
+        inside = top.inside or name in ("article", "main")
+        dropped = top.dropped or name in DROP or name == "header" and not inside
+        if not dropped and name not in ("html", "body", "main"):
+            dropped = _marked(name, m[3])
+        stack.append(_Open(name, inside, dropped, top.link or name == "a", name if name in BLOCK else top.element))
+        count[name] += 1
     return lines
 
 
-def stack_main(stack: list[_Open], article: int) -> bool:
-    """Whether the open article ``article`` is a main element with no article open inside it."""
-    for x in stack:
-        if x.article == article:
-            return x.name == "main" and not any(y.name == "article" for y in stack)
-    return False
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\b[^>]*>?", re.I)
 
 
-def _clean(line: _Line) -> tuple[str, int]:
-    """Text of a line without dropped and marked parts, and the length of its links."""
-    kept = "".join(raw for raw, dropped, marks in line.parts if not dropped and not marks)
-    return " ".join(_html.unescape(kept).split()), line.linked
+def _weights(lines: list[_Line], texts: list[str]) -> np.ndarray:
+    """What each line says for being the article's; see the module's text."""
+    marked = any(x.inside and t for x, t in zip(lines, texts, strict=True))
+    out = np.zeros(len(lines), np.int64)
+    for i, (x, t) in enumerate(zip(lines, texts, strict=True)):
+        if not t:
+            continue
+        if marked and x.inside:
+            out[i] = len(t) + INSIDE
+        elif 2 * x.linked < len(t) and not (len(t) <= LEGAL_CHARS and LEGAL.search(t)):
+            out[i] = len(t) + BONUS.get(x.element, 0)
+            if marked:
+                out[i] = far if (far := max(0, len(t) - OUTSIDE) // 10) >= SURGE else 0
+    return out
+
+
+def _extent(weight: np.ndarray) -> tuple[int, int]:
+    """(first line, line after the last) between the surge and the dive of the window sums."""
+    if not weight.any():
+        return 0, 0
+    ahead = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
+    behind = np.convolve(weight, np.ones(WINDOW, np.int64))[: len(weight)]
+    threshold = min(SURGE, int(ahead.max()) // 2)
+    surge = np.flatnonzero((ahead >= threshold) & (weight > 0))
+    dive = np.flatnonzero((behind >= threshold) & (weight > 0))
+    return int(surge[0]), int(dive[-1]) + 1
 
 
 def extract(page: str | None) -> str:
     """The main text of one page: its blocks joined by line ends, '' if there is none."""
     lines = [x for x in _lines(page or "") if x.parts]
-    cleaned = [_clean(x) for x in lines]
-    sizes: dict[int, int] = {}
-    for x, (t, _) in zip(lines, cleaned, strict=True):
-        if x.article >= 0:
-            sizes[x.article] = sizes.get(x.article, 0) + len(t)
-    best = max(sizes, key=lambda a: (sizes[a], -a)) if sizes and max(sizes.values()) else None
-    weight = np.zeros(len(lines), np.int64)
-    for i, (x, (t, linked)) in enumerate(zip(lines, cleaned, strict=True)):
-        inside = best is not None and x.article == best
-        if inside or (best is None and linked * 2 < len(t)):
-            weight[i] = len(t)
-    sums = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :] if len(weight) else weight
-    runs = _between(weight, sums, 1 if best is not None else SURGE)
-    if best is None:
-        most = max((int(weight[a:b].sum()) for a, b in runs), default=0)
-        runs = [(a, b) for a, b in runs if 5 * int(weight[a:b].sum()) >= most]
-        if not runs and weight.sum():
-            runs = [(0, len(weight))]
-    return "\n".join(cleaned[i][0] for a, b in runs for i in range(a, b) if weight[i])
-
-
-def _between(weight: np.ndarray, sums: np.ndarray, surge: int) -> list[tuple[int, int]]:
-    """Runs of lines from a surge (window sum at least ``surge``) to the next dive (sum zero)."""
-    runs, i, n = [], 0, len(sums)
-    while i < n:
-        if sums[i] < surge or not weight[i]:
-            i += 1
-            continue
-        j = i
-        while j < n and sums[j] > 0:
-            j += 1
-        runs.append((i, j))
-        i = j
-    return runs
+    texts = [" ".join(_html.unescape("".join(x.parts)).split()) for x in lines]
+    weight = _weights(lines, texts)
+    first, last = _extent(weight)
+    return "\n".join(texts[i] for i in range(first, last) if weight[i])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

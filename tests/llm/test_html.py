@@ -12,7 +12,13 @@ CASES = {
     "<nav>menu</nav><article><h1>T</h1><p>One.<p>Two <a href='>x'>link</a></article><footer>f</footer>": "T\nOne.\nTwo link",
     "<article><p>A</p><div class='ad'>buy</div><div>x</div><form>f</form><aside>s</aside><p>B</p><section id=comments><p>nice</p></section></article>": "A\nx\nB",
     "<div class='page has-sidebar'><header>H</header><main><header><h1>T</h1></header><p>Body</p></main><div class=sidebar>s</div></div>": "T\nBody",
-    "<article>small</article><article><p>larger one here</p></article>": "larger one here",
+    "<article>small</article><article><p>larger one here</p></article>": "small\nlarger one here",
+    "<main><h1>T</h1><p>lead</p><article><p>text</p></article></main>": "T\nlead\ntext",
+    "<main><p>a</p><p class=related-work>b</p><div class='notice-period'>c</div><div class='comment-list'>d</div><div class='ad slot-2'>e</div><p>f</p></main>": "a\nb\nc\nf",
+    "<h1>Title</h1><div>By A. Writer</div><p>" + "Real text. " * 20 + "</p><ul><li><a href=x>one</a><li><a href=y>two</a></ul><p>The end.</p><div>Copyright 2020 all rights</div>":
+        "Title\nBy A. Writer\n" + ("Real text. " * 20).strip() + "\nThe end.",
+    "<div>Site name</div><div>Slogan</div><div>Search</div><p>" + "Real text. " * 20 + "</p><p>" + "More text. " * 20 + "</p><div>a</div><div>b</div><div>c</div><div>d</div>":
+        "Slogan\nSearch\n" + ("Real text. " * 20).strip() + "\n" + ("More text. " * 20).strip() + "\na\nb",
     "<script>var a='</p>';</script><style>p{}</style><!-- <p>no</p> --><article>yes<!-- open": "yes",
     "<div class=cookie-notice>We use cookies on this site, as every site does, so please agree to all of it now.</div><p>" + "Real text. " * 20 + "</p>": ("Real text. " * 20).strip(),
     "<ul><li><a href=x>one</a><li><a href=y>two</a></ul><p>" + "Real text. " * 20 + "</p>": ("Real text. " * 20).strip(),
@@ -52,3 +58,26 @@ def test_odd_tables(spark):
     got = html.extract_pages(df).collect()
     assert [r.text for r in got if r.page_id == 1] == ["", ""] and len(got) == 3
     assert html.extract_pages(df.filter("page_id > 5")).count() == 0
+
+
+def test_windows_decide(monkeypatch):
+    """Without the window sums, short lines far from any text would be kept."""
+    page = "".join(f"<div>item {i}</div>" for i in range(8)) + "<p>" + "Real text. " * 30 + "</p>" + "".join(f"<div>entry {i}</div>" for i in range(8))
+    kept = html.extract(page)
+    assert "item 0" not in kept and "entry 7" not in kept and "Real text." in kept
+    monkeypatch.setattr(html, "_extent", lambda weight: (0, len(weight)))
+    assert "item 0" in html.extract(page)
+
+
+def test_outside_lines_need_much_text():
+    page = "<div>" + "x" * 300 + "</div><article><p>short</p></article><div>" + "y" * 1100 + "</div>"
+    assert html.extract(page) == "short\n" + "y" * 1100
+
+
+def test_deep_and_long_pages():
+    import time
+
+    began = time.time()
+    assert html.extract("<div>" * 20000 + "</b>" * 20000 + "deep") == "deep"
+    assert html.extract("<article>" + "<p>word word</p>" * 50000 + "</article>").count("\n") == 49999
+    assert time.time() - began < 20
