@@ -1,8 +1,9 @@
 """Language ID by Bayesian fusion of text, declared language, address suffix and host priors.
 
 Text: a multinomial model over hashed byte trigrams, fitted to a bounded sample of labelled rows
-(``SAMPLE`` rows in expectation, drawn by a hash of id and text). Its likelihood is tempered,
-because trigrams overlap. Evidence beside the text comes from counts over all rows, in which each row
+(``SAMPLE`` rows of every declared language in expectation, drawn by a hash of id and text). Every
+declared language is modelled, however rare: labels are codes of two or three letters, and one
+takes 256 KB. Its likelihood is tempered, because trigrams overlap. Evidence beside the text comes from counts over all rows, in which each row
 counts by its text posterior: how often a declared language, or the last label of an address,
 goes with each language, and priors of hosts. A host's prior is smoothed towards its domain's
 and that towards the corpus's, each as ``SMOOTH`` rows. The tables of declared values, suffixes
@@ -20,16 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.llm.common import materialise, table
+from terralith.llm.common import free_name, materialise, table
 
-SAMPLE = 4000
-MAX_LANGUAGES = 64
+SAMPLE = 1000
 BITS = 16
+#: Bytes of a text whose trigrams are held at once.
+PIECE = 1 << 16
 TEMPER = 0.25
 #: Most a text can say for one language against another (natural log).
 CAP = 30.0
 SMOOTH = 20.0
 ACCEPT = 0.6
+#: Codes that say that a text has no one language (fixed values of ISO 639).
+NO_LANGUAGE = ("und", "mul", "mis", "zxx")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -39,18 +43,33 @@ _LETTER[128:] = True
 
 def trigrams(text: str) -> np.ndarray:
     """Hashed trigrams of bytes (A-Z in lower case) that hold two letters at least."""
-    b = _LOWER[np.frombuffer(f" {text} ".encode(), np.uint8)].astype(np.uint32)
+    return _hashed(np.frombuffer(f" {text} ".encode(), np.uint8))
+
+
+def _hashed(raw: np.ndarray) -> np.ndarray:
+    b = _LOWER[raw].astype(np.uint32)
     letters = _LETTER[b]
     keep = letters[:-2].astype(np.int8) + letters[1:-1] + letters[2:] >= 2
     h = (b[:-2] * 65536 + b[1:-1] * 256 + b[2:])[keep] * np.uint32(2654435761)
     return (h >> np.uint32(32 - BITS)).astype(np.int64)
 
 
+def _pieces(text: str):
+    """The trigrams of one text, ``PIECE`` bytes at a time; pieces share two bytes."""
+    raw = np.frombuffer(f" {text} ".encode(), np.uint8)
+    for at in range(0, len(raw) - 2, PIECE):
+        yield _hashed(raw[at : at + PIECE + 2])
+
+
+def _counts(text: str) -> np.ndarray:
+    return sum((np.bincount(t, minlength=1 << BITS) for t in _pieces(text)), np.zeros(1 << BITS, np.int64))
+
+
 def fit(texts: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities by language and trigram) of labelled texts in memory."""
     counts: dict[str, np.ndarray] = {}
     for lang, text in texts:
-        counts[lang] = counts.get(lang, 0) + np.bincount(trigrams(text), minlength=1 << BITS)
+        counts[lang] = counts.get(lang, 0) + _counts(text)
     return _model(counts)
 
 
@@ -61,50 +80,47 @@ def _model(counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Fit on about ``sample`` labelled rows, drawn by a hash of id and text.
+    """Fit on about ``sample`` labelled rows of each label, drawn by a hash of id and text.
 
-    The ``MAX_LANGUAGES`` most frequent labels are modelled. Texts stay with the executors: the
-    driver gets one count for each language and trigram bucket.
+    Texts stay with the executors: the driver gets one count for each label and trigram bucket.
     """
     labelled = docs.select(declared_code(F.col(lang_col)).alias("l"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.lit("language sample"), F.col(id_col), F.col(text_col)).alias("h"))
     labelled = labelled.filter("l is not null and t is not null")
-    per = labelled.groupBy("l").agg(F.count("*").alias("n"))
-    common = per.orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
-    names, rows = [r["l"] for r in common], sum(r["n"] for r in common)
-    share = 1.0 if rows <= sample else sample / rows
-    drawn = labelled.filter(F.col("l").isin(names) & (F.col("h") <= min(2**63 - 1, int((2 * share - 1) * 2**63))))
+    shares = {r["l"]: min(1.0, sample / r["n"]) for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    names = sorted(shares)
+    if not names:
+        return _model({})
+    most = F.create_map(*[x for name in names for x in (F.lit(name), F.lit(min(2**63 - 1, int((2 * shares[name] - 1) * 2**63))))])
+    drawn = labelled.filter(F.col("h") <= F.element_at(most, F.col("l")))
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[lang] = held.get(lang, 0) + np.bincount(trigrams(text), minlength=1 << BITS)
+                held[lang] = held.get(lang, 0) + _counts(text)
         for lang, found in held.items():
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], ["l", "g", "n"])
 
     summed = drawn.select("l", "t").mapInArrow(count, "l string, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
     counts = {lang: np.zeros(1 << BITS) for lang in names}
-    labels, at, n = summed["l"].to_pylist(), summed["g"].to_numpy(), summed["n"].to_numpy()
-    for lang in names:
-        mine = np.array([x == lang for x in labels], bool)
-        counts[lang][at[mine]] = n[mine]
+    for lang, at, n in zip(summed["l"].to_pylist(), summed["g"].to_pylist(), summed["n"].to_pylist(), strict=True):
+        counts[lang][at] = n
     return _model(counts)
 
 
 def declared_code(column):
-    """Primary subtag of a declared language, lower case; null if there is none."""
-    code = F.regexp_extract(F.lower(F.trim(column.cast("string"))), r"^([a-z]{2,8})", 1)
-    return F.when(code != "", code)
+    """Primary subtag of a declared language (two or three letters), lower case; null if there is none."""
+    code = F.regexp_extract(F.lower(F.trim(column.cast("string"))), r"^([a-z]{2,3})(?:[^a-z]|$)", 1)
+    return F.when(~code.isin("", *NO_LANGUAGE), code)
 
 
 def posterior(languages: list[str], model: np.ndarray, text: str) -> tuple[list[float], int]:
     """(tempered log-likelihoods, 0 for the best and at least -CAP; number of letter bytes)."""
-    t = trigrams(text)
     n = int(np.count_nonzero(_LETTER[_LOWER[np.frombuffer(text.encode(), np.uint8)]]))
-    if not len(t) or not languages:
-        return [0.0] * max(1, len(languages)), n
-    score = model[:, t].sum(axis=1, dtype=np.float64) * TEMPER
+    if not languages:
+        return [0.0], n
+    score = sum((model[:, t].sum(axis=1, dtype=np.float64) for t in _pieces(text)), np.zeros(len(languages))) * TEMPER
     return np.maximum(score - score.max(), -CAP).tolist(), n
 
 
@@ -213,8 +229,9 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     whole texts are shuffled only if there are very many of them. Rows without an id stay.
     """
     found = identify(document_rows(docs), train(docs))
-    gone = found.groupBy(F.col("key").alias("__rejected")).agg(F.bool_or("accepted").alias("__any")).filter("not __any").select("__rejected")
-    return docs.join(gone, F.col("doc_id") == F.col("__rejected"), "left_anti")
+    key = free_name(docs, "key")
+    gone = found.groupBy(F.col("key").alias(key)).agg(F.bool_or("accepted").alias("any")).filter("not any").select(key)
+    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
 
 
 def op10_language_id(spark, sf_dir):

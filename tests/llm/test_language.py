@@ -84,3 +84,34 @@ def test_short_text_rests_on_other_evidence():
     languages, model = lg.fit([("en", "the thing of the"), ("fr", "le la les des")])
     assert lg.posterior(languages, model, "A.") == ([0.0, 0.0], 1)
     assert lg.posterior(languages, model, "12. !")[1] == 0 and lg.posterior(languages, model, "")[1] == 0
+
+
+def invented(rng, name):
+    """Words of an invented language."""
+    own = rng.permutation(26)[:9]
+    return ["".join(chr(97 + own[i]) for i in rng.integers(0, 9, rng.integers(2, 7))) for _ in range(60)]
+
+
+def test_many_and_rare_languages(spark):
+    rng = np.random.default_rng(1)
+    codes = [a + b for a in "abcdefghi" for b in "klmnopqrs"][:80]
+    words = {c: invented(rng, c) for c in codes}
+    say = lambda c: " ".join(rng.choice(words[c], 40))
+    rows = [(c, say(c)) for c in codes for _ in range(3 if c == codes[-1] else 12 if c != codes[0] else 400)]
+    df = spark.createDataFrame([(i, t, c, "s", 0) for i, (c, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, key int")
+    model = lg.train(df, sample=6)
+    assert model[0] == sorted(codes)
+    fresh = [(c, say(c)) for c in codes for _ in range(2)]
+    new = spark.createDataFrame([(i, t, None, None, 0) for i, (_, t) in enumerate(fresh)], "doc_id long, text string, lang string, source string, key int")
+    got = {r.key: r.lang for r in lg.identify(lg.document_rows(new), model).collect()}
+    assert sum(got[i] == c for i, (c, _) in enumerate(fresh)) >= 150
+    assert got[158] == got[159] == codes[-1]
+    assert lg.accepted_documents(df).columns == df.columns
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = "the thing of größe 12 " * 200
+    whole = lg.trigrams(text)
+    monkeypatch.setattr(lg, "PIECE", 37)
+    assert np.array_equal(np.sort(np.concatenate(list(lg._pieces(text)))), np.sort(whole))
+    assert np.array_equal(lg._counts(text), np.bincount(whole, minlength=1 << lg.BITS)) and not lg._counts("").any()
