@@ -4,9 +4,10 @@ Words are runs of letters and digits in lower case, shingles have ``SHINGLE`` wo
 template is one shingle). Templates fall into classes by length: a class of ``L`` words holds
 templates of L/2 to L words, and its windows have 2L words and start every L words, so that
 every passage of up to L words lies whole in a window. A passage that holds ``CONTAINMENT`` of a
-template's shingles then has a Jaccard similarity of at least 0.8 * (L/2 - 4) / (2L) with its
-window, 0.16 for long templates; with ``BANDS`` bands of one row each, such a window meets the
-template with probability 1 - (1 - 0.16)**BANDS. What meets is verified by exact containment.
+template's g shingles, c of them, then has a Jaccard similarity J of at least c / (g + 2L - 4 - c)
+with its window: 1/12 for templates of five words, about 0.16 and more for long ones. Bands have
+one row each, and a class has so many of them that (1 - J)**bands is at most ``MISS`` for each of
+its templates (``class_bands``). What meets is verified by exact containment.
 
 Windows that cannot match are not hashed: from every template, words are chosen such that the
 shingles without any of them fall short of ``CONTAINMENT``; a window without one of these anchor
@@ -28,9 +29,10 @@ from terralith.llm.license_library import notices, texts
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS = 64
-#: Templates are broadcast with their bands; the scan refuses more than this many.
-MAX_TEMPLATES = 2000
+#: Most probable loss of a matching window.
+MISS = 1e-6
+#: Libraries of up to so many templates are broadcast with their bands; larger ones are joined.
+BROADCAST_TEMPLATES = 2000
 #: Templates of this many words or more take anchors until FREE of their shingles are without one.
 LONG = 128
 FREE = 0.3
@@ -75,6 +77,17 @@ def size_class(n: int) -> int:
     return max(8, 1 << (n - 1).bit_length())
 
 
+def class_bands(library: dict[str, str]) -> dict[int, int]:
+    """By length class: the number of bands that its least similar matching window needs."""
+    found: dict[int, int] = {}
+    for t in library.values():
+        size, g = size_class(len(words_of(t))), len(shingles_of(words_of(t)))
+        c = math.ceil(CONTAINMENT * g - 1e-9)
+        j = c / (g + 2 * size - SHINGLE + 1 - c)
+        found[size] = max(found.get(size, 1), math.ceil(math.log(MISS) / math.log(1 - j)) if j < 1 else 1)
+    return found
+
+
 def anchors(templates: dict[str, str]) -> set[str]:
     """Words of which every sufficient share of any template's shingles holds one, rarest first."""
     spread: dict[str, int] = {}
@@ -141,26 +154,28 @@ def _shingles(words: Column, k: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " ")))
 
 
-def _bands(rows: DataFrame, grams: str, bands: int) -> DataFrame:
-    """One row per band: its number and the smallest of its hash over the shingles."""
+def _bands(rows: DataFrame, grams: str, bands: dict[int, int]) -> DataFrame:
+    """With ``__m``, the smallest hash over the shingles for each band of the row's class ``cls``."""
+    number = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(bands.items()) for x in kv]), F.col("cls"))
     hashed = rows.withColumn("__h", F.transform(grams, lambda g: F.xxhash64(g)))
-    least = F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform("__h", lambda h: F.xxhash64(h, b))))
+    least = F.transform(F.sequence(F.lit(1), number), lambda b: F.array_min(F.transform("__h", lambda h: F.xxhash64(h, b))))
     return hashed.withColumn("__m", least).drop("__h")
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, template, containment): the templates found in each row's text, best window each.
 
     Null and empty texts hold nothing; repeated rows are one; a template without words is
-    ignored; other columns are not read; an empty table, or no templates, gives none.
+    ignored; other columns are not read; an empty table, or no templates, gives none. Any number
+    of templates is taken: up to ``BROADCAST_TEMPLATES`` they are broadcast, beyond joined.
     """
     spark = docs.sparkSession
     library = {k: v for k, v in (TEMPLATES if templates is None else templates).items() if words_of(v)}
     schema = f"id {dict(docs.dtypes)[id_col]}, template string, containment double"
     if not library:
         return spark.createDataFrame([], schema)
-    if len(library) > MAX_TEMPLATES:
-        raise ValueError(f"at most {MAX_TEMPLATES} templates are broadcast")
+    small = F.broadcast if len(library) <= BROADCAST_TEMPLATES else lambda df: df
+    bands = class_bands(library)
     known = spark.createDataFrame([(k, size_class(len(words_of(v))), shingles_of(words_of(v))) for k, v in sorted(library.items())], "template string, cls int, grams array<string>")
     by_class = class_anchors(library)
     marks = sorted(set().union(*[m for m, _ in by_class.values()]))
@@ -180,9 +195,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     targets = _bands(known, "grams", bands).select("template", F.col("cls").alias("c2"), F.posexplode("__m").alias("band", "value"))
     targets = targets.groupBy("c2", "band", "value").agg(F.collect_set("template").alias("templates"))
     probes = banded.select("id", "cls", "same", "grams", F.posexplode("mins").alias("band", "value"))
-    met = probes.join(F.broadcast(targets), (F.col("cls") == F.col("c2")) & (probes["band"] == targets["band"]) & (probes["value"] == targets["value"]))
+    met = probes.join(small(targets), (F.col("cls") == F.col("c2")) & (probes["band"] == targets["band"]) & (probes["value"] == targets["value"]))
     pairs = met.select("id", "cls", "same", "grams", F.explode("templates").alias("template")).dropDuplicates(["id", "cls", "same", "template"])
-    checked = pairs.join(F.broadcast(known.select(F.col("template").alias("t2"), F.col("grams").alias("tg"))), F.col("template") == F.col("t2"))
+    checked = pairs.join(small(known.select(F.col("template").alias("t2"), F.col("grams").alias("tg"))), F.col("template") == F.col("t2"))
     score = F.size(F.array_intersect("tg", "grams")) / F.size("tg")
     return checked.select("id", "template", score.alias("c")).filter(F.col("c") >= CONTAINMENT).groupBy("id", "template").agg(F.max("c").alias("containment"))
 

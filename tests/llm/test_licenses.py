@@ -112,3 +112,31 @@ def test_lines_of_the_table_have_a_name(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text like '%Licensed under CC BY-NC 4.0.%'")
     found = {r.id for r in lc.scan(docs).filter("template = 'CC-BY-NC-4.0-short'").collect()}
     assert found == {r.doc_id for r in docs.collect()} and found
+
+
+def test_bands_reach_every_matching_window():
+    """For each class, the stated loss at the least Jaccard similarity of a matching window."""
+    bands = lc.class_bands(lc.TEMPLATES)
+    for t in lc.TEMPLATES.values():
+        words = lc.words_of(t)
+        g, size = len(lc.shingles_of(words)), lc.size_class(len(words))
+        c = next(c for c in range(g + 1) if c / g >= lc.CONTAINMENT)
+        window = 2 * size - lc.SHINGLE + 1
+        assert (1 - c / (g + window - c)) ** bands[size] <= lc.MISS
+
+
+def test_every_offset_of_the_shortest_notice(spark):
+    filler = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join([*filler[i : i + 40], "Released under the MIT License.", *filler[i + 40 : i + 80]])) for i in range(3000)]
+    found = lc.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("template = 'MIT-short'")
+    assert found.select("id").distinct().count() == 3000
+
+
+def test_more_templates_than_are_broadcast(spark, monkeypatch):
+    library = {f"T{i}": f"these are the terms number {i} of the old license number {i * 7} in force" for i in range(60)}
+    rows = [(i, f"intro words {library[f'T{i}']} and so on") for i in range(60)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, words string, cls int")
+    want = sorted(map(tuple, lc.scan(df, library).collect()))
+    monkeypatch.setattr(lc, "BROADCAST_TEMPLATES", 10)
+    assert sorted(map(tuple, lc.scan(df, library).collect())) == want
+    assert {(i, t) for i, t, _ in want} >= {(i, f"T{i}") for i in range(60)}
