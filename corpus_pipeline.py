@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import materialise, table
+from terralith.llm.common import free_name, materialise, table
 from terralith.llm.language import accepted_documents
 from terralith.llm.packing import default_tokenizer, pack
 from terralith.llm.secrets import redact
@@ -13,24 +13,43 @@ from terralith.llm.simhash import keep_one_per_group
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; the rest goes."""
+    """Documents whose language is found; the rest goes.
+
+    Null, empty and letterless texts are of no language and go. Repeated rows stay or go
+    together, rows without an id stay, ties between languages go to the first by name. Columns
+    beside those of ``documents`` stay, whatever their names; an empty table stays empty.
+    """
     return accepted_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates, the one with the smallest id."""
+    """One document of each group of SimHash near-duplicates, the one with the smallest id.
+
+    Null and empty texts have one fingerprint and are one group. Rows that carry one id shrink
+    to one of them; rows without an id stay. Further columns stay, whatever their names; an
+    empty table stays empty.
+    """
     return keep_one_per_group(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark and ``n_chars`` of the new text."""
-    clean = redact(docs.withColumn("__before", F.length("text")))
-    changed = F.length("text") != F.col("__before")
-    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__before")
+    """All documents, with secrets replaced by a mark and ``n_chars`` of the new text.
+
+    Null and empty texts and texts without a secret stay as they are, with their ``n_chars``;
+    repeated rows stay. Further columns stay, whatever their names; an empty table stays empty.
+    """
+    before = free_name(docs, "before")
+    clean = redact(docs.withColumn(before, F.length("text")))
+    changed = F.length("text") != F.col(before)
+    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens, sources mixed by their shares."""
+    """Pieces of documents in sequences of 2048 tokens, sources mixed by their shares.
+
+    Null and empty texts are the end id alone, a null source is the source ''; rows with one id
+    are packed one by one; other columns are not read; an empty table gives no pieces.
+    """
     return pack(docs, default_tokenizer())
 
 
