@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terralith.functions import geometry as g
 from terralith.operators.forward import corners, pairs
+from terralith.operators.locate import over_facets
 from terralith.operators.mesh import lattice
 
 
@@ -42,18 +43,46 @@ def control_points(vertices: DataFrame, cell: float) -> DataFrame:
 
 
 def side(points: DataFrame, facets: DataFrame, dead: float = 1e-9) -> DataFrame:
-    """(obs_id, side): 1 over, -1 under, 0 on the surface by the first triangle that covers the
-    point in x-y; null where none does."""
+    """(obs_id, side): 1 over, -1 under, 0 on the surface.
+
+    The normal of the first triangle (by t_id) that covers the point in x-y decides; they meet
+    through cells of the triangles' extents. Points that none covers are held against the plane
+    of the triangle whose clamped foot point is nearest (ties by t_id): those few points meet
+    all triangles, block by block, with partial minima. Null without any triangle.
+    """
     p, q, r = corners()
     d = (F.col("qy") - F.col("ry")) * (F.col("px") - F.col("rx")) + (F.col("rx") - F.col("qx")) * (F.col("py") - F.col("ry"))
     wa = ((F.col("qy") - F.col("ry")) * (F.col("x") - F.col("rx")) + (F.col("rx") - F.col("qx")) * (F.col("y") - F.col("ry"))) / d
     wb = ((F.col("ry") - F.col("py")) * (F.col("x") - F.col("rx")) + (F.col("px") - F.col("rx")) * (F.col("y") - F.col("ry"))) / d
     n, _ = g.normal(p, q, r)
-    height = g.dot(g.sub(g.vec("x", "y", "z"), p), n)
-    sign = F.when(F.abs(height) <= dead, 0).otherwise(F.signum(height).cast("int"))
+    o = g.vec("x", "y", "z")
+    sign = lambda height: F.when(F.abs(height) <= dead, 0).otherwise(F.signum(height).cast("int"))
     covered = (F.abs(d) > 1e-30) & (wa >= -1e-9) & (wb >= -1e-9) & (1.0 - wa - wb >= -1e-9)
-    found = pairs(points.select("obs_id", "x", "y", "z"), facets).filter(covered).groupBy("obs_id").agg(F.min_by(sign, "t_id").alias("side"))
-    return points.select("obs_id").join(found, "obs_id", "left")
+    all_points = points.select("obs_id", "x", "y", "z")
+    found = over_facets(all_points, facets).filter(covered).groupBy("obs_id").agg(F.min_by(sign(g.dot(g.sub(o, p), n)), "t_id").alias("side"))
+
+    rest = all_points.join(found.select("obs_id"), "obs_id", "left_anti")
+    foot = clamped_foot(o, p, q, r)
+    away = g.sub(o, foot)
+    # each step a projection of its own, so that shared parts are computed once
+    near = pairs(rest, facets).filter(g.norm(g.cross(g.sub(q, p), g.sub(r, p))) > 1e-15)
+    near = near.select("obs_id", "t_id", g.dot(away, away).alias("d2"), sign(g.dot(away, n)).alias("s"))
+    outside = near.groupBy("obs_id").agg(F.min(F.struct("d2", "t_id", "s")).alias("b")).select("obs_id", F.col("b.s").alias("side"))
+    return points.select("obs_id").join(found.unionByName(outside), "obs_id", "left")
+
+
+def clamped_foot(o, p, q, r):
+    """Foot of ``o`` in the plane of the triangle p, q, r, its weights moved into the triangle.
+
+    Negative weights of q and r become 0; weights that then exceed 1 together are scaled to 1.
+    """
+    a, b, v = g.sub(q, p), g.sub(r, p), g.sub(o, p)
+    aa, ab, bb, av, bv = g.dot(a, a), g.dot(a, b), g.dot(b, b), g.dot(a, v), g.dot(b, v)
+    det = aa * bb - ab * ab
+    s = F.greatest(F.lit(0.0), (bb * av - ab * bv) / det)
+    t = F.greatest(F.lit(0.0), (aa * bv - ab * av) / det)
+    k = F.greatest(F.lit(1.0), s + t)
+    return tuple(x + (s * y + t * z) / k for x, y, z in zip(p, a, b, strict=True))
 
 
 def body_labels(cells: DataFrame, windows: list[tuple[tuple[float, float], tuple[float, float], tuple[float, float]]]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.operators.storage import stored
+from terralith.operators.storage import discard, stored_at
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -23,12 +23,15 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): smallest node of the component of every node of ``nodes(node)``.
 
-    edges(a, b) in any direction; nodes without edges are their own root.
+    edges(a, b) in any direction; nodes without edges are their own root. A round removes the
+    table of the round before.
     """
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, path = stored_at(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(max_rounds):
-        now = stored(_small(_large(now)))
+        old = path
+        now, path = stored_at(_small(_large(now)))
+        discard(edges.sparkSession, old)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if seen == before:
             break
@@ -56,8 +59,11 @@ def face_components(triangles: DataFrame, by_edge: bool = True) -> DataFrame:
 
 
 def component_sizes(parts: DataFrame, least: int = 1) -> DataFrame:
-    """Components of at least ``least`` members, largest first (rank 1), ties by root."""
-    from pyspark.sql import Window
+    """Components of at least ``least`` members, largest first (rank 1), ties by root.
 
-    sizes = parts.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "root")))
+    Ranks come from sorted ranges and their offsets, not from a window over all components.
+    """
+    from terralith.operators.mesh import dense_number
+
+    sizes = parts.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") >= least).withColumn("__last", -F.col("n"))
+    return dense_number(sizes, ["__last", "root"], "rank", 1).drop("__last")

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.functions import geometry as g
+from terralith.operators.cells import with_boxes
 from terralith.operators.forward import corners, pairs
+from terralith.operators.storage import stored
 
-#: Most reference points that are broadcast as a whole (about 40 bytes each).
-BROADCAST_POINTS = 200_000
+#: Most reference points that every point looks through; more are searched by grid cells.
+BROADCAST_POINTS = 4096
 
 
 def envelope(points: DataFrame, bodies: DataFrame, cz: float, a: float, b: float, c: float, regional: float) -> DataFrame:
@@ -41,8 +43,8 @@ def classify(points: DataFrame, facets: DataFrame, bottom: float | None = None)
     """(obs_id, group_id) of the first closed mesh (by group_id) that holds each point; -1 for none.
 
     A ray along +x from the point, moved by 1.234567e-6 in y and 2.345678e-6 in z so that it
-    meets no edge, crosses the mesh an odd number of times. Facets whose y-z extent misses the
-    ray are dropped before the parity is counted. Points under ``bottom`` are outside.
+    meets no edge, crosses the mesh an odd number of times. Rays meet facets through cells of
+    the facets' y-z extents. Points under ``bottom`` are outside.
     """
     p, q, r = corners()
     oy, oz = F.col("y") + 1.234567e-6, F.col("z") + 2.345678e-6
@@ -56,9 +58,9 @@ def classify(points: DataFrame, facets: DataFrame, bottom: float | None = None)
     v = w[0] / det
     t = g.dot(e2, w) / det
     hit = (F.abs(det) >= 1e-30) & u.between(0.0, 1.0) & (v >= 0.0) & (u + v <= 1.0) & (t > 1e-12)
-    spans = (oy >= F.least("py", "qy", "ry")) & (oy <= F.greatest("py", "qy", "ry")) & (oz >= F.least("pz", "qz", "rz")) & (oz <= F.greatest("pz", "qz", "rz"))
-    both = pairs(points.select("obs_id", "x", "y", "z"), facets.select("group_id", "t_id", *[f"{c}{a}" for c in "pqr" for a in "xyz"]))
-    crossed = both.filter(spans & hit).groupBy("obs_id", "group_id").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    spans = [(F.least(*[f"{c}{a}" for c in "pqr"]), F.greatest(*[f"{c}{a}" for c in "pqr"])) for a in "yz"]
+    both = with_boxes(points.select("obs_id", "x", "y", "z"), [oy, oz], facets, spans, ["group_id", "t_id", *[f"{c}{a}" for c in "pqr" for a in "xyz"]])
+    crossed = both.filter(hit).groupBy("obs_id", "group_id").agg(F.count("*").alias("n")).filter("n % 2 = 1")
     first = crossed.groupBy("obs_id").agg(F.min("group_id").alias("__g"))
     found = F.coalesce("__g", F.lit(-1))
     if bottom is not None:
@@ -69,7 +71,8 @@ def classify(points: DataFrame, facets: DataFrame, bottom: float | None = None)
 def surface_z(points: DataFrame, facets: DataFrame) -> DataFrame:
     """Height of a surface under each point: first triangle (by t_id) that covers it in x-y.
 
-    Barycentric weights down to -1e-9 count as inside; null where no triangle covers the point.
+    Barycentric weights down to -1e-9 count as inside; points that no triangle covers are left
+    out. Points meet triangles through cells of the triangles' x-y extents.
     """
     d = (F.col("qy") - F.col("ry")) * (F.col("px") - F.col("rx")) + (F.col("rx") - F.col("qx")) * (F.col("py") - F.col("ry"))
     wa = ((F.col("qy") - F.col("ry")) * (F.col("x") - F.col("rx")) + (F.col("rx") - F.col("qx")) * (F.col("y") - F.col("ry"))) / d
@@ -77,38 +80,90 @@ def surface_z(points: DataFrame, facets: DataFrame) -> DataFrame:
     wc = 1.0 - wa - wb
     inside = (F.abs(d) > 1e-30) & (wa >= -1e-9) & (wb >= -1e-9) & (wc >= -1e-9)
     z = wa * F.col("pz") + wb * F.col("qz") + wc * F.col("rz")
-    both = pairs(points.select("obs_id", "x", "y"), facets).filter(inside)
+    both = over_facets(points.select("obs_id", "x", "y"), facets).filter(inside)
     return both.groupBy("obs_id").agg(F.min_by(z, "t_id").alias("z"))
 
 
+def over_facets(points: DataFrame, facets: DataFrame) -> DataFrame:
+    """Points beside the facets whose x-y extent, widened by what rounding allows, holds them."""
+    spans = []
+    for a in "xy":
+        low, high = F.least(*[f"{c}{a}" for c in "pqr"]), F.greatest(*[f"{c}{a}" for c in "pqr"])
+        slack = (high - low) * 1e-6 + 1e-9
+        spans.append((low - slack, high + slack))
+    return with_boxes(points, [F.col("x"), F.col("y")], facets, spans)
+
+
 def nearest(points: DataFrame, targets: DataFrame, k: int = 1, dims: str = "xyz") -> DataFrame:
     """(obs_id, target_id, d2, rank) of the ``k`` nearest targets; ties by target_id.
 
-    Targets up to ``BROADCAST_POINTS`` are broadcast and each point keeps a bounded list of its
-    best ones while it streams past them in blocks of 1024; beyond, targets are dealt into blocks that meet the
-    points by number, and the blocks' best are merged.
+    Up to ``BROADCAST_POINTS`` targets are looked through by every point. More lie in a grid:
+    points look into the cells around their own and keep what is certainly nearest, the rest
+    goes on with cells of twice the side. The first side is one at which the fullest cell holds
+    few targets, so the rounds are at most the doublings from it to the whole extent.
     """
     n = targets.count()
+    src = points.select("obs_id", *[F.col(a).alias(f"__{a}") for a in dims])
+    if n > BROADCAST_POINTS:
+        return _nearest_by_cells(src, targets.select("target_id", *[F.col(a).cast("double").alias(a) for a in dims]), k, dims)
     blocks = max(1, -(-n // 1024))
     packed = targets.select(F.struct("target_id", *[F.col(a).alias(a) for a in dims]).alias("t"), F.pmod(F.xxhash64("target_id"), F.lit(blocks)).alias("__b"))
     packed = packed.groupBy("__b").agg(F.collect_list("t").alias("ts"))
-    src = points.select("obs_id", *[F.col(a).alias(f"__{a}") for a in dims])
-    if n <= BROADCAST_POINTS:
-        # spread by point first: the ranking below finds its partitioning already there
-        parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        both = src.repartition(parts, "obs_id").crossJoin(F.broadcast(packed.select("ts")))
-    else:
-        numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        both = src.withColumn("__b", numbers).join(packed, "__b")
+    # spread by point first: the ranking below finds its partitioning already there
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = src.repartition(parts, "obs_id").crossJoin(F.broadcast(packed.select("ts")))
+
     def far(t):
         return F.struct(sum((F.pow(t[a] - F.col(f"__{a}"), 2) for a in dims), F.lit(0.0)).alias("d2"), t["target_id"].alias("target_id"))
 
     reach = F.transform("ts", far)
     closest = F.array(F.array_min(reach)) if k == 1 else F.slice(F.sort_array(reach), 1, k)
     best = both.select("obs_id", F.explode(closest).alias("c"))
-    ranked = best.select("obs_id", "c.target_id", "c.d2")
+    return _ranked(best.select("obs_id", "c.target_id", "c.d2"), k)
+
+
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("obs_id").orderBy("d2", "target_id")
-    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+#: Targets that the fullest cell of the first round may hold for each neighbour asked for.
+_FULL = 32
+
+
+def _nearest_by_cells(src: DataFrame, targets: DataFrame, k: int, dims: str) -> DataFrame:
+    ends = src.select(*[F.col(f"__{a}").alias(a) for a in dims]).unionByName(targets.select(*dims)).agg(*[f(a).alias(f"{f.__name__}_{a}") for a in dims for f in (F.min, F.max)]).first()
+    extent = max([1e-9, *[float(ends[f"max_{a}"] - ends[f"min_{a}"]) for a in dims if ends[f"min_{a}"] is not None]])
+    levels = F.explode(F.sequence(F.lit(0), F.lit(20)))
+    cell = lambda a, side: F.floor(F.col(a) / side)
+    halved = targets.withColumn("level", levels).withColumn("side", F.lit(extent) / F.pow(F.lit(2.0), F.col("level")))
+    full = halved.groupBy("level", *[cell(a, F.col("side")).alias(f"c{a}") for a in dims]).count().groupBy("level").agg(F.max("count").alias("most"))
+    fine = [r["level"] for r in full.collect() if r["most"] <= _FULL * k]
+    side = extent / 2.0 ** (min(fine) if fine else 20)
+    todo, found = stored(src), []
+    while True:
+        around = todo
+        for a in dims:
+            around = around.withColumn(f"c{a}", F.explode(F.array(*[cell(f"__{a}", side) + i for i in (-1, 0, 1)])))
+        met = around.join(targets.withColumns({f"c{a}": cell(a, side) for a in dims}), [f"c{a}" for a in dims])
+        d2 = sum((F.pow(F.col(a) - F.col(f"__{a}"), 2) for a in dims), F.lit(0.0))
+        best = stored(_ranked(met.select("obs_id", "target_id", d2.alias("d2")), k))
+        if side > extent:
+            return _union([*found, best])
+        # all targets within one side of the point have been seen
+        sure = best.filter(F.col("rank") == k).filter(F.col("d2") < side * side).select("obs_id")
+        found.append(best.join(sure, "obs_id", "left_semi"))
+        todo = stored(todo.join(sure, "obs_id", "left_anti"))
+        if todo.isEmpty():
+            return _union(found)
+        side *= 2
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def idw_weights(neighbours: DataFrame, floor: float = 1e-12) -> DataFrame:
@@ -147,6 +202,7 @@ def _side(far: Column, t: Column) -> Column:
 
 
 def inside_any(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Boxes (lo/hi of x, y, z) that hold at least one point: a semi-join on ranges."""
-    held = sum(((F.col(f"lo_{a}") <= F.col(a)).cast("int") + (F.col(a) <= F.col(f"hi_{a}")).cast("int") for a in "xyz"), F.lit(0)) == 6
-    return boxes.join(points.select("x", "y", "z"), held, "left_semi")
+    """Boxes (lo/hi of x, y, z) that hold at least one point, through cells of their extents."""
+    ends = [f"{e}_{a}" for a in "xyz" for e in ("lo", "hi")]
+    held = with_boxes(points.select("x", "y", "z"), [F.col(a) for a in "xyz"], boxes.select(*ends).distinct(), [(F.col(f"lo_{a}"), F.col(f"hi_{a}")) for a in "xyz"])
+    return boxes.join(held.select(*ends).distinct(), ends, "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.operators.mesh import dense_number
+
 
 def default_uncertainty(std: Column, default: float) -> Column:
     """A standard deviation that is not positive becomes the default."""
@@ -53,15 +55,24 @@ def durbin_watson(residuals: DataFrame, by: list[str] | None = None) -> DataFram
     """Durbin-Watson statistics along x (order x, y) and along y (order y, x).
 
     rows: x, y, r, obs_id. Rows are ordered within ``by`` (a survey line, say); without it the
-    order is over all rows, which one task then sorts: give ``by`` for large surveys. Ties go by
-    obs_id. 2 where there are fewer than two rows or no residual energy.
+    order is over all rows, which are numbered by sorted ranges and meet their predecessor by
+    number. Ties go by obs_id, which must then be unique. 2 where there are fewer than two rows
+    or no residual energy.
     """
     by = by or []
+    energy = F.sum(F.col("r") ** 2)
+    ratio = lambda c: F.when((F.count("*") < 2) | (energy < 1e-30), 2.0).otherwise(F.sum(F.col(c) ** 2) / energy)
+    if not by:
+        parts = []
+        for name, order in (("dx", ["x", "y", "obs_id"]), ("dy", ["y", "x", "obs_id"])):
+            placed = dense_number(residuals.select("x", "y", "obs_id", "r"), order, "__i").select("__i", "r")
+            before = placed.select((F.col("__i") + 1).alias("__i"), F.col("r").alias("__before"))
+            parts.append(placed.join(before, "__i", "left").select("r", (F.col("r") - F.col("__before")).alias(name)))
+        along, across = [p.agg(ratio(c).alias(f"dw_{c[1]}"), F.count("*").alias("n")) for p, c in zip(parts, ("dx", "dy"), strict=True)]
+        return along.crossJoin(F.broadcast(across.drop("n"))).select("dw_x", "dw_y", "n")
     along_x = Window.partitionBy(*by).orderBy("x", "y", "obs_id")
     along_y = Window.partitionBy(*by).orderBy("y", "x", "obs_id")
     d = residuals.select(*by, "r", (F.col("r") - F.lag("r").over(along_x)).alias("dx"), (F.col("r") - F.lag("r").over(along_y)).alias("dy"))
-    energy = F.sum(F.col("r") ** 2)
-    ratio = lambda c: F.when((F.count("*") < 2) | (energy < 1e-30), 2.0).otherwise(F.sum(F.col(c) ** 2) / energy)
     return d.groupBy(*by).agg(ratio("dx").alias("dw_x"), ratio("dy").alias("dw_y"), F.count("*").alias("n"))
 
 

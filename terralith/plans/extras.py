@@ -25,7 +25,7 @@ def shared_control_points(spark, d):
     return ct.control_points(_meshes(spark, d), 350.0)
 
 
-@query("surface_side", "WITH pts AS (SELECT s_suppkey AS obs_id, s_suppkey*1.7 % 90 AS x, s_suppkey*2.3 % 90 AS y, (s_suppkey % 5 - 2)*10.0 AS z FROM supplier) SELECT obs_id, CASE WHEN x < y THEN NULL WHEN abs(z) <= 1e-9 THEN 0 WHEN z > 0 THEN 1 ELSE -1 END AS side FROM pts")
+@query("surface_side", "WITH pts AS (SELECT s_suppkey AS obs_id, s_suppkey*1.7 % 90 AS x, s_suppkey*2.3 % 90 AS y, (s_suppkey % 5 - 2)*10.0 AS z FROM supplier) SELECT obs_id, CASE WHEN abs(z) <= 1e-9 THEN 0 WHEN z > 0 THEN 1 ELSE -1 END AS side FROM pts")
 def surface_side(spark, d):
     k = F.col("s_suppkey")
     pts = b.read(spark, d, "supplier").select(k.alias("obs_id"), (k * 1.7 % 90).alias("x"), (k * 2.3 % 90).alias("y"), ((k % 5 - 2) * 10.0).alias("z"))

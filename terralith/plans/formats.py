@@ -201,7 +201,8 @@ def group_file_names(spark, d):
 @query("natural_sort", "SELECT s_suppkey, row_number() OVER (ORDER BY regexp_extract(s_name, '(\\d+)$', 1)::BIGINT DESC, s_suppkey) AS place FROM supplier")
 def natural_sort(spark, d):
     trailing = F.regexp_extract("s_name", r"(\d+)$", 1).cast("bigint")
-    return b.read(spark, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(trailing.desc(), "s_suppkey")).alias("place"))
+    keyed = b.read(spark, d, "supplier").select("s_suppkey", (-trailing).alias("last"))
+    return m.dense_number(keyed, ["last", "s_suppkey"], "place", 1).select("s_suppkey", "place")
 
 
 @query("positional_join", "WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS i FROM supplier), c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer) SELECT s_suppkey, c_custkey FROM a JOIN c USING (i)")

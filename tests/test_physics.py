@@ -135,3 +135,84 @@ def test_readers(spark, tmp_path):
     mesh_text = "2 3 4\n0 0 100\n2*50\n3*25\n4*10\n"
     r = t.tensor_mesh(t.number_lines(spark.createDataFrame([("m", mesh_text)], "path string, text string"))).first()
     assert (r.nx, r.z0, r.dx, r.dz) == (2, 100.0, 50.0, 10.0)
+
+
+def _facets(spark, corners):
+    from terralith.operators.forward import CORNERS
+
+    return spark.createDataFrame([(i, *map(float, np.ravel(c))) for i, c in enumerate(corners)], "t_id int, " + ", ".join(f"{c} double" for c in CORNERS))
+
+
+def test_cells_join_like_a_nested_loop(spark):
+    from terralith.operators.cells import with_boxes
+
+    rng = np.random.default_rng(3)
+    pts = [(i, *map(float, rng.uniform(-50, 50, 2))) for i in range(400)] + [(400, 0.0, 0.0), (401, 8.0, -8.0)]
+    lows, sizes = rng.uniform(-60, 50, (300, 2)), 2.0 ** rng.integers(-4, 6, (300, 2))
+    boxes = [(i, *map(float, (a[0], a[0] + s[0], a[1], a[1] + s[1]))) for i, (a, s) in enumerate(zip(lows, sizes))]
+    boxes += [(300, 0.0, 0.0, 0.0, 0.0), (301, 0.0, 8.0, -8.0, 0.0), (302, None, 1.0, 0.0, 1.0), (303, float("nan"), 1.0, 0.0, 1.0)]
+    p = spark.createDataFrame(pts, "p long, x double, y double")
+    b = spark.createDataFrame(boxes, "b long, lx double, hx double, ly double, hy double")
+    got = with_boxes(p, [p["x"], p["y"]], b, [(b["lx"], b["hx"]), (b["ly"], b["hy"])]).select("p", "b").collect()
+    want = {(q[0], c[0]) for q in pts for c in boxes[:302] if c[1] <= q[1] <= c[2] and c[3] <= q[2] <= c[4]}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    none = with_boxes(p, [p["x"], p["y"]], b.filter("b > 999"), [(b["lx"], b["hx"]), (b["ly"], b["hy"])])
+    assert none.count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_nearest_by_cells_is_exact(spark, monkeypatch, k):
+    from pyspark.sql import functions as F
+
+    from terralith.operators import locate
+
+    rng = np.random.default_rng(5)
+    targets = np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(500, 3, (100, 2)), np.repeat([[10.0, 10.0]], 5, 0)])
+    points = np.concatenate([rng.uniform(-20, 600, (200, 2)), targets[:20], [[-5000.0, 7000.0]]])
+    t = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(targets)], "target_id long, x double, y double")
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "obs_id long, x double, y double")
+    monkeypatch.setattr(locate, "BROADCAST_POINTS", 10)
+    got = {}
+    for r in locate.nearest(p, t, k, "xy").collect():
+        got.setdefault(r.obs_id, []).append((r["rank"], r.target_id))
+    for i, q in enumerate(points):
+        d2 = (targets[:, 0] - q[0]) ** 2 + (targets[:, 1] - q[1]) ** 2
+        want = sorted(range(len(targets)), key=lambda j: (d2[j], j))[:k]
+        assert [j for _, j in sorted(got[i])] == want
+    assert locate.nearest(p, t.filter(F.col("target_id") < 0), k, "xy").count() == 0
+
+
+def test_side_of_the_nearest_triangle(spark):
+    from terralith.operators.control import side
+
+    rng = np.random.default_rng(9)
+    tri = [[(0, 0, 0), (10, 0, 2), (0, 10, 1)], [(10, 0, 2), (10, 10, 5), (0, 10, 1)], [(20, 0, 0), (20, 5, 0), (20, 0, 5)]]
+    points = rng.uniform(-15, 30, (200, 3))
+    df = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(points)], "obs_id long, x double, y double, z double")
+    got = {r.obs_id: r.side for r in side(df, _facets(spark, tri)).collect()}
+
+    def sign(q):
+        best = None
+        for c in tri:
+            a, b, d = (np.array(v, float) for v in c)
+            n = np.cross(b - a, d - a)
+            n /= np.linalg.norm(n)
+            flat = np.array([[b[0] - a[0], d[0] - a[0]], [b[1] - a[1], d[1] - a[1]]])
+            if abs(np.linalg.det(flat)) > 1e-30:
+                u, v = np.linalg.solve(flat, q[:2] - a[:2])
+                if u >= -1e-9 and v >= -1e-9 and u + v <= 1 + 1e-9:
+                    return int(np.sign((q - a) @ n))
+        for c in tri:
+            a, b, d = (np.array(v, float) for v in c)
+            n = np.cross(b - a, d - a)
+            n /= np.linalg.norm(n)
+            (u, v), *_ = np.linalg.lstsq(np.stack([b - a, d - a], 1), q - a, rcond=None)
+            u, v = max(u, 0), max(v, 0)
+            u, v = (u, v) if u + v <= 1 else (u / (u + v), v / (u + v))
+            foot = a + u * (b - a) + v * (d - a)
+            far = float((q - foot) @ (q - foot))
+            if best is None or far < best[0] - 1e-12:
+                best = (far, int(np.sign((q - foot) @ n)) if abs((q - foot) @ n) > 1e-9 else 0)
+        return best[1]
+
+    assert all(got[i] == sign(q) for i, q in enumerate(points))
