@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 LEAST_SIDE = 1e-6
 
 
-def with_boxes(points: DataFrame, at: list[Column], boxes: DataFrame, extents: list[tuple[Column, Column]], keep: list[str] | None = None) -> DataFrame:
+def with_boxes(points: DataFrame, at: list[Column], boxes: DataFrame, extents: list[tuple[Column, Column]], keep: list[str] | None = None, on: list[str] | None = None) -> DataFrame:
     """Points beside the boxes whose ``extents`` (low, high by axis) hold them at ``at``.
 
-    Columns of both, ``keep`` of the boxes' (all of them by default). Boxes with a null or
+    Columns of both, ``keep`` of the boxes' (all of them by default); ``on`` are columns of both that must be equal. Boxes with a null or
     non-finite extent meet no point. The levels are read first, by one aggregation; there are
     as many as powers of two between the smallest and the largest box.
     """
@@ -40,7 +40,7 @@ def with_boxes(points: DataFrame, at: list[Column], boxes: DataFrame, extents: l
     spots = spots.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
     for i, c in enumerate(names[2]):
         spots = spots.withColumn(c, F.floor(F.col(f"__at{i}") / F.pow(F.lit(2.0), F.col("__level"))))
-    met = spots.join(dealt, ["__level", *names[2]])
+    met = spots.join(dealt, ["__level", *names[2], *(on or [])])
     for i, (lo, hi) in enumerate(zip(*names[:2], strict=True)):
         met = met.filter(F.col(f"__at{i}").between(F.col(lo), F.col(hi)))
     return met.drop("__level", *names[0], *names[1], *names[2], *[f"__at{i}" for i in range(n)])

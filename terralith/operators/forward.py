@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -143,6 +145,9 @@ def array_parts(o: np.ndarray, corner: np.ndarray) -> dict[str, np.ndarray]:
     return {"om": om, "n": n, "h": dot(ra, n[None]), "logs": logs, "t": np.cross(n[:, None], e) * k[..., None], "r": r}
 
 
+KINDS = ("gravity", "tmi", "tmi_ascoded", "angle", "surface")
+
+
 def _array_kernel(kind: str, p: dict[str, np.ndarray], m: np.ndarray | None, f: np.ndarray | None) -> np.ndarray:
     if kind == "gravity":
         return p["n"][:, 2] * (-((p["r"] * p["t"][None]).sum(-1) * p["logs"]).sum(-1) - p["h"] * p["om"])
@@ -156,7 +161,27 @@ def _array_kernel(kind: str, p: dict[str, np.ndarray], m: np.ndarray | None, f:
     return p["om"] * (p["h"] if kind == "surface" else 1.0)
 
 
+#: Kernels added by ``register_kernel``: name to column builder and array function or None.
+_ADDED: dict[str, tuple[Callable[[], Column], Callable[[dict[str, np.ndarray]], np.ndarray] | None]] = {}
+
+
+def register_kernel(name: str, columns: Callable[[], Column], arrays: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None) -> None:
+    """Add a kernel that ``forward`` and ``facet_gradient`` take by name.
+
+    ``columns`` gives the term of one pair over the columns of ``facet_parts``; ``arrays`` the
+    same over ``array_parts``, for the path without shuffle. Without it pairs are summed by one
+    aggregation. Built-in names cannot be replaced.
+    """
+    if name in KINDS:
+        raise ValueError(f"{name} is a built-in kernel")
+    _ADDED[name] = (columns, arrays)
+
+
 def _column_kernel(kind: str, field: g.Vec | None) -> Column:
+    if kind in _ADDED:
+        return _ADDED[kind][0]()
+    if kind not in KINDS:
+        raise ValueError(f"no kernel {kind}")
     if kind == "gravity":
         return gravity_kernel()
     if kind in ("tmi", "tmi_ascoded"):
@@ -176,7 +201,10 @@ def forward(obs: DataFrame, facets: DataFrame, kind: str, weight: Column, by: li
     by = by or []
     extra = ["m_x", "m_y", "m_z"] if kind.startswith("tmi") else []
     ready = facets.select(*CORNERS, *extra, *by, weight.cast("double").alias("__w"))
-    if ready.count() > BROADCAST_FACETS:
+    added = _ADDED.get(kind)
+    if added is None and kind not in KINDS:
+        raise ValueError(f"no kernel {kind}")
+    if (added and added[1] is None) or ready.count() > BROADCAST_FACETS:
         dealt = facets.withColumn("__w", weight)
         unit = tuple(F.lit(float(x)) for x in field) if field else None
         terms = facet_parts(pairs(obs, dealt)).select("obs_id", *by, (_column_kernel(kind, unit) * F.col("__w")).alias("__t"))
@@ -191,6 +219,7 @@ def forward(obs: DataFrame, facets: DataFrame, kind: str, weight: Column, by: li
     onto = np.zeros((len(rows), len(groups) if by else 1))
     onto[np.arange(len(rows)), number] = w
     held = spark.sparkContext.broadcast((corner, m, onto, groups, np.array(field) if field else None))
+    arrays = added[1] if added else None
 
     def run(batches):
         corner, m, onto, groups, f = held.value
@@ -199,7 +228,8 @@ def forward(obs: DataFrame, facets: DataFrame, kind: str, weight: Column, by: li
             for at in range(0, len(pdf), step):
                 part = pdf.iloc[at : at + step]
                 o = part[["x", "y", "z"]].to_numpy(float)
-                sums = _array_kernel(kind, array_parts(o, corner), m, f) @ onto
+                parts = array_parts(o, corner)
+                sums = (arrays(parts) if arrays else _array_kernel(kind, parts, m, f)) @ onto
                 out = pd.DataFrame({"obs_id": np.repeat(part["obs_id"].to_numpy(), onto.shape[1])})
                 for c in by:
                     out[c] = np.tile(groups[c].to_numpy(), len(part))
@@ -239,11 +269,15 @@ def mesh_volume(facets: DataFrame, by: list[str]) -> DataFrame:
     return facets.groupBy(*by).agg((F.sum(g.triple(p, q, r)) / 6.0).alias("volume"))
 
 
-def facet_gradient(obs: DataFrame, facets: DataFrame, step: float = 1e-4) -> DataFrame:
-    """Forward-difference derivatives of the gravity factor by each of the nine coordinates."""
+def facet_gradient(obs: DataFrame, facets: DataFrame, step: float = 1e-4, kind: str = "gravity", field: tuple[float, float, float] | None = None) -> DataFrame:
+    """Forward-difference derivatives of a facet factor by each of the nine coordinates.
+
+    ``kind`` as in ``forward``; tmi takes facet columns m_x, m_y, m_z and the field's direction.
+    """
     moves = F.explode(F.array(*[F.lit(i) for i in range(-1, 9)]))
     moved = pairs(obs, facets).withColumn("__move", moves)
     moved = moved.withColumns({c: F.col(c) + F.when(F.col("__move") == j, step).otherwise(0.0) for j, c in enumerate(CORNERS)})
-    terms = facet_parts(moved).select("obs_id", "group_id", "t_id", "__move", gravity_kernel().alias("v"))
+    unit = tuple(F.lit(float(x)) for x in field) if field else None
+    terms = facet_parts(moved).select("obs_id", "group_id", "t_id", "__move", _column_kernel(kind, unit).alias("v"))
     of = lambda j: F.max(F.when(F.col("__move") == j, F.col("v")))
     return terms.groupBy("obs_id", "group_id", "t_id").agg(*[((of(j) - of(-1)) / step).alias(f"d_{c}") for j, c in enumerate(CORNERS)])

@@ -26,8 +26,11 @@ def reference_penalty(parameters: DataFrame, weight: float) -> DataFrame:
 def normal_equations(responses: DataFrame, data: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
     """(groups, U'W2U, U'W2d) of responses(obs_id, group_id, u) and data(obs_id, value, std).
 
-    One self-join by observation and one aggregation; the result has groups squared rows.
+    One self-join by observation and one aggregation; the result has groups squared rows. The
+    number of groups is counted first and may not exceed ``MAX_PARAMETERS``.
     """
+    if responses.select("group_id").distinct().count() > MAX_PARAMETERS:
+        raise ValueError(f"at most {MAX_PARAMETERS} groups are solved on the driver")
     w2 = F.when(F.col("std") > 0, 1.0 / (F.col("std") * F.col("std"))).otherwise(1.0)
     rows = responses.join(data.select("obs_id", "value", w2.alias("w2")), "obs_id")
     packed = rows.groupBy("obs_id", "value", "w2").agg(F.collect_list(F.struct("group_id", "u")).alias("us"))
@@ -35,8 +38,6 @@ def normal_equations(responses: DataFrame, data: DataFrame) -> tuple[list, np.nd
     cross = pairs.groupBy(F.col("i.group_id").alias("i"), F.col("j.group_id").alias("j")).agg(F.sum(F.col("w2") * F.col("i.u") * F.col("j.u")).alias("a"), F.sum(F.col("w2") * F.col("i.u") * F.col("value")).alias("b"))
     found = cross.collect()
     names = sorted({r["i"] for r in found})
-    if len(names) > MAX_PARAMETERS:
-        raise ValueError(f"at most {MAX_PARAMETERS} groups are solved on the driver")
     at = {n: k for k, n in enumerate(names)}
     a, b = np.zeros((len(names), len(names))), np.zeros(len(names))
     for r in found:
@@ -46,9 +47,15 @@ def normal_equations(responses: DataFrame, data: DataFrame) -> tuple[list, np.nd
 
 
 def bounded_least_squares(a: np.ndarray, b: np.ndarray, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, damping: float = 0.0, rounds: int = 2000) -> np.ndarray:
-    """Minimum of x'Ax/2 - b'x + damping |x - start|^2 / 2 within bounds, by coordinate descent."""
+    """Minimum of x'Ax/2 - b'x + damping |x - start|^2 / 2 within bounds.
+
+    The unbounded solution where it lies within them, else by coordinate descent.
+    """
     a = a + damping * np.eye(len(b))
     b = b + damping * start
+    free = np.linalg.lstsq(a, b, rcond=None)[0] if len(b) else b
+    if len(b) and np.linalg.matrix_rank(a) == len(b) and (free >= lower).all() and (free <= upper).all():
+        return free
     x = np.clip(start, lower, upper)
     for _ in range(rounds):
         before = x.copy()
@@ -72,10 +79,18 @@ def largest_eigenvalue(a: np.ndarray, rounds: int = 50, tolerance: float = 1e-8)
     return value
 
 
-def balance(first: np.ndarray, second: np.ndarray) -> float:
-    """Weight of the second data set: ratio of largest eigenvalues, kept within 1e-6 and 1e6."""
+def balance(first: np.ndarray, second: np.ndarray, gradients: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """Weight of the second data set: ratio of largest eigenvalues, kept within 1e-6 and 1e6.
+
+    Where that ratio is not positive and finite, the ratio of the norms of the two misfit
+    ``gradients``; 1 where these vanish too or are not given.
+    """
     top, low = largest_eigenvalue(first), largest_eigenvalue(second)
-    return float(np.clip(top / low, 1e-6, 1e6)) if low > 0 else 1.0
+    ratio = top / low if low > 1e-60 else 0.0
+    if np.isfinite(ratio) and ratio > 0:
+        return float(np.clip(ratio, 1e-6, 1e6))
+    one, two = (float(np.linalg.norm(g)) for g in gradients) if gradients else (0.0, 0.0)
+    return one / two if one >= 1e-60 and two > 1e-60 else 1.0
 
 
 class Bounded:
@@ -110,7 +125,12 @@ class Bounded:
         return -q
 
     def step(self, x: np.ndarray, f: float, g: np.ndarray, d: np.ndarray) -> tuple[float, np.ndarray, float]:
-        """Armijo backtracking along the projected direction: (length, point, value)."""
+        """Armijo backtracking along the projected direction: (length, point, value).
+
+        A trial whose projected step does not go downhill is halved like one that rises. Length 0
+        and the old point if no trial down to 1e-16 passes. Without line search the whole
+        projected step is taken.
+        """
         if not self.line_search:
             new = self.project(x + d)
             return 1.0, new, self.value(new)
@@ -119,9 +139,11 @@ class Bounded:
         length = 1.0
         while length > 1e-16:
             new = self.project(x + length * d)
-            got = self.value(new)
-            if got <= f + 1e-4 * (g @ (new - x)):
-                return length, new, got
+            fall = g @ (new - x)
+            if fall < 0:
+                got = self.value(new)
+                if got <= f + 1e-4 * fall:
+                    return length, new, got
             length /= 2
         return 0.0, x, f
 

@@ -39,13 +39,15 @@ def _near_cells(points: DataFrame, side: float, dims: int) -> DataFrame:
     return out
 
 
-def classify(points: DataFrame, facets: DataFrame, bottom: float | None = None) -> DataFrame:
-    """(obs_id, group_id) of the first closed mesh (by group_id) that holds each point; -1 for none.
+def classify(points: DataFrame, facets: DataFrame, bottom: float | None = None, by: list[str] | None = None) -> DataFrame:
+    """(obs_id, *by, group_id) of the first closed mesh (by group_id) that holds each point; -1 for none.
 
     A ray along +x from the point, moved by 1.234567e-6 in y and 2.345678e-6 in z so that it
     meets no edge, crosses the mesh an odd number of times. Rays meet facets through cells of
-    the facets' y-z extents. Points under ``bottom`` are outside.
+    the facets' y-z extents. Points under ``bottom`` are outside. ``by``: columns of both that
+    tell models apart (a point is held against the facets of its own).
     """
+    by = by or []
     p, q, r = corners()
     oy, oz = F.col("y") + 1.234567e-6, F.col("z") + 2.345678e-6
     o = (F.col("x"), oy, oz)
@@ -59,13 +61,13 @@ def classify(points: DataFrame, facets: DataFrame, bottom: float | None = None)
     t = g.dot(e2, w) / det
     hit = (F.abs(det) >= 1e-30) & u.between(0.0, 1.0) & (v >= 0.0) & (u + v <= 1.0) & (t > 1e-12)
     spans = [(F.least(*[f"{c}{a}" for c in "pqr"]), F.greatest(*[f"{c}{a}" for c in "pqr"])) for a in "yz"]
-    both = with_boxes(points.select("obs_id", "x", "y", "z"), [oy, oz], facets, spans, ["group_id", "t_id", *[f"{c}{a}" for c in "pqr" for a in "xyz"]])
-    crossed = both.filter(hit).groupBy("obs_id", "group_id").agg(F.count("*").alias("n")).filter("n % 2 = 1")
-    first = crossed.groupBy("obs_id").agg(F.min("group_id").alias("__g"))
+    both = with_boxes(points.select("obs_id", *by, "x", "y", "z"), [oy, oz], facets, spans, ["group_id", "t_id", *by, *[f"{c}{a}" for c in "pqr" for a in "xyz"]], by)
+    crossed = both.filter(hit).groupBy("obs_id", *by, "group_id").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    first = crossed.groupBy("obs_id", *by).agg(F.min("group_id").alias("__g"))
     found = F.coalesce("__g", F.lit(-1))
     if bottom is not None:
         found = F.when(F.col("z") < bottom, -1).otherwise(found)
-    return points.join(first, "obs_id", "left").select("obs_id", found.alias("group_id"))
+    return points.join(first, ["obs_id", *by], "left").select("obs_id", *by, found.alias("group_id"))
 
 
 def surface_z(points: DataFrame, facets: DataFrame) -> DataFrame:

@@ -10,13 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terralith.operators.storage import stored
+
 NO_DATA = -9999.0
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files, numbered from 1 within each file; a file is one partition's work."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path"), F.decode("content", "UTF-8").alias("text"))
-    return number_lines(whole)
+    """(path, line_no, line) of text files, numbered from 1 within each file.
+
+    Files are read in splits like any text, so a large one is many tasks' work: lines count from
+    the start of their split, and splits from the lines of those before them in the file. The
+    lines are written once, so that both counts see the same rows.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    held = stored(raw)
+    splits = held.groupBy("path", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "at", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return held.join(splits, ["path", "at"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).cast("int").alias("line_no"), "line")
 
 
 def number_lines(texts: DataFrame) -> DataFrame:
@@ -105,6 +116,43 @@ def gates(lines: DataFrame) -> DataFrame:
     )
 
 
+def missing_columns(lines: DataFrame, required: list[str]) -> DataFrame:
+    """(path, missing): the required columns that a file's first line does not name, in order."""
+    names = F.transform(F.split("line", ","), lambda x: F.lower(trimmed(x)))
+    return lines.filter("line_no = 1").select("path", F.array_except(F.array(*[F.lit(c) for c in required]), names).alias("missing"))
+
+
+def cluster_rows(lines: DataFrame) -> DataFrame:
+    """(path, line_no, header, row): data lines of a CSV with its header as arrays, nothing dropped."""
+    head = lines.filter("line_no = 1").select("path", F.split("line", ",").alias("header"))
+    rows = lines.filter((F.col("line_no") > 1) & (F.trim("line") != ""))
+    return rows.join(F.broadcast(head), "path").select("path", "line_no", "header", F.split("line", ",").alias("row"))
+
+
+def rewrite_rows(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """(path, line_no, line): ``cluster_rows`` as text again, with changed fields.
+
+    changes(key, column, value): a field takes the value where the row's ``key`` column says
+    so; columns and rows keep their order, and columns that nobody knows are kept too.
+    """
+    own = F.element_at(F.map_from_arrays("header", F.slice("row", F.lit(1), F.size("header"))), F.lit(key))
+    by_key = changes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("new"))
+    out = rows.withColumn("key", own).join(by_key, "key", "left")
+    fields_ = F.zip_with("header", "row", lambda h, x: F.coalesce(F.element_at(F.col("new"), h), x))
+    body = out.select("path", "line_no", F.array_join(F.when(F.col("new").isNull(), F.col("row")).otherwise(fields_), ",", "").alias("line"))
+    heads = rows.groupBy("path").agg(F.array_join(F.first("header"), ",").alias("line")).select("path", F.lit(1).alias("line_no"), "line")
+    return heads.unionByName(body)
+
+
+def observed(spark: SparkSession, path: str) -> DataFrame:
+    """x, y, z, value of an observed CSV with a header; one row of zeros where the file is absent."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.range(1).select(*[F.lit(0.0).alias(c) for c in ("x", "y", "z", "value")])
+    rows = read_lines(spark, path).filter((F.col("line_no") > 1) & (F.trim("line") != "")).select(F.split("line", ",").alias("f"))
+    return rows.select(*[number(F.get("f", F.lit(i))).alias(c) for i, c in enumerate(("x", "y", "z", "value"))])
+
+
 def by_header(lines: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Columns found by the names in the first line; shorter rows are dropped. columns: name to type."""
     head = lines.filter("line_no = 1").first()
@@ -230,6 +278,14 @@ def tsurf(lines: DataFrame, honour_ids: bool = True) -> tuple[DataFrame, DataFra
     return v.drop("file_id"), t.select("path", "t_id", "v0", "v1", "v2")
 
 
+def tsurf_names(lines: DataFrame) -> DataFrame:
+    """(path, name): the name in a TSurf header ('name:...' up to its closing brace), '' if none."""
+    end = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    head = lines.withColumn("closed", F.max((F.trim("line") == "}").cast("int")).over(end)).filter("closed = 0")
+    name = F.regexp_extract("line", r"(?i)^\s*\*?name\s*:\s*(.*?)\s*$", 1)
+    return head.groupBy("path").agg(F.coalesce(F.min_by(F.when(name != "", name), F.when(name != "", F.col("line_no"))), F.lit("")).alias("name"))
+
+
 def load_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, triangles) by the path's lower-cased extension: .obj or .ts."""
     lines = read_lines(spark, path)

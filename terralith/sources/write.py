@@ -26,11 +26,15 @@ def obj_lines(vertices: DataFrame, triangles: DataFrame, places: int = 3) -> Dat
     return v.unionByName(t)
 
 
-def tsurf_lines(vertices: DataFrame, triangles: DataFrame, name: str) -> DataFrame:
-    """(part, ord, line) of a TSurf file: header, VRTX in scientific form with 8 places, TRGL, END."""
+def tsurf_lines(vertices: DataFrame, triangles: DataFrame, name: str, places: int | None = None) -> DataFrame:
+    """(part, ord, line) of a TSurf file: header, VRTX, TRGL, END.
+
+    Coordinates have 8 places in scientific form, or ``places`` plain ones.
+    """
+    form = "%.8e" if places is None else f"%.{places}f"
     spark = vertices.sparkSession
     head = spark.createDataFrame([(0, i, x) for i, x in enumerate(["GOCAD TSurf 1", "HEADER {", f"name:{name}", "}", "TFACE"])] + [(3, 0, "END")], "part int, ord long, line string")
-    v = vertices.select(F.lit(1).alias("part"), F.col("v_id").alias("ord"), F.format_string("VRTX %d %.8e %.8e %.8e", F.col("v_id") + 1, "x", "y", "z").alias("line"))
+    v = vertices.select(F.lit(1).alias("part"), F.col("v_id").alias("ord"), F.format_string(f"VRTX %d {form} {form} {form}", F.col("v_id") + 1, "x", "y", "z").alias("line"))
     t = triangles.select(F.lit(2).alias("part"), F.col("t_id").alias("ord"), F.format_string("TRGL %d %d %d", F.col("v0") + 1, F.col("v1") + 1, F.col("v2") + 1).alias("line"))
     return head.unionByName(v).unionByName(t)
 
@@ -72,15 +76,79 @@ def log_lines(history: DataFrame, columns: list[str]) -> DataFrame:
     return history.select(F.col("iteration").alias("ord"), F.concat_ws("\t", F.col("iteration").cast("string"), *[F.format_string("%.6f", F.col(c)) for c in columns]).alias("line"))
 
 
-def label_bytes(cells: DataFrame) -> bytes:
-    """A label grid as header line and int32 block (x fastest); for grids that fit the driver."""
-    import numpy as np
+def label_slabs(cells: DataFrame, shape: tuple[int, int, int], fill: int = -1) -> DataFrame:
+    """(iz, block): the int32 bytes of each horizontal slab of a label grid, x fastest.
 
-    pdf = cells.select("ix", "iy", "iz", "label").toPandas()
-    shape = [int(pdf[c].max()) + 1 for c in ("ix", "iy", "iz")]
-    block = np.full(shape[::-1], -1, "<i4")
-    block[pdf["iz"], pdf["iy"], pdf["ix"]] = pdf["label"]
-    return " ".join(map(str, shape)).encode() + b"\n" + block.tobytes()
+    Cells that are absent get ``fill``. A slab is one task's work; no task holds the grid.
+    """
+    import numpy as np
+    import pandas as pd
+
+    nx, ny, nz = shape
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = np.full((ny, nx), fill, "<i4")
+        own = pdf[pdf["ix"].notna()]
+        block[own["iy"].astype(int), own["ix"].astype(int)] = own["label"]
+        return pd.DataFrame({"iz": [int(pdf["iz"].iloc[0])], "block": [block.tobytes()]})
+
+    every = cells.sparkSession.range(nz).select(F.col("id").cast("int").alias("iz"))
+    inside = F.col("ix").between(0, nx - 1) & F.col("iy").between(0, ny - 1)
+    rows = every.join(cells.filter(inside).select("ix", "iy", F.col("iz").cast("int").alias("iz"), F.col("label").cast("int").alias("label")), "iz", "left")
+    return rows.groupBy("iz").applyInPandas(pack, "iz int, block binary")
+
+
+def write_label_grid(cells: DataFrame, shape: tuple[int, int, int], path: str) -> None:
+    """A label grid file: header line, then the slabs, streamed one at a time through the driver."""
+    spark = cells.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(" ".join(map(str, shape)).encode() + b"\n"))
+        for row in label_slabs(cells, shape).orderBy("iz").toLocalIterator():
+            out.write(bytearray(row["block"]))
+    finally:
+        out.close()
+
+
+def surface_csv(vertices: DataFrame) -> DataFrame:
+    """(part, ord, line) of a point file: x,y,z with three places under a header."""
+    head = vertices.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit("x,y,z").alias("line"))
+    return head.unionByName(vertices.select(F.lit(1).alias("part"), F.col("v_id").cast("long").alias("ord"), F.format_string("%.3f,%.3f,%.3f", "x", "y", "z").alias("line")))
+
+
+def convergence_csv(history: DataFrame) -> DataFrame:
+    """(part, ord, line) of a convergence file: iteration and its four terms with six digits."""
+    terms = ["beta", "phi_d", "phi_m", "f"]
+    head = history.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit(",".join(["iter", *terms])).alias("line"))
+    line = F.concat_ws(",", F.col("iteration").cast("string"), *[F.format_string("%.6e", F.col(c)) for c in terms])
+    return head.unionByName(history.select(F.lit(1).alias("part"), F.col("iteration").cast("long").alias("ord"), line.alias("line")))
+
+
+def bundle(vertices: DataFrame, triangles: DataFrame, path: str, key: str = "group_id") -> None:
+    """All groups' meshes under ``path``: obj, ts and csv, a folder each by format and group.
+
+    One job for all groups: rows are dealt by group and format, and each file is one sorted
+    stream. vertices(key, v_id, ...) and triangles(key, t_id, ...) count from 0 in each group.
+    """
+    names = vertices.select(key).distinct()
+    v = vertices.select(key, F.lit(1).alias("part"), F.col("v_id").cast("long").alias("ord"), "x", "y", "z")
+    t = triangles.select(key, F.lit(2).alias("part"), F.col("t_id").cast("long").alias("ord"), *[(F.col(c) + 1).alias(c) for c in ("v0", "v1", "v2")])
+    rows = [
+        v.select(key, F.lit("obj").alias("format"), "part", "ord", F.format_string("v %.3f %.3f %.3f", "x", "y", "z").alias("line")),
+        t.select(key, F.lit("obj"), "part", "ord", F.format_string("f %d %d %d", "v0", "v1", "v2")),
+        v.select(key, F.lit("csv"), "part", "ord", F.format_string("%.3f,%.3f,%.3f", "x", "y", "z")),
+        names.select(key, F.lit("csv"), F.lit(0), F.lit(0).cast("long"), F.lit("x,y,z")),
+        v.select(key, F.lit("ts"), "part", "ord", F.format_string("VRTX %d %.8e %.8e %.8e", F.col("ord") + 1, "x", "y", "z")),
+        t.select(key, F.lit("ts"), "part", "ord", F.format_string("TRGL %d %d %d", "v0", "v1", "v2")),
+        names.select(key, F.lit("ts"), F.lit(3), F.lit(0).cast("long"), F.lit("END")),
+    ]
+    head = F.posexplode(F.array(F.lit("GOCAD TSurf 1"), F.lit("HEADER {"), F.concat(F.lit("name:volume_group_"), F.col(key).cast("string")), F.lit("}"), F.lit("TFACE"))).alias("ord", "line")
+    out = names.select(key, F.lit("ts").alias("format"), F.lit(0).alias("part"), head).withColumn("ord", F.col("ord").cast("long"))
+    for more in rows:
+        out = out.union(more)
+    out = out.withColumn("group", F.col(key).cast("string"))
+    out.repartition("format", "group").sortWithinPartitions("format", "group", "part", "ord").select("format", "group", "line").write.mode("overwrite").partitionBy("format", "group").text(path)
 
 
 def mesh_text(shape: tuple[int, int, int], origin: tuple[float, float, float], size: tuple[float, float, float]) -> list[str]:
@@ -89,9 +157,31 @@ def mesh_text(shape: tuple[int, int, int], origin: tuple[float, float, float], s
     return head + [f"{n}*{s:.3f}" for n, s in zip(shape, size, strict=True)]
 
 
-def ini_text(options: dict[str, dict[str, object]]) -> list[str]:
-    """Lines of an INI configuration."""
-    return [line for section, keys in options.items() for line in [f"[{section}]", *[f"{k} = {v}" for k, v in keys.items()]]]
+def relative_path(target: str | None, ini_path: str) -> str:
+    """``target`` as seen from the folder of the INI file, with forward slashes; '' for none."""
+    import posixpath
+
+    if target is None:
+        return ""
+    return posixpath.relpath(target.replace("\\", "/"), posixpath.dirname(ini_path.replace("\\", "/")) or ".")
+
+
+def ini_text(options: dict[str, dict[str, object]], ini_path: str | None = None, paths: tuple[str, ...] = ()) -> list[str]:
+    """Lines of an INI configuration, sections parted by an empty line where ``ini_path`` is given.
+
+    Then the keys named in ``paths`` are written relative to the INI's folder (lists joined by
+    commas), keys without a value are left out, and truth values are written in lower case.
+    """
+    if ini_path is None:
+        return [line for section, keys in options.items() for line in [f"[{section}]", *[f"{k} = {v}" for k, v in keys.items()]]]
+
+    def text(key, value):
+        if key in paths:
+            return ",".join(relative_path(x, ini_path) for x in ([value] if isinstance(value, str) else value))
+        return str(value).lower() if isinstance(value, bool) else str(value)
+
+    blocks = [[f"[{section}]", *[f"{k} = {text(k, v)}" for k, v in keys.items() if v is not None]] for section, keys in options.items()]
+    return [line for i, block in enumerate(blocks) for line in ([""] if i else []) + block]
 
 
 def observed_lines(obs: DataFrame) -> DataFrame:

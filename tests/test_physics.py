@@ -216,3 +216,89 @@ def test_side_of_the_nearest_triangle(spark):
         return best[1]
 
     assert all(got[i] == sign(q) for i, q in enumerate(points))
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    for name, n in (("a.txt", 5000), ("b.txt", 3), ("c.txt", 0)):
+        (tmp_path / name).write_text("".join(f"{name} {i + 1} {'x' * (i % 40)}\r\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = t.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 5003
+    for r in rows:
+        name, i = r.line.split()[:2]
+        assert r.path.endswith(name) and r.line_no == int(i)
+
+
+def test_label_grid_round_trip(spark, tmp_path):
+    from terralith.sources import write as w
+
+    rng = np.random.default_rng(2)
+    want = rng.integers(0, 9, (4, 3, 5)).astype("<i4")  # z, y, x
+    cells = spark.createDataFrame([(x, y, z, int(want[z, y, x])) for z in range(4) for y in range(3) for x in range(5) if (x, y, z) != (2, 1, 3)], "ix int, iy int, iz int, label int")
+    want[3, 1, 2] = -1
+    w.write_label_grid(cells, (5, 3, 4), str(tmp_path / "g.bin"))
+    assert (tmp_path / "g.bin").read_bytes() == b"5 3 4\n" + want.tobytes()
+
+
+def test_magnetic_gradient_sums_to_a_shift(spark):
+    """Moving all corners of a body by dz changes the field like moving the station by -dz."""
+    m = (0.2, -0.3, -0.9)
+    facets = box(spark).withColumns({f"m_{a}": F.lit(v) for a, v in zip("xyz", m)})
+    rows = forward.facet_gradient(obs(spark, (15, 5, 0)), facets, 1e-3, "tmi", m).agg(F.sum(F.col("d_pz") + F.col("d_qz") + F.col("d_rz")).alias("s")).first()
+    at = lambda z: forward.forward(obs(spark, (15, 5, z)), facets, "tmi", F.lit(1.0), field=m).first().response
+    assert rows.s == pytest.approx(-(at(0.01) - at(-0.01)) / 0.02, rel=2e-3)
+
+
+def test_kernels_by_name(spark):
+    forward.register_kernel("test_height", lambda: F.col("h"))
+    both = forward.facet_parts(forward.pairs(obs(spark, (0, 0, 0)), box(spark))).agg(F.sum("h").alias("s")).first().s
+    assert forward.forward(obs(spark, (0, 0, 0)), box(spark), "test_height", F.lit(1.0)).first().response == pytest.approx(both)
+    for wrong in ("gravity", "tmi"):
+        with pytest.raises(ValueError):
+            forward.register_kernel(wrong, lambda: F.lit(0.0))
+    with pytest.raises(ValueError):
+        forward.forward(obs(spark, (0, 0, 0)), box(spark), "nothing", F.lit(1.0))
+
+
+def test_steps_at_an_active_bound_go_downhill():
+    """The projected step of this direction climbs at full length; it must be halved or refused."""
+    opt = inversion.Bounded(lambda x: float(x[0] + 10 * x[1]), lambda x: np.array([1.0, 10.0]), np.array([0.0, 0.0]), np.array([1.0, 1.0]))
+    x, g_ = np.array([0.0, 0.5]), np.array([1.0, 10.0])
+    length, new, got = opt.step(x, 5.0, g_, np.array([-100.0, 0.5]))
+    assert length == 0.0 and got == 5.0 and (new == x).all()
+    down = opt.minimise(np.array([0.9, 0.9]))
+    assert np.allclose(down, 0)
+
+
+def test_alternating_loop_halves_and_reverts():
+    from terralith.operators.runs import Alternating
+
+    loop = Alternating(lambda p, q, n: (p + 8.0, 1, False), lambda p: p[0] <= 2.5, None, most=3, interval=1, retries=5)
+    p, _ = loop.run(np.array([0.0]), {})
+    assert p[0] == pytest.approx(2.5) and [r["halved"] for r in loop.log[:2]] == [2, 4]
+    stuck = Alternating(lambda p, q, n: (p + 1000.0, 1, False), lambda p: p[0] <= 0, None, most=2)
+    p, _ = stuck.run(np.array([0.0]), {})
+    assert p[0] == 0 and not any(r["accepted"] for r in stuck.log) and len(stuck.log) == 6
+    only = Alternating(None, lambda p: True, lambda p, q: {1: 2.0}, most=5)
+    assert only.run(np.array([0.0]), {1: 0.0})[1] == {1: 2.0} and len(only.log) == 1
+
+
+def test_property_solves_fit_their_data(spark):
+    from terralith.operators import runs
+
+    b = spark.createDataFrame([(1, -200.0, 0.0, -150.0, 80.0), (2, 200.0, 50.0, -250.0, 80.0)], "group_id int, cx double, cy double, cz double, half double")
+    stations = runs.observation_grid(spark, 6, 500.0, 200.0)
+    units = runs.unit_magnetics(stations, forward.box_facets(b), -60.0, 10.0, 50000.0, "fixed_vector")
+    truth = {(1, "chi"): 0.03, (1, "m"): 0.0, (2, "chi"): 0.01, (2, "m"): 0.0}
+    rows = spark.createDataFrame([(g, p, v) for (g, p), v in truth.items()], "group_id int, part string, v double")
+    data = units.join(rows, ["group_id", "part"]).groupBy("obs_id").agg(F.sum(F.col("u") * F.col("v")).alias("value")).withColumn("std", F.lit(1.0))
+    found = runs.solve_properties(units, data, {"chi": 0.02, "m": 0.0}, {"chi": 0.0, "m": -5.0}, {"chi": 1.0, "m": 5.0}, damping=1e-6)
+    got = spark.createDataFrame([(g, p, v) for (g, p), v in found.items()], "group_id int, part string, v double")
+    fit = units.join(got, ["group_id", "part"]).groupBy("obs_id").agg(F.sum(F.col("u") * F.col("v")).alias("p")).join(data, "obs_id")
+    worst, top = fit.agg(F.max(F.abs(F.col("p") - F.col("value"))), F.max(F.abs("value"))).first()
+    assert worst < 0.01 * top
+    assert all(0 <= v <= 1 for (_, p), v in found.items() if p == "chi")
