@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 MAX_GATES = 500
 
 
+#: Clusters that one array may hold.
+BROADCAST_CLUSTERS = 4096
+
+
 def valid(density: Column, sentinel: float = -9999.0) -> Column:
     """Whether a cell holds data: density at least one above the sentinel."""
     return density >= sentinel + 1.0
@@ -133,11 +137,14 @@ def fill_empty_groups(groups: DataFrame, expected: DataFrame) -> DataFrame:
 def nearest_cluster(rows: DataFrame, clusters: DataFrame, id_cols: list[str], susceptibility_weight: float | None = None) -> DataFrame:
     """(ids, cluster_id) of the cluster nearest in density, or in density and weighted susceptibility.
 
-    Clusters are few and broadcast as one array, so rows are neither multiplied nor shuffled.
-    In the two-property form clusters of density 0 are left out; ties go to the smaller id.
+    Up to ``BROADCAST_CLUSTERS`` clusters are broadcast as one array, so rows are neither
+    multiplied nor shuffled; more are dealt into blocks that rows meet by number, one row for
+    each value of ``id_cols``. In the two-property form clusters of density 0 are left out; ties
+    go to the smaller id.
     """
     used = clusters if susceptibility_weight is None else clusters.filter("density <> 0")
-    listed = used.agg(F.array_sort(F.collect_list(F.struct("cluster_id", F.col("density").alias("d"), F.col("susceptibility").alias("s")))).alias("__c"))
+    blocks = -(-used.count() // BROADCAST_CLUSTERS) or 1
+    held = F.array_sort(F.collect_list(F.struct("cluster_id", F.col("density").alias("d"), F.col("susceptibility").alias("s")))).alias("__c")
 
     def distance(c):
         near = F.abs(F.col("density") - c["d"])
@@ -146,7 +153,11 @@ def nearest_cluster(rows: DataFrame, clusters: DataFrame, id_cols: list[str], su
         return F.struct(near.alias("near"), c["cluster_id"].alias("id"))
 
     best = F.array_min(F.transform("__c", distance))
-    return rows.crossJoin(F.broadcast(listed)).select(*id_cols, best["id"].alias("cluster_id"))
+    if blocks == 1:
+        return rows.crossJoin(F.broadcast(used.agg(held))).select(*id_cols, best["id"].alias("cluster_id"))
+    dealt = used.groupBy(F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)).alias("__b")).agg(held)
+    met = rows.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "__b")
+    return met.select(*id_cols, best.alias("best")).groupBy(*id_cols).agg(F.min("best")["id"].alias("cluster_id"))
 
 
 def mixture(cells: DataFrame, columns: list[str], k: int, rounds: int = 30, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:

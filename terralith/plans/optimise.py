@@ -63,12 +63,12 @@ def split_mesh(spark, d):
 
 @query("padding_extrapolation")
 def padding_extrapolation(spark, d):
-    """The height field's full rows with their outer ring continued from the inside."""
+    """The height field, as a grid of ten columns, with its outer ring continued from the inside."""
     k = F.col("v_id")
     v = b.vertices(spark, d)
-    rows = v.count() // 40
-    nodes = v.filter(k < rows * 40).select((k % 40).cast("int").alias("ix"), F.floor(k / 40).cast("int").alias("iy"), "z")
-    return md.pad_edges(nodes, 40, rows)
+    last = int(v.agg(F.max("v_id")).first()[0])
+    nodes = v.select((k % 10).cast("int").alias("ix"), F.floor(k / 10).cast("int").alias("iy"), "z")
+    return md.pad_edges(nodes, 10, last // 10 + 1)
 
 
 @query("boundary_loops")

@@ -302,3 +302,12 @@ def test_property_solves_fit_their_data(spark):
     worst, top = fit.agg(F.max(F.abs(F.col("p") - F.col("value"))), F.max(F.abs("value"))).first()
     assert worst < 0.01 * top
     assert all(0 <= v <= 1 for (_, p), v in found.items() if p == "chi")
+
+
+def test_nearest_cluster_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, *map(float, rng.random(2))) for i in range(60)], "cell_id int, density double, susceptibility double")
+    c = spark.createDataFrame([(i, *map(float, rng.random(2))) for i in range(40)] + [(40, 0.0, 0.0)], "cluster_id int, density double, susceptibility double")
+    one = [sorted(map(tuple, clustering.nearest_cluster(rows, c, ["cell_id"], w).collect())) for w in (None, 2.0)]
+    monkeypatch.setattr(clustering, "BROADCAST_CLUSTERS", 9)
+    assert [sorted(map(tuple, clustering.nearest_cluster(rows, c, ["cell_id"], w).collect())) for w in (None, 2.0)] == one
