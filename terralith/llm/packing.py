@@ -16,6 +16,7 @@ last windows, so the corpus has one partial window at most.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -55,7 +56,8 @@ def _tokenizer(path: str):
 @cache
 def _added(path: str) -> list[str]:
     """Contents of the file's added tokens, which the library finds in texts before it splits them."""
-    return [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens") or []]
 
 
 class Encoder:

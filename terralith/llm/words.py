@@ -179,7 +179,7 @@ def _firsts(codes: np.ndarray, n: int) -> np.ndarray:
     return place
 
 
-def chunks(texts: list[str], limit: int = 1 << 21):
+def chunks(texts: list[str], limit: int = 1 << 19):
     """Consecutive slices of ``texts`` of about ``limit`` characters (one text at least)."""
     at, size = 0, 0
     for i, t in enumerate(texts):
