@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from terralith.llm.common import table
 from terralith.llm.merges import MergeTable
-from terralith.llm.words import Batch, Dictionary, chunks
+from terralith.llm.words import PIECE, Batch, Dictionary, chunks, pieces
 
 #: Bytes of a word from which it is folded with a heap (the fold over arrays is quadratic).
 LONG_WORD = 256
@@ -206,21 +206,32 @@ class _Folded:
             self.count.append(len(ids))
 
 
-def _assemble(ranks_path: str, make):
-    """Map over (id, text) batches that hands ``make`` the documents' words: ids, bytes, counts."""
+def _assemble(ranks_path: str, make, make_long):
+    """Map over (id, text) batches that hands ``make`` the documents' words: ids, bytes, counts.
+
+    A long text goes to ``make_long`` alone, as (codes, ids, bytes, counts) piece by piece.
+    """
 
     def run(batches):
         held = _Folded(ranks_path)
+
+        def coded(block):
+            nonlocal held
+            if held.words.full():
+                held = _Folded(ranks_path)
+            codes, fresh = held.words.number(block)
+            held.add(fresh)
+            return codes, held.id_text, held.raw, held.count
+
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             at = 0
             for part in chunks(texts):
-                if held.words.full():
-                    held = _Folded(ranks_path)
-                block = Batch(part)
-                codes, fresh = held.words.number(block)
-                held.add(fresh)
-                yield make(keys[at : at + len(part)], block.bounds, codes, held.id_text, held.raw, held.count)
+                if len(part) == 1 and len(part[0]) > PIECE:
+                    yield make_long(keys[at], (coded(Batch([x])) for x in pieces(part[0])))
+                else:
+                    block = Batch(part)
+                    yield make(keys[at : at + len(part)], block.bounds, *coded(block))
                 at += len(part)
 
     return run
@@ -242,6 +253,21 @@ def _digests(keys, bounds, codes, id_text, raw, count):
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(back_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def _digest_long(key, parts):
+    ids_sha, back_sha, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
+    for codes, id_text, raw, count in parts:
+        words = codes.tolist()
+        ids_sha.update((b"" if first else b",") + b",".join(map(id_text.__getitem__, words)))
+        back_sha.update(b"".join(map(raw.__getitem__, words)))
+        n, first = n + sum(map(count.__getitem__, words)), False
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n], pa.int64()), pa.array([ids_sha.hexdigest()]), pa.array([back_sha.hexdigest()])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _id_list_long(key, parts):
+    found = [np.array([int(x) for w in codes.tolist() for x in id_text[w].split(b",")], np.int32) for codes, id_text, _, _ in parts]
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.concatenate(found)], pa.list_(pa.int32()))], ["id", "tokens"])
+
+
 def _id_lists(keys, bounds, codes, id_text, _raw, _count):
     listed = codes.tolist()
     lists = [[int(x) for w in listed[bounds[i] : bounds[i + 1]] for x in id_text[w].split(b",")] for i in range(len(keys))]
@@ -254,7 +280,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     Null and empty texts have no tokens; repeated rows give equal rows; other columns are not
     read; an empty table gives an empty result. Marks of special tokens are ordinary text.
     """
-    return _source(docs, id_col, text_col).mapInArrow(_assemble(ranks_path, _id_lists), "id long, tokens array<int>")
+    return _source(docs, id_col, text_col).mapInArrow(_assemble(ranks_path, _id_lists, _id_list_long), "id long, tokens array<int>")
 
 
 def decode(tokens: DataFrame, ranks_path: str, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
@@ -269,7 +295,7 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "id", tokens_col: s
 def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: number of tokens, digest of the ids and digest of the decoded bytes."""
     return _source(docs, id_col, text_col).mapInArrow(
-        _assemble(ranks_path, _digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        _assemble(ranks_path, _digests, _digest_long), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 

@@ -190,7 +190,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         at = F.transform(F.filter("hits", _one_of(sorted(chosen))), lambda h: h["i"])
         spans.append(F.transform(_window_starts(at, size, need), _window(size)))
     windows = found.select("id", F.explode(F.concat(*spans)).alias("w")).select("id", "w.cls", _shingles(F.col("w.words")).alias("grams"))
-    windows = windows.select("id", "cls", "grams", F.xxhash64("grams").alias("same")).dropDuplicates(["id", "cls", "same"])
+    # equal windows of a text are told by two hashes, 128 bits together
+    windows = windows.select("id", "cls", "grams", F.struct(F.xxhash64("grams").alias("a"), F.xxhash64(F.lit("window"), "grams").alias("b")).alias("same"))
+    # a fixed number of partitions: little data but much work, which Spark would merge into few tasks
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    windows = windows.repartition(parts, "id", "cls", "same").dropDuplicates(["id", "cls", "same"])
     banded = _bands(windows, "grams", bands).select("id", "cls", "same", "grams", F.col("__m").alias("mins"))
     targets = _bands(known, "grams", bands).select("template", F.col("cls").alias("c2"), F.posexplode("__m").alias("band", "value"))
     targets = targets.groupBy("c2", "band", "value").agg(F.collect_set("template").alias("templates"))

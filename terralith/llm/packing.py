@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from terralith.llm.common import materialise, table
 from terralith.llm.merges import MergeTable
-from terralith.llm.words import Batch, Dictionary, Ragged, chunks
+from terralith.llm.words import PIECE, Batch, Dictionary, Ragged, chunks, pieces
 
 WINDOW = 2048
 QUANTUM = 256
@@ -86,17 +86,27 @@ class Encoder:
             parts[i] = self._by_library(fresh[i])
         self._ids.extend(np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts)))
 
+    def _gathered(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words of the batch in a row, their numbers by word)."""
+        if self._words.full():
+            self._words, self._ids = Dictionary(), Ragged(np.int64)
+        numbers, fresh = self._words.number(batch)
+        if fresh:
+            self._add(fresh)
+        return self._ids.gather(numbers)
+
+    def _piece(self, text: str) -> np.ndarray:
+        return self._gathered(Batch([text]))[0].astype(np.uint32)
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text; a long text is read in pieces."""
         for part in chunks(texts):
-            if self._words.full():
-                self._words, self._ids = Dictionary(), Ragged(np.int64)
+            if len(part) == 1 and len(part[0]) > PIECE and not any(m in part[0] for m in self._marks):
+                yield np.concatenate([self._piece(x) for x in pieces(part[0])])
+                continue
             quoting = {i for i, t in enumerate(part) if any(m in t for m in self._marks)}
             batch = Batch(["" if i in quoting else t for i, t in enumerate(part)] if quoting else part)
-            numbers, fresh = self._words.number(batch)
-            if fresh:
-                self._add(fresh)
-            flat, sizes = self._ids.gather(numbers)
+            flat, sizes = self._gathered(batch)
             ends = np.concatenate([[0], np.cumsum(sizes)])[batch.bounds]
             for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
                 yield self._by_library(part[i]) if i in quoting else flat[a:b]

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +36,28 @@ _KEYS_PER_RANGE = 40
 #: A fingerprint stores the top 48 bits of each kept hash, big-endian, ascending, in base64.
 _BYTES = 6
 _SHIFT = np.uint64(64 - 8 * _BYTES)
+#: Bytes of a text that are hashed at once.
+PIECE = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """Hashes of the words of one UTF-8 text, in order."""
+def word_hashes(raw: bytes, piece: int = PIECE) -> np.ndarray:
+    """Hashes of the words of one UTF-8 text, in order; a long text is read in pieces."""
+    found, at = [], 0
+    while at < len(raw):
+        gap = _GAP.search(raw, at + piece) if at + piece < len(raw) else None
+        end = gap.end() if gap else len(raw)
+        found.append(_word_hashes(raw[at:end]))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64)
     edges = np.flatnonzero(np.diff(_SPACE[b].astype(np.int8), prepend=1, append=1))
     return word_digests(_LOWER[b], edges[::2], edges[1::2])
 

@@ -7,6 +7,7 @@ operations on code points instead of a backtracking matcher.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -179,7 +180,22 @@ def _firsts(codes: np.ndarray, n: int) -> np.ndarray:
     return place
 
 
-def chunks(texts: list[str], limit: int = 1 << 19):
+#: Characters of texts that are split into words at once.
+PIECE = 1 << 19
+#: Before white space that follows a letter, digit or underscore a word ends in any case.
+_END = re.compile(r"(?<=\w)(?=[ \n])")
+
+
+def pieces(text: str, limit: int = PIECE):
+    """A long text in pieces of ``limit`` characters and more, cut where words end."""
+    at = 0
+    while len(text) - at > limit and (cut := _END.search(text, at + limit)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def chunks(texts: list[str], limit: int = PIECE):
     """Consecutive slices of ``texts`` of about ``limit`` characters (one text at least)."""
     at, size = 0, 0
     for i, t in enumerate(texts):

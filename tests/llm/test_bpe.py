@@ -48,7 +48,7 @@ def test_small_dictionary(enc, monkeypatch):
     ts = texts()
     monkeypatch.setattr(bpe.Dictionary, "LIMIT", 50)
     batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.string())], ["a", "b"]) for i, t in enumerate(ts)]
-    got = [b.column(1).to_pylist()[0] for b in bpe._assemble(PATH, bpe._id_lists)(batches)]
+    got = [b.column(1).to_pylist()[0] for b in bpe._assemble(PATH, bpe._id_lists, bpe._id_list_long)(batches)]
     assert got == [enc.encode_ordinary(t or "") for t in ts]
 
 
@@ -83,5 +83,18 @@ def test_words_with_equal_hashes(enc, apart):
     ts = [*thue_morse(2048), *thue_morse(1024), "ab " + thue_morse(2048)[1]]
     groups = [[t] for t in ts] if apart else [ts]
     batches = [pa.RecordBatch.from_arrays([pa.array(range(len(g))), pa.array(g, pa.string())], ["a", "b"]) for g in groups]
-    got = [x for b in bpe._assemble(PATH, bpe._id_lists)(batches) for x in b.column(1).to_pylist()]
+    got = [x for b in bpe._assemble(PATH, bpe._id_lists, bpe._id_list_long)(batches) for x in b.column(1).to_pylist()]
     assert got == [enc.encode_ordinary(t) for t in ts]
+
+
+def test_long_texts_in_pieces(spark, enc):
+    random.seed(5)
+    ts = ["".join(random.choices(["word ", "größe\n", "  x", "it's ", "12 ", "\n\n", "_a "], k=400_000)), "short", "y" * 700_000, "a b " * 300_000 + " "]
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.digests(df, PATH).collect()}
+    tokens = {r.id: r.tokens for r in bpe.encode(df, PATH).collect()}
+    for i, t in enumerate(ts):
+        ids = enc.encode_ordinary(t)
+        assert tokens[i] == ids and got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()

@@ -64,7 +64,7 @@ def test_encoder_matches_tokenizers(tk):
     random.seed(2)
     alphabet = [*"abcdefghij 's\n éß😀1.", "the ", " ing", "<|endoftext|>"]
     texts = ["".join(random.choices(alphabet, k=random.randint(0, 200))) for _ in range(300)]
-    texts += ["", "x" * 3000, "=" * 700 + "é" * 400, " \n" * 500, "a <|endoftext|> b", "<|endoftext|>", *thue_morse(2048), *thue_morse(1024)]
+    texts += ["", "x" * 3000, "=" * 700 + "é" * 400, " \n" * 500, "a <|endoftext|> b", "<|endoftext|>", "long it's größe\n\n _x  " * 60_000, *thue_morse(2048), *thue_morse(1024)]
     got = [x.tolist() for x in packing.Encoder(PATH).encode(texts)]
     assert got == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 

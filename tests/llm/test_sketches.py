@@ -101,3 +101,9 @@ def test_one_id_is_spread_by_text(spark):
     assert 6 <= len(sk._cuts(src, 7000)) <= 9
     got = sorted((tuple(r) for r in sk.with_next(df, range_bytes=7000).collect()), key=str)
     assert got == slow(rows)
+
+
+def test_long_texts_in_pieces():
+    raw = ("Alpha b\tgrün  " * 300 + "x" * 500 + "\n").encode()
+    want = sk.word_hashes(raw)
+    assert len(want) == 901 and all(sk.word_hashes(raw, p).tolist() == want.tolist() for p in (1, 10, 777))
