@@ -58,10 +58,10 @@ def smoothness_penalty(spark, d):
     return m.smoothness_penalty(v, e, 0.1).select(F.round("penalty", 4).alias("penalty"), "n_vertices")
 
 
-@query("smoothness_gradient", f"{_MESH}, {_LAP}, back AS (SELECT e.b AS v_id, sum(l.dx/l.n_same) AS sx, sum(l.dy/l.n_same) AS sy, sum(l.dz/l.n_same) AS sz FROM edges e JOIN lap l ON l.v_id = e.a JOIN vertices o ON o.v_id = e.b WHERE o.freedom = l.freedom GROUP BY e.b) SELECT v_id, round(dx-coalesce(sx,0), 6)+0.0 AS gx, round(dy-coalesce(sy,0), 6)+0.0 AS gy, round(dz-coalesce(sz,0), 6)+0.0 AS gz FROM lap LEFT JOIN back USING (v_id)")
+@query("smoothness_gradient", f"{_MESH}, {_LAP}, back AS (SELECT e.b AS v_id, sum(l.dx/l.n_same) AS sx, sum(l.dy/l.n_same) AS sy, sum(l.dz/l.n_same) AS sz FROM edges e JOIN lap l ON l.v_id = e.a JOIN vertices o ON o.v_id = e.b WHERE o.freedom = l.freedom GROUP BY e.b) SELECT v_id, round(dx-coalesce(sx,0), 9)+0.0 AS gx, round(dy-coalesce(sy,0), 9)+0.0 AS gy, round(dz-coalesce(sz,0), 9)+0.0 AS gz FROM lap LEFT JOIN back USING (v_id)")
 def smoothness_gradient(spark, d):
     v, _, e = _mesh(spark, d)
-    return m.smoothness_gradient(v, e).select("v_id", *[(F.round(f"g{c}", 6) + 0.0).alias(f"g{c}") for c in "xyz"])
+    return m.smoothness_gradient(v, e).select("v_id", *[(F.round(f"g{c}", 9) + 0.0).alias(f"g{c}") for c in "xyz"])
 
 
 @query("gradient_smoothing", f"{_MESH}, g AS (SELECT v_id, z/100.0 AS g FROM vertices), n AS (SELECT e.a AS v_id, avg(g.g) AS m FROM edges e JOIN g ON g.v_id = e.b GROUP BY e.a) SELECT v_id, round(0.7*g+0.3*m, 9) AS g FROM g JOIN n USING (v_id)")
