@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terralith.functions.geometry import G_MGAL
 from terralith.operators import forward as fw
 from terralith.operators import inversion as inv
+from terralith.operators import isosurface as iso
 from terralith.operators import locate
 from terralith.operators import runs
 from terralith.plans import bindings as b
@@ -319,3 +320,36 @@ def alternating_inversion(spark, d):
     return spark.createDataFrame([(int(g), round(properties[g], 2) + 0.0, state) for g in names], "group_id int, density double, state string")
 
 
+
+
+_NEAR27 = "step(a, b, c) AS (SELECT a.a-1, b.a-1, c.a-1 FROM range(3) a(a), range(3) b(a), range(3) c(a))"
+_CLOSED = f"""WITH col AS (SELECT p_size % 4 AS label, p_partkey % 5 AS ix, p_partkey // 5 % 5 AS iy, p_partkey // 25 AS iz FROM part), {_NEAR27}, top AS (SELECT max(iz) AS nz FROM col),
+wide AS (SELECT DISTINCT label, ix+a AS ix, iy+b AS iy, iz+c AS iz FROM col, step, top WHERE ix+a BETWEEN 0 AND 4 AND iy+b BETWEEN 0 AND 4 AND iz+c BETWEEN 0 AND nz)"""
+
+
+@query("closed_labels", f"{_CLOSED} SELECT w.label, w.ix, w.iy, w.iz FROM wide w, step JOIN wide o ON o.label = w.label AND o.ix = w.ix+a AND o.iy = w.iy+b AND o.iz = w.iz+c GROUP BY ALL HAVING count(*) = 27")
+def closed_labels(spark, d):
+    """Each label's cells after a morphological closing, in a column five cells wide."""
+    k = F.col("p_partkey")
+    cells = b.read(spark, d, "part").select((F.col("p_size") % 4).alias("label"), (k % 5).alias("ix"), (F.floor(k / 5) % 5).alias("iy"), F.floor(k / 25).alias("iz"))
+    return iso.closing(cells, (5, 5, int(cells.agg(F.max("iz")).first()[0]) + 1))
+
+
+@query("label_surfaces", f"WITH {b.VOXELS_SQL}, {_NEAR27}, s AS (SELECT DISTINCT label, ix, iy, iz FROM voxels), dir AS (SELECT * FROM step WHERE (a >= 0 AND b >= 0 AND c >= 0 OR a <= 0 AND b <= 0 AND c <= 0) AND NOT (a = 0 AND b = 0 AND c = 0)) SELECT s.label, count(*) AS n_vertices, 0 AS n_open_edges FROM s, dir LEFT JOIN s o ON o.label = s.label AND o.ix = s.ix+a AND o.iy = s.iy+b AND o.iz = s.iz+c WHERE o.label IS NULL GROUP BY 1")
+def label_surfaces(spark, d):
+    """Vertices of the closed surface of each label, and how many of its edges are not shared by two faces."""
+    v, t = iso.surfaces(b.voxels(spark, d))
+    ends = F.explode(F.array(*[F.struct(F.col(f"v{i}").alias("a"), F.col(f"v{(i + 1) % 3}").alias("b")) for i in range(3)]))
+    # every directed edge must be met by as many opposite ones
+    edges = t.select("label", ends.alias("e")).select("label", F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b"), F.when(F.col("e.a") < F.col("e.b"), 1).otherwise(-1).alias("way"))
+    odd = edges.groupBy("label", "a", "b").agg(F.sum("way").alias("s")).groupBy("label").agg(F.count(F.when(F.col("s") != 0, 1)).cast("int").alias("n_open_edges"))
+    return v.groupBy("label").agg(F.count("*").alias("n_vertices")).join(odd, "label")
+
+
+@query("label_surface_text")
+def label_surface_text(spark, d):
+    """TSurf text of every label's surface with its mean properties."""
+    cells = b.voxels(spark, d)
+    v, t = iso.surfaces(cells, (0.0, 0.0, 100.0), (50.0, 50.0, 20.0))
+    means = cells.groupBy("label").agg(F.avg("density").alias("density"), F.avg("susceptibility").alias("susceptibility"))
+    return iso.surface_lines(v, t, means, "ts")

@@ -311,3 +311,27 @@ def test_nearest_cluster_in_blocks(spark, monkeypatch):
     one = [sorted(map(tuple, clustering.nearest_cluster(rows, c, ["cell_id"], w).collect())) for w in (None, 2.0)]
     monkeypatch.setattr(clustering, "BROADCAST_CLUSTERS", 9)
     assert [sorted(map(tuple, clustering.nearest_cluster(rows, c, ["cell_id"], w).collect())) for w in (None, 2.0)] == one
+
+
+def test_surface_of_a_ball_is_closed(spark):
+    from terralith.operators import isosurface as iso
+
+    r = 6
+    ball = [(7, x, y, z) for x in range(-r, r + 1) for y in range(-r, r + 1) for z in range(-r, r + 1) if x * x + y * y + z * z <= r * r]
+    cells = spark.createDataFrame([*ball, ball[0], (8, 40, 0, 0)], "label int, ix int, iy int, iz int")
+    v, t = iso.surfaces(cells, (10.0, 20.0, 30.0), (2.0, 2.0, 2.0))
+    at = {q.v_id: np.array([q.x, q.y, q.z]) for q in v.collect()}
+    faces = {k: [(q.v0, q.v1, q.v2) for q in t.collect() if q.label == k] for k in (7, 8)}
+    for k, cells_of in ((7, len(ball)), (8, 1)):
+        directed = [(f[i], f[(i + 1) % 3]) for f in faces[k] for i in range(3)]
+        assert len(set(directed)) == len(directed) and all((b, a) in set(directed) for a, b in directed)
+        used = {i for f in faces[k] for i in f}
+        assert len(used) - len(directed) // 2 + len(faces[k]) == 2
+        volume = sum(at[a] @ np.cross(at[b], at[c]) for a, b, c in faces[k]) / 6
+        assert 0.3 * 8 * cells_of < volume < 1.1 * 8 * cells_of
+    single = np.array([at[i] for f in faces[8] for i in f])
+    assert np.allclose(single.mean(0), [10 + 81, 21, 29], atol=0.2)
+    lines = iso.surface_lines(v, t, spark.createDataFrame([(7, 2.5, 0.01), (8, 2.7, 0.02)], "label int, density double, susceptibility double")).filter("label = 8").orderBy("part", "ord").collect()
+    assert lines[0].line == "# Lithology group 8" and lines[1].line == "# density_mean=2.700000 g/cc  susc_mean=0.020000 SI"
+    assert lines[2].line == f"# vertices=14 faces={len(faces[8])}" and lines[3].line.startswith("v ") and lines[17].line.startswith("f ")
+    assert {int(i) for q in lines if q.line.startswith("f ") for i in q.line.split()[1:]} == set(range(1, 15))
