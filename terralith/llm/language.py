@@ -158,7 +158,7 @@ def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Pages as rows to identify: declared in the html tag, suffix, host and domain of the url."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     host = F.when(host != "", host)
-    lang = F.regexp_extract(F.coalesce(F.col(html_col).cast("string"), F.lit("")), r"""(?i)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?([A-Za-z_-]+)""", 1)
+    lang = F.regexp_extract(F.coalesce(F.col(html_col).cast("string"), F.lit("")), r"""(?i)<html\b[^<>]*?\s(?:xml:)?lang\s*=\s*["']?([A-Za-z_-]+)""", 1)
     suffix = F.substring_index(host, ".", -1)
     return pages.select(
         F.col(id_col).cast("long").alias("key"), declared_code(lang).alias("declared"), F.when(suffix.rlike("^[a-z]"), suffix).alias("suffix"),
