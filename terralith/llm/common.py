@@ -48,6 +48,19 @@ def stored(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows that are worth a file of their own in a table of few columns.
+FILE_ROWS = 200_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` narrow rows in as many partitions as that is worth, eight at least.
+
+    Never more partitions than before. Small tables otherwise come in one tiny file for each
+    shuffle partition, and files cost more than their rows.
+    """
+    return df.coalesce(max(8, -(-rows // FILE_ROWS)))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.llm.common import discard, stored
+from terralith.llm.common import discard, few_files, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,23 +28,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a > b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the smallest node reachable.
 
     Nodes without an edge are not listed (their root is themselves). Self-loops, repeated and
     null ends are ignored. Each round writes its edges to the shared folder and removes those before; the loop ends
-    when two rounds give the same edges, compared by count and an order-free checksum.
+    when two rounds give the same edges, compared by count and an order-free checksum. ``rows``:
+    about how many edges there are, if that is known; tables are written in as few files as
+    their rows are worth.
     """
     spark = edges.sparkSession
-    now, path = stored(
-        edges.filter("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    before = None
+    clean = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, path = stored(clean if rows is None else few_files(clean, rows))
+    count, before = now.count(), None
     for _ in range(max_rounds):
         old = path
-        now, path = stored(_star(_star(now, large=True), large=False))
+        now, path = stored(few_files(_star(_star(now, large=True), large=False), count))
         discard(spark, old)
         seen = now.agg(
             F.count("*").alias("n"),
@@ -52,7 +51,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         ).first()
         if seen == before:
             break
-        before = seen
+        count, before = seen["n"], seen
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

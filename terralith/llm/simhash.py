@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralith.llm.common import free_name, materialise, table
+from terralith.llm.common import few_files, free_name, materialise, table
 from terralith.llm.components import connected_components
 
 DISTANCE = 2
@@ -140,7 +140,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     fps = materialise(fingerprints(docs, id_col, text_col))
     nodes = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    links = connected_components(fingerprint_links(nodes.select("fp")))
+    links = connected_components(fingerprint_links(nodes.select("fp")), rows=fps.count())
     rooted = nodes.join(links, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = rooted.join(lowest, "root").select(F.col("fp").alias("f"), "component_id")
@@ -153,7 +153,8 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows that carry one id several times shrink to one of them; rows without an id stay.
     """
-    groups = materialise(simhash_groups(docs, id_col, text_col).filter("id is not null"))
+    found = simhash_groups(docs, id_col, text_col).filter("id is not null")
+    groups = materialise(few_files(found, docs.count()))
     key = free_name(docs, "key")
     gone = groups.filter("id <> component_id").select(F.col("id").alias(key)).distinct()
     kept = docs.join(gone, docs[id_col] == gone[key], "left_anti")
