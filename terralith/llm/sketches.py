@@ -31,8 +31,10 @@ SHINGLE = 5
 FRACTION = 1 / 8
 #: Bytes of text of a range (a range is sorted with spills and read as a stream, not held).
 RANGE_BYTES = 16 << 20
-#: Keys looked at for each range when the cuts are placed.
-_KEYS_PER_RANGE = 40
+#: Ranges beyond which they grow instead (1 GB each at 100 TB), because their cuts pass the driver.
+RANGES = 100_000
+#: Keys looked at for each range when the cuts are placed (32 bytes each on the driver).
+_KEYS_PER_RANGE = 20
 #: A fingerprint stores the top 48 bits of each kept hash, big-endian, ascending, in base64.
 _BYTES = 6
 _SHIFT = np.uint64(64 - 8 * _BYTES)
@@ -194,19 +196,17 @@ def _cuts(src: DataFrame, range_bytes: int) -> list[tuple[int, int, int]]:
     """Keys that cut the order into ranges of about equal bytes, from keys drawn by their bytes."""
     size = F.octet_length("text").cast("double") + 64
     total = src.agg(F.sum(size)).first()[0] or 0.0
-    ranges = int(total // range_bytes) + 1
+    ranges = min(RANGES, int(total // range_bytes) + 1)
     if ranges < 2:
         return []
     step = total / (ranges * _KEYS_PER_RANGE)
     chance = F.pmod(F.xxhash64("key"), F.lit(1 << 30)).cast("double") / float(1 << 30)
     drawn = src.filter(chance * step < size).select("key.a", "key.b", "key.c", F.greatest(size, F.lit(step)).alias("w")).toArrow()
-    keys = sorted(zip(*[drawn.column(i).to_pylist() for i in range(4)], strict=True))
-    share, seen, cuts = sum(k[3] for k in keys) / ranges, 0.0, []
-    for k in keys:
-        if seen + k[3] / 2 >= share * (len(cuts) + 1) and (not cuts or cuts[-1] < k[:3]):
-            cuts.append(k[:3])
-        seen += k[3]
-    return cuts
+    a, b, c, w = (drawn.column(i).to_numpy() for i in range(4))
+    order = np.lexsort((c, b, a))
+    seen = np.cumsum(w[order]) - w[order] / 2
+    at = order[np.minimum(np.searchsorted(seen, seen[-1] * np.arange(1, ranges) / ranges), len(order) - 1)]
+    return sorted({(int(a[i]), int(b[i]), int(c[i])) for i in at})
 
 
 def _homes(spark, n: int) -> list[int]:
