@@ -36,6 +36,8 @@ LEGAL = re.compile(r"\u00a9|\bcopyright\b|all rights reserved|\bcookies?\b|priva
 LEGAL_CHARS = 160
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'<>]++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Parts of a name, at signs and where capitals begin.
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -47,14 +49,15 @@ DROP = frozenset("nav footer aside form button menu dialog head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Parts of class and id names that mark such elements.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer form gdpr"
+    "ad ads adsbygoogle advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer form gdpr"
     " login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related reply share sharing"
     " sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 #: Words that stand beside one of ``NAMES`` in the names of boxes, as in ``comment-list``.
 BOXES = frozenset(
-    "area bar block bottom box button buttons card container content entry first footer form group header icon icons inner items last left link links list main"
-    " outer page panel post posts right section site slot stories text title top unit wrap wrapper".split()
+    "area articles bar block bottom box button buttons by card col column container content count counter desktop entry fixed first float follow footer form google grid group"
+    " header icon icons info inner items last law leaderboard left like likes link links list main media message messages mobile outer overlay page panel placeholder policy post"
+    " posts respond right row section site slot sticky stories text thread title tool tools top unit wrap wrapper zone".split()
 )
 #: Elements of running text, which only a whole name of ``NAMES`` marks.
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption span em strong b i".split())
@@ -82,14 +85,14 @@ class _Open:
 def _marked(name: str, attrs: str) -> bool:
     """Whether an element's role, class or id says that it is no part of an article."""
     for m in _ATTR.finditer(attrs):
-        value = (m[2] or m[3] or m[4] or "").lower()
+        value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
-            if value in ROLES:
+            if value.lower() in ROLES:
                 return True
             continue
         for token in value.split():
-            parts = [x for x in re.split(r"[^a-z0-9]+", token) if x]
-            if token in NAMES or name not in TEXT and any(x in NAMES for x in parts) and all(x in NAMES or x in BOXES or x.isdigit() for x in parts):
+            parts = [x.lower() for x in _PARTS.findall(token)]
+            if token.lower() in NAMES or name not in TEXT and any(x in NAMES for x in parts) and all(x in NAMES or x in BOXES or x.isdigit() for x in parts):
                 return True
     return False
 

@@ -15,6 +15,7 @@ CASES = {
     "<article>small</article><article><p>larger one here</p></article>": "small\nlarger one here",
     "<main><h1>T</h1><p>lead</p><article><p>text</p></article></main>": "T\nlead\ntext",
     "<main><p>a</p><p class=related-work>b</p><div class='notice-period'>c</div><div class='comment-list'>d</div><div class='ad slot-2'>e</div><p>f</p></main>": "a\nb\nc\nf",
+    "<main><p>a</p><div id=disqus_thread>b</div><div class='cookieConsent'>c</div><div class='has-sidebar'>d</div><ins class='adsbygoogle'>e</ins><div class='SocialShare2'>f</div></main>": "a\nd",
     "<h1>Title</h1><div>By A. Writer</div><p>" + "Real text. " * 20 + "</p><ul><li><a href=x>one</a><li><a href=y>two</a></ul><p>The end.</p><div>Copyright 2020 all rights</div>":
         "Title\nBy A. Writer\n" + ("Real text. " * 20).strip() + "\nThe end.",
     "<div>Site name</div><div>Slogan</div><div>Search</div><p>" + "Real text. " * 20 + "</p><p>" + "More text. " * 20 + "</p><div>a</div><div>b</div><div>c</div><div>d</div>":
