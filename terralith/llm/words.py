@@ -148,7 +148,7 @@ class Batch:
         self.hashes = slice_hashes(points, self.starts, self.ends)
         #: word places: text i has the words bounds[i] to bounds[i + 1]
         self.bounds = np.searchsorted(self.starts, offsets)
-        self._flat, self._points = flat, points
+        self._flat, self.points = flat, points
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """(code of each word, place of the first word with each code); words are compared whole."""
@@ -167,8 +167,8 @@ class Batch:
         first = place[codes]
         if not np.array_equal(sizes, sizes[first]):
             return False
-        other = np.arange(len(self._points)) + np.repeat(self.starts[first] - self.starts, sizes)
-        return np.array_equal(self._points, self._points[other])
+        other = np.arange(len(self.points)) + np.repeat(self.starts[first] - self.starts, sizes)
+        return np.array_equal(self.points, self.points[other])
 
     def word(self, i: int) -> str:
         return self._flat[self.starts[i] : self.ends[i]]
@@ -240,29 +240,62 @@ class Ragged:
 
 
 class Dictionary:
-    """Numbers for the distinct words that one task has met, up to a bound on its memory."""
+    """Numbers for the distinct words that one task has met, up to a bound on its memory.
+
+    Words are looked up by hash and compared with the word that has it, code point by code point
+    and all at once; a word whose hash another one has is kept by itself.
+    """
 
     LIMIT = 1 << 18
     CHARS = 1 << 23
 
     def __init__(self):
-        self.numbers: dict[str, int] = {}
-        self.chars = 0
+        self.numbers: dict[int, int] = {}
+        self.others: dict[str, int] = {}
+        self._held = Ragged(np.uint32)
 
     def full(self) -> bool:
-        return len(self.numbers) >= self.LIMIT or self.chars >= self.CHARS
+        return self._held.n >= self.LIMIT or self._held.used >= self.CHARS
 
     def number(self, batch: Batch) -> tuple[np.ndarray, list[str]]:
         """(number of each word of the batch, the words that are new, in order of number)."""
         codes, place = batch.distinct()
-        known, fresh = self.numbers, []
-        found = np.empty(len(place), np.int64)
-        for i, p in enumerate(place.tolist()):
-            word = batch.word(p)
-            at = known.get(word)
+        known, hashes = self.numbers, batch.hashes[place].tolist()
+        get = known.get
+        found = np.array([get(h, -1) for h in hashes], np.int64)
+        met = np.flatnonzero(found >= 0)
+        met = met[~self._equal(batch, place[met], found[met])]
+        fresh, new = [], []
+        for i in np.append(np.flatnonzero(found < 0), met).tolist():
+            word, h = batch.word(place[i]), hashes[i]
+            at = self.others.get(word)
             if at is None:
-                at = known[word] = len(known)
+                at = self._held.n + len(fresh)
                 fresh.append(word)
-                self.chars += len(word)
+                new.append(i)
+                if h in known:
+                    self.others[word] = at
+                else:
+                    known[h] = at
             found[i] = at
+        if new:
+            starts, sizes = batch.starts[place[new]], (batch.ends - batch.starts)[place[new]]
+            self._held.extend(batch.points[_spread(starts, sizes)], sizes)
         return found[codes], fresh
+
+    def _equal(self, batch: Batch, place: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Whether each word of the batch is the held word with its number."""
+        sizes = (batch.ends - batch.starts)[place]
+        same = sizes == self._held.size[numbers]
+        at = np.flatnonzero(same)
+        if len(at):
+            differ = batch.points[_spread(batch.starts[place[at]], sizes[at])] != self._held.gather(numbers[at])[0]
+            if differ.any():
+                same[at[np.add.reduceat(differ, np.cumsum(sizes[at]) - sizes[at]) > 0]] = False
+        return same
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of slices, one slice after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)

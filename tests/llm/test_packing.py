@@ -150,3 +150,17 @@ def test_places_match_a_served_round_robin(seed):
                 served.append((i, int(s.quanta[i]) - left[i] - 1))
     queue, k = np.array([q for q, _ in served], np.int64), np.array([x for _, x in served], np.int64)
     assert s.rank(queue, k).tolist() == list(range(len(served)))
+
+
+def test_dictionary_tells_words_of_one_hash_apart(monkeypatch):
+    """With one hash for all words, numbers still follow the words, in a batch and across batches."""
+    from terralith.llm import words
+
+    monkeypatch.setattr(words, "slice_hashes", lambda points, starts, ends: np.zeros(len(starts), np.uint64))
+    d, names = words.Dictionary(), []
+    for text in ("one two one 3", "three two one, 3", "", "two four"):
+        batch = Batch([text])
+        got, fresh = d.number(batch)
+        names += fresh
+        assert [names[i] for i in got] == [batch.word(i) for i in range(len(batch.starts))]
+    assert len(set(names)) == len(names)
