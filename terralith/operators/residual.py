@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from terralith.operators.mesh import dense_number
 
 
+#: Rows that one task may sort.
+WINDOW_ROWS = 200_000
+
+
 def default_uncertainty(std: Column, default: float) -> Column:
     """A standard deviation that is not positive becomes the default."""
     return F.when(std <= 0, F.lit(default)).otherwise(std)
@@ -55,14 +59,14 @@ def durbin_watson(residuals: DataFrame, by: list[str] | None = None) -> DataFram
     """Durbin-Watson statistics along x (order x, y) and along y (order y, x).
 
     rows: x, y, r, obs_id. Rows are ordered within ``by`` (a survey line, say); without it the
-    order is over all rows, which are numbered by sorted ranges and meet their predecessor by
-    number. Ties go by obs_id, which must then be unique. 2 where there are fewer than two rows
+    order is over all rows: up to ``WINDOW_ROWS`` (counted) are sorted in one task, more are
+    numbered by sorted ranges and meet their predecessor by number. Ties go by obs_id, which must then be unique. 2 where there are fewer than two rows
     or no residual energy.
     """
     by = by or []
     energy = F.sum(F.col("r") ** 2)
     ratio = lambda c: F.when((F.count("*") < 2) | (energy < 1e-30), 2.0).otherwise(F.sum(F.col(c) ** 2) / energy)
-    if not by:
+    if not by and residuals.count() > WINDOW_ROWS:
         parts = []
         for name, order in (("dx", ["x", "y", "obs_id"]), ("dy", ["y", "x", "obs_id"])):
             placed = dense_number(residuals.select("x", "y", "obs_id", "r"), order, "__i").select("__i", "r")

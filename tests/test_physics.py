@@ -335,3 +335,14 @@ def test_surface_of_a_ball_is_closed(spark):
     assert lines[0].line == "# Lithology group 8" and lines[1].line == "# density_mean=2.700000 g/cc  susc_mean=0.020000 SI"
     assert lines[2].line == f"# vertices=14 faces={len(faces[8])}" and lines[3].line.startswith("v ") and lines[17].line.startswith("f ")
     assert {int(i) for q in lines if q.line.startswith("f ") for i in q.line.split()[1:]} == set(range(1, 15))
+
+
+def test_autocorrelation_over_ranges(spark, monkeypatch):
+    from terralith.operators import residual
+
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, float(rng.integers(0, 9)), float(rng.integers(0, 9)), float(rng.normal())) for i in range(300)], "obs_id long, x double, y double, r double")
+    one = residual.durbin_watson(rows).first()
+    monkeypatch.setattr(residual, "WINDOW_ROWS", 10)
+    two = residual.durbin_watson(rows).first()
+    assert two.n == one.n == 300 and two.dw_x == pytest.approx(one.dw_x) and two.dw_y == pytest.approx(one.dw_y)
