@@ -15,6 +15,9 @@ _HOME = {
     "op8_pii": "pii",
     "op9_secret_scan": "secrets",
     "op6_simhash_near_dedup": "simhash",
+    "op11_vector_codes": "codes",
+    "op12_benchmark_decontamination": "winnowing",
+    "op13_tolerant_asof_join": "asof",
 }
 
 
