@@ -2,7 +2,7 @@
 
 Events of the right side at one time of one key are a tie group and become one row, its best
 event and its size, before anything else happens. Time is cut into chunks of the tolerance;
-a chunk that holds more than ``CELL`` rows of one key is cut further at ``CUTS`` of its own
+a chunk that holds more than ``CELL`` rows of one key is cut further at up to ``CUTS`` of its own
 quantiles, and an instant that fills several of these cells is dealt over them by a hash of the
 left rows, while its one tie group is copied to each. The halo of a cell is one row: the
 latest tie group of the key before the cell, carried over the cells by a window over their last
@@ -68,8 +68,11 @@ def _cuts(left: DataFrame, right: DataFrame, tolerance: int, cell: int, cuts: in
     both = left.select("key", "t").unionByName(right.select("key", "t")).select("key", "t", base)
     hot = both.groupBy("key", "base").agg(F.count("*").alias("n")).filter(F.col("n") > cell).select("key", "base")
     at = F.array(*[F.lit((i + 1) / (cuts + 1)) for i in range(cuts)])
-    found = both.join(hot, ["key", "base"], "left_semi").groupBy("key", "base").agg(F.percentile_approx("t", at, F.lit(10_000)).alias("cuts"))
-    return found.select(F.col("key").alias("hot_key"), F.col("base").alias("hot_base"), "cuts")
+    found = both.join(hot.hint("merge"), ["key", "base"], "left_semi").groupBy("key", "base").agg(F.count("*").alias("n"), F.percentile_approx("t", at, F.lit(10_000)).alias("cuts"))
+    # every step-th quantile, so that a cell holds about ``cell`` rows
+    step = F.greatest(F.lit(1), F.floor(F.lit(cuts + 1) / F.ceil(F.col("n") / cell))).cast("int")
+    kept = F.transform(F.sequence(step, F.lit(cuts), step), lambda i: F.element_at("cuts", i))
+    return found.select(F.col("key").alias("hot_key"), F.col("base").alias("hot_base"), kept.alias("cuts"))
 
 
 def _below(cuts: Column, t: Column, strict: bool) -> Column:
@@ -83,7 +86,8 @@ def _below(cuts: Column, t: Column, strict: bool) -> Column:
 def _celled(rows: DataFrame, hot: DataFrame, tolerance: int) -> DataFrame:
     """``rows`` with base, and the first and last cell that their time may lie in."""
     placed = rows.withColumn("base", F.floor(F.col("t") / tolerance).cast("long"))
-    joined = placed.join(hot, (F.col("key") == F.col("hot_key")) & (F.col("base") == F.col("hot_base")), "left")
+    # the cuts grow with the rows: a merge join, whose hot keys adaptive execution splits, and no broadcast
+    joined = placed.join(hot.hint("merge"), (F.col("key") == F.col("hot_key")) & (F.col("base") == F.col("hot_base")), "left")
     low = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(_below(F.col("cuts"), F.col("t"), strict=True))
     high = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(_below(F.col("cuts"), F.col("t"), strict=False))
     return joined.select(*placed.columns, low.cast("int").alias("low"), high.cast("int").alias("high"))
