@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from terralith.operators import forward as fw
 from terralith.operators import inversion as inv
 from terralith.operators import locate, mesh, model
+from terralith.operators.meshfield import MeshField, Misfit
+from terralith.operators.storage import discard, stored_at
 
 
 def central_jacobian(response: Callable[[DataFrame], DataFrame], dofs: DataFrame, step: float) -> DataFrame:
@@ -245,3 +247,71 @@ class Alternating:
             if converged:
                 break
         return parameters, properties
+
+
+@dataclass
+class Inverted:
+    """A finished run over a meshed model: parameters and densities, the loop's log, the field."""
+
+    parameters: np.ndarray
+    density: dict
+    log: list[dict]
+    field: MeshField
+
+
+def invert_mesh(vertices: DataFrame, triangles: DataFrame, data: DataFrame, density: dict, lower: float, upper: float, reach: float,
+                most: int = 40, interval: int = 10, margin_gate: Callable[[DataFrame], bool] | None = None, scale: float = 10.0, memory: int = 20, gate_options: dict | None = None) -> Inverted:
+    """Geometry and densities of closed meshes from gravity, in turn, every step behind ``gate``.
+
+    vertices: mesh_id, v_id, x, y, z, freedom; triangles: mesh_id, t_id, v0..v2; data: obs_id
+    (whole numbers), x, y, z, value, std. Degrees of freedom may leave the start by ``reach``,
+    densities lie between ``lower`` and ``upper``. ``margin_gate`` replaces the six checks of
+    ``gate`` by a check of one's own on the moved vertices.
+    """
+    field_ = MeshField.build(vertices, triangles, data)
+    rows = data.select(F.col("obs_id").cast("long"), "value", "std").orderBy("obs_id").toPandas()
+    observed, std = rows["value"].to_numpy(float), np.where(rows["std"].to_numpy(float) > 0, rows["std"].to_numpy(float), 1.0)
+    edges = mesh.undirected_edges(triangles, ["mesh_id"])
+    options = gate_options or {}
+
+    def facets(moved: DataFrame) -> DataFrame:
+        return fw.mesh_facets(moved.select("mesh_id", "v_id", "x", "y", "z"), triangles, ["mesh_id"]).withColumnRenamed("mesh_id", "group_id")
+
+    spark = vertices.sparkSession
+    first = None
+    if margin_gate is None:
+        edges, kept = stored_at(edges)
+        field_.paths.append(kept)
+        counts = vertex_overlaps(vertices.withColumnRenamed("mesh_id", "group_id"), facets(vertices))
+        first = spark.createDataFrame(counts.collect(), counts.schema)
+
+    def valid(x: np.ndarray) -> bool:
+        moved, kept = stored_at(field_.vertices(vertices, field_.start + scale * x))
+        if margin_gate is not None:
+            held = margin_gate(moved)
+        else:
+            now, also = stored_at(facets(moved))
+            checks = gate(vertices.select("mesh_id", "v_id", "x", "y", "z"), moved, edges, now, first, **options)
+            held = bool(checks.agg(F.bool_and("passed")).first()[0])
+            discard(spark, also)
+        discard(spark, kept)
+        return held
+
+    def minimise(x: np.ndarray, properties: dict, rounds: int) -> tuple[np.ndarray, int, bool]:
+        misfit = Misfit(field_, observed, std, properties, scale)
+        wide = np.full(len(x), reach / scale)
+        descent = inv.Bounded(misfit.value, misfit.gradient, -wide, wide, memory=memory, rounds=rounds)
+        new = descent.minimise(x)
+        done = len(descent.history)
+        return new, done, done < rounds
+
+    def solve(x: np.ndarray, properties: dict) -> dict:
+        units = field_.units(field_.start + scale * x).withColumn("part", F.lit("density"))
+        mean = float(np.mean(list(properties.values())))
+        found = solve_properties(units, data.select(F.col("obs_id").cast("long"), "value", "std"), {"density": mean}, {"density": lower}, {"density": upper})
+        return {name: value for (name, _), value in found.items()}
+
+    loop = Alternating(minimise, valid, solve, most=most, interval=interval)
+    start = np.zeros(len(field_.start))
+    x, properties = loop.run(start, solve(start, density))
+    return Inverted(field_.start + scale * x, properties, loop.log, field_)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES: tuple[str, ...] = tuple(f"terralith.plans.{m}" for m in ("potential", "survey", "properties", "shapes", "formats", "optimise", "streams", "extras", "runs", "exchange"))
+_MODULES: tuple[str, ...] = tuple(f"terralith.plans.{m}" for m in ("potential", "survey", "properties", "shapes", "formats", "optimise", "streams", "extras", "runs", "exchange", "inversions"))
 
 
 def query(name: str, sql: str | None = None):
