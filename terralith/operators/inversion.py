@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,3 +212,144 @@ def newton_cg(value: Callable[[np.ndarray], float], gradient: Callable[[np.ndarr
             break
         x, f = new_x, f_new
     return x
+
+
+#: Bytes of a block of the sensitivity, and unknowns or data that the driver holds.
+BLOCK_BYTES = 16 << 20
+MOST_UNKNOWNS = 10_000_000
+
+
+class Sensitivity:
+    """The matrix of responses of data to cells, written once in blocks; its two products are Spark sums.
+
+    ``kernel(o, c)`` maps stations (n, k) and cells (m, j) to (n, m) responses. A block holds all
+    data of one chunk against all cells of one chunk and is a row of a table in the shared
+    folder, so a product streams the table past a broadcast vector and sums parts of the result
+    before the shuffle. The driver holds vectors of cells and of data, counted first.
+    """
+
+    def __init__(self, stations: DataFrame, cells: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], at: list[str], of: list[str]):
+        """stations: i (0 to n - 1) and columns ``at``; cells: j (0 to m - 1) and columns ``of``."""
+        from terralith.operators.storage import stored_at
+
+        self.n, self.m = stations.count(), cells.count()
+        if max(self.n, self.m) > MOST_UNKNOWNS:
+            raise ValueError(f"at most {MOST_UNKNOWNS} data and cells")
+        side = int(np.sqrt(BLOCK_BYTES / 8))
+        chunk = lambda df, key, columns: df.groupBy(F.floor(F.col(key) / side).alias(f"b{key}")).agg(F.array_sort(F.collect_list(F.struct(key, *[F.col(c).cast("double").alias(c) for c in columns]))).alias(f"rows_{key}"))
+        a, b = chunk(stations, "i", at), chunk(cells, "j", of)
+        count = -(-self.m // side)
+        # every chunk of stations meets every chunk of cells by its number: a matrix has all pairs by nature
+        both = a.withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, count - 1)).cast("long")))).join(b, "bj")
+
+        def fill(batches):
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    rows, cols = (np.array([[x[c] for c in names] for x in part], float).reshape(len(part), len(names)) for part, names in ((r.rows_i, at), (r.rows_j, of)))
+                    yield pd.DataFrame({"bi": [r.bi * side], "bj": [r.bj * side], "height": [len(rows)], "values": [np.ascontiguousarray(kernel(rows, cols), float).tobytes()]})
+
+        parts = max(1, -(-self.n // side)) * max(1, count)
+        blocks = both.repartition(min(parts, 10_000), "bi", "bj").mapInPandas(fill, "bi long, bj long, height long, values binary")
+        self.blocks, self.path = stored_at(blocks)
+
+    def _sum(self, v: np.ndarray, across: bool) -> np.ndarray:
+        held = self.blocks.sparkSession.sparkContext.broadcast(np.asarray(v, float))
+        spot = "bi" if across else "bj"
+
+        def run(batches):
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    a = np.frombuffer(r.values, float).reshape(r.height, -1)
+                    part = a @ held.value[r.bj : r.bj + a.shape[1]] if across else held.value[r.bi : r.bi + a.shape[0]] @ a
+                    yield pd.DataFrame({"at": [getattr(r, spot)], "part": [part]})
+
+        rows = self.blocks.mapInPandas(run, "at long, part array<double>").select("at", F.posexplode("part").alias("k", "v"))
+        found = rows.groupBy((F.col("at") + F.col("k")).alias("k")).agg(F.sum("v").alias("v")).toPandas()
+        out = np.zeros(self.n if across else self.m)
+        out[found["k"].to_numpy()] = found["v"].to_numpy()
+        return out
+
+    def dot(self, cells: np.ndarray) -> np.ndarray:
+        """Responses at the data of values of the cells."""
+        return self._sum(cells, True)
+
+    def back(self, data: np.ndarray) -> np.ndarray:
+        """Sums over the data, by cell."""
+        return self._sum(data, False)
+
+    def release(self) -> None:
+        from terralith.operators.storage import discard
+
+        discard(self.blocks.sparkSession, self.path)
+
+
+def sparse_inversion(dot: Callable[[np.ndarray], np.ndarray], back: Callable[[np.ndarray], np.ndarray], data: np.ndarray, std: np.ndarray, weight: np.ndarray, lower: float, upper: float,
+                     norm: float = 1.0, rounds: int = 4, inner: int = 12, beta: float = 1.0, cooling: float = 4.0, eps: float = 1e-3, target: float = 1.0) -> tuple[np.ndarray, list[dict]]:
+    """Cells within bounds whose responses fit ``data``, sparse in the sense of ``norm``; (cells, log).
+
+    Minimises chi squared plus beta times the sum of r w^2 m^2, r = (m^2 + eps^2)^(norm/2 - 1) from
+    the round before (1 in the first), by projected conjugate gradients: cells at a bound that
+    the gradient pushes outwards are held, the others take a step of a few products. beta is the
+    ratio of both terms' sizes at first and falls by ``cooling`` a round; the rounds end when chi
+    squared a datum is at most ``target``, after ``rounds`` at the latest.
+    """
+    m = np.zeros(len(weight))
+    w2 = 1.0 / np.square(std)
+    first = back(w2 * data)
+    top = float(np.abs(first / weight).max(initial=0.0)) or 1.0
+    probe = first / np.square(weight)
+    jp = dot(probe)
+    scale = float(jp @ (w2 * jp)) / max(float((np.square(weight) * probe) @ probe), 1e-300)
+    beta, log = beta * scale, []
+    predicted = np.zeros(len(data))
+    for k in range(rounds):
+        r = np.ones(len(m)) if k == 0 else (np.square(m) + eps * eps) ** (norm / 2 - 1) * max(eps, float(np.abs(m).max())) ** (2 - norm)
+        reg = beta * r * np.square(weight)
+        gradient = back(w2 * (predicted - data)) + reg * m
+        held = ((m <= lower) & (gradient > 0)) | ((m >= upper) & (gradient < 0))
+        # conjugate gradients on the free cells, preconditioned by the regularisation
+        x, res = np.zeros(len(m)), np.where(held, 0.0, -gradient)
+        z = res / reg
+        p, rz = z.copy(), float(res @ z)
+        for _ in range(inner):
+            if rz <= 1e-20 * top * top:
+                break
+            jp = dot(p)
+            ap = np.where(held, 0.0, back(w2 * jp) + reg * p)
+            a = rz / float(p @ ap)
+            x, res = x + a * p, res - a * ap
+            z = res / reg
+            new = float(res @ z)
+            p, rz = z + (new / rz) * p, new
+        cost = lambda v, d: float(w2 @ np.square(d - data)) + float(reg @ np.square(v))
+        before, length = cost(m, predicted), 1.0
+        while length > 1e-3:
+            trial = np.clip(m + length * x, lower, upper)
+            got = dot(trial)
+            if cost(trial, got) <= before:
+                m, predicted = trial, got
+                break
+            length /= 2
+        chi = float(w2 @ np.square(predicted - data)) / len(data)
+        log.append({"round": k, "beta": beta, "chi2": chi, "step": length, "nonzero": int((np.abs(m) > eps).sum())})
+        if chi <= target:
+            break
+        beta /= cooling
+    return m, log
+
+
+def prism_gravity(stations: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """(n, m) mGal at stations (x, y, z) of 1 g/cc in upright prisms (cx, cy, cz, hx, hy, hz: half sides)."""
+    from terralith.functions.geometry import G_MGAL
+
+    out = np.zeros((len(stations), len(cells)))
+    ends = [[cells[None, :, a] + s * cells[None, :, a + 3] - stations[:, None, a] for s in (-1, 1)] for a in range(3)]
+    for i in (0, 1):
+        for j in (0, 1):
+            for k in (0, 1):
+                x, y, z = ends[0][i], ends[1][j], ends[2][k]
+                r = np.sqrt(x * x + y * y + z * z)
+                tiny = 1e-12
+                term = x * np.log(np.maximum(y + r, tiny)) + y * np.log(np.maximum(x + r, tiny)) - z * np.arctan(x * y / np.where(np.abs(z * r) < tiny, tiny, z * r))
+                out += (-1) ** (i + j + k) * term
+    return -G_MGAL * out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terralith.operators import forward as fw
+from terralith.operators import inversion as inv
 from terralith.operators import runs
 from terralith.operators.storage import stored
 from terralith.plans import bindings as b
@@ -69,3 +70,38 @@ def mesh_inversion(spark, d):
     density = spark.createDataFrame([(g, round(v, 2) + 0.0) for g, v in done.density.items()], "mesh_id int, density double")
     found = done.field.vertices(stored(vertices), done.parameters).filter("freedom = 'Z_ONLY'").select("mesh_id", "v_id", F.round("z", -1).alias("z"))
     return found.join(F.broadcast(density), "mesh_id")
+
+
+def _cells(spark, d):
+    """Cells (j, prism) from parts on a 10 x 10 grid, top down; every seventh size is a body of 0.3 g/cc."""
+    v = b.voxels(spark, d).join(b.read(spark, d, "part").select(F.col("p_partkey").alias("cell_id"), "p_size"), "cell_id")
+    place = [((F.col("ix") - 4.5) * 200.0).alias("cx"), ((F.col("iy") - 4.5) * 200.0).alias("cy"), (-100.0 - F.col("iz") * 100.0).alias("cz")]
+    return v.select(F.col("cell_id").alias("j"), *place, *[F.lit(x).alias(f"h{a}") for a, x in zip("xyz", (100.0, 100.0, 50.0), strict=True)], F.when(F.col("p_size") % 7 == 0, 0.3).otherwise(0.0).alias("truth"))
+
+
+#: Error of a measurement in the voxel inversion, in mGal.
+_ERROR = 0.2
+
+
+@query("voxel_inversion", "SELECT (SELECT count(*) FROM part) AS n_cells, (SELECT count(*) FROM customer) AS n_data, true AS within_bounds, true AS fits_to_the_noise")
+def voxel_inversion(spark, d):
+    """Density contrasts of cells from noisy gravity: matrix-free, sparse and bounded.
+
+    Cells are the parts, stations the customers; the data are the true cells' field with an
+    error of 0.2 mGal from the customers' balances. The result is judged by its misfit.
+    """
+    import numpy as np
+
+    cells = stored(_cells(spark, d))
+    k = F.col("c_custkey")
+    stations = stored(b.read(spark, d, "customer").select(k.alias("i"), ((k % 40 - 19.5) * 60.0).alias("x"), ((F.floor(k / 40) % 40 - 19.5) * 60.0).alias("y"), F.lit(0.0).alias("z"), ((F.col("c_acctbal") * 100) % 101 / 50.0 - 1.0).alias("e")))
+    matrix = inv.Sensitivity(stations, cells, inv.prism_gravity, ["x", "y", "z"], ["cx", "cy", "cz", "hx", "hy", "hz"])
+    rows = cells.select("j", "cz", "truth").orderBy("j").toPandas()
+    # errors of mean 0 and standard deviation 0.2, by their own spread
+    e = stations.select("i", "e").orderBy("i").toPandas()["e"].to_numpy()
+    data = matrix.dot(rows["truth"].to_numpy()) + _ERROR * (e - e.mean()) / e.std()
+    weight = (-rows["cz"].to_numpy() / 100.0) ** -1.0
+    m, log = inv.sparse_inversion(matrix.dot, matrix.back, data, np.full(len(data), _ERROR), weight, 0.0, 0.5, norm=1.0, rounds=8, inner=8, cooling=10.0)
+    matrix.release()
+    done = spark.createDataFrame([(bool((m >= 0).all() and (m <= 0.5).all()), bool(log[-1]["chi2"] <= 1.1))], "within_bounds boolean, fits_to_the_noise boolean")
+    return cells.agg(F.count("*").alias("n_cells")).crossJoin(stations.agg(F.count("*").alias("n_data"))).crossJoin(done)

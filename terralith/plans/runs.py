@@ -100,17 +100,6 @@ def conductivity_solve(spark, d):
     return spark.createDataFrame([(int(g), p, round(v, 8) + 0.0) for (g, p), v in found.items()], "group_id int, part string, value double")
 
 
-@query("voxel_inversion")
-def voxel_inversion(spark, d):
-    """Density contrasts of a 5 x 5 x 2 block of cells from gravity, by damped bounded least squares."""
-    rows = spark.range(50).select(F.col("id").cast("int").alias("group_id"), ((F.col("id") % 5) * 200.0 - 400.0).alias("cx"), (F.floor(F.col("id") / 5) % 5 * 200.0 - 400.0).alias("cy"),
-                                  (-100.0 - F.floor(F.col("id") / 25) * 200.0).alias("cz"), F.lit(100.0).alias("half"))
-    units = fw.gravity(_stations(spark), fw.box_facets(rows), ["group_id"], density=None).withColumnRenamed("response", "u").withColumn("part", F.lit("rho"))
-    data = units.groupBy("obs_id").agg(F.sum(F.when(F.col("group_id") % 7 == 0, F.col("u") * 0.3).otherwise(0.0)).alias("value")).withColumn("std", F.lit(0.005))
-    found = runs.solve_properties(units, data, {"rho": 0.0}, {"rho": 0.0}, {"rho": 0.5}, damping=1e-3)
-    return spark.createDataFrame([(int(g), v) for (g, _), v in found.items()], "group_id int, density double")
-
-
 _CONS = """cons AS (SELECT DISTINCT concat_ws('/', l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity::INT) AS obs_id, (l_suppkey*37 % 5000)::DOUBLE AS x, (l_partkey*7 % 1400)::DOUBLE AS y, 200.0+l_linenumber*20.0 AS z_top, 200.0+l_linenumber*20.0+l_quantity::DOUBLE AS z_bottom, (l_suppkey % 27 - 1)::INT AS want FROM lineitem)"""
 _IN = "x >= cx-50 AND x < cx+50 AND y+1.234567e-6 BETWEEN cy-50 AND cy+50 AND z+2.345678e-6 BETWEEN cz-50 AND cz+50"
 
