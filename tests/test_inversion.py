@@ -84,7 +84,7 @@ def test_steps_that_break_the_model_are_halved_or_dropped(spark):
     vertices, triangles = two_bodies(spark, 12.0)
     vertices = vertices.withColumn("freedom", F.when(F.col("freedom") == "XYZ_FREE", "Z_ONLY").otherwise("FIXED"))
     start = {r.v_id + 10 * r.mesh_id: r.z for r in vertices.collect()}
-    run = lambda most: runs.invert_mesh(vertices, triangles, data(spark), DENSITY, 0.0, 2.0, 60.0, most=2, interval=2, margin_gate=lambda moved: max(abs(r.z - start[r.v_id + 10 * r.mesh_id]) for r in moved.collect()) <= most)
+    run = lambda most: runs.invert_mesh(vertices, triangles, data(spark), DENSITY, 0.5, 0.5, 60.0, most=6, interval=6, margin_gate=lambda moved: max(abs(r.z - start[r.v_id + 10 * r.mesh_id]) for r in moved.collect()) <= most)
     half = run(0.5)
     assert half.log[0]["accepted"] and half.log[0]["halved"] >= 1
     assert np.abs(half.parameters - half.field.start).max() <= 0.5
