@@ -240,9 +240,11 @@ class Alternating:
                     break
                 converged = converged and kept is not None
             if self.solve and done < self.most:
-                properties = self.solve(parameters, properties)
-                # new properties give the geometry a new target, unless there is no geometry
-                converged = self.minimise is None
+                before, properties = properties, self.solve(parameters, properties)
+                # new properties give the geometry a new target, unless there is no geometry; a dropped
+                # step with the properties it had before would only be tried again
+                same = all(abs(properties[k] - before.get(k, np.inf)) <= 1e-12 for k in properties)
+                converged = self.minimise is None or (not row["accepted"] and same)
             self.log.append(row | {"parameters": parameters.tolist()})
             if converged:
                 break
