@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terralith.functions import geometry as g
 from terralith.operators.cells import with_boxes
 from terralith.operators.forward import corners, pairs
-from terralith.operators.storage import stored
+from terralith.operators.storage import discard, stored_at
 
 #: Most reference points that every point looks through; more are searched by grid cells.
 BROADCAST_POINTS = 4096
@@ -99,10 +99,8 @@ def over_facets(points: DataFrame, facets: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, targets: DataFrame, k: int = 1, dims: str = "xyz") -> DataFrame:
     """(obs_id, target_id, d2, rank) of the ``k`` nearest targets; ties by target_id.
 
-    Up to ``BROADCAST_POINTS`` targets are looked through by every point. More lie in a grid:
-    points look into the cells around their own and keep what is certainly nearest, the rest
-    goes on with cells of twice the side. The first side is one at which the fullest cell holds
-    few targets, so the rounds are at most the doublings from it to the whole extent.
+    Up to ``BROADCAST_POINTS`` targets are looked through by every point. More are searched in a
+    tree of cells (``_nearest_by_cells``); there points and targets without a full place are left out.
     """
     n = targets.count()
     src = points.select("obs_id", *[F.col(a).alias(f"__{a}") for a in dims])
@@ -129,36 +127,78 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-#: Targets that the fullest cell of the first round may hold for each neighbour asked for.
-_FULL = 32
+#: Targets, for each neighbour asked for, up to which a cell of the tree is not split, and its greatest depth.
+_LEAF = 16
+_DEPTH = 20
 
 
 def _nearest_by_cells(src: DataFrame, targets: DataFrame, k: int, dims: str) -> DataFrame:
-    ends = src.select(*[F.col(f"__{a}").alias(a) for a in dims]).unionByName(targets.select(*dims)).agg(*[f(a).alias(f"{f.__name__}_{a}") for a in dims for f in (F.min, F.max)]).first()
-    extent = max([1e-9, *[float(ends[f"max_{a}"] - ends[f"min_{a}"]) for a in dims if ends[f"min_{a}"] is not None]])
-    levels = F.explode(F.sequence(F.lit(0), F.lit(20)))
-    cell = lambda a, side: F.floor(F.col(a) / side)
-    halved = targets.withColumn("level", levels).withColumn("side", F.lit(extent) / F.pow(F.lit(2.0), F.col("level")))
-    full = halved.groupBy("level", *[cell(a, F.col("side")).alias(f"c{a}") for a in dims]).count().groupBy("level").agg(F.max("count").alias("most"))
-    fine = [r["level"] for r in full.collect() if r["most"] <= _FULL * k]
-    side = extent / 2.0 ** (min(fine) if fine else 20)
-    todo, found = stored(src), []
-    while True:
-        around = todo
-        for a in dims:
-            around = around.withColumn(f"c{a}", F.explode(F.array(*[cell(f"__{a}", side) + i for i in (-1, 0, 1)])))
-        met = around.join(targets.withColumns({f"c{a}": cell(a, side) for a in dims}), [f"c{a}" for a in dims])
-        d2 = sum((F.pow(F.col(a) - F.col(f"__{a}"), 2) for a in dims), F.lit(0.0))
-        best = stored(_ranked(met.select("obs_id", "target_id", d2.alias("d2")), k))
-        if side > extent:
-            return _union([*found, best])
-        # all targets within one side of the point have been seen
-        sure = best.filter(F.col("rank") == k).filter(F.col("d2") < side * side).select("obs_id")
-        found.append(best.join(sure, "obs_id", "left_semi"))
-        todo = stored(todo.join(sure, "obs_id", "left_anti"))
-        if todo.isEmpty():
-            return _union(found)
-        side *= 2
+    """Descent of all points together through a tree of cells that adapts to the targets.
+
+    Targets of one place are one place with its ``k`` smallest ids, points of one place are one
+    point. A cell of more than ``_LEAF`` * k targets is split; cells carry their count and the
+    box of what they hold. Each point keeps a frontier of cells: the k-th nearest target is no
+    farther than the far corners of cells that hold k together, and cells whose near corner lies
+    beyond that are dropped before the next level. Leaves hold few targets, so what a point
+    meets last is bounded. Every level is one round, at most ``_DEPTH`` of them however the
+    targets lie; the tables of the round before are removed.
+    """
+    spark = src.sparkSession
+    axes = [f"__{a}" for a in dims]
+    whole = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    for a in dims:
+        targets, src = targets.filter(whole(a)), src.filter(whole(f"__{a}"))
+    src = src.withColumns({c: F.col(c).cast("double") + 0.0 for c in axes})
+    one = Window.partitionBy(*dims).orderBy("target_id")
+    live = targets.withColumns({a: F.col(a) + 0.0 for a in dims}).withColumn("__r", F.row_number().over(one)).filter(F.col("__r") <= k).drop("__r")
+    live, live_path = stored_at(live)
+    ends = live.agg(*[f(a).alias(f"{f.__name__}_{a}") for a in dims for f in (F.min, F.max)]).first()
+    if ends[0] is None:
+        return src.select("obs_id", F.lit(None).cast(dict(targets.dtypes)["target_id"]).alias("target_id"), F.lit(0.0).alias("d2"), F.lit(1).alias("rank")).limit(0)
+    side = max([1e-300, *[ends[f"max_{a}"] - ends[f"min_{a}"] for a in dims]])
+    places = src.groupBy(*axes).agg(F.min("obs_id").alias("p"))
+    step = 2 if len(dims) <= 2 else 1
+    keys, parents = [f"c{a}" for a in dims], [f"u{a}" for a in dims]
+    frontier = places.select("p", *axes, *[F.lit(0).cast("long").alias(u) for u in parents])
+    frontier, path = stored_at(frontier)
+    live = live.withColumns({u: F.lit(0).cast("long") for u in parents})
+    kept, leaves, old = [], [], [live_path]
+    for depth in range(step, _DEPTH + step, step):
+        depth = min(depth, _DEPTH)
+        cell = {f"c{a}": F.least(F.floor((F.col(a) - ends[f"min_{a}"]) / side * 2.0**depth), F.lit(2**depth - 1)).cast("long") for a in dims}
+        placed = live.withColumns(cell)
+        cells = placed.groupBy(*parents, *keys).agg(F.count("*").alias("n"), *[f(a).alias(f"{e}{a}") for a in dims for e, f in (("lo", F.min), ("hi", F.max))])
+        cells, cells_path = stored_at(cells.withColumn("leaf", (F.col("n") <= _LEAF * k) | F.lit(depth == _DEPTH)))
+        met = frontier.join(cells, parents).drop(*parents)
+        gap = [F.greatest(F.lit(0.0), F.col(f"lo{a}") - F.col(f"__{a}"), F.col(f"__{a}") - F.col(f"hi{a}")) for a in dims]
+        far = [F.greatest(F.abs(F.col(f"__{a}") - F.col(f"lo{a}")), F.abs(F.col(f"hi{a}") - F.col(f"__{a}"))) for a in dims]
+        met = met.select("p", *axes, *keys, "n", "leaf", F.lit(depth).alias("depth"), sum((g_ * g_ for g_ in gap), F.lit(0.0)).alias("near"), sum((f_ * f_ for f_ in far), F.lit(0.0)).alias("far"))
+        # leaves of earlier rounds bound the search too
+        both = _union([met, *[x for x, _ in kept]])
+        w = Window.partitionBy("p").orderBy("far", "near")
+        sums = both.withColumn("__sum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        limit = F.min(F.when(F.col("__sum") >= k, F.col("far"))).over(Window.partitionBy("p"))
+        within = sums.withColumn("__b", limit).filter(F.col("__b").isNull() | (F.col("near") <= F.col("__b") * (1 + 1e-12))).drop("__sum", "__b")
+        now, now_path = stored_at(within)
+        for _, x in kept:
+            discard(spark, x)
+        kept = [(now.filter("leaf"), now_path)]
+        here = placed.join(cells.select(*parents, *keys, "leaf"), [*parents, *keys])
+        done, done_path = stored_at(here.filter("leaf").select("target_id", *dims, *keys, F.lit(depth).alias("depth")))
+        leaves.append(done)
+        rest, rest_path = stored_at(here.filter("not leaf").select("target_id", *dims, *[F.col(c).alias(u) for c, u in zip(keys, parents, strict=True)]))
+        for x in (*old, path, cells_path):
+            discard(spark, x)
+        live, old = rest, [rest_path]
+        frontier, path = stored_at(now.filter("not leaf").select("p", *axes, *[F.col(c).alias(u) for c, u in zip(keys, parents, strict=True)]))
+        if frontier.isEmpty():
+            break
+    held = _union(leaves)
+    d2 = sum((F.pow(F.col(a) - F.col(f"__{a}"), 2) for a in dims), F.lit(0.0))
+    met = kept[0][0].join(held, ["depth", *keys]).select("p", "target_id", d2.alias("d2"))
+    best = _ranked(met.withColumnRenamed("p", "obs_id"), k).withColumnRenamed("obs_id", "p")
+    own = src.join(places.withColumnsRenamed({c: f"{c}p" for c in axes}), [F.col(c) == F.col(f"{c}p") for c in axes]).select("obs_id", "p")
+    return own.join(best, "p").select("obs_id", "target_id", "d2", "rank")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
