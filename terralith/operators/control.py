@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.functions import geometry as g
-from terralith.operators.forward import corners, pairs
-from terralith.operators.locate import over_facets
+from terralith.operators.forward import BROADCAST_FACETS, CORNERS, corners, pairs
+from terralith.operators.locate import descend, over_facets
 from terralith.operators.mesh import lattice
 
+#: Triangles that points beside a surface all look at; more are searched through a tree.
+FEW_FACETS = BROADCAST_FACETS // 100
+
 
 def grid_weights(nodes: DataFrame, n: int, stride: int, ring: int = 0) -> DataFrame:
     """Bilinear weights of an n x n grid's nodes (ix, iy) on control nodes every ``stride``.
@@ -47,8 +50,9 @@ def side(points: DataFrame, facets: DataFrame, dead: float = 1e-9) -> DataFrame:
 
     The normal of the first triangle (by t_id) that covers the point in x-y decides; they meet
     through cells of the triangles' extents. Points that none covers are held against the plane
-    of the triangle whose clamped foot point is nearest (ties by t_id): those few points meet
-    all triangles, block by block, with partial minima. Null without any triangle.
+    of the triangle whose clamped foot point is nearest (ties by t_id): they meet all of up to
+    ``BROADCAST_FACETS`` / 100 triangles, more are searched through a tree of the triangles'
+    boxes (``locate.descend``; a foot lies in its triangle's box). Null without any triangle.
     """
     p, q, r = corners()
     d = (F.col("qy") - F.col("ry")) * (F.col("px") - F.col("rx")) + (F.col("rx") - F.col("qx")) * (F.col("py") - F.col("ry"))
@@ -65,12 +69,22 @@ def side(points: DataFrame, facets: DataFrame, dead: float = 1e-9) -> DataFrame:
     foot = clamped_foot(o, p, q, r)
     away = g.sub(o, foot)
     # each step a projection of its own, so that shared parts are computed once
-    near = pairs(rest, facets).filter(g.norm(g.cross(g.sub(q, p), g.sub(r, p))) > 1e-15)
+    solid = facets.filter(g.norm(g.cross(g.sub(q, p), g.sub(r, p))) > 1e-15)
+    near = pairs(rest, solid) if solid.count() <= FEW_FACETS else _around(rest, solid)
     near = near.select("obs_id", "t_id", g.dot(away, away).alias("d2"), sign(g.dot(away, n)).alias("s"))
     outside = near.groupBy("obs_id").agg(F.min(F.struct("d2", "t_id", "s")).alias("b")).select("obs_id", F.col("b.s").alias("side"))
     return points.select("obs_id").join(found.unionByName(outside), "obs_id", "left")
 
 
+def _around(points: DataFrame, facets: DataFrame) -> DataFrame:
+    """Points beside the triangles that may be nearest to them."""
+    ends = {f"{e}{a}": f(*[F.col(f"{c}{a}").cast("double") for c in "pqr"]) for a in "xyz" for e, f in (("lo", F.least), ("hi", F.greatest))}
+    boxes = facets.select(F.col("t_id").alias("target_id"), *[v.alias(k) for k, v in ends.items()]).withColumns({a: (F.col(f"lo{a}") + F.col(f"hi{a}")) / 2 for a in "xyz"})
+    places = points.select(F.col("obs_id").alias("p"), *[(F.col(a).cast("double") + 0.0).alias(f"__{a}") for a in "xyz"])
+    met = descend(places, boxes, 1, "xyz").select(F.col("p").alias("obs_id"), *[F.col(f"__{a}").alias(a) for a in "xyz"], F.col("target_id").alias("t_id"))
+    return met.join(facets.select("t_id", *CORNERS), "t_id")
+
+
 def clamped_foot(o, p, q, r):
     """Foot of ``o`` in the plane of the triangle p, q, r, its weights moved into the triangle.
 

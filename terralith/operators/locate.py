@@ -133,41 +133,52 @@ _DEPTH = 20
 
 
 def _nearest_by_cells(src: DataFrame, targets: DataFrame, k: int, dims: str) -> DataFrame:
-    """Descent of all points together through a tree of cells that adapts to the targets.
-
-    Targets of one place are one place with its ``k`` smallest ids, points of one place are one
-    point. A cell of more than ``_LEAF`` * k targets is split; cells carry their count and the
-    box of what they hold. Each point keeps a frontier of cells: the k-th nearest target is no
-    farther than the far corners of cells that hold k together, and cells whose near corner lies
-    beyond that are dropped before the next level. Leaves hold few targets, so what a point
-    meets last is bounded. Every level is one round, at most ``_DEPTH`` of them however the
-    targets lie; the tables of the round before are removed.
-    """
-    spark = src.sparkSession
+    """``nearest`` by ``descend``: targets of one place are one place with its ``k`` smallest ids, points of one place one point."""
     axes = [f"__{a}" for a in dims]
     whole = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
     for a in dims:
         targets, src = targets.filter(whole(a)), src.filter(whole(f"__{a}"))
     src = src.withColumns({c: F.col(c).cast("double") + 0.0 for c in axes})
     one = Window.partitionBy(*dims).orderBy("target_id")
-    live = targets.withColumns({a: F.col(a) + 0.0 for a in dims}).withColumn("__r", F.row_number().over(one)).filter(F.col("__r") <= k).drop("__r")
-    live, live_path = stored_at(live)
+    few = targets.withColumns({a: F.col(a) + 0.0 for a in dims}).withColumn("__r", F.row_number().over(one)).filter(F.col("__r") <= k).drop("__r")
+    places = src.groupBy(*axes).agg(F.min("obs_id").alias("p"))
+    met = descend(places, few.withColumns({f"{e}{a}": F.col(a) for a in dims for e in ("lo", "hi")}), k, dims)
+    d2 = sum((F.pow(F.col(a) - F.col(f"__{a}"), 2) for a in dims), F.lit(0.0))
+    best = _ranked(met.select(F.col("p").alias("obs_id"), "target_id", d2.alias("d2")), k).withColumnRenamed("obs_id", "p")
+    own = src.join(places.withColumnsRenamed({c: f"{c}p" for c in axes}), [F.col(c) == F.col(f"{c}p") for c in axes]).select("obs_id", "p")
+    return own.join(best, "p").select("obs_id", "target_id", "d2", "rank")
+
+
+def descend(places: DataFrame, items: DataFrame, k: int, dims: str) -> DataFrame:
+    """(p, __x.., target_id, x..): for every place, items that hold its ``k`` nearest ones for certain.
+
+    places: p and ``__`` before each of ``dims``; items: target_id, a centre (x, y, z as in ``dims``) and the
+    box lo.., hi.. around each. All places go down together through a tree of cells that adapts
+    to the items: a cell of more than ``_LEAF`` * k items is split by their centres; cells carry
+    their count and the box of what they hold. Each place keeps a frontier of cells: its k-th
+    nearest item is no farther than the far corners of cells that hold k together, and cells
+    whose near corner lies beyond that are dropped before the next level. Leaves hold few items,
+    so what a place meets last is bounded. Every level is one round, at most ``_DEPTH`` of them
+    however the items lie; the tables of the round before are removed.
+    """
+    spark = places.sparkSession
+    axes = [f"__{a}" for a in dims]
+    corner = [f"{e}{a}" for a in dims for e in ("lo", "hi")]
+    keys, parents = [f"c{a}" for a in dims], [f"u{a}" for a in dims]
+    live, live_path = stored_at(items.select("target_id", *dims, *corner))
     ends = live.agg(*[f(a).alias(f"{f.__name__}_{a}") for a in dims for f in (F.min, F.max)]).first()
     if ends[0] is None:
-        return src.select("obs_id", F.lit(None).cast(dict(targets.dtypes)["target_id"]).alias("target_id"), F.lit(0.0).alias("d2"), F.lit(1).alias("rank")).limit(0)
+        return places.crossJoin(live.select("target_id", *dims)).select("p", *axes, "target_id", *dims)  # no items: no rows
     side = max([1e-300, *[ends[f"max_{a}"] - ends[f"min_{a}"] for a in dims]])
-    places = src.groupBy(*axes).agg(F.min("obs_id").alias("p"))
     step = 2 if len(dims) <= 2 else 1
-    keys, parents = [f"c{a}" for a in dims], [f"u{a}" for a in dims]
-    frontier = places.select("p", *axes, *[F.lit(0).cast("long").alias(u) for u in parents])
-    frontier, path = stored_at(frontier)
+    frontier, path = stored_at(places.select("p", *axes, *[F.lit(0).cast("long").alias(u) for u in parents]))
     live = live.withColumns({u: F.lit(0).cast("long") for u in parents})
     kept, leaves, old = [], [], [live_path]
     for depth in range(step, _DEPTH + step, step):
         depth = min(depth, _DEPTH)
         cell = {f"c{a}": F.least(F.floor((F.col(a) - ends[f"min_{a}"]) / side * 2.0**depth), F.lit(2**depth - 1)).cast("long") for a in dims}
         placed = live.withColumns(cell)
-        cells = placed.groupBy(*parents, *keys).agg(F.count("*").alias("n"), *[f(a).alias(f"{e}{a}") for a in dims for e, f in (("lo", F.min), ("hi", F.max))])
+        cells = placed.groupBy(*parents, *keys).agg(F.count("*").alias("n"), *[f(f"{e}{a}").alias(f"{e}{a}") for a in dims for e, f in (("lo", F.min), ("hi", F.max))])
         cells, cells_path = stored_at(cells.withColumn("leaf", (F.col("n") <= _LEAF * k) | F.lit(depth == _DEPTH)))
         met = frontier.join(cells, parents).drop(*parents)
         gap = [F.greatest(F.lit(0.0), F.col(f"lo{a}") - F.col(f"__{a}"), F.col(f"__{a}") - F.col(f"hi{a}")) for a in dims]
@@ -184,21 +195,15 @@ def _nearest_by_cells(src: DataFrame, targets: DataFrame, k: int, dims: str) ->
             discard(spark, x)
         kept = [(now.filter("leaf"), now_path)]
         here = placed.join(cells.select(*parents, *keys, "leaf"), [*parents, *keys])
-        done, done_path = stored_at(here.filter("leaf").select("target_id", *dims, *keys, F.lit(depth).alias("depth")))
-        leaves.append(done)
-        rest, rest_path = stored_at(here.filter("not leaf").select("target_id", *dims, *[F.col(c).alias(u) for c, u in zip(keys, parents, strict=True)]))
+        leaves.append(stored_at(here.filter("leaf").select("target_id", *dims, *keys, F.lit(depth).alias("depth")))[0])
+        rest, rest_path = stored_at(here.filter("not leaf").select("target_id", *dims, *corner, *[F.col(c).alias(u) for c, u in zip(keys, parents, strict=True)]))
         for x in (*old, path, cells_path):
             discard(spark, x)
         live, old = rest, [rest_path]
         frontier, path = stored_at(now.filter("not leaf").select("p", *axes, *[F.col(c).alias(u) for c, u in zip(keys, parents, strict=True)]))
         if frontier.isEmpty():
             break
-    held = _union(leaves)
-    d2 = sum((F.pow(F.col(a) - F.col(f"__{a}"), 2) for a in dims), F.lit(0.0))
-    met = kept[0][0].join(held, ["depth", *keys]).select("p", "target_id", d2.alias("d2"))
-    best = _ranked(met.withColumnRenamed("p", "obs_id"), k).withColumnRenamed("obs_id", "p")
-    own = src.join(places.withColumnsRenamed({c: f"{c}p" for c in axes}), [F.col(c) == F.col(f"{c}p") for c in axes]).select("obs_id", "p")
-    return own.join(best, "p").select("obs_id", "target_id", "d2", "rank")
+    return kept[0][0].join(_union(leaves), ["depth", *keys]).select("p", *axes, "target_id", *dims)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -63,31 +63,18 @@ def remanence(clusters: DataFrame, field: float = 55000.0, inclination: float =
 
 
 def boundary_loops(boundary: DataFrame, key: str = "mesh_id") -> DataFrame:
-    """(key, loop, ord, v_id): boundary edges walked to closed loops, each from its smallest vertex.
+    """(key, loop, ord, v_id): boundary edges in the order of their loops, each from its smallest vertex.
 
-    One task walks one mesh's boundary, which grows with the square root of the mesh.
+    Loops are ranked by ``graph.chains`` and numbered within a mesh by their smallest vertex; no
+    task holds a whole loop. Where several boundaries touch in a vertex, the k-th edge in goes
+    on as the k-th edge out.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        follow: dict[int, list[int]] = {}
-        for a, b in sorted(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)):
-            follow.setdefault(a, []).append(b)
-        rows, loop = [], 0
-        while follow:
-            start = at = min(follow)
-            n = 0
-            while at in follow:
-                rows.append((pdf[key].iloc[0], loop, n, at))
-                nxt = follow[at].pop(0)
-                if not follow[at]:
-                    del follow[at]
-                at, n = nxt, n + 1
-                if at == start:
-                    break
-            loop += 1
-        return pd.DataFrame(rows, columns=[key, "loop", "ord", "v_id"])
-
-    return boundary.groupBy(key).applyInPandas(walk, f"{key} {dict(boundary.dtypes)[key]}, loop int, ord int, v_id long")
+    ranked = graph.chains(boundary, [key])
+    names = ranked.select(key, "chain").distinct()
+    numbered = mesh.dense_number(names, [key, "chain"], "n")
+    first = numbered.groupBy(key).agg(F.min("n").alias("first"))
+    loops = numbered.join(first, key).select(key, "chain", (F.col("n") - F.col("first")).cast("int").alias("loop"))
+    return ranked.join(loops, [key, "chain"]).select(key, "loop", F.col("ord").cast("int").alias("ord"), F.col("a").alias("v_id"))
 
 
 def stitch_loops(loops: DataFrame, key: str = "mesh_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terralith.operators import control as ct
 from terralith.operators import forward as fw
+from terralith.operators import locate
 from terralith.plans import bindings as b
 from terralith.plans.registry import query
 from terralith.plans.shapes import _meshes, _SHARED
@@ -33,6 +34,32 @@ def surface_side(spark, d):
     return ct.side(pts, facet)
 
 
+_CORNERS3 = ", ".join(f"{c}.{a} AS {c}{a}" for c in "pqr" for a in "xyz")
+_MESH_SIDE = f"""WITH {b.VERTICES_SQL},
+{b.TRIANGLES_SQL}, pts AS (SELECT s_suppkey AS obs_id, (s_suppkey*37 % 61)*100.0 - 1000.0 AS x, (s_suppkey*23 % 59)*100.0 - 950.0 AS y, (s_suppkey % 9 - 4)*250.0 AS z FROM supplier),
+f AS (SELECT t_id, {_CORNERS3} FROM triangles JOIN vertices p ON p.v_id = v0 JOIN vertices q ON q.v_id = v1 JOIN vertices r ON r.v_id = v2),
+e AS (SELECT *, qx-px AS ax, qy-py AS ay, qz-pz AS az, rx-px AS bx, ry-py AS b_y, rz-pz AS bz FROM f),
+n AS (SELECT *, ay*bz-az*b_y AS ux, az*bx-ax*bz AS uy, ax*b_y-ay*bx AS uz FROM e),
+u AS (SELECT *, sqrt(ux*ux+uy*uy+uz*uz) AS size, (qy-ry)*(px-rx)+(rx-qx)*(py-ry) AS d FROM n),
+m AS (SELECT obs_id, x, y, z, u.*, ((qy-ry)*(x-rx)+(rx-qx)*(y-ry))/d AS wa, ((ry-py)*(x-rx)+(px-rx)*(y-ry))/d AS wb, ax*ax+ay*ay+az*az AS aa, ax*bx+ay*b_y+az*bz AS ab, bx*bx+b_y*b_y+bz*bz AS bb,
+  ax*(x-px)+ay*(y-py)+az*(z-pz) AS av, bx*(x-px)+b_y*(y-py)+bz*(z-pz) AS bv FROM pts, u),
+s AS (SELECT *, greatest(0, (bb*av-ab*bv)/(aa*bb-ab*ab)) AS s0, greatest(0, (aa*bv-ab*av)/(aa*bb-ab*ab)) AS t0 FROM m),
+w AS (SELECT *, x-(px+(s0*ax+t0*bx)/greatest(1, s0+t0)) AS fx, y-(py+(s0*ay+t0*b_y)/greatest(1, s0+t0)) AS fy, z-(pz+(s0*az+t0*bz)/greatest(1, s0+t0)) AS fz FROM s),
+g AS (SELECT obs_id, t_id, wa >= -1e-9 AND wb >= -1e-9 AND 1-wa-wb >= -1e-9 AS over_it, ((x-px)*ux+(y-py)*uy+(z-pz)*uz)/size AS h, (fx*ux+fy*uy+fz*uz)/size AS away, fx*fx+fy*fy+fz*fz AS d2 FROM w),
+c AS (SELECT obs_id, arg_min(h, t_id) AS h FROM g WHERE over_it GROUP BY 1), o AS (SELECT obs_id, first(away ORDER BY d2, t_id) AS h FROM g GROUP BY 1)
+SELECT obs_id, c.obs_id IS NOT NULL AS covered, (CASE WHEN abs(coalesce(c.h, o.h)) <= 1e-9 THEN 0 ELSE sign(coalesce(c.h, o.h)) END)::INT AS side FROM o LEFT JOIN c USING (obs_id)"""
+
+
+@query("mesh_side", _MESH_SIDE)
+def mesh_side(spark, d):
+    """Which side of the height field places over, under and beside it lie on."""
+    k = F.col("s_suppkey")
+    points = b.read(spark, d, "supplier").select(k.alias("obs_id"), ((k * 37 % 61) * 100.0 - 1000.0).alias("x"), ((k * 23 % 59) * 100.0 - 950.0).alias("y"), ((k % 9 - 4) * 250.0).alias("z"))
+    facets = fw.mesh_facets(b.vertices(spark, d).select("v_id", "x", "y", "z"), b.triangles(spark, d))
+    covered = locate.surface_z(points, facets).select(F.col("obs_id").alias("o"))
+    return ct.side(points, facets).join(covered, F.col("obs_id") == F.col("o"), "left").select("obs_id", F.col("o").isNotNull().alias("covered"), "side")
+
+
 @query("body_windows", f"WITH {b.VOXELS_SQL}, e AS (SELECT max(ix) AS hx, max(iy) AS hy, max(iz) AS hz FROM voxels) SELECT CASE WHEN ix/hx BETWEEN 0.5 AND 1.0 AND iy/hy BETWEEN 0.0 AND 0.6 THEN 2 WHEN ix/hx BETWEEN 0.1 AND 0.6 AND iy/hy BETWEEN 0.2 AND 0.8 THEN 1 ELSE 0 END AS body, count(*) AS n FROM voxels, e GROUP BY 1")
 def body_windows(spark, d):
     cells = b.voxels(spark, d).select(F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), F.col("iz").cast("double").alias("z"))

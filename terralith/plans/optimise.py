@@ -71,8 +71,13 @@ def padding_extrapolation(spark, d):
     return md.pad_edges(nodes, 10, last // 10 + 1)
 
 
-@query("boundary_loops")
+_EDGES = "dir AS (SELECT v0 AS a, v1 AS b FROM triangles UNION ALL SELECT v1, v2 FROM triangles UNION ALL SELECT v2, v0 FROM triangles), e AS (SELECT a, b FROM dir WHERE NOT EXISTS (SELECT 1 FROM dir o WHERE o.a = dir.b AND o.b = dir.a))"
+
+
+@query("boundary_loops", f"WITH RECURSIVE {b.TRIANGLES_SQL}, {_EDGES}, walk AS (SELECT a AS start, 0 AS ord, a AS v FROM e UNION ALL SELECT start, ord + 1, e.b FROM walk JOIN e ON e.a = walk.v WHERE e.b <> start),"
+       " low AS (SELECT start FROM walk GROUP BY start HAVING min(v) = start) SELECT 1 AS mesh_id, (dense_rank() OVER (ORDER BY start) - 1)::INT AS loop, ord, v AS v_id FROM walk JOIN low USING (start)")
 def boundary_loops(spark, d):
+    """The height field's outline, ranked by pointer doubling."""
     tri = b.triangles(spark, d).withColumn("mesh_id", F.lit(1))
     return md.boundary_loops(m.boundary_edges(tri, ["mesh_id"]))
 
