@@ -3,11 +3,13 @@
 Markup is stripped to lines, one per block element, and every line gets a weight: its text
 length, more in paragraphs and headings, nothing if it is mostly links, a short legal or cookie
 line, or stands in navigation, an advert, form, comments and the like. Where the page marks an
-article, lines inside it weigh ``INSIDE`` more and lines outside a tenth of what exceeds
-``OUTSIDE`` characters, if that reaches ``SURGE``. Sums over sliding windows of ``WINDOW`` lines, forwards and backwards,
+article, lines inside it weigh ``INSIDE`` more and lines outside it nothing, unless the
+paragraphs and headings outside hold more text than the marked lines: then the mark stands on a
+teaser and only adds its weight. Sums over sliding windows of ``WINDOW`` lines, forwards and backwards,
 give the surge (the first line with weight whose window reaches the threshold) and the dive (the
-last one whose window, looking back, does); the lines with weight between the two are kept. The
-threshold is ``SURGE``, or half of the largest window sum on pages with less text.
+last one whose window, looking back, does); the lines with weight between the two are kept, and so
+are the short legal lines there: their words only keep them from opening or closing the text.
+The threshold is ``SURGE``, or half of the largest window sum on pages with less text.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ from terralith.llm.common import table
 WINDOW = 3
 SURGE = 80
 INSIDE = 200
-OUTSIDE = 200
 #: What a line weighs more by its element.
 BONUS = {**dict.fromkeys("h1 h2 h3 h4 h5 h6 p blockquote pre".split(), 80), **dict.fromkeys("li dd dt td th figcaption".split(), 40)}
-#: Lines outside an article of up to ``LEGAL_CHARS`` characters that say this weigh nothing.
+#: Unmarked lines of up to ``LEGAL_CHARS`` characters that say this weigh nothing.
 LEGAL = re.compile(r"\u00a9|\bcopyright\b|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|\bnewsletter\b", re.I)
 LEGAL_CHARS = 160
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'<>]++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
@@ -182,20 +183,23 @@ def _raw_end(name: str) -> re.Pattern:
     return re.compile(rf"</{name}\b[^>]*>?", re.I)
 
 
-def _weights(lines: list[_Line], texts: list[str]) -> np.ndarray:
-    """What each line says for being the article's; see the module's text."""
-    marked = any(x.inside and t for x, t in zip(lines, texts, strict=True))
-    out = np.zeros(len(lines), np.int64)
+def _weights(lines: list[_Line], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What each line says for being the article's, and whether it is text if it stands among it; see the module's text."""
+    linked = np.array([2 * x.linked >= len(t) for x, t in zip(lines, texts, strict=True)], bool)
+    inside = sum(len(t) for x, t in zip(lines, texts, strict=True) if x.inside)
+    beside = sum(len(t) for x, t, far in zip(lines, texts, linked, strict=True) if not x.inside and x.element in BONUS and not far)
+    marked = inside > 0 and beside <= inside
+    out, among = np.zeros(len(lines), np.int64), np.zeros(len(lines), bool)
     for i, (x, t) in enumerate(zip(lines, texts, strict=True)):
-        if not t:
+        if not t or (marked and not x.inside):
             continue
-        if marked and x.inside:
-            out[i] = len(t) + INSIDE
-        elif 2 * x.linked < len(t) and not (len(t) <= LEGAL_CHARS and LEGAL.search(t)):
-            out[i] = len(t) + BONUS.get(x.element, 0)
-            if marked:
-                out[i] = far if (far := max(0, len(t) - OUTSIDE) // 10) >= SURGE else 0
-    return out
+        if x.inside:
+            out[i], among[i] = len(t) + INSIDE, True
+        elif not linked[i]:
+            among[i] = True
+            if not (len(t) <= LEGAL_CHARS and LEGAL.search(t)):
+                out[i] = len(t) + BONUS.get(x.element, 0)
+    return out, among
 
 
 def _extent(weight: np.ndarray) -> tuple[int, int]:
@@ -214,9 +218,9 @@ def extract(page: str | None) -> str:
     """The main text of one page: its blocks joined by line ends, '' if there is none."""
     lines = [x for x in _lines(page or "") if x.parts]
     texts = [" ".join(_html.unescape("".join(x.parts)).split()) for x in lines]
-    weight = _weights(lines, texts)
+    weight, among = _weights(lines, texts)
     first, last = _extent(weight)
-    return "\n".join(texts[i] for i in range(first, last) if weight[i])
+    return "\n".join(texts[i] for i in range(first, last) if among[i])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -70,9 +70,18 @@ def test_windows_decide(monkeypatch):
     assert "item 0" in html.extract(page)
 
 
-def test_outside_lines_need_much_text():
-    page = "<div>" + "x" * 300 + "</div><article><p>short</p></article><div>" + "y" * 1100 + "</div>"
-    assert html.extract(page) == "short\n" + "y" * 1100
+def test_text_beside_a_marked_article():
+    page = "<div>" + "x" * 300 + "</div><article><p>short</p></article><div>" + "y" * 1170 + "</div>"
+    assert html.extract(page) == "short"
+    teaser = "<article><p>Read more</p></article>" + "<p>" + "Real text. " * 20 + "</p>" + "<p>" + "More text. " * 20 + "</p>"
+    assert html.extract(teaser).split("\n")[1:] == [("Real text. " * 20).strip(), ("More text. " * 20).strip()]
+
+
+@pytest.mark.parametrize("line", ["The baker fills the oven with cookies and bread.", "\u00a9 2020 Smith proved this copyright theorem.", "Our newsletter of 1901 said so."])
+def test_words_do_not_drop_a_line_of_the_text(line):
+    real = "<p>" + "Real text. " * 20 + "</p>"
+    assert line in html.extract(real + f"<p>{line}</p>" + real).split("\n")
+    assert line not in html.extract(real + real + f"<div>{line}</div>")
 
 
 def test_deep_and_long_pages():
