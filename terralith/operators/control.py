@@ -138,13 +138,18 @@ def displacement(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.when(F.col("d") > 1e-8, 1)).alias("moved"), F.count(F.when(F.col("d") <= 1e-8, 1)).alias("unmoved"), F.max("d").alias("largest"))
 
 
-def padded_grid(spark, nx: int, ny: int, step: float, z: float, ring: int) -> DataFrame:
-    """Flat grid of nodes (v_id row-major, x, y, z, freedom): the padding ring is FIXED, the rest Z_ONLY."""
-    rows = spark.range(nx * ny).select(F.col("id").alias("v_id"), (F.col("id") % nx).alias("i"), F.floor(F.col("id") / nx).alias("j"))
+def padded_nodes(nodes: DataFrame, nx: int, ny: int, step: float, z: float, ring: int) -> DataFrame:
+    """nodes(v_id row-major) of a flat nx x ny grid with x, y, z, freedom: the padding ring is FIXED, the rest Z_ONLY."""
+    rows = nodes.select("v_id", (F.col("v_id") % nx).alias("i"), F.floor(F.col("v_id") / nx).alias("j"))
     pad = (F.col("i") < ring) | (F.col("i") >= nx - ring) | (F.col("j") < ring) | (F.col("j") >= ny - ring)
     return rows.select("v_id", (F.col("i") * step).alias("x"), (F.col("j") * step).alias("y"), F.lit(z).alias("z"), F.when(pad, "FIXED").otherwise("Z_ONLY").alias("freedom"))
 
 
+def padded_grid(spark, nx: int, ny: int, step: float, z: float, ring: int) -> DataFrame:
+    """``padded_nodes`` of all nodes of the grid."""
+    return padded_nodes(spark.range(nx * ny).withColumnRenamed("id", "v_id"), nx, ny, step, z, ring)
+
+
 def history_changes(history: DataFrame, by: str = "run_id") -> DataFrame:
     """Iterations whose parameter norm changed since the one before by more than 1e-14 (squared)."""
     w = Window.partitionBy(by).orderBy("iteration")

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralith.functions import geometry as g
 from terralith.operators import forward as fw
 from terralith.operators import inversion as inv
 from terralith.operators import locate, mesh, model
@@ -63,6 +64,53 @@ def solve_properties(units: DataFrame, data: DataFrame, start: dict, lower: dict
     return {(n["group_id"], n["part"]): float(v) for n, v in zip(names, x, strict=True)}
 
 
+def solve_conductivities(pairs: DataFrame, data: DataFrame, start: float, lower: float, upper: float, rounds: int = 30) -> dict:
+    """{group: conductivity} whose summed decays fit the data, by bounded Gauss-Newton steps on the logarithms.
+
+    pairs: obs_id, group_id, time, distance; data: obs_id, value, std. A round is two
+    aggregations: the predicted responses, and the normal equations of their derivatives by the
+    logarithm of each conductivity (central differences of the closed response). A step that
+    does not lower the misfit is halved; the driver holds one value a group.
+    """
+    names = sorted(r[0] for r in pairs.select("group_id").distinct().collect())
+    x = dict.fromkeys(names, float(np.log(start)))
+
+    def at(values: dict, shift: float = 0.0) -> Column:
+        log = F.element_at(F.create_map(*[c for n, v in values.items() for c in (F.lit(n), F.lit(float(v)))]), F.col("group_id"))
+        return g.active_response(F.exp(log + shift), F.col("time"), F.col("distance"))
+
+    def residual(values: dict) -> DataFrame:
+        rows = pairs.withColumn("r", at(values)).groupBy("obs_id").agg(F.sum("r").alias("r")).join(data, "obs_id")
+        return rows.select("obs_id", (F.col("value") - F.col("r")).alias("value"), "std")
+
+    def misfit(values: dict) -> float:
+        scaled = F.col("value") / F.when(F.col("std") > 0, F.col("std")).otherwise(1.0)
+        return float(residual(values).agg(F.sum(scaled * scaled)).first()[0])
+
+    now, step = misfit(x), 1e-4
+    for _ in range(rounds):
+        slopes = pairs.select("obs_id", "group_id", ((at(x, step) - at(x, -step)) / (2 * step)).alias("u"))
+        order, a, b = inv.normal_equations(slopes, residual(x))
+        zero = np.zeros(len(order))
+        low, high = (np.array([np.log(v) - x[n] for n in order]) for v in (lower, upper))
+        move = inv.bounded_least_squares(a, b, zero, low, high)
+        length, better = 1.0, None
+        while length > 1e-4:
+            trial = {n: x[n] + length * float(m) for n, m in zip(order, move, strict=True)}
+            got = misfit(trial)
+            if got <= now:
+                better = trial
+                break
+            length /= 2
+        if better is None:
+            break
+        done = max(abs(better[n] - x[n]) for n in order) < 1e-6
+        x, now = better, got
+        if done:
+            break
+    return {n: float(np.exp(v)) for n, v in x.items()}
+
+
 def constraint_midpoints(constraints: DataFrame) -> DataFrame:
     """Points (obs_id, x, y, z, thickness, expected) of constraints, depths positive downwards."""
     return constraints.select(

@@ -14,7 +14,7 @@ from terralith.sources import text as t
 from terralith.sources import write as w
 
 
-def _place(spark, name: str) -> str:
+def place(spark, name: str) -> str:
     return f"{shared_dir(spark)}/exchange-{uuid.uuid4().hex}/{name}"
 
 
@@ -30,7 +30,7 @@ def mesh_by_extension(spark, d):
     v = number.select(F.col("n").alias("v_id"), "x", "y", "z")
     out = []
     for form, lines in (("obj", w.obj_lines(v, tri)), ("ts", w.tsurf_lines(v, tri, "patch"))):
-        path = _place(spark, f"mesh.{form.upper()}")
+        path = place(spark, f"mesh.{form.upper()}")
         w.write_lines(lines, path)
         vertices, triangles = t.load_mesh(spark, path)
         row = vertices.agg(F.count("*").alias("n_vertices")).crossJoin(triangles.agg(F.count("*").alias("n_triangles"), F.sum("v0").alias("first_corners")))
@@ -62,7 +62,7 @@ def tensor_mesh_text(spark, d):
 def label_grid_file(spark, d):
     """Voxel labels written as one binary file, slab by slab, and read back; absent cells are -1."""
     cells = b.voxels(spark, d)
-    path = _place(spark, "labels.bin")
+    path = place(spark, "labels.bin")
     w.write_label_grid(cells, (10, 10, int(cells.agg(F.max("iz")).first()[0]) + 1), path)
     return t.label_grid(spark, path)
 
@@ -85,7 +85,7 @@ def cluster_csv_rewrite(spark, d):
 def observed_reload(spark, d):
     """Observations written with a header and read back; an absent file is one row of zeros."""
     o = b.obs(spark, d)
-    path = _place(spark, "observed.csv")
+    path = place(spark, "observed.csv")
     head = spark.range(1).select(F.lit(-1).cast("long").alias("ord"), F.lit("x,y,z,value,std").alias("line"))
     w.write_lines(head.unionByName(w.observed_lines(o)), path)
     of = lambda name, where: t.observed(spark, where).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")).select(F.lit(name).alias("source"), "n", "total")
@@ -102,7 +102,7 @@ def missing_columns(spark, d):
 @query("line_numbers", "SELECT count(*) AS n, min(s_suppkey+1)::INT AS first, max(s_suppkey+1)::INT AS last, sum(s_suppkey+1)::BIGINT AS total FROM supplier")
 def line_numbers(spark, d):
     """Lines of a file numbered across its splits: line n holds supplier n - 1."""
-    path = _place(spark, "numbers.txt")
+    path = place(spark, "numbers.txt")
     rows = b.read(spark, d, "supplier").select(F.col("s_suppkey").alias("ord"), (F.col("s_suppkey") + 1).cast("string").alias("line"))
     w.write_lines(rows, path)
     read = t.read_lines(spark, path).filter(F.col("line_no") == F.col("line").cast("int"))
@@ -132,15 +132,19 @@ def export_bundle(spark, d):
     corners = F.array(*[F.struct((F.col("t_id") * 3 + i).alias("v_id"), *[F.col(f"{c}{a}").alias(a) for a in "xyz"]) for i, c in enumerate("pqr")])
     vertices = facets.select("group_id", F.explode(corners).alias("v")).select("group_id", "v.*")
     triangles = facets.select("group_id", "t_id", *[(F.col("t_id") * 3 + i).alias(f"v{i}") for i in range(3)])
-    path = _place(spark, "bundle")
+    path = place(spark, "bundle")
     w.bundle(vertices, triangles, path)
     return spark.read.text(path).groupBy("format", "group").agg(F.count("*").alias("n_lines"))
 
 
-@query("resolved_ini", "SELECT * FROM (VALUES (0, '[data]'), (1, 'real_data = true'), (2, 'cluster_csv = ../in/clusters.csv'), (3, 'group_meshes = m/a.ts,../b.ts'), (4, ''), (5, '[inversion]'), (6, 'omega = 0.5')) x(ord, line)")
+@query("resolved_ini", "WITH r AS (SELECT string_agg(CASE WHEN r_regionkey % 2 = 0 THEN 'm/' ELSE '../' END || lower(r_name) || '.ts', ',' ORDER BY r_regionkey) AS m FROM region)"
+       " SELECT * FROM (VALUES (0, '[data]'), (1, 'real_data = true'), (2, 'cluster_csv = ../in/clusters.csv'), (4, ''), (5, '[inversion]'), (6, 'omega = 0.5')) x(ord, line) UNION ALL SELECT 3, 'group_meshes = ' || m FROM r")
 def resolved_ini(spark, d):
-    options = {"data": {"real_data": True, "cluster_csv": "/runs/in/clusters.csv", "observed_gravity_csv": None, "group_meshes": ["/runs/one/m/a.ts", "/runs/b.ts"]}, "inversion": {"omega": 0.5}}
+    """A configuration whose meshes are the regions', with paths as seen from its folder."""
+    meshes = [f"/runs/{'one/m/' if r.r_regionkey % 2 == 0 else ''}{r.r_name.lower()}.ts" for r in b.read(spark, d, "region").orderBy("r_regionkey").collect()]
+    options = {"data": {"real_data": True, "cluster_csv": "/runs/in/clusters.csv", "observed_gravity_csv": None, "group_meshes": meshes}, "inversion": {"omega": 0.5}}
     lines = w.ini_text(options, "/runs/one/run.ini", ("cluster_csv", "observed_gravity_csv", "group_meshes"))
     return spark.createDataFrame(list(enumerate(lines)), "ord int, line string")
 
 
+

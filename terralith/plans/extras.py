@@ -8,16 +8,19 @@ from terralith.operators import control as ct
 from terralith.operators import forward as fw
 from terralith.operators import locate
 from terralith.plans import bindings as b
+from terralith.plans.exchange import place
 from terralith.plans.registry import query
 from terralith.plans.shapes import _meshes, _SHARED
 from terralith.sources import text as t
 from terralith.sources import write as w
 
 
-@query("control_grid_weights", "WITH n AS (SELECT (i % 21)::INT AS ix, (i // 21)::INT AS iy FROM range(0, 441) r(i)), c AS (SELECT ix, iy, least(ix // 4 * 4, 19) AS x0, least(iy // 4 * 4, 19) AS y0 FROM n), e AS (SELECT *, least(x0+4, 20) AS x1, least(y0+4, 20) AS y1 FROM c), t AS (SELECT *, (ix-x0)/(x1-x0)::DOUBLE AS tx, (iy-y0)/(y1-y0)::DOUBLE AS ty FROM e),"
+@query("control_grid_weights", "WITH n AS (SELECT DISTINCT (p_partkey % 21)::INT AS ix, (p_partkey // 21 % 21)::INT AS iy FROM part), c AS (SELECT ix, iy, least(ix // 4 * 4, 19) AS x0, least(iy // 4 * 4, 19) AS y0 FROM n), e AS (SELECT *, least(x0+4, 20) AS x1, least(y0+4, 20) AS y1 FROM c), t AS (SELECT *, (ix-x0)/(x1-x0)::DOUBLE AS tx, (iy-y0)/(y1-y0)::DOUBLE AS ty FROM e),"
        " u AS (SELECT ix, iy, x0 AS cx, y0 AS cy, (1-tx)*(1-ty) AS w FROM t UNION ALL SELECT ix, iy, x1, y0, tx*(1-ty) FROM t UNION ALL SELECT ix, iy, x0, y1, (1-tx)*ty FROM t UNION ALL SELECT ix, iy, x1, y1, tx*ty FROM t) SELECT * FROM u WHERE w > 0")
 def control_grid_weights(spark, d):
-    nodes = spark.range(441).select((F.col("id") % 21).cast("int").alias("ix"), F.floor(F.col("id") / 21).cast("int").alias("iy"))
+    """Weights of the nodes where parts lie on a grid 21 wide."""
+    k = F.col("p_partkey")
+    nodes = b.read(spark, d, "part").select((k % 21).cast("int").alias("ix"), (F.floor(k / 21) % 21).cast("int").alias("iy")).distinct()
     return ct.grid_weights(nodes, 21, 4)
 
 
@@ -88,9 +91,11 @@ def iteration_displacement(spark, d):
     return ct.displacement(v, v.withColumn("z", F.col("z") + (F.col("v_id") % 4) * 1.5)).select("moved", "unmoved", F.round("largest", 6).alias("largest"))
 
 
-@query("padded_grid", "SELECT i AS v_id, (i % 12)*25.0 AS x, (i // 12)*25.0 AS y, -10.0 AS z, CASE WHEN i % 12 < 2 OR i % 12 >= 10 OR i // 12 < 2 OR i // 12 >= 7 THEN 'FIXED' ELSE 'Z_ONLY' END AS freedom FROM range(0, 108) r(i)")
+@query("padded_grid", "WITH n AS (SELECT max(c_custkey) // 40 + 1 AS ny FROM customer) SELECT c_custkey AS v_id, (c_custkey % 40)*25.0 AS x, (c_custkey // 40)*25.0 AS y, -10.0 AS z, CASE WHEN c_custkey % 40 < 2 OR c_custkey % 40 >= 38 OR c_custkey // 40 < 2 OR c_custkey // 40 >= ny - 2 THEN 'FIXED' ELSE 'Z_ONLY' END AS freedom FROM customer, n")
 def padded_grid(spark, d):
-    return ct.padded_grid(spark, 12, 9, 25.0, -10.0, 2)
+    """Customers as nodes of a flat grid 40 wide whose outer two rings are padding."""
+    nodes = b.read(spark, d, "customer").select(F.col("c_custkey").alias("v_id"))
+    return ct.padded_nodes(nodes, 40, int(nodes.agg(F.max("v_id")).first()[0]) // 40 + 1, 25.0, -10.0, 2)
 
 
 @query("flat_contact", f"WITH {b.OBS_SQL}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, median(value) AS z FROM obs) SELECT i AS v_id, round(x0+(x1-x0)*(i % 11)/10.0, 6) AS x, round(y0+(y1-y0)*(i // 11)/10.0, 6) AS y, round(z, 6) AS z FROM e, range(0, 121) r(i)")
@@ -107,23 +112,36 @@ def history_changes(spark, d):
     return ct.history_changes(h)
 
 
-@query("active_cell_mesh", "SELECT (i+1)::INT AS cell, (i % 4 + 1)::INT AS ix, (i // 4 + 1)::INT AS iy, 1 AS iz, 100.0+(i % 4 + 0.5)*50.0 AS x, 25.0-0.5*10.0 AS z FROM range(0, 12) r(i)")
+@query("active_cell_mesh", f"WITH {b.VOXELS_SQL} SELECT (row_number() OVER (ORDER BY cell_id))::INT AS cell, ix+1 AS ix, iy+1 AS iy, iz+1 AS iz, 100.0+(ix+0.5)*50.0 AS x, 25.0-(iz+0.5)*10.0 AS z FROM voxels WHERE label > 0")
 def active_cell_mesh(spark, d):
-    head = "4 3 2\n100 200 25\n50 50 10\n12\n"
-    body = "\n".join(f"{i % 4 + 1} {i // 4 + 1} 1" for i in range(12))
-    return t.active_cells(t.number_lines(spark.createDataFrame([("a.msh", head + body)], "path string, text string"))).select("cell", "ix", "iy", "iz", "x", "z")
+    """The voxels of a label written as one active-cell mesh file and read back in splits."""
+    cells = b.voxels(spark, d).filter("label > 0")
+    top, n = cells.agg(F.max("iz"), F.count("*")).first()
+    head = spark.createDataFrame(list(enumerate([f"10 10 {top + 1}", "100 200 25", "50 50 10", str(n)])), "ord long, line string").withColumn("part", F.lit(0))
+    body = cells.select(F.col("cell_id").cast("long").alias("ord"), F.concat_ws(" ", F.col("ix") + 1, F.col("iy") + 1, F.col("iz") + 1).alias("line"), F.lit(1).alias("part"))
+    path = place(spark, "a.msh")
+    w.write_lines(head.unionByName(body), path)
+    return t.active_cells(t.read_lines(spark, path)).select("cell", "ix", "iy", "iz", "x", "z")
 
 
-@query("strict_model", "SELECT (i)::INT AS place, i*0.5 AS value FROM range(0, 24) r(i)")
+@query("strict_model", "SELECT s_suppkey || '.mod' AS path, i::INT AS place, (s_suppkey+i)*0.5 AS value FROM supplier, range(0, 24) r(i)")
 def strict_model(spark, d):
-    body = "2 3 4\n" + "\n".join(" ".join(str((3 * r + k) * 0.5) for k in range(3)) for r in range(8))
-    return t.strict_model(spark.createDataFrame([("a.mod", body)], "path string, text string"))
+    """One model text for each supplier, three values to a line."""
+    k = F.col("s_suppkey")
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.concat(((k + i) * 0.5).cast("string"), F.when(i % 3 == 2, "\n").otherwise(" ")))
+    texts = b.read(spark, d, "supplier").select(F.concat(k.cast("string"), F.lit(".mod")).alias("path"), F.concat(F.lit("2 3 4\n"), F.array_join(numbers, "")).alias("text"))
+    return t.strict_model(texts)
 
 
-@query("mesh_and_config_text", "SELECT * FROM (VALUES ('ini', 0, '[data]'), ('ini', 1, 'gravity = g.csv'), ('msh', 0, '4 3 2'), ('msh', 1, '0.000 0.000 25.000'), ('msh', 2, '4*50.000'), ('msh', 3, '3*50.000'), ('msh', 4, '2*10.000')) x(kind, ord, line)")
+@query("mesh_and_config_text", f"WITH {b.VOXELS_SQL}, e AS (SELECT max(ix)+1 AS nx, max(iy)+1 AS ny, max(iz)+1 AS nz FROM voxels), r AS (SELECT row_number() OVER (ORDER BY r_regionkey) AS n, r_name FROM region)"
+       " SELECT 'ini' AS kind, 0 AS ord, '[data]' AS line UNION ALL SELECT 'ini', n, lower(r_name) || ' = ' || lower(r_name) || '.csv' FROM r"
+       " UNION ALL SELECT 'msh', o, CASE o WHEN 0 THEN nx || ' ' || ny || ' ' || nz WHEN 1 THEN '0.000 0.000 25.000' WHEN 2 THEN nx || '*50.000' WHEN 3 THEN ny || '*50.000' ELSE nz || '*10.000' END FROM e, range(5) q(o)")
 def mesh_and_config_text(spark, d):
-    msh = w.mesh_text((4, 3, 2), (0.0, 0.0, 25.0), (50.0, 50.0, 10.0))
-    ini = w.ini_text({"data": {"gravity": "g.csv"}})
+    """Mesh text of the voxels' extent, and a configuration with one file a region."""
+    shape = b.voxels(spark, d).agg(*[F.max(c) + 1 for c in ("ix", "iy", "iz")]).first()
+    names = [r.r_name.lower() for r in b.read(spark, d, "region").orderBy("r_regionkey").collect()]
+    msh = w.mesh_text(tuple(shape), (0.0, 0.0, 25.0), (50.0, 50.0, 10.0))
+    ini = w.ini_text({"data": {n: f"{n}.csv" for n in names}})
     return spark.createDataFrame([("msh", i, x) for i, x in enumerate(msh)] + [("ini", i, x) for i, x in enumerate(ini)], "kind string, ord int, line string")
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from terralith.functions import geometry as g
 from terralith.functions.geometry import G_MGAL
 from terralith.operators import forward as fw
 from terralith.operators import inversion as inv
 from terralith.operators import isosurface as iso
 from terralith.operators import locate
 from terralith.operators import runs
+from terralith.operators.storage import stored
 from terralith.plans import bindings as b
 from terralith.plans import shapes
 from terralith.plans import sqlgen as s
@@ -51,9 +55,10 @@ def custom_kernel(spark, d):
     return out.select("obs_id", (F.round("response", 6) + 0.0).alias("response"))
 
 
-@query("observation_grid", "SELECT i AS obs_id, (i % 8)*250.0-875.0 AS x, (i // 8)*250.0-875.0 AS y, 0.0::DOUBLE AS z, 0.0::DOUBLE AS value, 0.01::DOUBLE AS std FROM range(64) t(i)")
+@query("observation_grid", "WITH n AS (SELECT floor(sqrt(count(*)))::BIGINT AS n FROM customer) SELECT i AS obs_id, (i % n)*250.0-875.0 AS x, (i // n)*250.0-875.0 AS y, 0.0::DOUBLE AS z, 0.0::DOUBLE AS value, 0.01::DOUBLE AS std FROM n, unnest(range(n*n)) t(i)")
 def observation_grid(spark, d):
-    return runs.observation_grid(spark, 8, 875.0, 250.0)
+    """The largest square grid that has no more stations than there are customers."""
+    return runs.observation_grid(spark, isqrt(b.read(spark, d, "customer").count()), 875.0, 250.0)
 
 
 def _near_boxes(spark, d):
@@ -88,16 +93,24 @@ def remanence_solve(spark, d):
     return spark.createDataFrame([(int(g), p, v) for (g, p), v in found.items()], "group_id int, part string, value double")
 
 
-@query("conductivity_solve", "SELECT r_regionkey AS group_id, 'sigma' AS part, round(0.001*(r_regionkey+1), 8) AS value FROM region")
+@query("conductivity_solve", "SELECT r_regionkey AS group_id, round(0.001*(r_regionkey+1), 4) AS sigma FROM region")
 def conductivity_solve(spark, d):
-    """Conductivities from linear responses of the closed approximation, one unit a group."""
-    boxes, stations = _near_boxes(spark, d), _stations(spark)
-    centre = boxes.select("group_id", "cx", "cy", "cz")
-    far = F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2) + F.pow(F.col("z") - F.col("cz"), 2))
-    units = stations.select("obs_id", "x", "y", "z").crossJoin(F.broadcast(centre)).select("obs_id", "group_id", F.lit("sigma").alias("part"), (1e6 / F.pow(far, 3)).alias("u"))
-    data = units.groupBy("obs_id").agg(F.sum(F.col("u") * 0.001 * (F.col("group_id") + 1)).alias("value")).withColumn("std", F.lit(0.0))
-    found = runs.solve_properties(units, data, {"sigma": 0.01}, {"sigma": 1e-6}, {"sigma": 1.0})
-    return spark.createDataFrame([(int(g), p, round(v, 8) + 0.0) for (g, p), v in found.items()], "group_id int, part string, value double")
+    """Conductivities of the bodies from their decays at the customers' places, errors of 1e-5 included.
+
+    Responses fall with the root of the conductivity, so the solve is a damped Gauss-Newton loop.
+    """
+    boxes = _near_boxes(spark, d).select("group_id", "cx", "cy", "cz")
+    k = F.col("c_custkey")
+    visits = b.read(spark, d, "customer").select((k % 144).alias("place"), ((F.col("c_acctbal") * 100) % 101 / 50.0 - 1.0).alias("e"))
+    places = visits.groupBy("place").agg(F.avg("e").alias("e")).select("place", ((F.col("place") % 12) * 200.0 - 1100.0).alias("x"), (F.floor(F.col("place") / 12) * 200.0 - 1100.0).alias("y"), "e")
+    gates = F.explode(F.array(*[F.struct(F.lit(i).alias("gate"), F.lit(x).alias("t")) for i, x in enumerate((1e-4, 4e-4, 1.6e-3))]))
+    at = places.withColumn("g", gates).select((F.col("place") * 3 + F.col("g.gate")).alias("obs_id"), "x", "y", "e", F.col("g.t").alias("time"))
+    far = F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2) + F.pow("cz", 2))
+    pairs = stored(at.crossJoin(F.broadcast(boxes)).select("obs_id", "group_id", "time", far.alias("distance"), "e"))
+    truth = pairs.withColumn("r", g.active_response(0.001 * (F.col("group_id") + 1), F.col("time"), F.col("distance")))
+    data = stored(truth.groupBy("obs_id").agg(F.sum("r").alias("r"), F.first("e").alias("e")).select("obs_id", (F.col("r") * (1 + 1e-5 * F.col("e"))).alias("value"), (F.col("r") * 1e-3).alias("std")))
+    found = runs.solve_conductivities(pairs, data, 0.01, 1e-6, 1.0)
+    return spark.createDataFrame([(int(n), round(v, 4) + 0.0) for n, v in found.items()], "group_id int, sigma double")
 
 
 _CONS = """cons AS (SELECT DISTINCT concat_ws('/', l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity::INT) AS obs_id, (l_suppkey*37 % 5000)::DOUBLE AS x, (l_partkey*7 % 1400)::DOUBLE AS y, 200.0+l_linenumber*20.0 AS z_top, 200.0+l_linenumber*20.0+l_quantity::DOUBLE AS z_bottom, (l_suppkey % 27 - 1)::INT AS want FROM lineitem)"""
@@ -219,15 +232,19 @@ def contact_surface(spark, d):
     """A contact's height on a grid from the depths where drill holes meet it."""
     holes = b.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("hole")).agg((F.min("l_extendedprice") / 100).alias("depth"))
     contacts = holes.select((F.col("hole") * 131 % 3000).cast("double").alias("sx"), (F.col("hole") * 17 % 2000).cast("double").alias("sy"), (-F.col("depth")).alias("sz"))
-    return locate.idw(observation_grid(spark, d), contacts).select("obs_id", F.round("z", 6).alias("z"))
+    return locate.idw(runs.observation_grid(spark, 8, 875.0, 250.0), contacts).select("obs_id", F.round("z", 6).alias("z"))
 
 
-@query("gradient_balance", "SELECT 'eigenvalues' AS rule, 0.25::DOUBLE AS alpha UNION ALL SELECT 'clipped', 1e6 UNION ALL SELECT 'gradients', 2.5 UNION ALL SELECT 'neither', 1.0")
+@query("gradient_balance", "WITH g AS (SELECT sum(c_acctbal) AS a, sum(c_nationkey) AS b FROM customer) SELECT 'eigenvalues' AS rule, 0.25::DOUBLE AS alpha UNION ALL SELECT 'clipped', 1e6 UNION ALL SELECT 'gradients', round(sqrt(a*a+b*b)/abs(a), 9) FROM g UNION ALL SELECT 'neither', 1.0")
 def gradient_balance(spark, d):
-    """Weight of the second data set by each of its rules."""
-    one = np.diag([2.0, 1.0])
-    rows = [("eigenvalues", inv.balance(one, 4 * one)), ("clipped", inv.balance(1e9 * one, one)), ("gradients", inv.balance(one, 0 * one, (np.array([3.0, 4.0]), np.array([2.0, 0.0])))), ("neither", inv.balance(one, 0 * one))]
-    return spark.createDataFrame(rows, "rule string, alpha double")
+    """Weight of the second data set by each of its rules: normal matrices of the boxes, gradients from the customers' sums."""
+    units = fw.gravity(_stations(spark), fw.box_facets(_near_boxes(spark, d)), ["group_id"], density=None).withColumnRenamed("response", "u")
+    data = units.groupBy("obs_id").agg(F.sum("u").alias("value")).withColumn("std", F.lit(0.01))
+    _, one, _ = inv.normal_equations(units, data)
+    a, c = b.read(spark, d, "customer").agg(F.sum("c_acctbal"), F.sum("c_nationkey")).first()
+    none = 0 * one
+    rows = [("eigenvalues", inv.balance(one, 4 * one)), ("clipped", inv.balance(1e9 * one, one)), ("gradients", inv.balance(one, none, (np.array([a, c], float), np.array([0.0, a])))), ("neither", inv.balance(one, none))]
+    return spark.createDataFrame([(n, round(float(v), 9)) for n, v in rows], "rule string, alpha double")
 
 
 @query("density_clusters")

@@ -335,13 +335,13 @@ def active_cells(lines: DataFrame) -> DataFrame:
 
 
 def strict_model(texts: DataFrame) -> DataFrame:
-    """(place, value) of model text: three integers, then as many numbers as their product.
+    """(path, place, value) of model texts(path, text): three integers, then as many numbers as their product.
 
     Numbers may stand any number to a line; another count is an error.
     """
     tokens = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    rows = texts.select(tokens.alias("k"))
+    rows = texts.select("path", tokens.alias("k"))
     want = F.col("k")[0].cast("int") * F.col("k")[1].cast("int") * F.col("k")[2].cast("int")
     fits = F.size("k") - 3 == want
-    checked = rows.select(F.when(fits, F.slice("k", F.lit(4), F.greatest(want, F.lit(1)))).otherwise(F.raise_error(F.lit("model text: values and dimensions differ"))).alias("v"))
-    return checked.select(F.posexplode("v").alias("place", "v")).select("place", number(F.col("v")).alias("value"))
+    checked = rows.select("path", F.when(fits, F.slice("k", F.lit(4), F.greatest(want, F.lit(1)))).otherwise(F.raise_error(F.lit("model text: values and dimensions differ"))).alias("v"))
+    return checked.select("path", F.posexplode("v").alias("place", "v")).select("path", "place", number(F.col("v")).alias("value"))
