@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from terralith.operators.forward import box_facets
 from terralith.operators.storage import shared_dir
 from terralith.plans import bindings as b
+from terralith.plans import sqlgen as sql
 from terralith.plans.registry import query
 from terralith.sources import text as t
 from terralith.sources import write as w
@@ -137,6 +138,31 @@ def export_bundle(spark, d):
     return spark.read.text(path).groupBy("format", "group").agg(F.count("*").alias("n_lines"))
 
 
+_SET = f"""WITH {b.BOXES_SQL}, {sql.box_facets()}, c AS (SELECT group_id, t_id*3+i AS v_id, CASE i WHEN 0 THEN px WHEN 1 THEN qx ELSE rx END AS x, CASE i WHEN 0 THEN py WHEN 1 THEN qy ELSE ry END AS y, CASE i WHEN 0 THEN pz WHEN 1 THEN qz ELSE rz END AS z FROM facets, range(3) k(i)),
+k AS (SELECT group_id, n_name AS name, density, susceptibility FROM boxes JOIN nation ON n_nationkey = group_id),
+l AS (SELECT 'volume_group_' || group_id || '.ts' AS file, unnest(['GOCAD TSurf 1', 'HEADER {{', 'name:' || regexp_replace(name, '[ .()-]', '_', 'g'), printf('*density:%.6f', density), printf('*susceptibility:%.6f', susceptibility), '}}', 'TFACE', 'END']) AS line FROM k
+ UNION ALL SELECT 'volume_group_' || group_id || '.ts', printf('VRTX %d %.3f %.3f %.3f', v_id+1, x, y, z) FROM c UNION ALL SELECT 'volume_group_' || group_id || '.ts', printf('TRGL %d %d %d', t_id*3+1, t_id*3+2, t_id*3+3) FROM facets
+ UNION ALL SELECT 'surface_group_' || group_id || '.csv', 'x,y,z' FROM k UNION ALL SELECT 'surface_group_' || group_id || '.csv', printf('%.3f,%.3f,%.3f', x, y, z) FROM c
+ UNION ALL SELECT 'starting_model.csv', 'group_id,name,density,susceptibility' UNION ALL SELECT 'starting_model.csv', printf('%d,%s,%.6f,%.6f', group_id, name, density, susceptibility) FROM k)
+SELECT * FROM l UNION ALL SELECT 'manifest.csv', file || ',' || count(*) || ',' || sum(len(line))::BIGINT FROM l GROUP BY file"""
+
+
+@query("export_set", _SET)
+def export_set(spark, d):
+    """Closed volumes, surfaces, starting model and manifest of all boxes, written as one set and read back line by line."""
+    boxes = b.boxes(spark, d)
+    facets = box_facets(boxes)
+    corners = F.array(*[F.struct((F.col("t_id") * 3 + i).alias("v_id"), *[F.col(f"{c}{a}").alias(a) for a in "xyz"]) for i, c in enumerate("pqr")])
+    vertices = facets.select("group_id", F.explode(corners).alias("v")).select("group_id", "v.*")
+    triangles = facets.select("group_id", "t_id", *[(F.col("t_id") * 3 + i).alias(f"v{i}") for i in range(3)])
+    names = b.read(spark, d, "nation").select(F.col("n_nationkey").alias("group_id"), F.col("n_name").alias("name"))
+    path = place(spark, "set")
+    lines = w.export_lines(vertices, triangles, boxes.select("group_id", "density", "susceptibility").join(names, "group_id"))
+    w.export_set(lines, path)
+    w.export_set(lines, path)  # a second run takes the first one's place
+    return spark.read.text(path).select("file", F.col("value").alias("line"))
+
+
 @query("resolved_ini", "WITH r AS (SELECT string_agg(CASE WHEN r_regionkey % 2 = 0 THEN 'm/' ELSE '../' END || lower(r_name) || '.ts', ',' ORDER BY r_regionkey) AS m FROM region)"
        " SELECT * FROM (VALUES (0, '[data]'), (1, 'real_data = true'), (2, 'cluster_csv = ../in/clusters.csv'), (4, ''), (5, '[inversion]'), (6, 'omega = 0.5')) x(ord, line) UNION ALL SELECT 3, 'group_meshes = ' || m FROM r")
 def resolved_ini(spark, d):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terralith.operators import forward as fw
+from terralith.operators import hooks
 from terralith.operators import inversion as inv
 from terralith.operators import mesh as m
 from terralith.operators import model as md
@@ -133,6 +135,57 @@ def bounded_descent(spark, d):
     return spark.createDataFrame([(h["iteration"], h["objective"], h["projected_gradient"]) for h in opt.history], "iteration int, objective double, projected_gradient double")
 
 
+@query("custom_regulariser", f"WITH {b.OBS_SQL} SELECT 'reference' AS term, round(0.3*sum(0.5*pow(value-2.0, 2)), 6) AS penalty FROM obs UNION ALL SELECT 'total_variation', round(0.1*sum(abs(value-before)), 6) FROM (SELECT value, lag(value) OVER (PARTITION BY line ORDER BY obs_id) AS before FROM obs)")
+def custom_regulariser(spark, d):
+    """A penalty added by name beside a built-in one: steps along each line, summed."""
+    w = Window.partitionBy("line").orderBy("dof_id")
+    hooks.register("regulariser", "total_variation", lambda p: p.select(F.abs(F.col("p") - F.lag("p").over(w)).alias("s")).agg(F.sum("s").alias("penalty")))
+    p = b.obs(spark, d).select(F.col("obs_id").alias("dof_id"), F.col("value").alias("p"), F.lit(2.0).alias("p0"), "line")
+    return hooks.penalties(p, {"reference": 0.3, "total_variation": 0.1}).select("term", F.round("penalty", 6).alias("penalty"))
+
+
+@query("custom_validator", f"WITH {b.VERTICES_SQL}, m AS (SELECT z, z + (v_id % 7)*0.5 AS nz FROM vertices) SELECT 1 AS place, 'largest_step' AS \"check\", max(abs(nz-z)) <= 2.0 AS passed, round(max(abs(nz-z)), 6) AS worst FROM m UNION ALL SELECT 2, 'stays_below', max(nz) <= 1e4, round(max(nz), 6) FROM m")
+def custom_validator(spark, d):
+    """Two checks added by name, of a model against its start."""
+    step = lambda start, now: start.select("v_id", F.col("z").alias("z0")).join(now, "v_id").agg(F.max(F.abs(F.col("z") - F.col("z0"))).alias("worst")).select((F.col("worst") <= 2.0).alias("passed"), "worst")
+    hooks.register("validator", "largest_step", step)
+    hooks.register("validator", "stays_below", lambda start, now: now.agg(F.max("z").alias("worst")).select((F.col("worst") <= 1e4).alias("passed"), "worst"))
+    start = b.vertices(spark, d).select("v_id", "z")
+    now = start.withColumn("z", F.col("z") + (F.col("v_id") % 7) * 0.5)
+    return hooks.checks(start, now, ["largest_step", "stays_below"]).select("place", "check", "passed", F.round("worst", 6).alias("worst"))
+
+
+@query("custom_optimiser", f"WITH {b.OBS_SQL} SELECT 'steepest' AS optimiser, segment, round(least(5.0, avg(value)), 4) AS level FROM obs GROUP BY segment UNION ALL SELECT 'bounded', segment, round(least(5.0, avg(value)), 4) FROM obs GROUP BY segment")
+def custom_optimiser(spark, d):
+    """Level of each segment by least squares: steepest descent added by name, and the built-in descent; every evaluation is a Spark sum."""
+    rows = b.obs(spark, d).select("segment", "value")
+    names = sorted(r[0] for r in rows.select("segment").distinct().collect())
+
+    def sums(x):
+        level = F.element_at(F.create_map(*[c for n, v in zip(names, x, strict=True) for c in (F.lit(n), F.lit(float(v)))]), F.col("segment"))
+        found = {r.segment: r for r in rows.groupBy("segment").agg(F.avg(F.pow(F.col("value") - level, 2)).alias("f"), F.avg(level - F.col("value")).alias("g")).collect()}
+        return [found[n] for n in names]
+
+    value = lambda x: 0.5 * sum(r.f for r in sums(x))
+    gradient = lambda x: np.array([r.g for r in sums(x)])
+
+    def steepest(value, gradient, x, lower, upper, rounds):
+        for _ in range(rounds):
+            new = np.clip(x - gradient(x), lower, upper)
+            if np.abs(new - x).max() < 1e-9:
+                break
+            x = new
+        return x
+
+    hooks.register("optimiser", "steepest", steepest)
+    n = len(names)
+    out = []
+    for name in ("steepest", "bounded"):
+        x = hooks.minimise(name, value, gradient, np.zeros(n), np.full(n, -50.0), np.full(n, 5.0), 20)
+        out += [(name, s, round(float(v), 4) + 0.0) for s, v in zip(names, x, strict=True)]
+    return spark.createDataFrame(out, "optimiser string, segment string, level double")
+
+
 @query("depth_inversion")
 def depth_inversion(spark, d):
     """One shared depth shift recovered by bounded descent; every evaluation is a Spark forward model."""

@@ -151,6 +151,62 @@ def bundle(vertices: DataFrame, triangles: DataFrame, path: str, key: str = "gro
     out.repartition("format", "group").sortWithinPartitions("format", "group", "part", "ord").select("format", "group", "line").write.mode("overwrite").partitionBy("format", "group").text(path)
 
 
+def export_lines(vertices: DataFrame, triangles: DataFrame, properties: DataFrame) -> DataFrame:
+    """(file, part, ord, line) of everything a model is exported as.
+
+    vertices: group_id, v_id from 0 in each group, x, y, z; triangles: group_id, t_id, v0..v2;
+    properties: group_id, name, density, susceptibility. Files: the closed volume of each group
+    (TSurf) with its name and properties in the header, its surface points (CSV), the starting
+    model (one CSV of all groups), and a manifest with the lines and characters of each file.
+    """
+    group = F.col("group_id").cast("string")
+    ts, csv = F.concat(F.lit("volume_group_"), group, F.lit(".ts")), F.concat(F.lit("surface_group_"), group, F.lit(".csv"))
+    row = lambda df, file, part, order, line: df.select(file.alias("file"), F.lit(part).alias("part"), order.cast("long").alias("ord"), line.alias("line"))
+    start = F.lit("starting_model.csv")
+    known = properties.select("group_id", "name", "density", "susceptibility")
+    head = F.array(
+        F.lit("GOCAD TSurf 1"), F.lit("HEADER {"), F.concat(F.lit("name:"), safe_name(F.col("name"))), F.format_string("*density:%.6f", "density"), F.format_string("*susceptibility:%.6f", "susceptibility"),
+        F.lit("}"), F.lit("TFACE"),
+    )
+    heads = known.select(*known.columns, F.posexplode(head).alias("at", "text"))
+    rows = [
+        row(heads, ts, 0, F.col("at"), F.col("text")),
+        row(vertices, ts, 1, F.col("v_id"), F.format_string("VRTX %d %.3f %.3f %.3f", F.col("v_id") + 1, "x", "y", "z")),
+        row(triangles, ts, 2, F.col("t_id"), F.format_string("TRGL %d %d %d", F.col("v0") + 1, F.col("v1") + 1, F.col("v2") + 1)),
+        row(known, ts, 3, F.lit(0), F.lit("END")),
+        row(known, csv, 0, F.lit(0), F.lit("x,y,z")),
+        row(vertices, csv, 1, F.col("v_id"), F.format_string("%.3f,%.3f,%.3f", "x", "y", "z")),
+        row(vertices.sparkSession.range(1), start, 0, F.lit(0), F.lit("group_id,name,density,susceptibility")),
+        row(known, start, 1, F.col("group_id"), F.format_string("%d,%s,%.6f,%.6f", F.col("group_id").cast("long"), "name", "density", "susceptibility")),
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    sizes = out.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("size"))
+    listed = row(sizes.withColumn("of", F.col("file")), F.lit("manifest.csv"), 0, F.lit(0), F.format_string("%s,%d,%d", "of", "n", "size"))
+    return out.unionByName(listed)
+
+
+def export_set(lines: DataFrame, path: str) -> None:
+    """``export_lines`` as one folder a file under ``path``, all of them or none.
+
+    One job deals the rows by file and sorts each file. It writes beside ``path`` and takes
+    its place by a rename at the end, so a failed or repeated run leaves either the old set or
+    the new one.
+    """
+    import uuid
+
+    spark = lines.sparkSession
+    beside = f"{path}.writing-{uuid.uuid4().hex}"
+    keys = ["file", "part", "ord", "line"]
+    lines.repartition("file").sortWithinPartitions(*keys).select("file", "line").write.partitionBy("file").text(beside)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(at(path), True)
+    if not files.rename(at(beside), at(path)):
+        raise OSError(f"{beside} could not take the place of {path}")
+
+
 def mesh_text(shape: tuple[int, int, int], origin: tuple[float, float, float], size: tuple[float, float, float]) -> list[str]:
     """Lines of a UBC mesh with equal cells."""
     head = [" ".join(map(str, shape)), " ".join(f"{x:.3f}" for x in origin)]
