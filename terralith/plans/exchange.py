@@ -11,6 +11,7 @@ from terralith.operators.storage import shared_dir
 from terralith.plans import bindings as b
 from terralith.plans import sqlgen as sql
 from terralith.plans.registry import query
+from terralith.sources import grids
 from terralith.sources import text as t
 from terralith.sources import write as w
 
@@ -68,6 +69,27 @@ def label_grid_file(spark, d):
     return t.label_grid(spark, path)
 
 
+@query("label_grid_ranges", f"WITH {b.VOXELS_SQL}, z AS (SELECT max(iz) AS top FROM voxels) SELECT i.i::INT AS ix, j.j::INT AS iy, k.k::INT AS iz, coalesce(label, -1)::INT AS label FROM range(10) i(i), range(10) j(j), z, unnest(range(0, top+1)) k(k) LEFT JOIN voxels v ON v.ix = i.i AND v.iy = j.j AND v.iz = k.k")
+def label_grid_ranges(spark, d):
+    """The same file read in byte ranges by the data source, a thousand labels a partition."""
+    cells = b.voxels(spark, d)
+    path = place(spark, "labels.bin")
+    w.write_label_grid(cells, (10, 10, int(cells.agg(F.max("iz")).first()[0]) + 1), path)
+    return grids.read_label_grid(spark, path, 4000)
+
+
+@query("strict_model_lines", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS place, p_retailprice AS value FROM part")
+def strict_model_lines(spark, d):
+    """One model file with a value for every part, seven to a line, read in splits and numbered by ranges."""
+    part = b.read(spark, d, "part")
+    n = part.count()
+    body = part.groupBy(F.floor(F.col("p_partkey") / 7).alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_retailprice"))), lambda x: x["p_retailprice"].cast("string")), " ").alias("line"))
+    head = spark.createDataFrame([(0, 0, f"{n} 1 1")], "part int, ord long, line string")
+    path = place(spark, "a.mod")
+    w.write_lines(head.unionByName(body.withColumn("part", F.lit(1))), path)
+    return t.strict_model_lines(t.read_lines(spark, path))
+
+
 _CLU = "CASE WHEN s_suppkey = 1 THEN 'cluster_id,name,density,note' ELSE concat(s_suppkey, ',n', s_suppkey, ',2.5,', CASE WHEN s_suppkey % 2 = 0 THEN 'kept' ELSE '' END) END"
 
 

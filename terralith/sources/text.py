@@ -345,3 +345,23 @@ def strict_model(texts: DataFrame) -> DataFrame:
     fits = F.size("k") - 3 == want
     checked = rows.select("path", F.when(fits, F.slice("k", F.lit(4), F.greatest(want, F.lit(1)))).otherwise(F.raise_error(F.lit("model text: values and dimensions differ"))).alias("v"))
     return checked.select("path", F.posexplode("v").alias("place", "v")).select("path", "place", number(F.col("v")).alias("value"))
+
+
+def strict_model_lines(lines: DataFrame) -> DataFrame:
+    """(place, value) of one model file's lines, as ``strict_model`` but in splits of the file.
+
+    Tokens are numbered in sorted ranges, so no task sees the whole file; another count of
+    values than the dimensions ask for, or fewer than three integers, is an error.
+    """
+    from terralith.operators.mesh import dense_number
+    from terralith.operators.storage import stored
+
+    tokens = F.filter(F.split("line", r"\s+"), lambda x: x != "")
+    rows = lines.select("line_no", F.posexplode(tokens).alias("at", "token"))
+    numbered = stored(dense_number(rows, ["line_no", "at"], "place", -3).select("place", "token"))
+    head = [r.token for r in numbered.filter("place < 0").orderBy("place").collect()]
+    if len(head) < 3 or not all(x.lstrip("-").isdigit() for x in head):
+        raise ValueError("model text: three dimensions come first")
+    if numbered.filter("place >= 0").count() != int(head[0]) * int(head[1]) * int(head[2]):
+        raise ValueError("model text: values and dimensions differ")
+    return numbered.filter("place >= 0").select("place", number(F.col("token")).alias("value"))
