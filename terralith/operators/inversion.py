@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most columns of a normal matrix that is solved on the driver.
@@ -47,6 +47,26 @@ def normal_equations(responses: DataFrame, data: DataFrame) -> tuple[list, np.nd
     return names, a, b
 
 
+def misfit_gradients(responses: DataFrame, data: DataFrame, names: list, points: list[np.ndarray]) -> tuple[list[float], list[np.ndarray]]:
+    """Half the weighted squared misfit and its gradient by group at every one of ``points``, in one job.
+
+    responses(obs_id, group_id, u) are linear in the groups' values; data: obs_id, value, std.
+    One aggregation forms the residual of each point at each observation, the other carries it
+    back to the groups; the driver gets a row for each point and group.
+    """
+    at = F.create_map(*[c for j, n in enumerate(names) for c in (F.lit(n), F.array(*[F.lit(float(p[j])) for p in points]))])
+    w2 = F.when(F.col("std") > 0, 1.0 / (F.col("std") * F.col("std"))).otherwise(1.0)
+    values = F.element_at(at, F.col("group_id"))
+    sums = responses.groupBy("obs_id").agg(*[F.sum(F.col("u") * values[i]).alias(f"p{i}") for i in range(len(points))]).join(data.select("obs_id", "value", w2.alias("w2")), "obs_id")
+    wr = [(F.col("w2") * (F.col(f"p{i}") - F.col("value"))) for i in range(len(points))]
+    residual = sums.select("obs_id", *[c.alias(f"r{i}") for i, c in enumerate(wr)], *[(c * (F.col(f"p{i}") - F.col("value")) / 2).alias(f"f{i}") for i, c in enumerate(wr)])
+    first = F.row_number().over(Window.partitionBy("obs_id").orderBy("group_id")) == 1
+    rows = responses.withColumn("first", first).join(residual, "obs_id")
+    found = rows.groupBy("group_id").agg(*[F.sum(F.col("u") * F.col(f"r{i}")).alias(f"g{i}") for i in range(len(points))], *[F.sum(F.when(F.col("first"), F.col(f"f{i}")).otherwise(0.0)).alias(f"f{i}") for i in range(len(points))]).collect()
+    by = {r["group_id"]: r for r in found}
+    return [float(sum(r[f"f{i}"] for r in found)) for i in range(len(points))], [np.array([by[n][f"g{i}"] if n in by else 0.0 for n in names]) for i in range(len(points))]
+
+
 def bounded_least_squares(a: np.ndarray, b: np.ndarray, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, damping: float = 0.0, rounds: int = 2000) -> np.ndarray:
     """Minimum of x'Ax/2 - b'x + damping |x - start|^2 / 2 within bounds.
 
@@ -178,8 +198,13 @@ class Bounded:
 
 
 def newton_cg(value: Callable[[np.ndarray], float], gradient: Callable[[np.ndarray], np.ndarray], x: np.ndarray, lower: np.ndarray, upper: np.ndarray,
-              rounds: int = 20, inner: int = 20, step: float = 1e-4) -> np.ndarray:
-    """Gauss-Newton by conjugate gradients: Hessian products from central gradient differences."""
+              rounds: int = 20, inner: int = 20, step: float = 1e-4, gradients: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None) -> np.ndarray:
+    """Gauss-Newton by conjugate gradients: Hessian products from central gradient differences.
+
+    ``gradients`` gives the gradients at several points at once (one Spark job for both sides
+    of a difference); by default they are asked for one by one.
+    """
+    many = gradients or (lambda points: [gradient(q) for q in points])
     x = np.clip(np.asarray(x, float), lower, upper)
     f = value(x)
     for _ in range(rounds):
@@ -189,7 +214,8 @@ def newton_cg(value: Callable[[np.ndarray], float], gradient: Callable[[np.ndarr
         if rr < 1e-20:
             break
         for _ in range(inner):
-            hp = (gradient(x + step * p) - gradient(x - step * p)) / (2 * step)
+            plus, minus = many([x + step * p, x - step * p])
+            hp = (plus - minus) / (2 * step)
             curve = float(p @ hp)
             if curve <= 0:
                 break
