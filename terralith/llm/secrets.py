@@ -18,7 +18,9 @@ in the corpus's own distinct words. The likelihood of uniform symbols of the enc
 that chain is an e-value, so its inverse is a p-value for "structured" (a rejected run has 1).
 Benjamini-Hochberg over it, in classes of encoding and length over all runs of the corpus,
 bounds the share of structured runs among those reported (kind ``random``) by ``FDR``. Runs of
-fewer than ``MIN_BITS`` bits are never reported, nor those that overlap a base span. Evidence is
+fewer than ``MIN_BITS`` bits are never reported, nor those that overlap a base span, nor those
+that decode from base64 or hex to whole text: encoded words look uniform and are no key. A UUID
+is as random as a key, may be one, and is reported. Evidence is
 counted in whole bits per class, so the control needs one small grouped count whatever the size
 of the corpus.
 """
@@ -212,6 +214,18 @@ def _candidates(text: Column) -> Column:
     return F.transform(bare, lambda r: F.struct(_encoding(r["m"]).alias("kind"), r["s"].alias("s"), r["e"].alias("e"), r["m"].alias("m")))
 
 
+def _encoded_text(m: Column, enc: Column) -> Column:
+    """Whether the run decodes to bytes that are valid UTF-8 without control characters.
+
+    Random bytes do with probability under 0.5 a byte, a run of ``MIN_BITS`` bits with 1e-4.
+    """
+    padded = F.translate(m, "-_", "+/")
+    padded = F.rpad(padded, (F.ceil(F.length(m) / 4) * 4).cast("int"), "=")
+    data = F.when(enc.isin("base64", "base62"), F.try_to_binary(padded, F.lit("base64"))).when(enc == "hex", F.unhex(F.translate(m, "-_+/", "")))
+    text = data.cast("string")
+    return F.coalesce(F.is_valid_utf8(text) & text.rlike(r"^[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+$"), F.lit(False))
+
+
 def _scored(runs: Column, model: list[float]) -> Column:
     """Runs (s, e) with their class and the whole bits that speak for random symbols, 0 at least."""
     alphabets = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
@@ -234,7 +248,7 @@ def _scored(runs: Column, model: list[float]) -> Column:
         # uniform symbols, 8 bits for the place and kind of a separator, 4 for the encoding's name
         evidence = -(n * F.log2(k) + separators * 8 + 4) - r["text"]
         enough = (n * F.log2(k) >= MIN_BITS) & (evidence > 0)
-        bits = F.when(enough, F.when(p > LEVEL, F.least(F.floor(evidence), F.lit(MOST_BITS)))).cast("int")
+        bits = F.when(enough, F.when((p > LEVEL) & ~_encoded_text(r["m"], r["kind"]), F.least(F.floor(evidence), F.lit(MOST_BITS)))).cast("int")
         cls = F.concat(r["kind"], F.lit("/"), F.floor(F.log2(F.greatest(n, F.lit(1.0)))).cast("string"))
         return F.struct(r["s"].alias("s"), r["e"].alias("e"), cls.alias("cls"), F.coalesce(bits, F.lit(0)).alias("bits"))
 

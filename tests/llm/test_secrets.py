@@ -198,3 +198,38 @@ def test_columns_with_helper_names(spark):
     got = secrets.redact(df)
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "password = '<secret>'", "x", 2, 3, 4), (None, None, None, None, None, None)]
+
+
+def test_encoded_text_is_no_secret_and_keys_are(spark):
+    import base64
+    import random
+
+    rng = random.Random(11)
+    names = ["BookReaderApplicationName", "The quick brown fox jumps over it", "Grüße aus der schönen Straße dort", '{"user":"anna","role":"reader"}']
+    encoded = [base64.urlsafe_b64encode(n.encode()).decode().rstrip("=") for n in names] + [n.encode().hex().upper() for n in names]
+    keys = [base64.urlsafe_b64encode(rng.randbytes(30)).decode().rstrip("=") for _ in range(40)] + [rng.randbytes(24).hex().upper() for _ in range(40)]
+    df = spark.createDataFrame([(i, f"see {x} there") for i, x in enumerate(encoded + keys)], "doc_id long, text string")
+    found = {r.id: [tuple(e) for e in r.extra] for r in secrets.scan(df).collect()}
+    assert not any(found[i] for i in range(len(encoded)))
+    reported = sum(bool(found[len(encoded) + i]) for i in range(80))
+    assert reported >= 72  # recall of at least nine tenths
+    for i, key in enumerate(keys):
+        assert all(e[1:] == (4, 4 + len(key)) for e in found[len(encoded) + i])
+
+
+def test_precision_and_recall_of_the_battery_on_labelled_runs(spark):
+    """Identifiers, paths and encoded words against keys of several forms."""
+    import base64
+    import random
+
+    rng = random.Random(12)
+    words = "customer order reader index page cache user stream writer table local remote first second value north wind paper".split()
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    clean = ["/".join(pick(5)) for _ in range(60)] + ["_".join(pick(5)) for _ in range(60)] + ["".join(w.title() for w in pick(5)) for _ in range(60)]
+    clean += [base64.b64encode(" ".join(pick(5)).encode()).decode().rstrip("=") for _ in range(60)]
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(symbols) for _ in range(40)) for _ in range(60)] + [base64.b64encode(rng.randbytes(32)).decode().rstrip("=") for _ in range(60)]
+    df = spark.createDataFrame([(i, f"value {x} end") for i, x in enumerate(clean + keys)], "doc_id long, text string")
+    found = {r.id: bool(r.extra) for r in secrets.scan(df).collect()}
+    wrong, right = sum(found[i] for i in range(len(clean))), sum(found[len(clean) + i] for i in range(len(keys)))
+    assert right >= 0.9 * len(keys) and wrong <= 0.05 * (wrong + right)
