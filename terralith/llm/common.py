@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Tables stored by this driver that have not been removed.
+_TABLES: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: list[str]) -> Iterator[None]:
+    """Remove every table that is stored inside, except those whose paths are in ``keep`` at the end.
+
+    For steps whose result is written: what they stored on the way is read by nothing afterwards.
+    """
+    before = len(_TABLES)
+    yield
+    for path in [x for x in _TABLES[before:] if x not in keep]:
+        discard(spark, path)
+
+
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -44,6 +62,7 @@ def stored(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
     """``materialise`` with the path of the table, for ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -63,6 +82,8 @@ def few_files(df: DataFrame, rows: int) -> DataFrame:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more."""
+    if path in _TABLES:
+        _TABLES.remove(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
