@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.llm.common import free_name, materialise, table
+from terralith.llm.common import discard, free_name, scratch, stored, table
 from terralith.llm.language import accepted_documents
 from terralith.llm.packing import default_tokenizer, pack
 from terralith.llm.secrets import redact
@@ -66,10 +66,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet and read again for the next.
+
+    Once a stage's rows are written, the tables it stored on the way and its own input go.
+    """
+    docs, path = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialise(docs)
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        before, keep = path, []
+        with scratch(spark, keep):
+            docs, path = stored(stage(spark, docs, sf_dir))
+            keep.append(path)
+        if before:
+            discard(spark, before)
     return docs
