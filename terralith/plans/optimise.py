@@ -63,14 +63,21 @@ def split_mesh(spark, d):
     return rows.select("cluster_id", "n_faces", "working_name", F.round("density", 6).alias("density"))
 
 
-@query("padding_extrapolation")
+_PAD = f"""WITH {b.VERTICES_SQL}, n AS (SELECT (v_id % 10)::INT AS ix, (v_id // 10)::INT AS iy, z FROM vertices), e AS (SELECT max(iy) + 1 AS ny FROM n),
+p AS (SELECT ix, iy, greatest(1, least(8, ix)) AS cx, greatest(1, least(ny-2, iy)) AS cy, CASE WHEN ix < 1 THEN 2 WHEN ix > 8 THEN 7 END AS mx, CASE WHEN iy < 1 THEN 2 WHEN iy > ny-2 THEN ny-3 END AS my,
+  CASE WHEN ix < 1 THEN 1-ix WHEN ix > 8 THEN ix-8 ELSE 0 END AS sx, CASE WHEN iy < 1 THEN 1-iy WHEN iy > ny-2 THEN iy-(ny-2) ELSE 0 END AS sy FROM n, e WHERE NOT (ix BETWEEN 1 AND 8 AND iy BETWEEN 1 AND ny-2)),
+j AS (SELECT p.*, a.z AS z0, a.z + sx*(a.z-x.z) AS ax, a.z + sy*(a.z-y.z) AS ay FROM p JOIN n a ON a.ix = cx AND a.iy = cy LEFT JOIN n x ON x.ix = mx AND x.iy = cy LEFT JOIN n y ON y.ix = cx AND y.iy = my)
+SELECT ix, iy, round(z, 6) AS z FROM n, e WHERE ix BETWEEN 1 AND 8 AND iy BETWEEN 1 AND ny-2 UNION ALL SELECT ix, iy, round(CASE WHEN sx = 0 THEN ay WHEN sy = 0 THEN ax ELSE (ax+ay)/2 END, 6) FROM j"""
+
+
+@query("padding_extrapolation", _PAD)
 def padding_extrapolation(spark, d):
     """The height field, as a grid of ten columns, with its outer ring continued from the inside."""
     k = F.col("v_id")
     v = b.vertices(spark, d)
     last = int(v.agg(F.max("v_id")).first()[0])
     nodes = v.select((k % 10).cast("int").alias("ix"), F.floor(k / 10).cast("int").alias("iy"), "z")
-    return md.pad_edges(nodes, 10, last // 10 + 1)
+    return md.pad_edges(nodes, 10, last // 10 + 1).select("ix", "iy", F.round("z", 6).alias("z"))
 
 
 _EDGES = "dir AS (SELECT v0 AS a, v1 AS b FROM triangles UNION ALL SELECT v1, v2 FROM triangles UNION ALL SELECT v2, v0 FROM triangles), e AS (SELECT a, b FROM dir WHERE NOT EXISTS (SELECT 1 FROM dir o WHERE o.a = dir.b AND o.b = dir.a))"
@@ -104,7 +111,7 @@ def _unit(spark, d):
     return unit.cache(), b.boxes(spark, d).select("group_id", "density")
 
 
-@query("property_solve")
+@query("property_solve", "SELECT n_nationkey AS group_id, round(2.3 + 0.1 * n_regionkey, 3) AS density FROM nation")
 def property_solve(spark, d):
     """Densities recovered from noise-free data of known boxes, within bounds."""
     unit, truth = _unit(spark, d)
@@ -112,7 +119,7 @@ def property_solve(spark, d):
     names, a, rhs = inv.normal_equations(unit, data)
     start = np.full(len(names), 2.5)
     x = inv.bounded_least_squares(a, rhs, start, start - 0.5, start + 0.5)
-    return spark.createDataFrame([(int(n), float(v)) for n, v in zip(names, x, strict=True)], "group_id int, density double")
+    return spark.createDataFrame([(int(n), round(float(v), 3)) for n, v in zip(names, x, strict=True)], "group_id int, density double")
 
 
 @query("data_balance")
