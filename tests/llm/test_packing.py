@@ -127,6 +127,50 @@ def test_many_sources_stay_queues(spark, tk):
     assert sorted(seen.tolist()) == list(range(len(seen)))
 
 
+def tokens(rows):
+    """(document, token) to its place in the stream of windows."""
+    return {(r.doc_id, r.start + i): r.sequence_id * 2048 + r.offset + i for r in rows for i in range(r.length)}
+
+
+@pytest.mark.parametrize("mixture", [None, {"a": 5.0, "b": 1.0, "ü": 3.0}])
+def test_sorted_quanta_give_the_places_of_the_closed_form(spark, tk, monkeypatch, mixture):
+    random.seed(5)
+    docs = [(i, "word " * random.choice([0, 3, 200, 2500, 9000]), random.choice(["a", "a", "a", "b", "c", "ü", None])) for i in range(120)]
+    docs.append((200, None, "only"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    want = packing.pack(df, PATH, mixture=mixture).collect()
+    monkeypatch.setattr(packing, "QUEUES", 0)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    got = packing.pack(df, PATH, mixture=mixture, with_ids=True).collect()
+    check(got, df.collect(), tk)
+    assert tokens(got) == tokens(want)
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+    assert packing.pack(df.filter("doc_id < 0"), PATH).count() == 0
+
+
+def test_thousands_of_sources_match_a_served_round_robin(spark, tk):
+    """Quanta of 3,000 sources in the order of their due times, as exact fractions."""
+    from fractions import Fraction
+
+    random.seed(6)
+    rows = [(i, "word " * random.choice([10, 300, 300, 900]), f"s{i % 3000}") for i in range(3600)]
+    rows += [(9000 + i, "word " * 20_000, "s7") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df, PATH).collect()
+    want, _ = check(got, df.collect(), tk)
+    source, size = {r[0]: r[2] for r in rows}, Counter()
+    for d, ids in want.items():
+        size[source[d]] += len(ids)
+    schedule = packing.Schedule(size)
+    due = [(Fraction(k + 1, int(w)), q) for q, w, m in zip(schedule.names, schedule.weights, schedule.quanta, strict=True) for k in range(m)]
+    order, by_place = [q for _, q in sorted(due)], [None] * sum(size.values())
+    for (d, _), place in tokens(got).items():
+        by_place[place] = source[d]
+    tail = [q for q in schedule.names for _ in range(size[q] % packing.QUANTUM)]
+    assert by_place == [q for q in order for _ in range(packing.QUANTUM)] + tail
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_places_match_a_served_round_robin(seed):
     """Deficit round-robin served quantum by quantum, credits in exact fractions."""
