@@ -188,7 +188,9 @@ def obj_text(spark, d):
     return w.obj_lines(b.vertices(spark, d), b.triangles(spark, d), places=6)
 
 
-@query("tsurf_text")
+@query("tsurf_text", f"""WITH {b.VERTICES_SQL},
+{b.TRIANGLES_SQL} SELECT * FROM (VALUES (0, 0::BIGINT, 'GOCAD TSurf 1'), (0, 1, 'HEADER {{'), (0, 2, 'name:volume_group_1'), (0, 3, '}}'), (0, 4, 'TFACE'), (3, 0, 'END')) h(part, ord, line)
+ UNION ALL SELECT 1, v_id, printf('VRTX %d %.8e %.8e %.8e', v_id+1, x, y, z) FROM vertices UNION ALL SELECT 2, t_id, printf('TRGL %d %d %d', v0+1, v1+1, v2+1) FROM triangles""")
 def tsurf_text(spark, d):
     return w.tsurf_lines(b.vertices(spark, d), b.triangles(spark, d), "volume_group_1")
 

@@ -98,7 +98,11 @@ def stitched_wall(spark, d):
     return md.stitch_loops(loops.withColumn("side", F.lit(0)).unionByName(low))
 
 
-@query("ordered_surfaces")
+@query("ordered_surfaces", f"""WITH {b.VERTICES_SQL}, two AS (SELECT v_id, x, y, z - 3 AS upper, z - v_id % 7 AS lower FROM vertices),
+ first AS (SELECT u.v_id, u.x, u.y, u.upper, u.lower, arg_min(l.lower, (u.x-l.x)*(u.x-l.x)+(u.y-l.y)*(u.y-l.y)) AS met FROM two u JOIN two l ON abs(u.x-l.x) <= 100 AND abs(u.y-l.y) <= 100 GROUP BY ALL),
+ raised AS (SELECT v_id, x, y, greatest(upper, met + 5.0) AS upper, lower FROM first)
+ SELECT 0 AS surface_id, v_id, x, y, upper AS z FROM raised
+ UNION ALL SELECT 1, l.v_id, l.x, l.y, least(l.lower, arg_min(u.upper, (u.x-l.x)*(u.x-l.x)+(u.y-l.y)*(u.y-l.y)) - 5.0) FROM raised l JOIN raised u ON abs(u.x-l.x) <= 100 AND abs(u.y-l.y) <= 100 GROUP BY l.v_id, l.x, l.y, l.lower""")
 def ordered_surfaces(spark, d):
     two = F.explode(F.array(F.lit(0), F.lit(1)))
     rows = b.vertices(spark, d).select(two.alias("surface_id"), "v_id", "x", "y", "z")

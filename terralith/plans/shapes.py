@@ -191,17 +191,22 @@ def _corner_ids():
     return [sum((F.when(F.col(f"{c}{a}") > F.col(f"c{a}"), 1).otherwise(0) * k for a, k in zip("xyz", (4, 2, 1), strict=True)), F.lit(0)).alias(f"v{i}") for i, c in enumerate("pqr")]
 
 
-@query("exterior_face_votes", f"""WITH {_EXT}, n AS (SELECT group_id, uses, {', '.join(f'{e} AS n{a}' for a, e in zip('xyz', s.cross(s.minus(s.v('q'), s.v('p')), s.minus(s.v('r'), s.v('p'))), strict=True))},
+_VOTES = f"""WITH {_EXT}, n AS (SELECT group_id, uses, {', '.join(f'{e} AS n{a}' for a, e in zip('xyz', s.cross(s.minus(s.v('q'), s.v('p')), s.minus(s.v('r'), s.v('p'))), strict=True))},
  unnest([{', '.join(f"(CASE WHEN {c}x > 0 THEN 4 ELSE 0 END + CASE WHEN {c}y > 0 THEN 2 ELSE 0 END + CASE WHEN {c}z > -100.0*group_id THEN 1 ELSE 0 END)" for c in 'pqr')}]) AS v_id FROM use)
  SELECT group_id AS mesh_id, v_id, count(CASE WHEN uses = 1 AND abs(nz) >= abs(nx) AND abs(nz) >= abs(ny) THEN 1 END) AS top_bottom,
  count(CASE WHEN uses = 1 AND NOT (abs(nz) >= abs(nx) AND abs(nz) >= abs(ny)) AND abs(ny) >= abs(nx) THEN 1 END) AS north_south,
- count(CASE WHEN uses = 1 AND NOT (abs(nz) >= abs(nx) AND abs(nz) >= abs(ny)) AND abs(ny) < abs(nx) THEN 1 END) AS east_west, bool_or(uses > 1) AS touches_shared FROM n GROUP BY 1, 2""")
+ count(CASE WHEN uses = 1 AND NOT (abs(nz) >= abs(nx) AND abs(nz) >= abs(ny)) AND abs(ny) < abs(nx) THEN 1 END) AS east_west, bool_or(uses > 1) AS touches_shared FROM n GROUP BY 1, 2"""
+
+
+@query("exterior_face_votes", _VOTES)
 def exterior_face_votes(spark, d):
     facets = _stack(spark, d).withColumns({"cx": F.lit(0.0), "cy": F.lit(0.0), "cz": -100.0 * F.col("group_id")})
     return m.exterior_votes(facets.select(F.col("group_id").alias("mesh_id"), "t_id", *_corner_ids(), *fw.CORNERS))
 
 
-@query("exterior_freedom")
+@query("exterior_freedom", f"""WITH votes AS ({_VOTES}), sides AS (SELECT *, top_bottom > 0 AS t, north_south > 0 AS s, east_west > 0 AS e FROM votes),
+ seen AS (SELECT *, CASE t::INT * 4 + s::INT * 2 + e::INT WHEN 7 THEN 'FIXED' WHEN 6 THEN 'X_ONLY' WHEN 5 THEN 'Y_ONLY' WHEN 4 THEN 'XY_FREE' WHEN 3 THEN 'Z_ONLY' WHEN 2 THEN 'X_ONLY' WHEN 1 THEN 'Y_ONLY' ELSE 'XYZ_FREE' END AS own FROM sides)
+ SELECT mesh_id, v_id, CASE WHEN NOT touches_shared OR t THEN own WHEN own IN ('FIXED', 'XY_FREE') THEN 'XYZ_FREE' WHEN own = 'X_ONLY' THEN 'XZ_FREE' WHEN own = 'Y_ONLY' THEN 'YZ_FREE' ELSE own END AS freedom FROM seen""")
 def exterior_freedom(spark, d):
     return m.exterior_freedom(exterior_face_votes(spark, d))
 
@@ -239,7 +244,22 @@ def voxel_components(spark, d):
     return vx.cell_components(b.voxels(spark, d))
 
 
-@query("voxel_cleanup")
+def _cleanup_sql(least: int, passes: int = 5) -> str:
+    """Each pass in CTEs of its own: components by reach, small ones, modes of neighbours."""
+    parts = [f"WITH RECURSIVE {b.VOXELS_SQL}", "near AS MATERIALIZED (SELECT c.cell_id, o.cell_id AS other FROM voxels c JOIN voxels o ON abs(c.ix-o.ix)+abs(c.iy-o.iy)+abs(c.iz-o.iz) = 1)",
+             "v0 AS (SELECT cell_id, label FROM voxels)"]
+    for p in range(passes):
+        parts += [
+            f"n{p} AS MATERIALIZED (SELECT n.cell_id, n.other, c.label, o.label AS other_label FROM near n JOIN v{p} c USING (cell_id) JOIN v{p} o ON o.cell_id = n.other)",
+            f"reach{p} AS (SELECT cell_id, cell_id AS root FROM v{p} UNION SELECT n.other, r.root FROM reach{p} r JOIN n{p} n ON n.cell_id = r.cell_id WHERE n.label = n.other_label)",
+            f"small{p} AS (SELECT cell_id FROM reach{p} GROUP BY cell_id HAVING count(*) < {least})",
+            f"mode{p} AS (SELECT cell_id, arg_max(other_label, n*100-other_label) AS mode FROM (SELECT cell_id, other_label, count(*) AS n FROM n{p} SEMI JOIN small{p} USING (cell_id) GROUP BY 1, 2) GROUP BY cell_id)",
+            f"v{p + 1} AS MATERIALIZED (SELECT cell_id, coalesce(mode, label) AS label FROM v{p} LEFT JOIN mode{p} USING (cell_id))",
+        ]
+    return ",\n ".join(parts) + f" SELECT cell_id, ix, iy, iz, c.label, density, susceptibility FROM voxels JOIN v{passes} c USING (cell_id)"
+
+
+@query("voxel_cleanup", _cleanup_sql(4))
 def voxel_cleanup(spark, d):
     return vx.clean_fragments(b.voxels(spark, d), 4)
 
@@ -278,7 +298,8 @@ def voxel_face_nodes(spark, d):
     return vx.face_nodes(vx.faces(b.voxels(spark, d)))
 
 
-@query("contact_nodes")
+@query("contact_nodes", f"{_VOX}, nodes AS (SELECT DISTINCT ix+a AS i, iy+b AS j, iz+c AS k FROM voxels, (VALUES (0),(1)) x(a), (VALUES (0),(1)) y(b), (VALUES (0),(1)) z(c) WHERE label = 2), "
+       "met AS (SELECT i, j, k, v.label FROM nodes JOIN voxels v ON v.ix BETWEEN i-1 AND i AND v.iy BETWEEN j-1 AND j AND v.iz BETWEEN k-1 AND k) SELECT i, j, k FROM met GROUP BY ALL HAVING bool_or(label = 1)")
 def contact_nodes(spark, d):
     return vx.contact_nodes(b.voxels(spark, d), 1, 2)
 
@@ -407,7 +428,17 @@ def cell_size_from_points(spark, d):
     return gap("x").crossJoin(gap("y"))
 
 
-@query("farthest_points")
+def _farthest_sql(k: int) -> str:
+    """One CTE a chosen point: the farthest by the least distance to all chosen before it."""
+    square = "+".join(f"(p.{a}-c.{a})*(p.{a}-c.{a})" for a in "xyz")
+    parts = [f"WITH {b.POINTS_SQL}", "c0 AS MATERIALIZED (SELECT p_id, x, y, z FROM points ORDER BY p_id LIMIT 1)", f"d0 AS MATERIALIZED (SELECT p.p_id, p.x, p.y, p.z, {square} AS d FROM points p, c0 c)"]
+    for i in range(1, k):
+        parts.append(f"c{i} AS MATERIALIZED (SELECT p_id, x, y, z FROM d{i - 1} ORDER BY d DESC NULLS LAST, p_id LIMIT 1)")
+        parts.append(f"d{i} AS MATERIALIZED (SELECT p.p_id, p.x, p.y, p.z, least(p.d, {square}) AS d FROM d{i - 1} p, c{i} c)")
+    return ",\n ".join(parts) + " " + " UNION ALL ".join(f"SELECT {i} AS ord, p_id FROM c{i}" for i in range(k))
+
+
+@query("farthest_points", _farthest_sql(12))
 def farthest_points(spark, d):
     from terralith.operators.sampling import farthest_points as fps
 
