@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terralith.operators import clustering as c
 from terralith.operators import drill as dr
 from terralith.plans import bindings as b
+from terralith.plans import sqlgen as s
 from terralith.plans.registry import query
 
 GATES = [(1.8, 2.4, 0.0, 0.02), (2.2, 3.0, 0.01, 0.03), (2.4, 3.6, 0.0, 0.05), (3.0, 4.0, 0.03, 0.05)]
@@ -215,21 +216,32 @@ def missing_contacts(spark, d):
     return expected.join(have, ["above", "below"], "left_anti")
 
 
-@query("mixture_2d")
+_CELLS = f"WITH {b.VOXELS_SQL}, bare AS (SELECT * EXCLUDE (label) FROM voxels)"
+
+
+@query("mixture_2d", f"{_CELLS}, {s.mixture('bare', ['density', 'susceptibility'], 3, 'fitted')} SELECT label, {_SUM} FROM fitted GROUP BY label")
 def mixture_2d(spark, d):
-    return c.summary(c.mixture_labels(b.voxels(spark, d), ["density", "susceptibility"], 3))
+    return _rounded(c.summary(c.mixture_labels(b.voxels(spark, d), ["density", "susceptibility"], 3)))
 
 
-@query("mixture_intersection")
+@query(
+    "mixture_intersection",
+    f"{_CELLS}, {s.mixture('bare', ['density'], 3, 'one', 'd')}, {s.mixture('one', ['susceptibility'], 2, 'two', 's')}, "
+    f"every AS (SELECT dense_rank() OVER (ORDER BY (d-1)*2+s-1) - 1 AS label, density, susceptibility FROM two) SELECT label, {_SUM} FROM every GROUP BY label",
+)
 def mixture_intersection(spark, d):
     cells = b.voxels(spark, d).drop("label")
     one = c.mixture_labels(cells, ["density"], 3).withColumnRenamed("label", "d").withColumn("d", F.col("d") - 1)
     two = c.mixture_labels(one, ["susceptibility"], 2).withColumnRenamed("label", "s").withColumn("s", F.col("s") - 1)
-    return c.summary(c.intersection_labels(two, 2))
+    return _rounded(c.summary(c.intersection_labels(two, 2)))
 
 
-@query("gate_then_cluster")
+@query(
+    "gate_then_cluster",
+    f"{_GATED}, rest AS (SELECT * EXCLUDE (label, g) FROM gated WHERE g = -1), {s.mixture('rest', ['density'], 2, 'fitted')}, "
+    f"every AS (SELECT g AS label, density, susceptibility FROM gated WHERE g <> -1 UNION ALL SELECT label + {len(GATES) - 1}, density, susceptibility FROM fitted) SELECT label, {_SUM} FROM every GROUP BY label",
+)
 def gate_then_cluster(spark, d):
     gated = _gated(spark, d)
     rest = c.mixture_labels(gated.filter("label = -1").drop("label"), ["density"], 2).withColumn("label", F.col("label") + len(GATES) - 1)
-    return c.summary(gated.filter("label <> -1").unionByName(rest.select(*gated.columns)))
+    return _rounded(c.summary(gated.filter("label <> -1").unionByName(rest.select(*gated.columns))))

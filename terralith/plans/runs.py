@@ -247,7 +247,7 @@ def gradient_balance(spark, d):
     return spark.createDataFrame([(n, round(float(v), 9)) for n, v in rows], "rule string, alpha double")
 
 
-@query("density_clusters")
+@query("density_clusters", f"WITH {b.VOXELS_SQL}, bare AS (SELECT * EXCLUDE (label) FROM voxels), {s.mixture('bare', ['density'], 4, 'fitted')} SELECT label, count(*) AS n FROM fitted GROUP BY label")
 def density_clusters(spark, d):
     """Clusters by density alone."""
     from terralith.operators import clustering as cl

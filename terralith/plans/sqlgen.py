@@ -76,3 +76,47 @@ def box_facets(name: str = "boxes", keep: str = "group_id, density, susceptibili
     rows = ", ".join("(" + ", ".join(map(str, [i, *[s for corner in t for s in corner]])) + ")" for i, t in enumerate(BOX_TRIANGLES))
     cols = ", ".join(f"c{c[1]} + s{c}*{half} AS {c}" for c in CORNERS)
     return f"template(t_id, {', '.join(f's{c}' for c in CORNERS)}) AS (VALUES {rows}),\nfacets AS (SELECT {keep}, t_id, {cols} FROM {name}, template)"
+
+
+def mixture(source: str, columns: list[str], k: int, to: str, label: str = "label", rounds: int = 30) -> str:
+    """CTEs that end in ``to``: the rows of ``source`` with the label of a Gaussian mixture by EM.
+
+    One row of parameters a round (weights w, means m, covariances c), from sums over all rows;
+    once a round changes the log-likelihood by less than 1e-6 a row, its parameters stay.
+    """
+    dims = range(len(columns))
+    pairs = [(a, e) for a in dims for e in dims if a <= e]
+    names = [f"w{j}" for j in range(k)] + [f"m{j}_{a}" for j in range(k) for a in dims] + [f"c{j}_{a}{e}" for j in range(k) for a, e in pairs]
+
+    def log_density(j):
+        x = [f"(z{a}-m{j}_{a})" for a in dims]
+        if len(columns) == 1:
+            det, square = f"c{j}_00", f"{x[0]}*{x[0]}/c{j}_00"
+        else:
+            det = f"(c{j}_00*c{j}_11-c{j}_01*c{j}_01)"
+            square = f"(c{j}_11*{x[0]}*{x[0]}-2*c{j}_01*{x[0]}*{x[1]}+c{j}_00*{x[1]}*{x[1]})/{det}"
+        return f"ln(w{j}+1e-300)-0.5*ln({det})-0.5*{square}"
+
+    stats = ", ".join(f"avg({c}) AS a{a}, stddev_pop({c}) AS s{a}" for a, c in enumerate(columns))
+    scaled = ", ".join(f"CASE WHEN s{a} > 0 THEN ({c}-a{a})/s{a} ELSE 0.0::DOUBLE END AS z{a}" for a, c in enumerate(columns))
+    start = [f"{1 / k!r}::DOUBLE AS w{j}" for j in range(k)]
+    start += [f"quantile_cont(z0, {(j + 0.5) / k!r}) AS m{j}_0" if a == 0 else f"0.0::DOUBLE AS m{j}_{a}" for j in range(k) for a in dims]
+    start += [f"{float(a == e)}::DOUBLE AS c{j}_{a}{e}" for j in range(k) for a, e in pairs]
+    logs = ", ".join(f"{log_density(j)} AS l{j}" for j in range(k))
+    top = f"greatest({', '.join(f'l{j}' for j in range(k))})"
+    parts = [f"{to}_s AS MATERIALIZED (SELECT {stats} FROM {source})", f"{to}_z AS MATERIALIZED (SELECT v.*, {scaled} FROM {source} v, {to}_s)",
+             f"{to}_0 AS MATERIALIZED (SELECT {', '.join(start)}, '-inf'::DOUBLE AS score, false AS done FROM {to}_z)"]
+    for r in range(rounds):
+        sums = ["sum(norm) AS ll", "count(*) AS n"] + [f"greatest(sum(exp(l{j}-norm)), 1e-12) AS r{j}" for j in range(k)]
+        sums += [f"sum(exp(l{j}-norm)*z{a}) AS t{j}_{a}" for j in range(k) for a in dims] + [f"sum(exp(l{j}-norm)*z{a}*z{e}) AS q{j}_{a}{e}" for j in range(k) for a, e in pairs]
+        new = {f"w{j}": f"r{j}/n" for j in range(k)} | {f"m{j}_{a}": f"t{j}_{a}/r{j}" for j in range(k) for a in dims}
+        new |= {f"c{j}_{a}{e}": f"q{j}_{a}{e}/r{j}-(t{j}_{a}/r{j})*(t{j}_{e}/r{j}){'+1e-6' if a == e else ''}" for j in range(k) for a, e in pairs}
+        const = f"0.9189385332046727*{len(columns)}"
+        parts.append(f"{to}_l{r} AS (SELECT *, {top}+ln({'+'.join(f'exp(l{j}-{top})' for j in range(k))})-{const} AS lognorm, {top}+ln({'+'.join(f'exp(l{j}-{top})' for j in range(k))}) AS norm FROM (SELECT z.*, {logs} FROM {to}_z z, {to}_{r}))")
+        parts.append(f"{to}_a{r} AS MATERIALIZED (SELECT {', '.join(sums)}, sum(lognorm) AS full_ll FROM {to}_l{r})")
+        kept = ", ".join(f"CASE WHEN done THEN {x} ELSE {new[x]} END AS {x}" for x in names)
+        parts.append(f"{to}_{r + 1} AS MATERIALIZED (SELECT {kept}, CASE WHEN done THEN score ELSE full_ll END AS score, done OR abs(full_ll-score) < 1e-6*n AS done FROM {to}_{r}, {to}_a{r})")
+    order = ", ".join(f"struct_pack(s := {log_density(j)}, r := {'+'.join(['1'] + [f'(m{i}_0 < m{j}_0 OR (m{i}_0 = m{j}_0 AND {i} < {j}))::INT' for i in range(k) if i != j])})" for j in range(k))
+    drop = ", ".join(f"z{a}" for a in dims)
+    parts.append(f"{to} AS MATERIALIZED (SELECT z.* EXCLUDE ({drop}), list_max([{order}]).r AS {label} FROM {to}_z z, {to}_{rounds})")
+    return ",\n ".join(parts)
