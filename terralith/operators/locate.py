@@ -42,12 +42,29 @@ def _near_cells(points: DataFrame, side: float, dims: int) -> DataFrame:
 def classify(points: DataFrame, facets: DataFrame, bottom: float | None = None, by: list[str] | None = None) -> DataFrame:
     """(obs_id, *by, group_id) of the first closed mesh (by group_id) that holds each point; -1 for none.
 
-    A ray along +x from the point, moved by 1.234567e-6 in y and 2.345678e-6 in z so that it
-    meets no edge, crosses the mesh an odd number of times. Rays meet facets through cells of
-    the facets' y-z extents. Points under ``bottom`` are outside. ``by``: columns of both that
-    tell models apart (a point is held against the facets of its own).
+    Points under ``bottom`` are outside. ``by``: columns of both that tell models apart (a point
+    is held against the facets of its own). See ``holders`` for the test.
     """
     by = by or []
+    first = holders(points, facets, by).withColumnRenamed("group_id", "__g")
+    found = F.coalesce("__g", F.lit(-1))
+    if bottom is not None:
+        found = F.when(F.col("z") < bottom, -1).otherwise(found)
+    return points.join(first, ["obs_id", *by], "left").select("obs_id", *by, found.alias("group_id"))
+
+
+def holders(points: DataFrame, facets: DataFrame, by: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(obs_id, *keep, *by, group_id) for points in any closed mesh: the first by group_id; no row for the rest.
+
+    A ray along +x from the point, moved by 1.234567e-6 in y and 2.345678e-6 in z so that it
+    meets no edge, crosses the mesh an odd number of times. ``by``: facet columns that tell
+    models apart; points that lack them are held against every model. ``keep``: columns of the
+    points. Points first meet the boxes of whole meshes, so rays are sent only where they can
+    matter: outside its box a closed mesh is crossed an even number of times. A mesh with an
+    edge that an odd number of facets share is not closed and keeps the rays from below its x.
+    """
+    by, keep = by or [], keep or []
+    mesh, on = [*by, "group_id"], [c for c in by if c in points.columns]
     p, q, r = corners()
     oy, oz = F.col("y") + 1.234567e-6, F.col("z") + 2.345678e-6
     o = (F.col("x"), oy, oz)
@@ -60,14 +77,22 @@ def classify(points: DataFrame, facets: DataFrame, bottom: float | None = None,
     v = w[0] / det
     t = g.dot(e2, w) / det
     hit = (F.abs(det) >= 1e-30) & u.between(0.0, 1.0) & (v >= 0.0) & (u + v <= 1.0) & (t > 1e-12)
-    spans = [(F.least(*[f"{c}{a}" for c in "pqr"]), F.greatest(*[f"{c}{a}" for c in "pqr"])) for a in "yz"]
-    both = with_boxes(points.select("obs_id", *by, "x", "y", "z"), [oy, oz], facets, spans, ["group_id", "t_id", *by, *[f"{c}{a}" for c in "pqr" for a in "xyz"]], by)
-    crossed = both.filter(hit).groupBy("obs_id", *by, "group_id").agg(F.count("*").alias("n")).filter("n % 2 = 1")
-    first = crossed.groupBy("obs_id", *by).agg(F.min("group_id").alias("__g"))
-    found = F.coalesce("__g", F.lit(-1))
-    if bottom is not None:
-        found = F.when(F.col("z") < bottom, -1).otherwise(found)
-    return points.join(first, ["obs_id", *by], "left").select("obs_id", *by, found.alias("group_id"))
+    spans = {a: (F.least(*[f"{c}{a}" for c in "pqr"]), F.greatest(*[f"{c}{a}" for c in "pqr"])) for a in "xyz"}
+    ends = facets.groupBy(*mesh).agg(*[f(e).alias(f"__{n}{a}") for a, (lo, hi) in spans.items() for n, f, e in (("min", F.min, lo), ("max", F.max, hi))])
+    place = {c: F.struct(*[F.col(f"{c}{a}").alias(a) for a in "xyz"]) for c in "pqr"}
+    edges = facets.select(*mesh, F.explode(F.array(*[F.array_sort(F.array(place[a], place[b])) for a, b in ("pq", "qr", "rp")])).alias("__e"))
+    gaps = edges.groupBy(*mesh, "__e").agg(F.count("*").alias("__n")).filter("__n % 2 = 1").select(*mesh).distinct()
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in mesh]
+    slack = lambda a: (F.col(f"__max{a}") - F.col(f"__min{a}")) * 1e-9 + 1e-9
+    span = {a: (F.col(f"__min{a}") - slack(a), F.col(f"__max{a}") + slack(a)) for a in "xyz"}
+    spots = points.select("obs_id", *keep, *on, "x", "y", "z")
+    closed = ends.alias("m").join(gaps.alias("o"), same("m", "o"), "left_anti")
+    near = with_boxes(spots, [*o], closed, [span[a] for a in "xyz"], mesh, on)
+    if not gaps.isEmpty():
+        near = near.unionByName(with_boxes(spots, [oy, oz], ends.alias("m").join(gaps.alias("o"), same("m", "o"), "left_semi"), [span[a] for a in "yz"], mesh, on))
+    both = with_boxes(near, [oy, oz], facets, [spans[a] for a in "yz"], [*mesh, *[f"{c}{a}" for c in "pqr" for a in "xyz"]], mesh)
+    crossed = both.filter(hit).groupBy("obs_id", *keep, *mesh).agg(F.count("*").alias("__n")).filter("__n % 2 = 1")
+    return crossed.groupBy("obs_id", *keep, *by).agg(F.min("group_id").alias("group_id"))
 
 
 def surface_z(points: DataFrame, facets: DataFrame) -> DataFrame:

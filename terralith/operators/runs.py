@@ -111,11 +111,11 @@ def solve_conductivities(pairs: DataFrame, data: DataFrame, start: float, lower:
     return {n: float(np.exp(v)) for n, v in x.items()}
 
 
-def constraint_midpoints(constraints: DataFrame) -> DataFrame:
-    """Points (obs_id, x, y, z, thickness, expected) of constraints, depths positive downwards."""
+def constraint_midpoints(constraints: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Points (obs_id, x, y, z, thickness, expected, *by) of constraints, depths positive downwards."""
     return constraints.select(
         "obs_id", "x", "y", (-(F.col("z_top") + F.col("z_bottom")) / 2.0).alias("z"),
-        F.abs(F.col("z_bottom") - F.col("z_top")).alias("thickness"), F.col("litho_group_id").alias("expected"),
+        F.abs(F.col("z_bottom") - F.col("z_top")).alias("thickness"), F.col("litho_group_id").alias("expected"), *(by or []),
     )
 
 
@@ -123,32 +123,54 @@ def constraint_penalty(constraints: DataFrame, facets: DataFrame, omega: float =
     """(*by, penalty): omega times the summed squared thickness of intervals in another group.
 
     The middle of each interval is classified in the model; ``by`` are columns of constraints
-    and facets that tell model variants apart.
+    and facets that tell model variants apart. Intervals outside every group are summed where
+    they lie; only those inside one move.
     """
     by = by or []
-    points = constraint_midpoints(constraints) if not by else constraint_midpoints(constraints).join(constraints.select("obs_id", *by), "obs_id")
-    found = locate.classify(points, facets, by=by)
-    wrong = points.join(found, ["obs_id", *by]).filter(F.col("group_id") != F.col("expected"))
-    total = (omega * F.coalesce(F.sum(F.pow("thickness", 2)), F.lit(0.0))).alias("penalty")
-    return wrong.groupBy(*by).agg(total) if by else wrong.agg(total)
+    points = constraint_midpoints(constraints, by)
+    total = _wrong(points, F.lit(-1), by).unionByName(_corrections(points, facets, by))
+    return _penalties(total, omega, by)
 
 
 def constraint_gradient(constraints: DataFrame, moved: Callable[[DataFrame], DataFrame], dofs: DataFrame, step: float = 1.0, omega: float = 1.0, compat_double_omega: bool = False) -> DataFrame:
     """(dof, gradient) of ``constraint_penalty`` by central differences, all variants in one job.
 
     ``moved`` maps moves(variant, dof, delta) to the facets of each variant of the model.
+    Constraints are not repeated for the variants: each meets the facets of all of them.
     ``compat_double_omega`` multiplies by omega again, as older results did.
     """
     moves = dofs.select("dof", F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("sign"))
     moves = moves.select(F.concat_ws("/", "dof", "sign").alias("variant"), "dof", "sign", (F.col("sign") * step).alias("delta"))
-    spread = constraints.withColumnRenamed("obs_id", "of").crossJoin(F.broadcast(moves.select("variant")))
-    spread = spread.withColumn("obs_id", F.concat_ws("/", "of", "variant"))
-    found = constraint_penalty(spread, moved(moves), omega, ["variant"])
+    points = constraint_midpoints(constraints)
+    outside = _wrong(points, F.lit(-1), []).crossJoin(F.broadcast(moves.select("variant")))
+    found = _penalties(outside.unionByName(_corrections(points, moved(moves), ["variant"])), omega, ["variant"])
     k = omega if compat_double_omega else 1.0
     both = moves.join(found, "variant", "left").withColumn("p", F.coalesce("penalty", F.lit(0.0)))
     return both.groupBy("dof").agg((k * F.sum(F.col("sign") * F.col("p")) / (2.0 * step)).alias("gradient"))
 
 
+def _wrong(points: DataFrame, group: Column, by: list[str], less: Column | None = None) -> DataFrame:
+    """(*by, s, n): summed squared thickness and number of points expected elsewhere than in ``group``, less those elsewhere than in ``less``."""
+    sums = []
+    for name, one in (("s", F.pow("thickness", 2)), ("n", F.lit(1))):
+        term = lambda g, one=one: F.when(g != F.col("expected"), one).otherwise(0)
+        sums.append(F.sum(term(group) if less is None else term(group) - term(less)).alias(name))
+    return points.groupBy(*by).agg(*sums) if by else points.agg(*sums)
+
+
+def _corrections(points: DataFrame, facets: DataFrame, by: list[str]) -> DataFrame:
+    """What ``_wrong`` changes for the points that lie in a group."""
+    inside = locate.holders(points, facets, by, ["thickness", "expected"])
+    return _wrong(inside, F.col("group_id"), by, F.lit(-1))
+
+
+def _penalties(parts: DataFrame, omega: float, by: list[str]) -> DataFrame:
+    total = (omega * F.coalesce(F.sum("s"), F.lit(0.0))).alias("penalty")
+    if not by:
+        return parts.agg(total)
+    return parts.groupBy(*by).agg(total, F.sum("n").alias("__n")).filter("__n > 0").drop("__n")
+
+
 def vertex_overlaps(vertices: DataFrame, facets: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """``model.overlap_counts`` of vertices(group_id, v_id, x, y, z) classified in facets(group_id, ...)."""
     key = F.struct("group_id", "v_id")
