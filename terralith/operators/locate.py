@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.functions import geometry as g
 from terralith.operators.cells import with_boxes
-from terralith.operators.forward import corners, pairs
+from terralith.operators.forward import BROADCAST_FACETS, corners, pairs
 from terralith.operators.storage import discard, stored_at
 
 #: Most reference points that every point looks through; more are searched by grid cells.
 BROADCAST_POINTS = 4096
+#: Places, in multiples of ``BROADCAST_POINTS``, that go to every executor as arrays.
+PLACES = 4
 
 
 def envelope(points: DataFrame, bodies: DataFrame, cz: float, a: float, b: float, c: float, regional: float) -> DataFrame:
@@ -124,13 +128,18 @@ def over_facets(points: DataFrame, facets: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, targets: DataFrame, k: int = 1, dims: str = "xyz") -> DataFrame:
     """(obs_id, target_id, d2, rank) of the ``k`` nearest targets; ties by target_id.
 
-    Up to ``BROADCAST_POINTS`` targets are looked through by every point. More are searched in a
-    tree of cells (``_nearest_by_cells``); there points and targets without a full place are left out.
+    Up to ``BROADCAST_POINTS`` targets are looked through by every point. More are first brought
+    together by place; up to ``PLACES`` times as many places stream past the points as arrays
+    (``_nearest_by_places``), more are searched in a tree of cells (``_nearest_by_cells``). On
+    both ways points and targets without a full place are left out.
     """
     n = targets.count()
     src = points.select("obs_id", *[F.col(a).alias(f"__{a}") for a in dims])
     if n > BROADCAST_POINTS:
-        return _nearest_by_cells(src, targets.select("target_id", *[F.col(a).cast("double").alias(a) for a in dims]), k, dims)
+        targets = targets.select("target_id", *[F.col(a).cast("double").alias(a) for a in dims])
+        if targets.select(*dims).distinct().count() <= PLACES * BROADCAST_POINTS:
+            return _nearest_by_places(src, targets, k, dims)
+        return _nearest_by_cells(src, targets, k, dims)
     blocks = max(1, -(-n // 1024))
     packed = targets.select(F.struct("target_id", *[F.col(a).alias(a) for a in dims]).alias("t"), F.pmod(F.xxhash64("target_id"), F.lit(blocks)).alias("__b"))
     packed = packed.groupBy("__b").agg(F.collect_list("t").alias("ts"))
@@ -157,15 +166,60 @@ _LEAF = 16
 _DEPTH = 20
 
 
-def _nearest_by_cells(src: DataFrame, targets: DataFrame, k: int, dims: str) -> DataFrame:
-    """``nearest`` by ``descend``: targets of one place are one place with its ``k`` smallest ids, points of one place one point."""
-    axes = [f"__{a}" for a in dims]
+def _whole(src: DataFrame, targets: DataFrame, k: int, dims: str) -> tuple[DataFrame, DataFrame]:
+    """Points, and the ``k`` smallest ids of every target place, that have a full place."""
     whole = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
     for a in dims:
         targets, src = targets.filter(whole(a)), src.filter(whole(f"__{a}"))
-    src = src.withColumns({c: F.col(c).cast("double") + 0.0 for c in axes})
+    src = src.withColumns({f"__{a}": F.col(f"__{a}").cast("double") + 0.0 for a in dims})
     one = Window.partitionBy(*dims).orderBy("target_id")
     few = targets.withColumns({a: F.col(a) + 0.0 for a in dims}).withColumn("__r", F.row_number().over(one)).filter(F.col("__r") <= k).drop("__r")
+    return src, few
+
+
+def _nearest_by_places(src: DataFrame, targets: DataFrame, k: int, dims: str) -> DataFrame:
+    """``nearest`` with all places of the targets as arrays; points stream past them and nothing of a point is shuffled."""
+    src, few = _whole(src, targets, k, dims)
+    kinds = {"obs_id": dict(src.dtypes)["obs_id"], "target_id": dict(few.dtypes)["target_id"]}
+    rows = few.toPandas().sort_values([*dims, "target_id"], ignore_index=True)
+    axes = rows[[*dims]].to_numpy(float).reshape(-1, len(dims))
+    new = np.r_[True, (axes[1:] != axes[:-1]).any(axis=1)][: len(axes)]
+    starts = np.flatnonzero(new)
+    held = src.sparkSession.sparkContext.broadcast((axes[starts], starts, np.diff(np.r_[starts, len(axes)]), rows["target_id"].to_numpy()))
+    schema = f"obs_id {kinds['obs_id']}, target_id {kinds['target_id']}, d2 double, rank int"
+
+    def run(batches):
+        at, starts, sizes, ids = held.value
+        lines = [np.ascontiguousarray(at[:, i]) for i in range(at.shape[1])]
+        step = max(1, 65_536 // max(1, len(at)))
+        for pdf in batches:
+            found = []
+            own = [pdf[f"__{a}"].to_numpy(float) for a in dims]
+            for low in range(0, len(pdf) if len(at) else 0, step):
+                d2 = np.zeros((min(step, len(pdf) - low), len(at)))
+                for x, line in zip(own, lines, strict=True):
+                    gap = line - x[low : low + step, None]
+                    d2 += gap * gap
+                most = d2.min(axis=1) if k == 1 else np.partition(d2, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1]
+                point, place = np.nonzero(d2 <= most[:, None])
+                n = sizes[place]
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found.append((np.repeat(point, n) + low, np.repeat(starts[place], n) + within, np.repeat(d2[point, place], n)))
+            if not found:
+                continue
+            point, target, d2 = (np.concatenate(x) for x in zip(*found, strict=True))
+            out = pd.DataFrame({"p": point, "target_id": ids[target], "d2": d2}).sort_values(["p", "d2", "target_id"])
+            out["rank"] = out.groupby("p").cumcount() + 1
+            out = out[out["rank"] <= k]
+            yield out.assign(obs_id=pdf["obs_id"].to_numpy()[out["p"]])[["obs_id", "target_id", "d2", "rank"]]
+
+    return src.repartition(src.sparkSession.sparkContext.defaultParallelism * 4).mapInPandas(run, schema)
+
+
+def _nearest_by_cells(src: DataFrame, targets: DataFrame, k: int, dims: str) -> DataFrame:
+    """``nearest`` by ``descend``: targets of one place are one place with its ``k`` smallest ids, points of one place one point."""
+    axes = [f"__{a}" for a in dims]
+    src, few = _whole(src, targets, k, dims)
     places = src.groupBy(*axes).agg(F.min("obs_id").alias("p"))
     met = descend(places, few.withColumns({f"{e}{a}": F.col(a) for a in dims for e in ("lo", "hi")}), k, dims)
     d2 = sum((F.pow(F.col(a) - F.col(f"__{a}"), 2) for a in dims), F.lit(0.0))
@@ -248,12 +302,39 @@ def idw_weights(neighbours: DataFrame, floor: float = 1e-12) -> DataFrame:
 def idw(points: DataFrame, samples: DataFrame, least: float = 1.0) -> DataFrame:
     """Inverse-square-distance mean of all samples (x, y, z as sx, sy, sz) at each point.
 
-    Samples are summed in one pass per point: broadcast while they are few, dealt into blocks
-    otherwise, with partial sums before the shuffle.
+    Samples of one place are one, with the sum of their values and their number. Places are
+    broadcast as arrays while they are few and points stream past them, so nothing of a point is
+    shuffled; more are dealt into blocks, with partial sums before the shuffle. A point or sample
+    without a place counts as ``least`` away.
     """
-    d2 = F.greatest(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2), F.lit(least * least))
-    both = pairs(points.select("obs_id", "x", "y"), samples.select("sx", "sy", "sz"))
-    return both.groupBy("obs_id").agg((F.sum(F.col("sz") / d2) / F.sum(1.0 / d2)).alias("z"))
+    places = samples.groupBy("sx", "sy").agg(F.sum(F.col("sz").cast("double")).alias("total"), F.count("*").alias("n"))
+    nowhere = F.col("sx").isNull() | F.col("sy").isNull()
+    seen = points.select("obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if places.count() > BROADCAST_FACETS:
+        d2 = F.greatest(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2), F.lit(least * least))
+        both = pairs(seen, places)
+        return both.groupBy("obs_id").agg((F.sum(F.col("total") / d2) / F.sum(F.col("n") / d2)).alias("z"))
+    rows = places.select(F.col("sx").cast("double").alias("sx"), F.col("sy").cast("double").alias("sy"), F.coalesce("total", F.lit(0.0)).alias("total"), "n", F.col("total").isNotNull().alias("some"), nowhere.alias("nowhere")).toPandas()
+    if not rows["some"].any():
+        return seen.select("obs_id", F.lit(None).cast("double").alias("z")) if len(rows) else seen.filter("false").select("obs_id", F.lit(0.0).alias("z"))
+    here = rows[~rows["nowhere"].astype(bool)]
+    held = seen.sparkSession.sparkContext.broadcast((here["sx"].to_numpy(float), here["sy"].to_numpy(float), here[["total", "n"]].to_numpy(float), rows.loc[rows["nowhere"].astype(bool), ["total", "n"]].to_numpy(float).sum(axis=0), rows[["total", "n"]].to_numpy(float).sum(axis=0)))
+
+    def run(batches):
+        sx, sy, values, rest, everything = held.value
+        step = max(1, 65_536 // max(1, len(sx)))
+        for pdf in batches:
+            x, y, lost = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["lost"].to_numpy(bool)
+            sums = np.empty((len(pdf), 2))
+            for at in range(0, len(pdf), step):
+                dx, dy = x[at : at + step, None] - sx, y[at : at + step, None] - sy
+                sums[at : at + step] = (1.0 / np.maximum(dx * dx + dy * dy, least * least)) @ values
+            sums += rest / (least * least)
+            sums[lost] = everything / (least * least)
+            yield pd.DataFrame({"obs_id": pdf["obs_id"], "z": sums[:, 0] / sums[:, 1]})
+
+    dealt = seen.withColumn("lost", F.col("x").isNull() | F.col("y").isNull()).repartition(seen.sparkSession.sparkContext.defaultParallelism * 4)
+    return dealt.mapInPandas(run, f"obs_id {dict(seen.dtypes)['obs_id']}, z double")
 
 
 def bilinear(points: DataFrame, nodes: DataFrame, step: float, nx: int, ny: int) -> DataFrame:
