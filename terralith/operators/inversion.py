@@ -251,7 +251,8 @@ class Sensitivity:
     ``kernel(o, c)`` maps stations (n, k) and cells (m, j) to (n, m) responses. A block holds all
     data of one chunk against all cells of one chunk and is a row of a table in the shared
     folder, so a product streams the table past a broadcast vector and sums parts of the result
-    before the shuffle. The driver holds vectors of cells and of data, counted first.
+    before the shuffle. Data measured at one place (equal ``at``) have equal rows, of which the
+    table holds one. The driver holds vectors of cells and of data, counted first.
     """
 
     def __init__(self, stations: DataFrame, cells: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], at: list[str], of: list[str]):
@@ -261,9 +262,11 @@ class Sensitivity:
         self.n, self.m = stations.count(), cells.count()
         if max(self.n, self.m) > MOST_UNKNOWNS:
             raise ValueError(f"at most {MOST_UNKNOWNS} data and cells")
+        places, self.row = self._places(stations, at)
+        self.rows = int(self.row.max(initial=-1)) + 1
         side = int(np.sqrt(BLOCK_BYTES / 8))
         chunk = lambda df, key, columns: df.groupBy(F.floor(F.col(key) / side).alias(f"b{key}")).agg(F.array_sort(F.collect_list(F.struct(key, *[F.col(c).cast("double").alias(c) for c in columns]))).alias(f"rows_{key}"))
-        a, b = chunk(stations, "i", at), chunk(cells, "j", of)
+        a, b = chunk(places, "i", at), chunk(cells, "j", of)
         count = -(-self.m // side)
         # every chunk of stations meets every chunk of cells by its number: a matrix has all pairs by nature
         both = a.withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, count - 1)).cast("long")))).join(b, "bj")
@@ -274,7 +277,7 @@ class Sensitivity:
                     rows, cols = (np.array([[x[c] for c in names] for x in part], float).reshape(len(part), len(names)) for part, names in ((r.rows_i, at), (r.rows_j, of)))
                     yield pd.DataFrame({"bi": [r.bi * side], "bj": [r.bj * side], "height": [len(rows)], "values": [np.ascontiguousarray(kernel(rows, cols), float).tobytes()]})
 
-        parts = max(1, -(-self.n // side)) * max(1, count)
+        parts = max(1, -(-self.rows // side)) * max(1, count)
         blocks = both.repartition(min(parts, 10_000), "bi", "bj").mapInPandas(fill, "bi long, bj long, height long, values binary")
         self.blocks, self.path = stored_at(blocks)
 
@@ -291,17 +294,31 @@ class Sensitivity:
 
         rows = self.blocks.mapInPandas(run, "at long, part array<double>").select("at", F.posexplode("part").alias("k", "v"))
         found = rows.groupBy((F.col("at") + F.col("k")).alias("k")).agg(F.sum("v").alias("v")).toPandas()
-        out = np.zeros(self.n if across else self.m)
+        out = np.zeros(self.rows if across else self.m)
         out[found["k"].to_numpy()] = found["v"].to_numpy()
         return out
 
     def dot(self, cells: np.ndarray) -> np.ndarray:
         """Responses at the data of values of the cells."""
-        return self._sum(cells, True)
+        return self._sum(cells, True)[self.row]
 
     def back(self, data: np.ndarray) -> np.ndarray:
         """Sums over the data, by cell."""
-        return self._sum(data, False)
+        return self._sum(np.bincount(self.row, np.asarray(data, float), self.rows), False)
+
+    @staticmethod
+    def _places(stations: DataFrame, at: list[str]) -> tuple[DataFrame, np.ndarray]:
+        """The distinct places, numbered as ``i`` by their first datum, and the number of every datum's place."""
+        from terralith.operators.mesh import dense_number
+        from terralith.operators.storage import stored
+
+        first = stations.groupBy(*[F.col(c).alias(f"__{c}") for c in at]).agg(F.min("i").alias("__first"))
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in at]
+        own = stored(stations.select("i", *at).join(first, same).select("i", "__first", *at))
+        pairs = own.select("i", "__first").toPandas().sort_values("i")
+        row = np.unique(pairs["__first"].to_numpy(), return_inverse=True)[1]
+        heads = own.filter(F.col("i") == F.col("__first")).select("__first", *at)
+        return dense_number(heads, ["__first"], "i").select("i", *at), row
 
     def release(self) -> None:
         from terralith.operators.storage import discard
