@@ -29,6 +29,23 @@ def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of a task, on average, where a table is dealt out by its count.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, *keys: str, times: int = 1) -> DataFrame:
+    """``df`` by its ``keys`` in as many partitions as its rows ask for, ``times`` so many where each row grows.
+
+    What a task holds is bounded by ``TASK_ROWS`` at any size: neither the number of input files nor
+    the merging of small partitions, which goes by their compressed bytes, decides it.
+    """
+    return df.repartition(partitions(df, times), *keys)
+
+
+def partitions(df: DataFrame, times: int = 1) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * times // TASK_ROWS))
+
+
 def stored(df: DataFrame) -> DataFrame:
     return stored_at(df)[0]
 
