@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terralith.operators.storage import dealt
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,10 +85,10 @@ triangles AS (SELECT 2 * v AS t_id, v AS v0, v + 1 AS v1, v + 41 AS v2 FROM cell
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of holes: depth runs on by quantity, property is the discount."""
+    """Intervals of holes, dealt by hole and number: depth runs on by quantity, property is the discount."""
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
     to = F.sum("l_quantity").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return read(spark, sf_dir, "lineitem").select(
+    return dealt(read(spark, sf_dir, "lineitem"), "l_suppkey").select(
         F.col("l_suppkey").alias("hole_id"), (to - F.col("l_quantity")).alias("from_m"), to.alias("to_m"), F.col("l_returnflag").alias("grp"),
         (F.col("l_discount") * 10 + 2.0).alias("density"), F.col("l_tax").alias("susceptibility"),
     )

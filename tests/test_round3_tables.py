@@ -80,3 +80,16 @@ def test_f18_a_pass_looks_only_at_what_the_one_before_it_moved(spark, monkeypatc
     monkeypatch.setattr(voxel, "_fragments", fragments)
     voxel.clean_fragments(cells, 4)
     assert len(sizes) > 1 and sizes[1] < sizes[0] and sizes == sorted(sizes, reverse=True)
+
+
+def test_f19_f20_intervals_are_dealt_once_by_hole_and_number(spark, monkeypatch):
+    from terralith.plans import bindings, properties
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    sf = "/root/testdata/sf0.001"
+    most = bindings.read(spark, sf, "lineitem").count()
+    for query in (properties.merge_intervals, properties.merge_intervals_in_order):
+        got = query(spark, sf)
+        assert got.rdd.getNumPartitions() >= most // 100
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert got.agg(F.sum("n")).first()[0] == most
