@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.operators.storage import partitions
+
 #: Axes that a vertex may move along, by freedom class (fixed values).
 FREEDOM_AXES = {
     "FIXED": "", "X_ONLY": "x", "Y_ONLY": "y", "Z_ONLY": "z", "XY_FREE": "xy", "XZ_FREE": "xz", "YZ_FREE": "yz", "XYZ_FREE": "xyz", "ALONG_VECTOR": "v",
@@ -38,10 +40,21 @@ def boundary_edges(triangles: DataFrame, keys: list[str] | None = None) -> DataF
 
 
 def undirected_edges(triangles: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Distinct neighbour pairs of vertices, both ways."""
+    """Distinct neighbour pairs of vertices, both ways.
+
+    Triangles are dealt by their number; an edge is made distinct in one direction and then goes both ways.
+    """
     keys = keys or []
-    e = directed_edges(triangles, keys).select(*keys, "a", "b")
-    return e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    n = partitions(triangles, 3)
+    e = directed_edges(triangles.repartition(n, "t_id"), keys).select(*keys, F.when(_swapped(), F.col("b")).otherwise(F.col("a")).alias("lo"), F.when(_swapped(), F.col("a")).otherwise(F.col("b")).alias("hi"))
+    both = F.array(*[F.struct(F.col(s).alias("a"), F.col(t).alias("b")) for s, t in (("lo", "hi"), ("hi", "lo"))])
+    one = e.repartition(n, *keys, "lo", "hi").distinct()
+    return one.select(*keys, F.explode(F.when(F.col("lo").eqNullSafe(F.col("hi")), F.slice(both, 1, 1)).otherwise(both)).alias("e")).select(*keys, "e.a", "e.b")
+
+
+def _swapped() -> Column:
+    """Whether b comes before a, nulls first."""
+    return F.coalesce(F.col("b") < F.col("a"), F.col("b").isNull())
 
 
 def neighbour_means(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -90,6 +90,20 @@ def test_f19_f20_intervals_are_dealt_once_by_hole_and_number(spark, monkeypatch)
     most = bindings.read(spark, sf, "lineitem").count()
     for query in (properties.merge_intervals, properties.merge_intervals_in_order):
         got = query(spark, sf)
-        assert got.rdd.getNumPartitions() >= most // 100
         assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert got.rdd.getNumPartitions() >= most // 100
         assert got.agg(F.sum("n")).first()[0] == most
+
+
+def test_f24_edges_are_distinct_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from terralith.operators import mesh
+
+    rows = [(i, i % 7, (i * 3 + 1) % 7, (i * 5 + 2) % 7) for i in range(300)] + [(300, 9, 9, 8), (301, None, 3, 9)]
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    got = mesh.undirected_edges(spark.createDataFrame(rows, "t_id int, v0 long, v1 long, v2 long"))
+    assert got.rdd.getNumPartitions() >= 9
+    want = set()
+    for _, *v in rows:
+        for a, b in zip(v, v[1:] + v[:1]):
+            want |= {(a, b), (b, a)}
+    assert sorted(((r.a, r.b) for r in got.collect()), key=str) == sorted(want, key=str)
