@@ -107,3 +107,15 @@ def test_f24_edges_are_distinct_in_tasks_of_bounded_rows(spark, monkeypatch):
         for a, b in zip(v, v[1:] + v[:1]):
             want |= {(a, b), (b, a)}
     assert sorted(((r.a, r.b) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_f23_equal_prices_are_one_row_before_the_percentile(spark, tmp_path):
+    from terralith.plans import survey
+
+    rows = [("A", float(p)) for p in (1, 1, 1, 2, 5, 9)] * 50 + [("A", None), ("N", 4.0), ("R", None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_extendedprice double").repartition(6).write.parquet(f"{tmp_path}/lineitem.parquet")
+    query = survey.map_range_percentiles(spark, str(tmp_path))
+    assert "Aggregate [l_returnflag" in (plan := query._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Aggregate [") == 2
+    got = {r.l_returnflag: (r.p05, r.p95) for r in query.collect()}
+    held = [p for f, p in rows if f == "A" and p is not None]
+    assert got == {"A": tuple(np.percentile(held, [5, 95])), "N": (4.0, 4.0), "R": (None, None)}
