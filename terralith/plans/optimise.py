@@ -11,6 +11,7 @@ from terralith.operators import hooks
 from terralith.operators import inversion as inv
 from terralith.operators import mesh as m
 from terralith.operators import model as md
+from terralith.operators.storage import discard, stored_at
 from terralith.plans import bindings as b
 from terralith.plans.registry import query
 from terralith.plans.shapes import strips
@@ -199,19 +200,29 @@ def custom_optimiser(spark, d):
 
 @query("depth_inversion")
 def depth_inversion(spark, d):
-    """One shared depth shift recovered by bounded descent; every evaluation is a Spark forward model."""
-    stations = b.obs(spark, d).select("obs_id", "x", "y", "z").cache()
-    boxes = b.boxes(spark, d)
-    observed = fw.gravity(stations, fw.box_facets(boxes)).withColumnRenamed("response", "value").cache()
+    """One shared depth shift recovered by bounded descent; every evaluation is a Spark forward model.
+
+    Stations carry their datum past the bodies, so a misfit is one pass with one sum and no join;
+    both sides of a central difference are one pass.
+    """
+    boxes = b.boxes(spark, d).cache()
+    observed, path = stored_at(fw.gravity(b.obs(spark, d).select("obs_id", "x", "y", "z"), fw.box_facets(boxes), keep=["x", "y", "z"]).withColumnRenamed("response", "value"))
     top = float(observed.agg(F.max(F.abs("value"))).first()[0])
 
+    def misfits(shifts):
+        moved = boxes.withColumn("shift", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s) * 100.0).alias("m")) for i, s in enumerate(shifts)])))
+        moved = moved.select("cx", "cy", (F.col("cz") + F.col("shift.m")).alias("cz"), "half", "density", F.col("shift.i").alias("side"))
+        got = fw.gravity(observed, fw.box_facets(moved), ["side"], keep=["value"]).groupBy("side").agg(F.sum(F.pow((F.col("response") - F.col("value")) / top, 2)).alias("f"))
+        return [r["f"] for r in got.orderBy("side").collect()]
+
     def value(p):
-        moved = fw.gravity(stations, fw.box_facets(boxes.withColumn("cz", F.col("cz") + float(p[0]) * 100.0)))
-        return float(moved.join(observed, "obs_id").agg(F.sum(F.pow((F.col("response") - F.col("value")) / top, 2))).first()[0])
+        return float(misfits([p[0]])[0])
 
     def gradient(p):
-        return np.array([(value(p + 1e-4) - value(p - 1e-4)) / 2e-4])
+        above, below = misfits([p[0] + 1e-4, p[0] - 1e-4])
+        return np.array([(above - below) / 2e-4])
 
     opt = inv.Bounded(value, gradient, np.array([-1.0]), np.array([1.0]), rounds=4)
     found = opt.minimise(np.array([0.3]))
+    discard(spark, path)
     return spark.createDataFrame([(h["iteration"], h["objective"], float(found[0])) for h in opt.history], "iteration int, objective double, shift double")
