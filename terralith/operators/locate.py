@@ -217,9 +217,26 @@ def _nearest_by_places(src: DataFrame, targets: DataFrame, k: int, dims: str) ->
 
 
 def _nearest_by_cells(src: DataFrame, targets: DataFrame, k: int, dims: str) -> DataFrame:
-    """``nearest`` by ``descend``: targets of one place are one place with its ``k`` smallest ids, points of one place one point."""
+    """``nearest`` by ``descend``: targets of one place are one place with its ``k`` smallest ids, points of one place one point.
+
+    A single neighbour in the point's own place is found by an equi-join instead.
+    """
     axes = [f"__{a}" for a in dims]
     src, few = _whole(src, targets, k, dims)
+    if k == 1:
+        # a target in the point's own place cannot be beaten: those points need no search
+        here = [F.col(a) for a in axes]
+        own = few.select(*[F.col(c).alias(a) for c, a in zip(dims, axes, strict=True)], "target_id").filter(sum((F.abs(a) for a in here), F.lit(0.0)) < float("inf"))
+        met = src.join(own, axes).select("obs_id", "target_id", F.lit(0.0).alias("d2"), F.lit(1).alias("rank"))
+        src = src.join(own, axes, "left_anti")
+        if src.isEmpty():
+            return met
+        return met.unionByName(_by_tree(src, few, k, dims))
+    return _by_tree(src, few, k, dims)
+
+
+def _by_tree(src: DataFrame, few: DataFrame, k: int, dims: str) -> DataFrame:
+    axes = [f"__{a}" for a in dims]
     places = src.groupBy(*axes).agg(F.min("obs_id").alias("p"))
     met = descend(places, few.withColumns({f"{e}{a}": F.col(a) for a in dims for e in ("lo", "hi")}), k, dims)
     d2 = sum((F.pow(F.col(a) - F.col(f"__{a}"), 2) for a in dims), F.lit(0.0))
@@ -273,7 +290,9 @@ def descend(places: DataFrame, items: DataFrame, k: int, dims: str) -> DataFrame
         for _, x in kept:
             discard(spark, x)
         kept = [(now.filter("leaf"), now_path)]
-        here = placed.join(cells.select(*parents, *keys, "leaf"), [*parents, *keys])
+        # items of cells that no place keeps are let go
+        held = cells.join(now.filter(F.col("depth") == depth).select(*keys).distinct(), keys, "left_semi")
+        here = placed.join(held.select(*parents, *keys, "leaf"), [*parents, *keys])
         leaves.append(stored_at(here.filter("leaf").select("target_id", *dims, *keys, F.lit(depth).alias("depth")))[0])
         rest, rest_path = stored_at(here.filter("not leaf").select("target_id", *dims, *corner, *[F.col(c).alias(u) for c, u in zip(keys, parents, strict=True)]))
         for x in (*old, path, cells_path):
