@@ -3,8 +3,8 @@
 Cell centres are the nodes of a lattice; every cube of eight nodes is cut into the six
 tetrahedra along its main diagonal, which fit together from cube to cube. A tetrahedron with one
 node on either side gives a triangle, one with two and two gives two, with corners half way
-between nodes on different sides. All groups are one job: cells vote for the corners of their
-eight cubes, mixed cubes look their triangles up by corner mask.
+between nodes on different sides. All groups are one job: cells are dealt to blocks of cubes,
+mixed cubes look their triangles up by corner mask.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from functools import cache
 from itertools import permutations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralith.operators.mesh import dense_number
+from terralith.operators.storage import stored
 
 #: Corners of a cube: bits of the number are the steps along x, y and z.
 _CORNERS = [tuple(c >> k & 1 for k in range(3)) for c in range(8)]
@@ -65,32 +66,145 @@ def closing(cells: DataFrame, shape: tuple[int, int, int], by: str = "label") ->
     return spread(wide).filter(inside).groupBy(by, "ix", "iy", "iz").agg(F.count("*").alias("n")).filter("n = 27").drop("n")
 
 
+#: Cubes of a block along x, y and z.
+BLOCK = (16, 16, 64)
+#: Blocks of a task: what it holds does not grow with the table.
+_TASK_BLOCKS = 8
+
+
+def _corners_of(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(there, mixed): the vertices of a block by twice their local place, and its cubes' masks where they are mixed, else 0."""
+    inside = np.zeros([n + 1 for n in BLOCK], bool)
+    inside.reshape(-1)[cells] = True
+    there = np.zeros([2 * n + 1 for n in BLOCK], bool)
+    mask = np.zeros(BLOCK, np.int32)
+    for i, step in enumerate(_CORNERS):
+        mask |= inside[tuple(slice(s, s + n) for s, n in zip(step, BLOCK, strict=True))].astype(np.int32) << i
+        if i:
+            low, high = inside[tuple(slice(0, n + 1 - s) for s, n in zip(step, BLOCK, strict=True))], inside[tuple(slice(s, n + 1) for s, n in zip(step, BLOCK, strict=True))]
+            there[tuple(slice(s, 2 * n + 1 - s, 2) for s, n in zip(step, BLOCK, strict=True))] = low != high
+    return there, np.where(mask == 255, 0, mask)
+
+
+@cache
+def _table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(triangles of each mask, its first row, twice the place of the three corners of each row within the cube)."""
+    rows = np.array(triangles_by_mask())
+    n = np.bincount(rows[:, 0], minlength=256)
+    at = np.array(_CORNERS)
+    return n, np.cumsum(n) - n, np.stack([at[rows[:, 2 + 2 * i]] + at[rows[:, 3 + 2 * i]] for i in range(3)], axis=1)
+
+
 def surfaces(cells: DataFrame, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), size: tuple[float, float, float] = (1.0, 1.0, 1.0), by: str = "label") -> tuple[DataFrame, DataFrame]:
     """(vertices, triangles) of the closed surfaces around each group's cells.
 
     cells: by, ix, iy, iz (iz counts down from the origin's z). vertices(by, v_id, x, y, z) and
-    triangles(by, t_id, v0, v1, v2), numbered over all groups; normals point outwards. Repeated
-    cells count once.
+    triangles(by, t_id, v0, v1, v2), numbered over all groups in the order of group and place;
+    normals point outwards. Repeated cells count once, cells without a place not at all.
+
+    Cells are dealt to blocks of cubes with the cells on their far sides. A block counts the vertices
+    and triangles of each of its columns; running sums of the counts give every column its first
+    number, so blocks number what they hold themselves and no vertex or triangle is shuffled.
     """
     spark = cells.sparkSession
-    corner = F.explode(F.array(*[F.struct(F.lit(1 << i).alias("bit"), *[F.lit(v).alias(n) for v, n in zip(c, "abc", strict=True)]) for i, c in enumerate(_CORNERS)]))
-    votes = cells.select(by, "ix", "iy", "iz", corner.alias("c"))
-    cubes = votes.groupBy(by, *[(F.col(f"i{a}") - F.col(f"c.{s}")).alias(f"c{a}") for a, s in zip("xyz", "abc", strict=True)]).agg(F.bit_or("c.bit").alias("mask")).filter("mask <> 255")
-    names = ["mask", "number", "a0", "b0", "a1", "b1", "a2", "b2"]
-    table = F.broadcast(spark.createDataFrame(triangles_by_mask(), ", ".join(f"{n} int" for n in names)))
-    steps = [F.array(*[F.lit(c[k]) for c in _CORNERS]) for k in range(3)]
-    # twice the index of a corner's place, a whole number of its own for every lattice edge
-    key = lambda i: F.struct(*[(2 * F.col(f"c{a}") + F.element_at(steps[k], F.col(f"a{i}") + 1) + F.element_at(steps[k], F.col(f"b{i}") + 1)).cast("int").alias(a) for k, a in enumerate("xyz")])
-    faces = cubes.join(table, "mask").select(by, "cx", "cy", "cz", "number", *[key(i).alias(f"k{i}") for i in range(3)])
-    points = faces.select(by, F.explode(F.array("k0", "k1", "k2")).alias("k")).distinct()
-    numbered = dense_number(points, [by, "k"], "v_id")
+    axes, home = ("ix", "iy", "iz"), ["bx", "by", "bz"]
+    placed = cells.select(F.col(by).alias("g"), *[F.col(c).cast("int").alias(c) for c in axes]).na.drop(subset=list(axes))
+    for c, h, n in zip(axes, home, BLOCK, strict=True):
+        placed = placed.withColumn(h, F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) - s) / n).cast("int") for s in (0, 1)]))))
+    local = F.lit(0)
+    for c, h, n in zip(axes, home, BLOCK, strict=True):
+        local = local * (n + 1) + F.col(c) - F.col(h) * n
+    few = placed.groupBy("g", *home).agg(F.collect_set(local.cast("int")).alias("cells"))
+    blocks = stored(few)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-blocks.count() // _TASK_BLOCKS))
+    kind = dict(blocks.dtypes)["g"]
+
+    def count(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                there, mask = _corners_of(r.cells)
+                for what, n, k in ((0, there[:-1, :-1, :-1].sum(axis=2), 2), (1, _table()[0][mask].sum(axis=2), 1)):
+                    x, y = np.nonzero(n)
+                    yield pd.DataFrame({"g": pd.Series([r.g] * len(x), dtype=pdf["g"].dtype), "what": what, "x": x + r.bx * BLOCK[0] * k, "y": y + r.by * BLOCK[1] * k, "bz": r.bz, "n": n[x, y]})
+
+    columns = ["what", "g", "x", "y", "bz"]
+    counts = blocks.repartition(tasks).mapInPandas(count, f"g {kind}, what int, x int, y int, bz int, n long")
+    ranged = stored(counts.repartitionByRange(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns).withColumn("part", F.spark_partition_id()))
+    totals = ranged.groupBy("what", "part").agg(F.sum("n").alias("total"))
+    running = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = totals.select("what", "part", F.coalesce(F.sum("total").over(Window.partitionBy("what").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    starts = ranged.join(F.broadcast(ahead), ["what", "part"]).select(*columns, (F.col("ahead") + running(Window.partitionBy("what", "part").orderBy(*columns))).alias("start"))
+    # a vertex on the side between two blocks is numbered by the second and known to both
+    for c, h, n in zip("xy", home, BLOCK, strict=False):
+        own = F.when(F.col("what") == 0, F.floor(F.col(c) / (2 * n))).otherwise(F.floor(F.col(c) / n)).cast("int")
+        starts = starts.withColumn(h, F.explode(F.when((F.col("what") == 0) & (F.pmod(F.col(c), F.lit(2 * n)) == 0), F.array(own, own - 1)).otherwise(F.array(own))))
+    starts = starts.withColumn("up", F.explode(F.when(F.col("what") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("bz", F.col("bz") - F.col("up"))
+    wide = F.when(F.col("what") == 0, 2).otherwise(1)
+    slot = ((F.col("x") - F.col("bx") * BLOCK[0] * wide) * (2 * BLOCK[1] + 1) + F.col("y") - F.col("by") * BLOCK[1] * wide) * 3 + F.when(F.col("what") == 1, 2).otherwise(F.col("up"))
+    packed = starts.groupBy("g", *home).agg(F.collect_list(slot.cast("int")).alias("slots"), F.collect_list("start").alias("starts"))
+    same = [blocks["g"].eqNullSafe(packed["g"]), *[blocks[h] == packed[h] for h in home]]
+    ready = stored(blocks.join(packed, same).select(blocks["g"], *[blocks[h] for h in home], "cells", "slots", "starts")).repartition(tasks)
+
+    def numbered(r):
+        first = np.zeros((2 * BLOCK[0] + 1, 2 * BLOCK[1] + 1, 3), np.int64)
+        first.reshape(-1)[r.slots] = r.starts
+        there, mask = _corners_of(r.cells)
+        ids = np.cumsum(there, axis=2) - there + first[:, :, :1]
+        ids[:, :, -1] = first[:, :, 1]
+        return there, mask, ids, first[: BLOCK[0], : BLOCK[1], 2]
+
+    def of_group(pdf, r, rows):
+        return pd.DataFrame({"g": pd.Series([r.g] * len(next(iter(rows.values()))), dtype=pdf["g"].dtype), **rows})
+
+    def corner_rows(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                there, _, ids, _ = numbered(r)
+                k = np.nonzero(there[:-1, :-1, :-1])
+                yield of_group(pdf, r, {"v_id": ids[k], **{f"k{a}": i + 2 * n * h for a, i, n, h in zip("xyz", k, BLOCK, (r.bx, r.by, r.bz), strict=True)}})
+
+    def face_rows(batches):
+        n, begin, places = _table()
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                _, mask, ids, first = numbered(r)
+                at = np.nonzero(mask)
+                own = mask[at]
+                many = n[own]
+                cube = np.repeat(np.arange(len(own)), many)
+                row = np.arange(len(cube)) - np.repeat(np.cumsum(many) - many - begin[own], many)
+                column = (at[0] * BLOCK[1] + at[1])[cube]
+                within = np.bincount(column, minlength=BLOCK[0] * BLOCK[1])
+                within = np.arange(len(cube)) - (np.cumsum(within) - within)[column]
+                base = np.stack(at, axis=1)[cube] * 2
+                # z falls with iz, so the order of the corners turns round
+                corner = [ids[tuple((base + places[row, i]).T)] for i in (0, 2, 1)]
+                yield of_group(pdf, r, {"t_id": first.reshape(-1)[column] + within, **{f"v{i}": c for i, c in enumerate(corner)}})
+
     (x0, y0, z0), (dx, dy, dz) = origin, size
-    vertices = numbered.select(by, "v_id", (x0 + (F.col("k.x") / 2 + 0.5) * dx).alias("x"), (y0 + (F.col("k.y") / 2 + 0.5) * dy).alias("y"), (z0 - (F.col("k.z") / 2 + 0.5) * dz).alias("z"))
-    tri = dense_number(faces, [by, "cx", "cy", "cz", "number"], "t_id")
-    for i in range(3):
-        tri = tri.join(numbered.select(by, F.col("k").alias(f"k{i}"), F.col("v_id").alias(f"v{i}")), [by, f"k{i}"])
-    # z falls with iz, so the order of the corners turns round
-    return vertices, tri.select(by, "t_id", "v0", F.col("v2").alias("v1"), F.col("v1").alias("v2"))
+    found = ready.mapInPandas(corner_rows, f"g {kind}, v_id long, kx int, ky int, kz int")
+    vertices = found.select(F.col("g").alias(by), "v_id", (x0 + (F.col("kx") / 2 + 0.5) * dx).alias("x"), (y0 + (F.col("ky") / 2 + 0.5) * dy).alias("y"), (z0 - (F.col("kz") / 2 + 0.5) * dz).alias("z"))
+    triangles = ready.mapInPandas(face_rows, f"g {kind}, t_id long, v0 long, v1 long, v2 long").withColumnRenamed("g", by)
+    return vertices, triangles
+
+
+def open_edges(triangles: DataFrame, by: str = "label") -> DataFrame:
+    """(by, n_open_edges): edges that triangles do not meet as often one way as the other; no row for a group without any.
+
+    Opposite edges cancel within a batch of rows first, so only what is left is shuffled.
+    """
+    kind = dict(triangles.dtypes)[by]
+
+    def cancel(batches):
+        for pdf in batches:
+            v = pdf[["v0", "v1", "v2"]].to_numpy()
+            a, b = v.reshape(-1), np.roll(v, -1, axis=1).reshape(-1)
+            edges = pd.DataFrame({by: pdf[by].repeat(3).reset_index(drop=True), "a": np.minimum(a, b), "b": np.maximum(a, b), "way": np.where(a < b, 1, -1)})
+            left = edges.groupby([by, "a", "b"], dropna=False, sort=False, as_index=False)["way"].sum()
+            yield left[left["way"] != 0]
+
+    left = triangles.select(by, "v0", "v1", "v2").mapInPandas(cancel, f"`{by}` {kind}, a long, b long, way long")
+    return left.groupBy(by, "a", "b").agg(F.sum("way").alias("s")).filter("s <> 0").groupBy(by).agg(F.count("*").cast("int").alias("n_open_edges"))
 
 
 def surface_lines(vertices: DataFrame, triangles: DataFrame, groups: DataFrame, form: str = "obj", by: str = "label") -> DataFrame:

@@ -358,11 +358,9 @@ def closed_labels(spark, d):
 def label_surfaces(spark, d):
     """Vertices of the closed surface of each label, and how many of its edges are not shared by two faces."""
     v, t = iso.surfaces(b.voxels(spark, d))
-    ends = F.explode(F.array(*[F.struct(F.col(f"v{i}").alias("a"), F.col(f"v{(i + 1) % 3}").alias("b")) for i in range(3)]))
     # every directed edge must be met by as many opposite ones
-    edges = t.select("label", ends.alias("e")).select("label", F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b"), F.when(F.col("e.a") < F.col("e.b"), 1).otherwise(-1).alias("way"))
-    odd = edges.groupBy("label", "a", "b").agg(F.sum("way").alias("s")).groupBy("label").agg(F.count(F.when(F.col("s") != 0, 1)).cast("int").alias("n_open_edges"))
-    return v.groupBy("label").agg(F.count("*").alias("n_vertices")).join(odd, "label")
+    odd = F.coalesce("n_open_edges", F.lit(0)).alias("n_open_edges")
+    return v.groupBy("label").agg(F.count("*").alias("n_vertices")).join(iso.open_edges(t), "label", "left").select("label", "n_vertices", odd)
 
 
 @query("label_surface_text")

@@ -81,3 +81,38 @@ def test_f13_f22_items_that_no_place_keeps_leave_the_tree(spark, monkeypatch):
     want, _ = _nearest(points, targets)
     got = {r.obs_id: r.target_id for r in locate.nearest(frame(points, "obs_id"), frame(targets, "target_id"), 1, "xy").collect()}
     assert got == dict(enumerate(want)) and sizes[0] < 1000
+
+
+def _surfaces_by_hand(cells):
+    """Vertices and triangles of (group, x, y, z) cells, straight from the table of triangles."""
+    from terralith.operators import isosurface as iso
+
+    table = {}
+    for mask, number, *ends in iso.triangles_by_mask():
+        table.setdefault(mask, []).append(ends)
+    faces, corners = [], iso._CORNERS
+    for g in sorted({c[0] for c in cells}):
+        own = {c[1:] for c in cells if c[0] == g}
+        for c in sorted({tuple(p - s for p, s in zip(o, k)) for o in own for k in corners}):
+            mask = sum(1 << i for i, k in enumerate(corners) if tuple(a + s for a, s in zip(c, k)) in own)
+            place = lambda a, b: (g, *[2 * x + i + j for x, i, j in zip(c, corners[a], corners[b])])  # noqa: E731, B023
+            faces += [(g, place(*e[:2]), place(*e[4:]), place(*e[2:4])) for e in table.get(mask, [])]
+    ids = {p: i for i, p in enumerate(sorted({p for f in faces for p in f[1:]}))}
+    return {(i, p[0], *[x / 2 + 0.5 for x in p[1:3]], -p[3] / 2 - 0.5) for p, i in ids.items()}, [(i, f[0], *[ids[p] for p in f[1:]]) for i, f in enumerate(faces)]
+
+
+def test_f14_f21_surfaces_of_blocks_are_those_of_the_whole(spark):
+    from terralith.operators import isosurface as iso
+
+    rng = np.random.default_rng(8)
+    cells = {(int(g), int(x), int(y), int(z)) for g, x, y, z in zip(rng.integers(0, 3, 900), rng.integers(-3, 19, 900), rng.integers(13, 19, 900), rng.integers(60, 68, 900))}
+    cells |= {(1, 15, 15, 63), (1, 16, 16, 64), (2, -17, -33, -129), (2, -16, -32, -128)}
+    rows = spark.createDataFrame([*cells, *list(cells)[:20], (1, None, 3, 3)], "label int, ix int, iy int, iz int")
+    vertices, triangles = iso.surfaces(rows)
+    for df in (vertices, triangles):  # nothing of a vertex or triangle is shuffled: only blocks are dealt
+        assert "Join" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "Sort" not in plan
+    want_v, want_t = _surfaces_by_hand(cells)
+    assert {(r.v_id, r.label, r.x, r.y, r.z) for r in vertices.collect()} == want_v and vertices.count() == len(want_v)
+    assert sorted((r.t_id, r.label, r.v0, r.v1, r.v2) for r in triangles.collect()) == want_t
+    assert iso.open_edges(triangles).count() == 0
+    assert {r.label: r.n_open_edges for r in iso.open_edges(triangles.filter("t_id <> 0")).collect()} == {0: 3}
