@@ -133,13 +133,13 @@ def global_dofs(vertices: DataFrame) -> DataFrame:
     return dense_number(firsts, ["first"], "dof_id").select("dof_id", F.col("first.mesh_id").alias("mesh_id"), F.col("first.v_id").alias("v_id"), "axis", "n_refs")
 
 
-def dense_number(rows: DataFrame, by: list[str], name: str, start: int = 0) -> DataFrame:
+def dense_number(rows: DataFrame, by: list[str], name: str, start: int = 0, parts: int = 1) -> DataFrame:
     """Rows numbered in the order of ``by`` (which must be unique), by range partitions.
 
     A range of rows is numbered in its own task and shifted by the count of the ranges before
-    it, so that no task sees all rows.
+    it, so that no task sees all rows. ``parts``: ranges at least.
     """
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id())
     from terralith.operators.storage import stored
 

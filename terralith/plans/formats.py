@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terralith.functions.geometry import G_MGAL
@@ -10,6 +9,8 @@ from terralith.operators import clustering as c
 from terralith.operators import mesh as m
 from terralith.operators.locate import classify
 from terralith.operators.forward import box_facets, gravity
+from terralith.operators.mesh import dense_number
+from terralith.operators.storage import partitions
 from terralith.plans import bindings as b
 from terralith.plans import sqlgen as s
 from terralith.plans.registry import query
@@ -168,8 +169,7 @@ def obj_mesh(spark, d):
 def tsurf_round_trip(spark, d):
     v, tri = b.vertices(spark, d), b.triangles(spark, d)
     lines = w.tsurf_lines(v, tri, "patch")
-    order = Window.partitionBy("path").orderBy("part", "ord")
-    numbered = lines.withColumn("path", F.lit("x.ts")).withColumn("line_no", F.row_number().over(order)).select("path", "line_no", "line")
+    numbered = dense_number(lines, ["part", "ord"], "line_no", 1, partitions(lines)).select(F.lit("x.ts").alias("path"), "line_no", "line")
     return t.tsurf(numbered)[1].select("v0", "v1", "v2")
 
 

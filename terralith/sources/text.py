@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralith.operators.storage import stored
+from terralith.operators.mesh import dense_number
+from terralith.operators.storage import partitions, stored
 
 NO_DATA = -9999.0
 
@@ -261,15 +262,17 @@ def tsurf(lines: DataFrame, honour_ids: bool = True) -> tuple[DataFrame, DataFra
     ``honour_ids``: triangles name vertex ids; else ids are ignored and count the lines from 1.
     Vertex numbers of the result count from 0 in file order.
     """
-    end = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     parts = F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")
-    rows = lines.withColumn("__f", parts).withColumn("__end", F.max((F.trim("line") == "END").cast("int")).over(end)).filter("__end = 0")
+    # a file is not one task: its end is an aggregate, its rows are numbered in ranges
+    ends = lines.filter(F.trim("line") == "END").groupBy("path").agg(F.min("line_no").alias("__last"))
+    rows = lines.join(F.broadcast(ends), "path", "left").filter(F.col("__last").isNull() | (F.col("line_no") < F.col("__last"))).withColumn("__f", parts)
     kind = F.get("__f", F.lit(0))
-    w = Window.partitionBy("path").orderBy("line_no")
     v = rows.filter(kind.isin("VRTX", "PVRTX") & (F.size("__f") >= 5))
-    v = v.select("path", (F.row_number().over(w) - 1).cast("long").alias("v_id"), F.col("__f")[1].cast("long").alias("file_id"), *[number(F.col("__f")[i + 2]).alias(c) for i, c in enumerate("xyz")])
+    v = v.select("path", "line_no", F.col("__f")[1].cast("long").alias("file_id"), *[number(F.col("__f")[i + 2]).alias(c) for i, c in enumerate("xyz")])
+    v = _numbered_by_path(v, "v_id").select("path", "v_id", "file_id", "x", "y", "z")
     t = rows.filter((kind == "TRGL") & (F.size("__f") >= 4))
-    t = t.select("path", (F.row_number().over(w) - 1).cast("long").alias("t_id"), *[F.col("__f")[i + 1].cast("long").alias(f"f{i}") for i in range(3)])
+    t = t.select("path", "line_no", *[F.col("__f")[i + 1].cast("long").alias(f"f{i}") for i in range(3)])
+    t = _numbered_by_path(t, "t_id").select("path", "t_id", "f0", "f1", "f2")
     if honour_ids:
         for i in range(3):
             t = t.join(v.select("path", F.col("file_id").alias(f"f{i}"), F.col("v_id").alias(f"v{i}")), ["path", f"f{i}"])
@@ -278,6 +281,13 @@ def tsurf(lines: DataFrame, honour_ids: bool = True) -> tuple[DataFrame, DataFra
     return v.drop("file_id"), t.select("path", "t_id", "v0", "v1", "v2")
 
 
+def _numbered_by_path(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` numbered from 0 in each path by ``line_no``."""
+    all_rows = dense_number(rows, ["path", "line_no"], name, parts=partitions(rows))
+    firsts = all_rows.groupBy("path").agg(F.min(name).alias("__first"))
+    return all_rows.join(F.broadcast(firsts), "path").withColumn(name, F.col(name) - F.col("__first")).drop("__first")
+
+
 def tsurf_names(lines: DataFrame) -> DataFrame:
     """(path, name): the name in a TSurf header ('name:...' up to its closing brace), '' if none."""
     end = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)

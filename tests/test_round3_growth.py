@@ -116,3 +116,27 @@ def test_f14_f21_surfaces_of_blocks_are_those_of_the_whole(spark):
     assert sorted((r.t_id, r.label, r.v0, r.v1, r.v2) for r in triangles.collect()) == want_t
     assert iso.open_edges(triangles).count() == 0
     assert {r.label: r.n_open_edges for r in iso.open_edges(triangles.filter("t_id <> 0")).collect()} == {0: 3}
+
+
+def test_f16_no_task_numbers_all_lines_of_a_file(spark):
+    from terralith.plans import formats
+    from terralith.sources import text
+
+    rows = [(p, n, s) for p in ("a", "b") for n, s in enumerate(["GOCAD TSurf 1", "VRTX 5 0 0 0", "PVRTX 7 1 0 0", "VRTX 6 0 1 0", None, "TRGL 5 7 6", "END", "VRTX 9 1 1 1", "END", "TRGL 5 6 7"], 1)] + [("c", 1, "VRTX 1 0 0 0")]
+    v, t = text.tsurf(spark.createDataFrame(rows, "path string, line_no int, line string"))
+    assert sorted((r.path, r.v_id, r.x, r.y) for r in v.collect()) == sorted([*[(p, *r) for p in "ab" for r in ((0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 1.0))], ("c", 0, 0.0, 0.0)])
+    assert sorted(t.collect()) == [("a", 0, 0, 1, 2), ("b", 0, 0, 1, 2)]
+    plan = formats.tsurf_round_trip(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "[path" not in "".join(line for line in plan.splitlines() if "Window" in line)
+
+
+def test_f22_points_of_one_place_are_one(spark, monkeypatch):
+    from terralith.operators import control as ct
+
+    monkeypatch.setattr(ct, "FEW_FACETS", 0)
+    seen, tree = [], ct.descend
+    monkeypatch.setattr(ct, "descend", lambda places, *a: seen.append(places.count()) or tree(places, *a))
+    facets = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 9.0, 0.0, 0.0, 9.0, 9.0, 0.0)], "t_id int, " + ", ".join(f"{c}{a} double" for c in "pqr" for a in "xyz"))
+    rows = [(i, 20.0 + i % 2, 0.0, 3.0 if i % 2 else -3.0) for i in range(40)] + [(40, 5.0, 1.0, 2.0), (41, 5.0, 1.0, 2.0)]
+    got = {r.obs_id: r.side for r in ct.side(spark.createDataFrame(rows, "obs_id int, x double, y double, z double"), facets).collect()}
+    assert got == {**{i: 1 if i % 2 else -1 for i in range(40)}, 40: 1, 41: 1} and seen == [2]
