@@ -213,8 +213,9 @@ def surface_lines(vertices: DataFrame, triangles: DataFrame, groups: DataFrame,
     groups: by, density, susceptibility. Three places; vertices and triangles are renumbered from
     1 within their group by their order.
     """
-    first = vertices.groupBy(by).agg(F.min("v_id").alias("first"), F.count("*").alias("nv"))
-    faces = triangles.groupBy(by).agg(F.min("t_id").alias("t_first"), F.count("*").alias("nf"))
+    # one row a group, read several times below
+    first = stored(vertices.groupBy(by).agg(F.min("v_id").alias("first"), F.count("*").alias("nv")))
+    faces = stored(triangles.groupBy(by).agg(F.min("t_id").alias("t_first"), F.count("*").alias("nf")))
     known = groups.join(first, by).join(faces, by)
     mean = [F.format_string("%.6f g/cc", F.col("density").cast("double")), F.format_string("%.6f SI", F.col("susceptibility").cast("double"))]
     if form == "obj":
