@@ -62,7 +62,9 @@ def side(points: DataFrame, facets: DataFrame, dead: float = 1e-9) -> DataFrame:
     o = g.vec("x", "y", "z")
     sign = lambda height: F.when(F.abs(height) <= dead, 0).otherwise(F.signum(height).cast("int"))
     covered = (F.abs(d) > 1e-30) & (wa >= -1e-9) & (wb >= -1e-9) & (1.0 - wa - wb >= -1e-9)
-    all_points = points.select("obs_id", "x", "y", "z")
+    # points of one place are one
+    spots = points.select("obs_id", "x", "y", "z")
+    all_points = spots.groupBy("x", "y", "z").agg(F.min("obs_id").alias("obs_id"))
     found = over_facets(all_points, facets).filter(covered).groupBy("obs_id").agg(F.min_by(sign(g.dot(g.sub(o, p), n)), "t_id").alias("side"))
 
     rest = all_points.join(found.select("obs_id"), "obs_id", "left_anti")
@@ -73,7 +75,8 @@ def side(points: DataFrame, facets: DataFrame, dead: float = 1e-9) -> DataFrame:
     near = pairs(rest, solid) if solid.count() <= FEW_FACETS else _around(rest, solid)
     near = near.select("obs_id", "t_id", g.dot(away, away).alias("d2"), sign(g.dot(away, n)).alias("s"))
     outside = near.groupBy("obs_id").agg(F.min(F.struct("d2", "t_id", "s")).alias("b")).select("obs_id", F.col("b.s").alias("side"))
-    return points.select("obs_id").join(found.unionByName(outside), "obs_id", "left")
+    sides = all_points.join(found.unionByName(outside), "obs_id", "left").select(*[F.col(a).alias(f"__{a}") for a in "xyz"], "side")
+    return spots.join(sides, [F.col(a).eqNullSafe(F.col(f"__{a}")) for a in "xyz"], "left").select("obs_id", "side")
 
 
 def _around(points: DataFrame, facets: DataFrame) -> DataFrame:
