@@ -26,7 +26,16 @@ from terralith.operators.storage import discard, stored_at
 MOST_STATIONS = 1_000_000
 MOST_DOFS = 10_000_000
 #: Pairs of stations and facets whose kernels are held at once.
-_PAIRS = 200_000
+_PAIRS = 16_384
+
+
+def _weighed(weights: np.ndarray, o: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Sums over stations ``o`` (n, 3) of ``weights`` times the gravity factor of facets ``corner`` (m, 3, 3), by facet."""
+    at = [[np.ascontiguousarray(corner[:, i, a])[None] for a in range(3)] for i in range(3)]
+    out, step = np.zeros(len(corner)), max(1, _PAIRS // max(1, len(corner)))
+    for low in range(0, len(o), step):
+        out += weights[low : low + step] @ fw.pair_terms("gravity", [np.ascontiguousarray(x)[:, None] for x in o[low : low + step].T], at)
+    return out
 
 
 def vertex_dofs(vertices: DataFrame) -> DataFrame:
@@ -88,13 +97,12 @@ class MeshField:
 
         def run(batches):
             p, o = held.value
-            step = max(1, _PAIRS // max(1, len(o)))
             for pdf in batches:
                 follows = pdf[[f"k_{c}" for c in fw.CORNERS]].to_numpy(np.int64)
                 at = pdf[fw.CORNERS].to_numpy(float)
                 at = np.where(follows >= 0, p[np.maximum(follows, 0)] if len(p) else at, at)
-                for a in range(0, len(pdf), step):
-                    yield from work(o, at[a : a + step].reshape(-1, 3, 3), pdf["group_id"].to_numpy()[a : a + step], follows[a : a + step])
+                if len(pdf):
+                    yield from work(o, at.reshape(-1, 3, 3), pdf["group_id"].to_numpy(), follows)
 
         return self.wired.mapInPandas(run, schema)
 
@@ -103,9 +111,9 @@ class MeshField:
         ids = self.obs_id
 
         def work(o, corner, group, _):
-            terms = fw._array_kernel("gravity", fw.array_parts(o, corner), None, None) * g.G_MGAL
             for name in np.unique(group):
-                yield pd.DataFrame({"obs_id": ids, "group_id": name, "u": terms[:, group == name].sum(axis=1)})
+                own = corner[group == name]
+                yield pd.DataFrame({"obs_id": ids, "group_id": name, "u": fw.summed("gravity", o, own, None, None, np.full((len(own), 1), g.G_MGAL))[:, 0]})
 
         kind = dict(self.wired.dtypes)["group_id"]
         return self._pass(parameters, work, f"obs_id long, group_id {kind}, u double").groupBy("obs_id", "group_id").agg(F.sum("u").alias("u"))
@@ -115,7 +123,7 @@ class MeshField:
 
         def work(o, corner, group, _):
             w = np.array([density.get(x, 0.0) for x in group.tolist()]) * g.G_MGAL
-            yield pd.DataFrame({"station": np.arange(len(o)), "r": fw._array_kernel("gravity", fw.array_parts(o, corner), None, None) @ w})
+            yield pd.DataFrame({"station": np.arange(len(o)), "r": fw.summed("gravity", o, corner, None, None, w[:, None])[:, 0]})
 
         found = self._pass(parameters, work, "station long, r double").groupBy("station").agg(F.sum("r").alias("r")).toPandas()
         out = np.zeros(len(self.stations))
@@ -131,13 +139,13 @@ class MeshField:
 
         def work(o, corner, group, follows):
             w = np.array([density.get(x, 0.0) for x in group.tolist()]) * g.G_MGAL
-            base = weights @ fw._array_kernel("gravity", fw.array_parts(o, corner), None, None)
+            base = _weighed(weights, o, corner)
             slope = np.zeros((len(corner), 9))
             for j in range(9):
                 if (follows[:, j] >= 0).any():
                     moved = corner.copy().reshape(-1, 9)
                     moved[:, j] += step
-                    slope[:, j] = (weights @ fw._array_kernel("gravity", fw.array_parts(o, moved.reshape(-1, 3, 3)), None, None) - base) / step
+                    slope[:, j] = (_weighed(weights, o, moved.reshape(-1, 3, 3)) - base) / step
             held = follows >= 0
             dof, at = np.unique(follows[held], return_inverse=True)
             yield pd.DataFrame({"dof": dof, "d": np.bincount(at, (slope * w[:, None])[held], len(dof))})
