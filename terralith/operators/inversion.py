@@ -240,19 +240,42 @@ def newton_cg(value: Callable[[np.ndarray], float], gradient: Callable[[np.ndarr
     return x
 
 
-#: Bytes of a block of the sensitivity, and unknowns or data that the driver holds.
+#: Bytes of a whole block of the sensitivity, and unknowns or data that the driver holds.
 BLOCK_BYTES = 16 << 20
 MOST_UNKNOWNS = 10_000_000
+#: What a block may lose as a product of two thin matrices, as a share of its size: less than its own rounding errors.
+_THIN = 1e-13
+
+
+def thin(a: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Two matrices whose product is ``a`` up to ``_THIN`` of its norm, if they hold less than half of its numbers.
+
+    The range is found by random vectors, and the rest is formed and measured, so that the bound holds.
+    """
+    most = a.shape[0] * a.shape[1] // (2 * sum(a.shape))
+    size, k = float(np.linalg.norm(a)), 16
+    while np.isfinite(size) and k <= 2 * most:
+        q = np.linalg.qr(a @ np.random.default_rng(k).standard_normal((a.shape[1], min(k, *a.shape))))[0]
+        b = q.T @ a
+        left = float(np.linalg.norm(a - q @ b))
+        if left <= 0.7 * _THIN * size:
+            u, s, v = np.linalg.svd(b, full_matrices=False)
+            lost = np.sqrt(np.cumsum(np.square(s[::-1])))[::-1]
+            r = int((lost > 0.7 * _THIN * size).sum())
+            return (q @ u[:, :r], s[:r, None] * v[:r]) if r <= most else None
+        k *= 2
+    return None
 
 
 class Sensitivity:
     """The matrix of responses of data to cells, written once in blocks; its two products are Spark sums.
 
-    ``kernel(o, c)`` maps stations (n, k) and cells (m, j) to (n, m) responses. A block holds all
-    data of one chunk against all cells of one chunk and is a row of a table in the shared
-    folder, so a product streams the table past a broadcast vector and sums parts of the result
-    before the shuffle. Data measured at one place (equal ``at``) have equal rows, of which the
-    table holds one. The driver holds vectors of cells and of data, counted first.
+    ``kernel(o, c)`` maps stations (n, k) and cells (m, j) to (n, m) responses. A block holds the
+    data of one chunk against the cells of one chunk, whole or, where its cells are far from the
+    data and so much alike to them, as the product of two thin matrices (``thin``). It is a row of
+    a table in the shared folder, so a product streams the table past a broadcast vector; a task
+    adds up its blocks before the shuffle. Data measured at one place (equal ``at``) have equal
+    rows, of which the table holds one. The driver holds vectors of cells and of data, counted first.
     """
 
     def __init__(self, stations: DataFrame, cells: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], at: list[str], of: list[str]):
@@ -264,7 +287,7 @@ class Sensitivity:
             raise ValueError(f"at most {MOST_UNKNOWNS} data and cells")
         places, self.row = self._places(stations, at)
         self.rows = int(self.row.max(initial=-1)) + 1
-        side = int(np.sqrt(BLOCK_BYTES / 8))
+        self.side = side = int(np.sqrt(BLOCK_BYTES / 8))
         chunk = lambda df, key, columns: df.groupBy(F.floor(F.col(key) / side).alias(f"b{key}")).agg(F.array_sort(F.collect_list(F.struct(key, *[F.col(c).cast("double").alias(c) for c in columns]))).alias(f"rows_{key}"))
         a, b = chunk(places, "i", at), chunk(cells, "j", of)
         count = -(-self.m // side)
@@ -275,27 +298,45 @@ class Sensitivity:
             for pdf in batches:
                 for r in pdf.itertuples():
                     rows, cols = (np.array([[x[c] for c in names] for x in part], float).reshape(len(part), len(names)) for part, names in ((r.rows_i, at), (r.rows_j, of)))
-                    yield pd.DataFrame({"bi": [r.bi * side], "bj": [r.bj * side], "height": [len(rows)], "values": [np.ascontiguousarray(kernel(rows, cols), float).tobytes()]})
+                    block = np.ascontiguousarray(kernel(rows, cols), float)
+                    two = thin(block)
+                    rank, held = (two[0].shape[1], b"".join(x.tobytes() for x in two)) if two else (-1, block.tobytes())
+                    yield pd.DataFrame({"bi": [r.bi * side], "bj": [r.bj * side], "height": [len(rows)], "rank": [rank], "values": [held]})
 
         parts = max(1, -(-self.rows // side)) * max(1, count)
-        blocks = both.repartition(min(parts, 10_000), "bi", "bj").mapInPandas(fill, "bi long, bj long, height long, values binary")
+        # few files, each of many blocks: every product opens them all
+        blocks = both.repartition(min(parts, 4 * both.sparkSession.sparkContext.defaultParallelism)).mapInPandas(fill, "bi long, bj long, height long, rank long, values binary")
         self.blocks, self.path = stored_at(blocks)
 
     def _sum(self, v: np.ndarray, across: bool) -> np.ndarray:
         held = self.blocks.sparkSession.sparkContext.broadcast(np.asarray(v, float))
-        spot = "bi" if across else "bj"
 
         def run(batches):
+            sums = {}
             for pdf in batches:
                 for r in pdf.itertuples():
-                    a = np.frombuffer(r.values, float).reshape(r.height, -1)
-                    part = a @ held.value[r.bj : r.bj + a.shape[1]] if across else held.value[r.bi : r.bi + a.shape[0]] @ a
-                    yield pd.DataFrame({"at": [getattr(r, spot)], "part": [part]})
-
-        rows = self.blocks.mapInPandas(run, "at long, part array<double>").select("at", F.posexplode("part").alias("k", "v"))
-        found = rows.groupBy((F.col("at") + F.col("k")).alias("k")).agg(F.sum("v").alias("v")).toPandas()
-        out = np.zeros(self.rows if across else self.m)
-        out[found["k"].to_numpy()] = found["v"].to_numpy()
+                    a = np.frombuffer(r.values, float)
+                    cut = r.height * max(r.rank, 0)
+                    a = [a.reshape(r.height, -1)] if r.rank < 0 else [a[:cut].reshape(r.height, r.rank), a[cut:].reshape(r.rank, -1) if r.rank else np.zeros((0, side))]
+                    if across:
+                        spot, part = r.bi, held.value[r.bj : r.bj + a[-1].shape[1]]
+                        for x in reversed(a):
+                            part = x @ part[: x.shape[1]]
+                    else:
+                        spot, part = r.bj, held.value[r.bi : r.bi + r.height]
+                        for x in a:
+                            part = part @ x
+                    sums[spot] = sums[spot] + part if spot in sums else part
+            yield pd.DataFrame({"at": list(sums), "part": [x.tobytes() for x in sums.values()]})
+
+        def add(pdf):
+            return pd.DataFrame({"at": pdf["at"].iloc[:1], "part": [np.sum([np.frombuffer(x, float) for x in pdf["part"]], axis=0).tobytes()]})
+
+        side, out = self.side, np.zeros(self.rows if across else self.m)
+        for r in self.blocks.mapInPandas(run, "at long, part binary").groupBy("at").applyInPandas(add, "at long, part binary").collect():
+            part = np.frombuffer(r["part"], float)
+            out[r["at"] : r["at"] + len(part)] = part[: len(out) - r["at"]]
+        held.unpersist()
         return out
 
     def dot(self, cells: np.ndarray) -> np.ndarray:
@@ -381,8 +422,56 @@ def sparse_inversion(dot: Callable[[np.ndarray], np.ndarray], back: Callable[[np
     return m, log
 
 
+#: Times its longest half side that a prism is away at least, and points an axis that then give its pull to 1e-14.
+_FAR = [(1600.0, 2), (108.0, 3), (28.0, 4), (12.5, 5), (8.0, 6)]
+#: Pairs that one array operation takes, so that its operands stay in the processor's cache.
+_TILE = 16_384
+
+
 def prism_gravity(stations: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """(n, m) mGal at stations (x, y, z) of 1 g/cc in upright prisms (cx, cy, cz, hx, hy, hz: half sides)."""
+    """(n, m) mGal at stations (x, y, z) of 1 g/cc in upright prisms (cx, cy, cz, hx, hy, hz: half sides).
+
+    Near prisms by their corners. Far ones, whose corners' terms cancel to rounding errors, by
+    Gauss's points, as many as their distance asks.
+    """
+    out = np.empty((len(stations), len(cells)))
+    if not out.size:
+        return out
+    low, high = stations.min(axis=0), stations.max(axis=0)
+    gap = np.maximum(np.maximum(low - cells[:, :3], cells[:, :3] - high), 0.0)
+    away = np.sqrt((gap * gap).sum(axis=1)) / np.maximum(cells[:, 3:].max(axis=1), 1e-300)
+    points = np.zeros(len(cells), int)
+    for far, n in reversed(_FAR):
+        points[away >= far] = n
+    for n in np.unique(points):
+        at = np.flatnonzero(points == n)
+        for a in range(0, len(at), 512):
+            own = at[a : a + 512]
+            step = max(1, _TILE // len(own))
+            for b in range(0, len(stations), step):
+                out[b : b + step, own] = (_corner_gravity(stations[b : b + step], cells[own]) if n == 0 else _point_gravity(stations[b : b + step], cells[own], n))
+    return out
+
+
+def _point_gravity(stations: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
+    from terralith.functions.geometry import G_MGAL
+
+    places, weights = np.polynomial.legendre.leggauss(n)
+    off = [[cells[None, :, a] + p * cells[None, :, a + 3] - stations[:, None, a] for p in places] for a in range(3)]
+    square = [[x * x for x in axis] for axis in off]
+    out = np.zeros((len(stations), len(cells)))
+    for k, wz in enumerate(weights):
+        layer = np.zeros_like(out)
+        for i, wx in enumerate(weights):
+            side = square[0][i] + square[2][k]
+            for j, wy in enumerate(weights):
+                r2 = side + square[1][j]
+                layer += wx * wy / (r2 * np.sqrt(r2))
+        out += wz * off[2][k] * layer
+    return -G_MGAL * out * cells[None, :, 3:].prod(axis=2)
+
+
+def _corner_gravity(stations: np.ndarray, cells: np.ndarray) -> np.ndarray:
     from terralith.functions.geometry import G_MGAL
 
     out = np.zeros((len(stations), len(cells)))
