@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terralith.functions import geometry as g
 from terralith.operators import forward as fw
+from terralith.operators.storage import dealt
 from terralith.plans import bindings as b
 from terralith.plans import sqlgen as s
 from terralith.plans.registry import query
@@ -194,7 +195,7 @@ def mt_impedance(spark, d):
 def prism_forward(spark, d):
     k = F.col("s_suppkey")
     stations = b.read(spark, d, "supplier").select(k.alias("obs_id"), ((k % 10) * 100.0).alias("x"), (F.floor(k / 10) * 100.0).alias("y"), F.lit(50.0).alias("z"))
-    cubes = b.voxels(spark, d).select(
+    cubes = dealt(b.voxels(spark, d), "cell_id").select(
         F.lit(0).alias("group_id"), (F.col("ix") * 100.0 + 50).alias("cx"), (F.col("iy") * 100.0 + 50).alias("cy"), (-F.col("iz") * 100.0 - 50).alias("cz"), F.lit(50.0).alias("half"), (F.col("density") - 2.67).alias("density")
     )
     return _out(fw.gravity(stations, fw.box_facets(cubes)), "obs_id")
