@@ -71,3 +71,40 @@ def test_links_at_the_very_threshold_are_not_lost_to_rounding(spark, monkeypatch
     rows = [(2 * n + i, v, str(n)) for n, pair in enumerate(pairs) for i, v in enumerate(pair)]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
     assert sorted((r.id, r.n_links, r.component_id) for r in got) == [(0, 1, 0), (1, 1, 0), (2, 1, 2), (3, 1, 2)]
+
+
+def _chains(n, angle=0.19):
+    """Rows of ``n`` paths of four vectors, each linked with the next only; by their ids 1-3, 3-4 and 4-2."""
+    rng, rows = np.random.default_rng(11), []
+    for c in range(n):
+        a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        for k, i in enumerate((1, 3, 4, 2)):
+            rows.append((10 * c + i, (np.cos(angle * k) * a + np.sin(angle * k) * b).tolist(), 0))
+    return rows
+
+
+@pytest.mark.parametrize("small", [2, 16])
+def test_paths_of_links_inside_a_bucket_are_one_component(spark, monkeypatch, small):
+    monkeypatch.setattr(embeddings, "SMALL", small)
+    rows = _chains(400)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == slow(rows)
+
+
+def test_a_unit_gives_the_smallest_member_its_pairs_reach():
+    import pandas as pd
+
+    rows = _chains(1)
+    m = [{"rep": i, "v": np.array(v), "w": 1, "k": [7, 7]} for i, v, _ in rows]
+    want = {1: (1, 1), 3: (2, 1), 4: (2, 1), 2: (1, 1)}
+    few = next(iter(embeddings._small_links(0.98)([pd.DataFrame({"dim": [16], "t": [0], "n": [4], "m": [m]})])))
+    assert {r.rep: (r.links, r.low) for r in few.itertuples()} == want
+    many = pd.DataFrame(m).assign(t=0, i=0, j=0, side=0)
+    assert {r.rep: (r.links, r.low) for r in embeddings._unit_links(0.98)(many).itertuples()} == want
+    # two blocks: 1-3 and 4-2 are no pairs of this unit
+    assert {r.rep: (r.links, r.low) for r in embeddings._unit_links(0.98)(many.assign(j=1, side=[0, 0, 1, 1])).itertuples()} == {3: (1, 3), 4: (1, 3)}
+    # a long path in one block, and ids that fall along it
+    ids = np.random.default_rng(3).permutation(300)
+    path = pd.DataFrame([{"rep": int(i), "v": np.array([np.cos(0.01 * k), np.sin(0.01 * k)]), "w": 1, "k": [7]} for k, i in enumerate(ids)]).assign(t=0, i=0, j=0, side=0)
+    assert set(embeddings._unit_links(0.9999)(path)["low"]) == {0}
