@@ -136,7 +136,7 @@ def place_order(place: list[Column], low: list[float], size: float) -> Column:
     return out
 
 
-def _ordered(df: DataFrame, place: list[Column], parts: int, first: list[str], last: list[Column]) -> DataFrame:
+def ordered(df: DataFrame, place: list[Column], parts: int, first: list[str], last: list[Column]) -> DataFrame:
     """``df`` in ``parts`` ranges of ``first`` and of the order of ``place``, sorted; ties go by ``last``."""
     names = [f"__{a}" for a in "xyz"]
     seen = df.select(*[c.alias(n) for c, n in zip(place, names, strict=True)]).filter(" AND ".join(f"abs({n}) < double('inf')" for n in names))
@@ -190,14 +190,14 @@ def gravity(obs: DataFrame, facets: DataFrame, corners: list[str], by: list[str]
         if kept:
             yield from whole(False)
 
-    ordered = _ordered(facets, place, parts, by, [F.xxhash64(*corners)])
-    blocks = stored(ordered.mapInPandas(pack, f"{own}b long, " + ", ".join(f"{c} array<{'int' if c == 'counts' else 'double'}>" for c in lists)))
+    sorted_ = ordered(facets, place, parts, by, [F.xxhash64(*corners)])
+    blocks = stored(sorted_.mapInPandas(pack, f"{own}b long, " + ", ".join(f"{c} array<{'int' if c == 'counts' else 'double'}>" for c in lists)))
     discard(obs.sparkSession, path)
 
     nan = F.lit(float("nan"))
     chunks = min(10_000, max(1, -(-obs.count() // obs_block)))
     seen = obs.select("obs_id", *[F.coalesce(F.col(a).cast("double"), nan).alias(a) for a in "xyz"])
-    dealt = _ordered(seen, [F.col(a) for a in "xyz"], chunks, [], [F.xxhash64("obs_id")]).withColumn("c", F.spark_partition_id())
+    dealt = ordered(seen, [F.col(a) for a in "xyz"], chunks, [], [F.xxhash64("obs_id")]).withColumn("c", F.spark_partition_id())
     low, high = [F.array(*[f(a) for a in "xyz"]) for f in (F.min, F.max)]
     stations = stored(dealt.groupBy("c").agg(low.alias("low"), high.alias("high"), F.collect_list(F.struct(F.col("obs_id").alias("i"))).alias("obs_id"), *[F.collect_list(a).alias(a) for a in "xyz"]))
 
