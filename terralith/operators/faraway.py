@@ -242,7 +242,9 @@ def gravity(obs: DataFrame, facets: DataFrame, corners: list[str], by: list[str]
     reach = _REACH * F.array_max("half")
     apart = F.sqrt(sum((F.pow(x, 2) for x in gap), F.lit(0.0)))
     ends = F.forall(F.concat("low", "high"), lambda x: ~F.isnan(x))
-    pairs = stations.select("c", "low", "high").crossJoin(F.broadcast(boxes)).filter(~F.col("thin") | ~ends | (apart < reach * (1 + 1e-9))).select("c", "b", "thin")
+    numbers = stations.agg(F.max("c")).first()[0] or 0
+    each = boxes.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(numbers))))
+    pairs = each.join(stations.select("c", "low", "high"), "c").filter(~F.col("thin") | ~ends | (apart < reach * (1 + 1e-9))).select("c", "b", "thin")
     held = pairs.join(stations.drop("low", "high"), "c").join(blocks.drop("counts", "q"), "b")
     last = held.repartition(min(10_000, max(1, pairs.count()))).mapInPandas(near, schema)
     return first.unionByName(last).groupBy("obs_id", *by).agg(F.sum("response").alias("response")).withColumnsRenamed(given)
