@@ -317,11 +317,11 @@ class Sensitivity:
                 for r in pdf.itertuples():
                     a = np.frombuffer(r.values, float)
                     cut = r.height * max(r.rank, 0)
-                    a = [a.reshape(r.height, -1)] if r.rank < 0 else [a[:cut].reshape(r.height, r.rank), a[cut:].reshape(r.rank, -1) if r.rank else np.zeros((0, side))]
+                    a = [a.reshape(r.height, -1)] if r.rank < 0 else [a[:cut].reshape(r.height, r.rank), a[cut:].reshape(r.rank, min(side, m - r.bj))]
                     if across:
                         spot, part = r.bi, held.value[r.bj : r.bj + a[-1].shape[1]]
                         for x in reversed(a):
-                            part = x @ part[: x.shape[1]]
+                            part = x @ part
                     else:
                         spot, part = r.bj, held.value[r.bi : r.bi + r.height]
                         for x in a:
@@ -332,10 +332,10 @@ class Sensitivity:
         def add(pdf):
             return pd.DataFrame({"at": pdf["at"].iloc[:1], "part": [np.sum([np.frombuffer(x, float) for x in pdf["part"]], axis=0).tobytes()]})
 
-        side, out = self.side, np.zeros(self.rows if across else self.m)
+        side, m, out = self.side, self.m, np.zeros(self.rows if across else self.m)
         for r in self.blocks.mapInPandas(run, "at long, part binary").groupBy("at").applyInPandas(add, "at long, part binary").collect():
             part = np.frombuffer(r["part"], float)
-            out[r["at"] : r["at"] + len(part)] = part[: len(out) - r["at"]]
+            out[r["at"] : r["at"] + len(part)] = part
         held.unpersist()
         return out
 
